@@ -6,7 +6,7 @@ import importlib
 
 from rankloom.plans.registry import REGISTRY
 
-_MODULES = ("digest",)
+_MODULES = ("digest", "ingest")
 
 
 def load():

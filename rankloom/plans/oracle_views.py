@@ -97,3 +97,34 @@ fleet_ledger as (
 
 def with_(*ctes: str) -> str:
     return "with " + ",\n".join(c.strip().lstrip(",").strip() for c in ctes)
+
+RAW_FETCH = LISTINGS_RAW + """,
+raw_fetch as (
+  select r.id, r.arrival, r.employer as site, r.language as term, r.location as search_location,
+         r.title, r.employer as company, r.location, r.job_url, r.date_posted,
+         case when l.doc_id is not null then r.is_remote end as is_remote,
+         nullif(r.job_type, '') as job_type, r.description, r.discovered_at
+  from listings_raw r left join labels l on l.doc_id = r.id)"""
+
+
+def tokens_sql(text: str) -> str:
+    cleaned = f"trim(regexp_replace(lower({text}), '[^\\p{{L}}]+', ' ', 'g'))"
+    return f"(case when {cleaned} = '' then []::varchar[] else string_split({cleaned}, ' ') end)"
+
+
+LEXICON = {
+    "en": ["the", "of", "and", "in", "to"],
+    "fr": ["le", "la", "et", "que", "un", "une", "les"],
+    "de": ["der", "die", "und", "ein", "in", "zu"],
+    "es": ["el", "los", "que", "y", "la", "en", "de"],
+}
+
+
+def detect_sql(text: str) -> str:
+    toks = tokens_sql(text)
+    parts = []
+    for lang, ws in sorted(LEXICON.items()):
+        inlist = ", ".join(f"'{w}'" for w in ws)
+        parts.append(f"{{'neg': -len(list_filter({toks}, lambda t: t in ({inlist}))), 'lang': '{lang}'}}")
+    best = f"list_min([{', '.join(parts)}])"
+    return f"(case when ({best}).neg < 0 then ({best}).lang end)"

@@ -225,3 +225,23 @@ def fleet_sent_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.col("o_custkey").alias("profile_id"),
                     fleet_url().alias("job_url"),
                     F.col("o_orderdate").cast("timestamp").alias("sent_at")))
+
+
+def raw_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Board fetch rows as landed by the job-board fetcher, before normalisation.
+
+    One row per document: ``site`` = its source, task = (language as search
+    term, nation as search location). Missing values stay NULL: no remote flag
+    for unlabelled documents, no job type for the empty one.
+    """
+    raw = listings_raw(spark, sf_dir)
+    lab = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.lit(True).alias("_labelled"))
+    x = raw.join(lab, "id", "left")
+    return x.select(
+        "id", "arrival", F.col("employer").alias("site"), F.col("language").alias("term"),
+        F.col("location").alias("search_location"),
+        "title", F.col("employer").alias("company"), "location", "job_url", "date_posted",
+        F.when(F.col("_labelled"), F.col("is_remote")).alias("is_remote"),
+        F.nullif(F.col("job_type"), F.lit("")).alias("job_type"),
+        "description", "discovered_at",
+    )
