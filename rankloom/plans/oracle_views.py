@@ -80,7 +80,7 @@ fleet_jobs as (
          (l.l_linestatus = 'O') as is_remote,
          replace(lower(substr(o.o_orderpriority, 3, 100)), ' ', '_') as job_type,
          case when l.l_returnflag = 'R' then 'nan' else cast(cast(l.l_shipdate as date) as varchar) end as date_posted,
-         o.o_orderdate as discovered_at, l.l_orderkey, l.l_linenumber
+         o.o_orderdate as discovered_at, l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey
   from lineitem l join orders o on l.l_orderkey = o.o_orderkey
   join part p on l.l_partkey = p.p_partkey
   join supplier s on l.l_suppkey = s.s_suppkey

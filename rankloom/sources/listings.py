@@ -169,7 +169,7 @@ def fleet_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "R", F.lit("nan"))
          .otherwise(F.to_date("l_shipdate").cast("string")).alias("date_posted"),
         F.col("o_orderdate").cast("timestamp").alias("discovered_at"),
-        F.col("l_orderkey"), F.col("l_linenumber"),
+        F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"),
     )
 
 
