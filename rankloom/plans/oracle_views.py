@@ -128,3 +128,32 @@ def detect_sql(text: str) -> str:
         parts.append(f"{{'neg': -len(list_filter({toks}, lambda t: t in ({inlist}))), 'lang': '{lang}'}}")
     best = f"list_min([{', '.join(parts)}])"
     return f"(case when ({best}).neg < 0 then ({best}).lang end)"
+
+
+def fold_sql(name: str, where: str = "true") -> str:
+    """Feedback fold per (profile_id, listing_id) over ``feedback_events``."""
+    key = "{'ts': ts, 'seq': seq}"
+    ok = "try_cast(value as int) in (-1, 0, 1)"
+    return f"""
+{name} as (
+  select profile_id, listing_id,
+    nullif(cast(arg_max(value, {key}) filter (where kind = 'rate' and {ok}) as int), 0) as user_rating,
+    nullif(arg_max(value, {key}) filter (where kind = 'note'), '') as notes,
+    coalesce(arg_max(value, {key}) filter (where kind = 'applied') = '1', false) as is_applied,
+    (arg_max(value, {key}) filter (where kind = 'hide')) = '1' as hidden,
+    coalesce(bool_or(kind = 'rate' and {ok}), false) as has_rating,
+    coalesce(bool_or(kind = 'note'), false) as has_note
+  from feedback_events where {where} group by profile_id, listing_id)"""
+
+
+STATE_ROWS = """
+state_rows as (
+  select f.profile_id, j.job_url, j.title, j.employer, j.score, j.is_remote, j.job_type, j.discovered_at,
+         f.user_rating, f.notes, coalesce(f.hidden, j.hidden) as hidden, f.is_applied
+  from fold f join board_jobs j on j.id = f.listing_id)"""
+
+FEEDBACK_LINE_SQL = ("concat(coalesce(title, ''), ' at ', coalesce(employer, ''), ' (score ', "
+                     "coalesce(cast(score as varchar), '?'), ')', "
+                     "case when coalesce(is_remote, false) then ', Remote' else '' end, "
+                     "case when coalesce(job_type, '') <> '' then ', ' || job_type else '' end, "
+                     "case when coalesce(notes, '') <> '' then '. Note: ' || notes else '' end)")
