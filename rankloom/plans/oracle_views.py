@@ -130,20 +130,20 @@ def detect_sql(text: str) -> str:
     return f"(case when ({best}).neg < 0 then ({best}).lang end)"
 
 
-def fold_sql(name: str, where: str = "true") -> str:
-    """Feedback fold per (profile_id, listing_id) over ``feedback_events``."""
+def fold_sql(name: str, where: str = "true", keys: str = "profile_id, listing_id") -> str:
+    """Feedback fold per key (default (profile_id, listing_id)) over ``feedback_events``."""
     key = "{'ts': ts, 'seq': seq}"
     ok = "try_cast(value as int) in (-1, 0, 1)"
     return f"""
 {name} as (
-  select profile_id, listing_id,
+  select {keys},
     nullif(cast(arg_max(value, {key}) filter (where kind = 'rate' and {ok}) as int), 0) as user_rating,
     nullif(arg_max(value, {key}) filter (where kind = 'note'), '') as notes,
     coalesce(arg_max(value, {key}) filter (where kind = 'applied') = '1', false) as is_applied,
     (arg_max(value, {key}) filter (where kind = 'hide')) = '1' as hidden,
     coalesce(bool_or(kind = 'rate' and {ok}), false) as has_rating,
     coalesce(bool_or(kind = 'note'), false) as has_note
-  from feedback_events where {where} group by profile_id, listing_id)"""
+  from feedback_events where {where} group by {keys})"""
 
 
 STATE_ROWS = """
