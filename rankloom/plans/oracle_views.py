@@ -47,6 +47,8 @@ feedback_events as (
          case when event_type = 'purchase' then (case when value > 48 then '2' else '1' end)
               when event_type = 'error' then (case when value < 3 then '0' else '-1' end)
               when event_type = 'view' then (case when value < 2 then '' else concat('note ', cast(event_id as varchar)) end)
+              when event_type = 'signup' then (case when value >= 20 then '1' else '0' end)
+              when event_type = 'click' then (case when value >= 10 then '1' else '0' end)
               else '1' end as value
   from events)"""
 

@@ -180,7 +180,7 @@ def feedback_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User actions as an append-only log ``(profile_id, listing_id, seq, ts, kind, value)``.
 
     purchase = like (+1), error = dislike (-1, or 0 = clear for small values),
-    click = applied, view = note (empty note clears it), signup = hide.
+    click = applied / not applied, view = note (empty note clears it), signup = hide / unhide.
     """
     e = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
     et = F.col("event_type")
@@ -190,6 +190,8 @@ def feedback_events(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(et == "error", F.when(F.col("value") < 3, "0").otherwise("-1"))
              .when(et == "view", F.when(F.col("value") < 2, "")
                    .otherwise(F.concat(F.lit("note "), F.col("event_id").cast("string"))))
+             .when(et == "signup", F.when(F.col("value") >= 20, "1").otherwise("0"))
+             .when(et == "click", F.when(F.col("value") >= 10, "1").otherwise("0"))
              .otherwise("1"))
     return e.select(
         F.col("user_id").alias("profile_id"),
