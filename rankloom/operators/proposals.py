@@ -129,10 +129,10 @@ def transcript(conversation) -> Column:
         F.when(m["role"] == "assistant", F.lit("AI")).otherwise(F.lit("User")), F.lit(": "), m["content"])), "\n")
 
 
-def revise(proposals: DataFrame, replies: DataFrame) -> DataFrame:
+def revise(proposals: DataFrame, replies: DataFrame, key: str = "profile_id") -> DataFrame:
     """Append the reply to the conversation and edit the lists by the
     reply's ``add X`` / ``drop X`` commands (one per line)."""
-    x = proposals.join(replies, "profile_id")
+    x = proposals.join(replies, key)
     lines = F.split(F.col("reply"), r"\r\n|\r|\n")
     adds = F.transform(F.filter(lines, lambda l: F.lower(F.trim(l)).startswith("add ")),
                        lambda l: F.trim(F.substring(F.trim(l), 5, 1 << 20)))
@@ -141,7 +141,7 @@ def revise(proposals: DataFrame, replies: DataFrame) -> DataFrame:
     kept = F.filter(F.coalesce("terms_add", F.array().cast("array<string>")),
                     lambda t: ~F.array_contains(drops, F.lower(t)))
     return x.select(
-        "profile_id",
+        key,
         F.concat(F.coalesce("conversation", F.array()),
                  F.array(F.struct(F.lit("user").alias("role"), F.col("reply").alias("content")))).alias("conversation"),
         F.concat(kept, adds).alias("terms_add"))

@@ -108,7 +108,7 @@ def insights_counter(spark, sf_dir):
     return FB.insights_counter(user_state(spark, sf_dir), processed)
 
 
-@query("keyword_suggest", "J8 J11 C9", _ROWS + ",\n" + V.PROFILES_FLAT.strip() + ",\n" + V.SEGMENT_KEYWORDS_SQL.strip() + f""",
+KEYWORD_SUGGEST_SQL = (_ROWS + ",\n" + V.PROFILES_FLAT.strip() + ",\n" + V.SEGMENT_KEYWORDS_SQL.strip() + f""",
 rated as (select * from state_rows where user_rating in (1, -1)),
 lt as (select distinct profile_id, job_url, user_rating, term from
         (select profile_id, job_url, user_rating, unnest({V.tokens_sql('title')}) as term from rated)
@@ -126,6 +126,9 @@ b as (select profile_id, 'boost' as kind, row_number() over (partition by profil
 p as (select profile_id, 'penalize' as kind, row_number() over (partition by profile_id order by s, term) as rank,
              term as keyword, cast(greatest(-50, least(-10, round(s * 10))) as int) as weight from fresh where s < 0)
 select * from b where rank <= 5 union all select * from p where rank <= 5""")
+
+
+@query("keyword_suggest", "J8 J11 C9", KEYWORD_SUGGEST_SQL)
 def keyword_suggest(spark, sf_dir):
     rated = state_rows(spark, sf_dir).filter(F.col("user_rating").isin(1, -1))
     cur = L.profiles(spark, sf_dir).select("profile_id", "scoring")

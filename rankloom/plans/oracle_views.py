@@ -52,18 +52,14 @@ feedback_events as (
               else '1' end as value
   from events)"""
 
-SEGMENT_KEYWORDS_SQL = """
-segment_keywords(segment, kind, keyword, weight) as (values
-  ('AUTOMOBILE', 'boost', 'gear', 16.0), ('AUTOMOBILE', 'boost', 'bolt', 11.0),
-  ('AUTOMOBILE', 'penalize', 'plate', -25.0),
-  ('BUILDING', 'boost', 'anvil', 20.0), ('BUILDING', 'boost', 'rod', 9.0),
-  ('BUILDING', 'penalize', 'gizmo', -35.0),
-  ('FURNITURE', 'boost', 'widget', 12.0), ('FURNITURE', 'boost', 'red', 6.0),
-  ('FURNITURE', 'penalize', 'cold', -50.0), ('FURNITURE', 'penalize', 'old', -10.0),
-  ('HOUSEHOLD', 'boost', 'ring', 14.0), ('HOUSEHOLD', 'boost', 'small', 8.0),
-  ('HOUSEHOLD', 'penalize', 'large', -20.0),
-  ('MACHINERY', 'boost', 'gear', 18.0), ('MACHINERY', 'boost', 'promo', 5.0),
-  ('MACHINERY', 'boost', 'gear', 3.0), ('MACHINERY', 'penalize', 'economy', -15.0))"""
+def _segment_keywords_sql() -> str:
+    from rankloom.sources.listings import SEGMENT_KEYWORDS
+    rows = ", ".join(f"({i}, '{a}', '{b}', '{c}', cast({w} as double))" for i, (a, b, c, w) in enumerate(SEGMENT_KEYWORDS))
+    return f"""
+segment_keywords(ord, segment, kind, keyword, weight) as (values {rows})"""
+
+
+SEGMENT_KEYWORDS_SQL = _segment_keywords_sql()
 
 PROFILES_FLAT = """
 profiles_flat as (

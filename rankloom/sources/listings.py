@@ -91,7 +91,8 @@ SEGMENT_KEYWORDS = [
 
 
 def segment_keywords(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SEGMENT_KEYWORDS, "segment string, kind string, keyword string, weight double")
+    rows = [(i, *r) for i, r in enumerate(SEGMENT_KEYWORDS)]
+    return spark.createDataFrame(rows, "ord int, segment string, kind string, keyword string, weight double")
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,9 +102,11 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.broadcast(read(spark, sf_dir, "region").select("r_regionkey", "r_name"))
     kw = segment_keywords(spark)
     # keyword arrays per segment: a five-row fixed table, broadcast to the profiles
-    lex = (kw.groupBy("segment").agg(
-        F.collect_list(F.when(F.col("kind") == "boost", F.struct("keyword", "weight"))).alias("boost"),
-        F.collect_list(F.when(F.col("kind") == "penalize", F.struct("keyword", "weight"))).alias("penalize")))
+    def in_order(kind):
+        items = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("ord", "keyword", "weight"))))
+        return F.transform(items, lambda e: F.struct(e["keyword"].alias("keyword"), e["weight"].alias("weight")))
+
+    lex = kw.groupBy("segment").agg(in_order("boost").alias("boost"), in_order("penalize").alias("penalize"))
     x = (c.join(n, c.c_nationkey == n.n_nationkey)
          .join(r, F.col("n_regionkey") == F.col("r_regionkey"))
          .join(F.broadcast(lex), F.col("c_mktsegment") == F.col("segment"), "left"))
