@@ -6,7 +6,7 @@ import importlib
 
 from rankloom.plans.registry import REGISTRY
 
-_MODULES = ("digest", "ingest", "scoring", "rerank", "feedback", "history", "proposals")
+_MODULES = ("digest", "ingest", "scoring", "rerank", "feedback", "history", "proposals", "evals")
 
 
 def load():

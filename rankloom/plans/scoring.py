@@ -51,23 +51,24 @@ def keyword_reason(spark, sf_dir):
     return x.select("profile_id", "job_url", S.boost_reason("reason0", "score", "adjusted").alias("reason"))
 
 
-def relevance_ctes(evidence: bool) -> str:
-    """CTEs ``dt``..``rel`` (columns item_id, doc_id, n_terms, matched, total, score)."""
+def relevance_ctes(evidence: bool, p: str = "") -> str:
+    """CTEs ending in ``{p}rel`` (columns item_id, doc_id, n_terms, matched, total, score)."""
     lvl = "least(tf, 3)" if evidence else "1"
     return f"""
-dt as (select distinct doc, term from (select doc_id as doc, unnest({V.tokens_sql('text')}) as term from documents)),
-n as (select count(*) as n from documents),
-stats as (select term, count(*) as df from dt group by term),
-eligible as (select term, cast(1 + floor(n.n / df) as bigint) as weight from stats, n where df <= n.n * {S.STOP_SHARE}),
-qt as (select q, term, count(*) as tf from
+{p}dt as (select distinct doc, term from (select doc_id as doc, unnest({V.tokens_sql('text')}) as term from documents)),
+{p}n as (select count(*) as n from documents),
+{p}stats as (select term, count(*) as df from {p}dt group by term),
+{p}eligible as (select term, cast(1 + floor(x.n / df) as bigint) as weight from {p}stats, {p}n x
+                where df <= x.n * {S.STOP_SHARE}),
+{p}qt as (select q, term, count(*) as tf from
         (select item_id as q, unnest({V.tokens_sql('text')}) as term from benchmark) group by q, term),
-qw as (select q, term, weight * {lvl} as w from qt join eligible using (term)),
-total as (select q, sum(w) as total from qw group by q),
-matched as (select q, doc, sum(w) as matched, count(*) as n_terms from qw join dt using (term) group by q, doc),
-rel as (
+{p}qw as (select q, term, weight * {lvl} as w from {p}qt join {p}eligible using (term)),
+{p}total as (select q, sum(w) as total from {p}qw group by q),
+{p}matched as (select q, doc, sum(w) as matched, count(*) as n_terms from {p}qw join {p}dt using (term) group by q, doc),
+{p}rel as (
   select m.q as item_id, m.doc as doc_id, m.n_terms, cast(m.matched as bigint) as matched,
          cast(t.total as bigint) as total, cast(floor(100 * m.matched / t.total) as int) as score
-  from matched m join total t using (q))"""
+  from {p}matched m join {p}total t using (q))"""
 
 
 def _relevance_sql(evidence: bool) -> str:
