@@ -34,9 +34,14 @@ def listings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ``arrival`` is the order of arrival inside the batch (the E1 tie order).
     """
-    d = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    lab = read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    nat = F.broadcast(read(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    return board_rows(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), read(spark, sf_dir, "nation"))
+
+
+def board_rows(documents: DataFrame, labels: DataFrame, nation: DataFrame) -> DataFrame:
+    """The board listing derivation; works on batch and streaming ``documents``."""
+    d = documents.select("doc_id", "text", "lang", "source")
+    lab = labels.select("doc_id", "quality", "toxic")
+    nat = F.broadcast(nation.select("n_nationkey", "n_name"))
     doc = F.col("doc_id")
     x = (d.join(lab, "doc_id", "left")
          .join(nat, (doc % 25) == F.col("n_nationkey")))
@@ -185,7 +190,12 @@ def feedback_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     purchase = like (+1), error = dislike (-1, or 0 = clear for small values),
     click = applied / not applied, view = note (empty note clears it), signup = hide / unhide.
     """
-    e = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    return feedback_log(read(spark, sf_dir, "events"))
+
+
+def feedback_log(events: DataFrame) -> DataFrame:
+    """The event -> feedback mapping; works on batch and streaming ``events``."""
+    e = events.select("event_id", "ts", "user_id", "event_type", "value", "props")
     et = F.col("event_type")
     kind = F.when(et.isin("purchase", "error"), "rate").when(et == "click", "applied") \
         .when(et == "view", "note").when(et == "signup", "hide")

@@ -28,3 +28,12 @@ def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     if not fs.exists(jvm_path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
+
+
+def has_subdirs(spark: SparkSession, path: str, prefix: str) -> bool:
+    """Whether ``path`` (any Hadoop file system) holds an entry named ``prefix*``."""
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(jvm_path):
+        return False
+    return any(st.getPath().getName().startswith(prefix) for st in fs.listStatus(jvm_path))
