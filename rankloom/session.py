@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 # Settings we want on every session. They are only applied when the cluster
@@ -27,8 +28,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     if master:
         builder = builder.master(master)
         builder = builder.config("spark.driver.memory", os.environ.get("RANKLOOM_DRIVER_MEM", "8g"))
+    cluster = SparkConf()  # what spark-submit / spark-defaults already set
     for k, v in _DEFAULTS.items():
-        builder = builder.config(k, v)
+        if not cluster.contains(k):
+            builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
