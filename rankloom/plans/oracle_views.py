@@ -82,7 +82,8 @@ fleet_jobs as (
   from lineitem l join orders o on l.l_orderkey = o.o_orderkey
   join part p on l.l_partkey = p.p_partkey
   join supplier s on l.l_suppkey = s.s_suppkey
-  join nation n on s.s_nationkey = n.n_nationkey)"""
+  join nation n on s.s_nationkey = n.n_nationkey
+  qualify row_number() over (partition by job_url order by l.l_shipdate, l.l_linestatus, l.l_returnflag) = 1)"""
 
 FLEET_LEDGER = """
 fleet_ledger as (

@@ -163,7 +163,7 @@ def fleet_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
          .join(p, li.l_partkey == p.p_partkey)
          .join(s, li.l_suppkey == s.s_suppkey)
          .join(n, F.col("s_nationkey") == F.col("n_nationkey")))
-    return x.select(
+    rows = x.select(
         F.col("o_custkey").alias("profile_id"),
         fleet_url().alias("job_url"),
         F.col("p_name").alias("title"),
@@ -178,7 +178,12 @@ def fleet_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(F.to_date("l_shipdate").cast("string")).alias("date_posted"),
         F.col("o_orderdate").cast("timestamp").alias("discovered_at"),
         F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"),
+        F.col("l_shipdate"), F.col("l_linestatus"), F.col("l_returnflag"),
     )
+    # the jobs table is unique on URL: a re-fetched line item keeps its first version
+    from rankloom.operators.ranking import first_per_key
+    first = first_per_key(rows, ["job_url"], [F.col("l_shipdate"), F.col("l_linestatus"), F.col("l_returnflag")])
+    return first.drop("l_shipdate", "l_linestatus", "l_returnflag")
 
 
 FEEDBACK_KIND = {"purchase": "rate", "error": "rate", "click": "applied", "view": "note", "signup": "hide"}
