@@ -41,7 +41,11 @@ def top_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence, n, rank
         w = Window.partitionBy(*keys).orderBy(*order_cols)
         return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= n)
     limit = n
-    salt_src = _cols(salt_on) if salt_on else order_cols
+    if salt_on:
+        salt_src = _cols(salt_on)
+    else:  # any deterministic spread of the group's rows works; hash the atomic columns
+        salt_src = [F.col(f.name) for f in df.schema.fields
+                    if f.dataType.typeName() not in ("map", "array", "struct")]
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*salt_src), F.lit(salt_buckets)))
     w1 = Window.partitionBy(*keys, "_salt").orderBy(*order_cols)
     local = salted.withColumn("_rn1", F.row_number().over(w1)).filter(F.col("_rn1") <= limit)
