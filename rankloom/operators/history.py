@@ -51,12 +51,13 @@ def last_ingest(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("profile_id").agg(F.max("discovered_at").alias("last_ingest"))
 
 
-def retain_sent(jobs: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """C4 + D13: keep only listings that were sent (semi join, no IN-list size
-    limit); also return the per-profile number of deleted rows."""
-    kept = jobs.join(ledger.select("profile_id", "job_url").distinct(), ["profile_id", "job_url"], "left_semi")
-    before = jobs.groupBy("profile_id").agg(F.count("*").alias("_n"))
-    after = kept.groupBy("profile_id").agg(F.count("*").alias("_k"))
-    deleted = (before.join(after, "profile_id", "left")
-               .select("profile_id", (F.col("_n") - F.coalesce(F.col("_k"), F.lit(0))).alias("deleted")))
-    return kept, deleted
+def retain_sent(jobs: DataFrame, ledger: DataFrame) -> DataFrame:
+    """C4 + D13 (G5): keep only listings that were sent, delete the rest.
+
+    Returns every listing tagged ``kept`` (a left join on (profile, url); no
+    IN-list, so no size limit): the new table is ``filter(kept)``, and the
+    deleted count per profile is ``count_if(not kept)``.
+    """
+    sent = ledger.select("profile_id", "job_url").distinct().withColumn("_sent", F.lit(True))
+    return jobs.join(sent, ["profile_id", "job_url"], "left").withColumn(
+        "kept", F.coalesce(F.col("_sent"), F.lit(False))).drop("_sent")

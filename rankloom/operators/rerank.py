@@ -85,10 +85,20 @@ def cosine(a, b) -> Column:
     return F.when((na > 0) & (nb > 0), dot / (na * nb))
 
 
-def centroid(vectors: DataFrame, group: str, vec: str) -> DataFrame:
-    """Mean vector per group: explode by position, average per (group, position)
-    with partial aggregation, then re-assemble (bounded by the dimension)."""
-    e = vectors.select(group, F.posexplode(vec).alias("i", "x"))
-    per = e.groupBy(group, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return (per.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("_s"))
-            .select(group, F.transform("_s", lambda s: s["x"]).alias("centroid")))
+def cosine_to_centroid(cands: DataFrame, key: str, vec: str, liked: DataFrame, group: str = "profile_id") -> DataFrame:
+    """Cosine of each candidate's vector to its group's mean liked vector.
+
+    Both sides are exploded to (group, dimension) rows and equi-joined on
+    ``(group, dimension)``; dot product and norms are sums per candidate. No
+    vector is ever shipped whole to another row, so there is no nested-loop
+    join even when the group key is a constant.
+    """
+    cent = (liked.select(group, F.posexplode(vec).alias("i", "x"))
+            .groupBy(group, "i").agg(F.avg(F.col("x").cast("double")).alias("c")))
+    cv = cands.select(group, key, F.posexplode(vec).alias("i", "x"))
+    j = cv.join(cent, [group, "i"], "left").select(group, key, F.col("x").cast("double").alias("x"), "c")
+    g = j.groupBy(group, key).agg(F.sum(F.col("x") * F.col("c")).alias("dot"),
+                                  F.sum(F.col("x") * F.col("x")).alias("xx"),
+                                  F.sum(F.col("c") * F.col("c")).alias("cc"))
+    cos = F.when((F.col("xx") > 0) & (F.col("cc") > 0), F.col("dot") / (F.sqrt("xx") * F.sqrt("cc")))
+    return g.select(group, key, cos.alias("cosine"))

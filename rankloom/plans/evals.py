@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rankloom.operators import evals as EV
 from rankloom.operators import scoring as S
 from rankloom.plans.registry import query
+from rankloom.session import materialize
 from rankloom.plans.scoring import _KD_SQL, _fleet_scored, relevance_ctes
 from rankloom.sources.tables import read
 
@@ -63,7 +64,7 @@ from checks group by item_id, "check\""""
 def eval_pass_rate(spark, sf_dir):
     trials = None
     for name, ev in (("plain", False), ("evidence", True)):
-        r = _rel(spark, sf_dir, ev)
+        r = materialize(_rel(spark, sf_dir, ev))  # read by two checks
         strong = EV.eval_set(r, "item_id", "doc_id").groupBy("item_id").agg(
             (F.max(F.when(F.col("role_pos") == 1, F.col("score"))) >= EV.STRONG_MIN).alias("strong_ok"))
         gold = EV.rank_position(r, "item_id", "doc_id", F.col("score") == 100).select(

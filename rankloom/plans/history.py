@@ -98,12 +98,10 @@ def last_ingest(spark, sf_dir):
     return x.select("profile_id", ts_text("last_ingest").alias("last_ingest"))
 
 
-@query("retain_sent", "C4 D13 G5", V.with_(V.BOARD_JOBS, V.board_ledger(BOARD_AS_OF)) + """,
-kept as (select j.profile_id, j.job_url from board_jobs j
-         where exists (select 1 from board_ledger s where s.profile_id = j.profile_id and s.job_url = j.job_url)),
-cnt as (select j.profile_id, count(*) - (select count(*) from kept k where k.profile_id = j.profile_id) as deleted
-        from board_jobs j group by j.profile_id)
-select k.profile_id, k.job_url, c.deleted from kept k join cnt c on c.profile_id = k.profile_id""")
+@query("retain_sent", "C4 D13 G5", V.with_(V.BOARD_JOBS, V.board_ledger(BOARD_AS_OF)) + """
+select j.profile_id, j.job_url,
+       exists (select 1 from board_ledger s where s.profile_id = j.profile_id and s.job_url = j.job_url) as kept
+from board_jobs j""")
 def retain_sent(spark, sf_dir):
-    kept, deleted = H.retain_sent(L.board_jobs(spark, sf_dir), L.board_sent_ledger(spark, sf_dir, BOARD_AS_OF))
-    return kept.select("profile_id", "job_url").join(deleted, "profile_id")
+    x = H.retain_sent(L.board_jobs(spark, sf_dir), L.board_sent_ledger(spark, sf_dir, BOARD_AS_OF))
+    return x.select("profile_id", "job_url", "kept")

@@ -10,6 +10,7 @@ from rankloom.operators import replies as RP
 from rankloom.plans import oracle_views as V
 from rankloom.plans.feedback import state_rows
 from rankloom.plans.registry import query
+from rankloom.session import materialize
 from rankloom.plans import feedback as FBQ
 from rankloom.sources import listings as L
 from rankloom.sources.tables import read
@@ -19,7 +20,8 @@ REVERTED_SEGMENT = "MACHINERY"
 
 def suggestions(spark, sf_dir):
     rated = state_rows(spark, sf_dir).filter(F.col("user_rating").isin(1, -1))
-    return P.suggest_keywords(rated, L.profiles(spark, sf_dir).select("profile_id", "scoring"))
+    # read three times below (boosts, penalties, profile ids): materialize once
+    return materialize(P.suggest_keywords(rated, L.profiles(spark, sf_dir).select("profile_id", "scoring")))
 
 
 def proposals(spark, sf_dir):

@@ -12,6 +12,7 @@ from rankloom.operators.ranking import top_n_per_group
 from rankloom.plans import oracle_views as V
 from rankloom.plans.digest import BOARD_CAND_SQL, FLEET_CAND_SQL, board_candidates, fleet_candidates
 from rankloom.plans.registry import query
+from rankloom.session import materialize
 from rankloom.plans.scoring import relevance_ctes
 from rankloom.sources import listings as L
 from rankloom.sources.tables import read
@@ -48,10 +49,11 @@ def rerank_vectors(spark, sf_dir):
     emb = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     liked = (L.board_jobs(spark, sf_dir).filter(F.col("user_rating") == 1)
              .join(emb, F.col("id") == F.col("vec_id")).select("profile_id", "embedding"))
-    cent = RR.centroid(liked, "profile_id", "embedding")
-    cut = board_cut(spark, sf_dir).join(emb, F.col("id") == F.col("vec_id"), "left").join(cent, "profile_id", "left")
-    scored = cut.select("profile_id", F.col("pos").alias("score_pos"), "job_url",
-                        F.coalesce(RR.cosine("centroid", "embedding"), F.lit(0.0)).alias("relevance"))
+    cut = board_cut(spark, sf_dir)
+    vecs = cut.join(emb, F.col("id") == F.col("vec_id")).select("profile_id", "job_url", "embedding")
+    cos = RR.cosine_to_centroid(vecs, "job_url", "embedding", liked)
+    scored = cut.join(cos, ["profile_id", "job_url"], "left").select(
+        "profile_id", F.col("pos").alias("score_pos"), "job_url", F.coalesce("cosine", F.lit(0.0)).alias("relevance"))
     kept = scored.filter(F.col("relevance") >= BOARD_RERANK_MIN)
     out = top_n_per_group(kept, ["profile_id"], [F.col("relevance").desc(), F.col("score_pos")], 30, rank_col="pos")
     return out.select("profile_id", F.col("pos").cast("bigint").alias("pos"), "job_url",
@@ -77,8 +79,10 @@ def rerank_terms(spark, sf_dir):
 # --------------------------------------------------------------------------- fleet answers
 
 def fleet_cut(spark, sf_dir):
+    """E2 cut of every fleet profile, materialized: the answers, both positional
+    joins and the fallback all read it (at most 30 rows per profile)."""
     c = fleet_candidates(spark, sf_dir)
-    return RR.candidate_index(D.top_by_score(c, F.col("rerank_candidates")))
+    return materialize(RR.candidate_index(D.top_by_score(c, F.col("rerank_candidates"))))
 
 
 def _segments(spark, sf_dir):

@@ -60,3 +60,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def table_dir(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for an intermediate table."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
+
+
+def materialize(df, name: str = "intermediate"):
+    """Write an intermediate that several branches reuse as a parquet table in
+    the shared checkpoint folder and read it back. One computation (a plain
+    ``checkpoint()`` would compute the plan twice), lineage cut, so a lost
+    executor recomputes from the table, not from the raw inputs."""
+    import uuid
+    path = table_dir(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
