@@ -122,7 +122,8 @@ select id, detected, language as labelled,
 def ingest_language(spark, sf_dir):
     x = I.normalize(L.raw_fetch(spark, sf_dir)).join(
         L.listings_raw(spark, sf_dir).select("id", F.col("language").alias("labelled")), "id")
-    x = x.withColumn("detected", I.detect_language(F.concat_ws(" ", "title", "description")))
+    det = I.detect_language(x, "id", F.concat_ws(" ", "title", "description"))
+    x = x.join(det, "id", "left").withColumnRenamed("detected_language", "detected")
     return x.select("id", "detected", "labelled", B.language_ok("detected", F.lit(BOARD_LANGUAGE)).alias("passed"))
 
 
