@@ -11,9 +11,9 @@ def _c(x) -> Column:
 
 
 def tokens(text) -> Column:
-    """Lower-case, anything that is not a letter becomes a space, split on spaces."""
-    cleaned = F.trim(F.regexp_replace(F.lower(_c(text)), r"[^\p{L}]+", " "))
-    return F.when(cleaned == "", F.array().cast("array<string>")).otherwise(F.split(cleaned, " "))
+    """Lower-cased runs of letters (anything that is not a letter separates tokens)."""
+    # one regex pass: split on runs of non-letters, drop the empty edge pieces
+    return F.array_remove(F.split(F.lower(_c(text)), r"[^\p{L}]+"), "")
 
 
 def clamp(x, lo, hi) -> Column:

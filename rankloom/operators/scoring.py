@@ -55,10 +55,11 @@ STOP_SHARE = 0.2  # terms in more than this share of documents carry no weight
 
 def doc_terms(docs: DataFrame, id_col: str, text_col: str, with_count: bool = False) -> DataFrame:
     """Distinct terms per document (whole text), optionally with their in-document count."""
-    x = docs.select(F.col(id_col).alias("doc"), F.explode(tokens(text_col)).alias("term"))
     if with_count:
+        x = docs.select(F.col(id_col).alias("doc"), F.explode(tokens(text_col)).alias("term"))
         return x.groupBy("doc", "term").agg(F.count("*").alias("tf"))
-    return x.distinct()
+    # de-duplicate inside the row: no shuffle needed for distinct (doc, term)
+    return docs.select(F.col(id_col).alias("doc"), F.explode(F.array_distinct(tokens(text_col))).alias("term"))
 
 
 def relevance(spark: SparkSession, queries: DataFrame, q_id: str, q_text: str,
@@ -74,8 +75,10 @@ def relevance(spark: SparkSession, queries: DataFrame, q_id: str, q_text: str,
     pairs come from an equi join on ``term`` (an inverted index), never from a
     cross product. Pairs not produced have score 0.
     """
-    dt = doc_terms(docs, d_id, d_text)
     qt = doc_terms(queries, q_id, q_text, with_count=True).withColumnRenamed("doc", "q")
+    # only terms some query uses matter: semi join first, so document
+    # frequencies and the pair join see a fraction of the corpus postings
+    dt = doc_terms(docs, d_id, d_text).join(qt.select("term").distinct(), "term", "left_semi")
     # N enters as an uncorrelated scalar subquery: computed once, no join
     stats = spark.sql(
         """select term, df, cast(1 + floor((select count(*) from {docs}) / df) as bigint) as weight
