@@ -58,3 +58,24 @@ def match(replies: DataFrame, proposals: DataFrame) -> DataFrame:
                                                     F.struct((-F.col("prio")).alias("p"), F.col("uid"))).alias("b"))
     return best.select("proposal_id", F.col("b.uid").alias("uid"),
                        F.when(F.col("b.prio") == 1, "in_reply_to").otherwise("references").alias("matched_by"))
+
+
+def decode_text(raw, charset) -> Column:
+    """Bytes of a landed mail part to text by its declared charset (UTF-8
+    when none is declared)."""
+    r = F.col(raw) if isinstance(raw, str) else raw
+    cs = F.upper(F.coalesce(F.col(charset) if isinstance(charset, str) else charset, F.lit("UTF-8")))
+    out = F.decode(r, "UTF-8")  # unknown charsets decode as UTF-8 (with replacement)
+    for name, aliases in CHARSETS.items():
+        out = F.when(cs.isin(*aliases), F.decode(r, name)).otherwise(out)
+    return out
+
+
+# Charsets the decoder knows, with their common labels.
+CHARSETS = {
+    "ISO-8859-1": ["ISO-8859-1", "LATIN1", "LATIN-1", "ISO8859-1"],
+    "US-ASCII": ["US-ASCII", "ASCII"],
+    "UTF-16": ["UTF-16"],
+    "UTF-16BE": ["UTF-16BE"],
+    "UTF-16LE": ["UTF-16LE"],
+}

@@ -15,6 +15,22 @@ DEFAULT_MIN_SCORE = 0.3
 PRIORITY = {"A": 1, "B": 2, "score": 3}
 
 
+def rerank_document(reason="reason") -> Column:
+    """``title at company (location)`` then the description, or the score
+    reason when there is no description (whole text; the reference cuts it)."""
+    body = F.coalesce(F.nullif(F.col("description"), F.lit("")), F.col(reason), F.lit(""))
+    return F.concat(F.coalesce(F.col("title"), F.lit("")), F.lit(" at "), F.coalesce(F.col("employer"), F.lit("")),
+                    F.lit(" ("), F.coalesce(F.col("location"), F.lit("")), F.lit(")\n"), body)
+
+
+def rerank_line(reason="reason") -> Column:
+    """``i. title at company (location): description`` for list rerankers."""
+    body = F.coalesce(F.nullif(F.col("description"), F.lit("")), F.col(reason), F.lit(""))
+    return F.concat(F.col("idx").cast("string"), F.lit(". "), F.coalesce(F.col("title"), F.lit("")), F.lit(" at "),
+                    F.coalesce(F.col("employer"), F.lit("")), F.lit(" ("), F.coalesce(F.col("location"), F.lit("")),
+                    F.lit("): "), body)
+
+
 def candidate_index(cands: DataFrame, pos_col: str = "pos") -> DataFrame:
     """0-based list index of each candidate, as sent to a reranker."""
     return cands.withColumn("idx", (F.col(pos_col) - 1).cast("int"))

@@ -39,7 +39,7 @@ board_cand as (
     and not exists (select 1 from board_ledger s where s.profile_id = j.profile_id and s.job_url = j.job_url))""")
 
 
-@query("digest_today", "B4 B5 B6 B7 C2 E3 F1", BOARD_CAND_SQL + """
+@query("digest_today", "B4 B5 B6 B7 C2 E3 F1 A4 H13 H19", BOARD_CAND_SQL + """
 select profile_id, pos, job_url, title, employer as company, location, score, date_posted
 from (select *, row_number() over (partition by profile_id order by score desc, job_url) as pos from board_cand)
 where pos <= 5""")
@@ -104,7 +104,7 @@ def fleet_top(spark, sf_dir):
     return D.top_by_score(c, F.least(F.col("max_jobs_per_email"), F.col("rerank_candidates")))
 
 
-@query("digest_per_profile", "C5 B4 B7 C2 E2 E3", FLEET_TOP_SQL + """
+@query("digest_per_profile", "C5 B4 B7 C2 E2 E3 A8", FLEET_TOP_SQL + """
 select profile_id, pos, job_url, score, title, location from fleet_top""")
 def digest_per_profile(spark, sf_dir):
     return fleet_top(spark, sf_dir).select("profile_id", "pos", "job_url", "score", "title", "location")

@@ -94,7 +94,7 @@ def feedback_summary(spark, sf_dir):
     return FB.summary(state_rows(spark, sf_dir), BOARD_AS_OF)
 
 
-@query("insights_counter", "D1 D10", V.with_(V.FEEDBACK_EVENTS, V.fold_sql("fold_now"),
+@query("insights_counter", "D1 D10 A10", V.with_(V.FEEDBACK_EVENTS, V.fold_sql("fold_now"),
                                              V.fold_sql("fold_then", f"ts < timestamp '{LAST_INSIGHTS_RUN}'")) + """,
 cur as (select profile_id, count_if(user_rating is not null or coalesce(notes, '') <> '') as c from fold_now group by 1),
 done as (select profile_id, count_if(user_rating is not null or coalesce(notes, '') <> '') as p from fold_then group by 1)

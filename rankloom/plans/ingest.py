@@ -105,7 +105,7 @@ def ingest_new_only(spark, sf_dir):
     return I.new_only(_batch(spark, sf_dir), _known(spark, sf_dir)).select("id", "job_url")
 
 
-@query("ingest_region", "B1", V.with_(V.FLEET_JOBS, V.PROFILES_FLAT) + """
+@query("ingest_region", "B1 H1", V.with_(V.FLEET_JOBS, V.PROFILES_FLAT) + """
 select j.profile_id, j.job_url from fleet_jobs j join profiles_flat p on p.profile_id = j.profile_id
 where j.is_remote or contains(lower(j.location), lower(p.nation_name))""")
 def ingest_region(spark, sf_dir):

@@ -16,6 +16,7 @@ from rankloom.sources import listings as L
 from rankloom.sources.tables import read
 
 REVERTED_SEGMENT = "MACHINERY"
+ACTED_SEGMENT = "BUILDING"
 
 
 def suggestions(spark, sf_dir):
@@ -38,6 +39,8 @@ def proposals(spark, sf_dir):
 
     ids = s.select("profile_id").distinct()
     prof = L.profiles(spark, sf_dir).select("profile_id", "segment", "scoring")
+    # BUILDING profiles already decided on theirs: stored, but not active
+    status = F.when(F.col("segment") == ACTED_SEGMENT, "approved").otherwise("pending")
     x = ids.join(prof, "profile_id").join(items("boost"), "profile_id", "left").join(items("penalize"), "profile_id", "left")
     clash = F.struct(F.upper(F.array_min(F.transform("scoring.boost", lambda k: k["keyword"]))).alias("keyword"),
                      F.lit(5.0).alias("weight"))
@@ -48,11 +51,17 @@ def proposals(spark, sf_dir):
         F.coalesce("penalize_sugg", empty).alias("penalize_add"),
         F.concat(F.transform(F.coalesce("boost_sugg", empty), lambda e: e["keyword"]),
                  F.array(F.upper("segment"))).alias("terms_add"),
-        F.concat(F.lit("Proposal for profile "), F.col("profile_id").cast("string")).alias("summary"))
+        F.concat(F.lit("Proposal for profile "), F.col("profile_id").cast("string")).alias("summary"),
+        status.alias("status"))
+
+
+def active(proposals_df):
+    """Only a ``pending`` proposal is active; anything else counts as none."""
+    return proposals_df.filter(F.col("status") == "pending")
 
 
 def applied(spark, sf_dir):
-    return P.apply(L.profiles(spark, sf_dir).drop("segment"), proposals(spark, sf_dir))
+    return P.apply(L.profiles(spark, sf_dir).drop("segment"), active(proposals(spark, sf_dir)))
 
 
 def _names(c):
@@ -64,7 +73,8 @@ _SUGG = FBQ.KEYWORD_SUGGEST_SQL.replace("\nselect * from b where rank <= 5 union
 sugg as (select * from b where rank <= 5 union all select * from p where rank <= 5)""")
 
 PROPOSAL_SQL = _SUGG + """,
-ids as (select distinct profile_id from sugg),
+ids as (select distinct s.profile_id from sugg s join profiles_flat p on p.profile_id = s.profile_id
+        where p.segment <> 'BUILDING'),
 pb as (select profile_id, rank as ord, keyword, cast(weight as double) as weight from sugg where kind = 'boost'
        union all
        select i.profile_id, 1000, upper(min(k.keyword)), 5.0 from ids i join profiles_flat p on p.profile_id = i.profile_id
@@ -93,7 +103,7 @@ after_t as (select profile_id, string_agg(term, ', ' order by src, ord) as s fro
 seg as (select i.profile_id, p.segment from ids i join profiles_flat p on p.profile_id = i.profile_id)"""
 
 
-@query("proposal_apply", "C9 G2 D6", PROPOSAL_SQL + """
+@query("proposal_apply", "C9 G2 D6 A9", PROPOSAL_SQL + """
 select i.profile_id, nb.n as n_boost_added, np.n as n_penalize_added, nt.n as n_terms_added,
        ab.s as boost_after, ap.s as penalize_after, att.s as terms_after,
        coalesce(nullif(concat_ws(', ',
@@ -114,7 +124,7 @@ def proposal_apply(spark, sf_dir):
         F.array_join("search.terms", ", ").alias("terms_after"), "change_text")
 
 
-@query("proposal_revert", "C10 G6 B16", PROPOSAL_SQL + f"""
+@query("proposal_revert", "C10 G6 B16 F5 A9", PROPOSAL_SQL + f"""
 select i.profile_id,
   case when s.segment = '{REVERTED_SEGMENT}' then 0 else nb.n + np.n + nt.n end as removed,
   case when s.segment = '{REVERTED_SEGMENT}' then 'already reverted' end as refused,
@@ -135,7 +145,7 @@ def proposal_revert(spark, sf_dir):
                     _names("boost").alias("boost_after"), F.array_join("terms", ", ").alias("terms_after"))
 
 
-@query("proposal_text", "H24 H27", PROPOSAL_SQL + """
+@query("proposal_text", "H24 H27 A9", PROPOSAL_SQL + """
 select i.profile_id, concat_ws(chr(10),
   'Proposal for profile ' || cast(i.profile_id as varchar), '',
   'Boost: ' || coalesce(nullif((select string_agg(keyword, ', ' order by ord) from pb where pb.profile_id = i.profile_id), ''), 'none'),
@@ -144,7 +154,7 @@ select i.profile_id, concat_ws(chr(10),
   '', 'Reply yes to apply, no to discard, or tell me what to change.') as body
 from ids i""")
 def proposal_text(spark, sf_dir):
-    x = proposals(spark, sf_dir)
+    x = active(proposals(spark, sf_dir))
     return x.select("profile_id", P.proposal_text("summary", "boost_add", "penalize_add", "terms_add").alias("body"))
 
 

@@ -181,3 +181,17 @@ def rerank_fallback(spark, sf_dir):
     picked = RR.fallback(score_rows, a_rows, a_ans.select("profile_id").distinct(), b_rows)
     top = top_n_per_group(picked, ["profile_id"], [F.col("order_key"), F.col("job_url")], 5, rank_col="pos")
     return top.select("profile_id", F.col("pos").cast("bigint").alias("pos"), "job_url", "source")
+
+
+@query("rerank_requests", "J6 J7 H20 H21", FLEET_CUT_SQL + """
+select profile_id, idx,
+  concat(coalesce(title, ''), ' at ', coalesce(employer, ''), ' (', coalesce(location, ''), ')', chr(10),
+         coalesce(nullif(description, ''), 'model score ' || cast(score as varchar), '')) as document,
+  concat(cast(idx as varchar), '. ', coalesce(title, ''), ' at ', coalesce(employer, ''), ' (',
+         coalesce(location, ''), '): ', coalesce(nullif(description, ''), 'model score ' || cast(score as varchar), '')) as line
+from fleet_cut""")
+def rerank_requests(spark, sf_dir):
+    """What a reranker is sent for each profile's cut: one document per
+    candidate (A) and one numbered line per candidate (B)."""
+    cut = fleet_cut(spark, sf_dir).withColumn("reason", F.concat(F.lit("model score "), F.col("score").cast("string")))
+    return cut.select("profile_id", "idx", RR.rerank_document().alias("document"), RR.rerank_line().alias("line"))

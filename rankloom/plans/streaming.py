@@ -14,7 +14,7 @@ from rankloom.plans.registry import REGISTRY, query, sql_ts_text, ts_text
 from rankloom.streaming import streams as ST
 
 
-@query("stream_ingest", "K1", REGISTRY["ingest_first_arrival"].sql)
+@query("stream_ingest", "K1 A6 A12 G1", REGISTRY["ingest_first_arrival"].sql)
 def stream_ingest(spark, sf_dir):
     return ST.ingest_stream(spark, sf_dir)
 
@@ -36,7 +36,7 @@ def stream_replies(spark, sf_dir):
     return ST.replies_stream(spark, sf_dir)
 
 
-@query("stream_digest", "K4", DG.BOARD_CAND_SQL + f"""
+@query("stream_digest", "K4 A5 A7", DG.BOARD_CAND_SQL + f"""
 select profile_id, job_url, {sql_ts_text(f"timestamp '{DG.BOARD_AS_OF}'")} as sent_at
 from (select *, row_number() over (partition by profile_id order by score desc, job_url) as pos from board_cand)
 where pos <= 5""")

@@ -37,3 +37,20 @@ def has_subdirs(spark: SparkSession, path: str, prefix: str) -> bool:
     if not fs.exists(jvm_path):
         return False
     return any(st.getPath().getName().startswith(prefix) for st in fs.listStatus(jvm_path))
+
+
+def align_to(df: DataFrame, schema) -> DataFrame:
+    """Bring ``df`` to ``schema``: missing columns become typed NULLs,
+    existing ones are cast, extra ones are dropped (an evolved table can still
+    be appended to, and old files read with ``mergeSchema``)."""
+    from pyspark.sql import functions as F
+    cols = []
+    for f in schema.fields:
+        c = F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)
+        cols.append(c.alias(f.name))
+    return df.select(*cols)
+
+
+def same_columns(a: DataFrame, b: DataFrame) -> bool:
+    """Two tables expose the same set of column names."""
+    return set(a.columns) == set(b.columns)

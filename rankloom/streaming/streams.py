@@ -20,13 +20,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 from rankloom.operators import feedback as FB
 from rankloom.operators import ingest as I
 from rankloom.operators import replies as RP
 from rankloom.session import table_dir
 from rankloom.sources.listings import board_rows, feedback_log
-from rankloom.sources.tables import has_subdirs, read
+from rankloom.sources.tables import align_to, has_subdirs, read, read_or_empty
+
+
+INGEST_SINK = StructType([StructField("id", LongType()), StructField("job_url", StringType()),
+                          StructField("arrival", LongType())])
+LEDGER = StructType([StructField("profile_id", LongType()), StructField("job_url", StringType()),
+                     StructField("sent_at", TimestampType()), StructField("batch_id", IntegerType())])
 
 
 def file_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int = 1) -> DataFrame:
@@ -79,9 +86,10 @@ def ingest_stream(spark: SparkSession, sf_dir: str, known_path: str | None = Non
     def step(batch: DataFrame, batch_id: int):
         new = I.first_arrival(batch)
         if has_subdirs(spark, out, "batch_id="):
-            stored = spark.read.parquet(out).filter(F.col("batch_id") < batch_id)
+            stored = spark.read.option("mergeSchema", "true").parquet(out).filter(F.col("batch_id") < batch_id)
             new = new.join(stored.select("job_url"), "job_url", "left_anti")
-        return new.select("id", "job_url")
+        # every batch file carries the sink schema, whatever the source had
+        return align_to(new, INGEST_SINK)
 
     _run(rows.writeStream.foreachBatch(_batch_writer(out, step))
          .option("checkpointLocation", os.path.join(out, "_checkpoint")))
@@ -127,10 +135,11 @@ def digest_stream(spark: SparkSession, sf_dir: str, as_of: str, ledger_dir: str
     def step(_: DataFrame, batch_id: int):
         top = D.top_by_score(board_candidates(spark, sf_dir, as_of), 5)
         new = top.select("profile_id", "job_url").withColumn("sent_at", F.lit(as_of).cast("timestamp"))
-        if has_subdirs(spark, ledger_dir, "batch_id="):
-            have = spark.read.parquet(ledger_dir).filter(F.col("batch_id") != batch_id)
-            new = new.join(have.select("profile_id", "job_url"), ["profile_id", "job_url"], "left_anti")
-        return new
+        # a ledger that does not exist yet is an empty ledger (A5)
+        have = read_or_empty(spark, ledger_dir, LEDGER) if has_subdirs(spark, ledger_dir, "batch_id=") \
+            else spark.createDataFrame([], LEDGER)
+        have = have.filter(F.col("batch_id") != batch_id)
+        return new.join(have.select("profile_id", "job_url"), ["profile_id", "job_url"], "left_anti")
 
     _run(trigger.writeStream.foreachBatch(_batch_writer(ledger_dir, step))
          .option("checkpointLocation", os.path.join(ledger_dir, f"_checkpoint_{uuid.uuid4().hex[:8]}")))
