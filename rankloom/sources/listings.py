@@ -159,11 +159,19 @@ def fleet_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     s = read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     n = F.broadcast(read(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
-    x = (li.join(o, li.l_orderkey == o.o_orderkey)
-         .join(p, li.l_partkey == p.p_partkey)
-         .join(s, li.l_suppkey == s.s_suppkey)
+    # The jobs table is unique on URL, and the URL is the line item's key, so a
+    # re-fetched line item keeps its first version. Dedupe right after the
+    # orders join, partitioned by the key columns: a shuffle on l_orderkey (the
+    # orders join) already satisfies that distribution, so no extra exchange.
+    from rankloom.operators.ranking import first_per_key
+    keyed = first_per_key(li.join(o, li.l_orderkey == o.o_orderkey),
+                          ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
+                          [F.col("l_shipdate"), F.col("l_linestatus"), F.col("l_returnflag")])
+    x = (keyed
+         .join(p, F.col("l_partkey") == p.p_partkey)
+         .join(s, F.col("l_suppkey") == s.s_suppkey)
          .join(n, F.col("s_nationkey") == F.col("n_nationkey")))
-    rows = x.select(
+    return x.select(
         F.col("o_custkey").alias("profile_id"),
         fleet_url().alias("job_url"),
         F.col("p_name").alias("title"),
@@ -178,12 +186,7 @@ def fleet_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(F.to_date("l_shipdate").cast("string")).alias("date_posted"),
         F.col("o_orderdate").cast("timestamp").alias("discovered_at"),
         F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"),
-        F.col("l_shipdate"), F.col("l_linestatus"), F.col("l_returnflag"),
     )
-    # the jobs table is unique on URL: a re-fetched line item keeps its first version
-    from rankloom.operators.ranking import first_per_key
-    first = first_per_key(rows, ["job_url"], [F.col("l_shipdate"), F.col("l_linestatus"), F.col("l_returnflag")])
-    return first.drop("l_shipdate", "l_linestatus", "l_returnflag")
 
 
 FEEDBACK_KIND = {"purchase": "rate", "error": "rate", "click": "applied", "view": "note", "signup": "hide"}

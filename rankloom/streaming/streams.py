@@ -76,9 +76,13 @@ def latest_per_key(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
 
 # --------------------------------------------------------------------------- K1
 
-def ingest_stream(spark: SparkSession, sf_dir: str, known_path: str | None = None) -> DataFrame:
+def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K1: landed documents -> board listing rows -> per batch: first arrival per
-    URL, anti join against what earlier batches stored, append."""
+    URL, anti join against what earlier batches stored, append.
+
+    The stored side is read per batch (URL column only). On a cluster that
+    table would be bucketed by ``job_url`` so the anti join does not shuffle it.
+    """
     out = run_dir(spark, "ingest")
     docs = file_stream(spark, sf_dir, "documents")
     rows = board_rows(docs, read(spark, sf_dir, "labels"), read(spark, sf_dir, "nation")).select("id", "arrival", "job_url")
