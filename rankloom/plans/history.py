@@ -37,14 +37,20 @@ board_state as (
   left join board_ledger s on s.profile_id = j.profile_id and s.job_url = j.job_url)""")
 
 
-@query("history_liked", "B6 B8 C3 F2", BOARD_STATE_SQL + """
-select profile_id, row_number() over (partition by profile_id order by score desc, discovered_at desc, job_url) as pos,
-       job_url, score, sent
-from board_state where coalesce(not hidden, true) and user_rating = 1""")
+@query("history_liked", "B6 B8 C3 F2 D2 E6", BOARD_STATE_SQL + """,
+v as (select * from board_state where coalesce(not hidden, true) and user_rating = 1),
+t as (select count(*) as total from v)
+select r.profile_id, r.pos, r.job_url, r.score, r.sent, t.total
+from (select *, row_number() over (order by score desc, discovered_at desc, job_url) as pos from v) r, t
+where r.pos <= 25""")
 def history_liked(spark, sf_dir):
-    x = H.select_history(board_state(spark, sf_dir), filter_name="liked")
-    w = Window.partitionBy("profile_id").orderBy(F.col("score").desc(), F.col("discovered_at").desc(), "job_url")
-    return x.select("profile_id", F.row_number().over(w).cast("bigint").alias("pos"), "job_url", "score", "sent")
+    """First page of the liked filter in score order (the history view): a
+    distributed top-25 (``orderBy.limit``), not a sort of the whole group."""
+    rows = H.select_history(board_state(spark, sf_dir), filter_name="liked")
+    out, total, _, _ = H.page(rows, "score", 1)
+    w = Window.orderBy(F.col("score").desc(), F.col("discovered_at").desc(), "job_url")  # over <= 25 rows
+    return out.select("profile_id", F.row_number().over(w).cast("bigint").alias("pos"), "job_url", "score", "sent",
+                      F.lit(total).cast("bigint").alias("total"))
 
 
 @query("history_sent_day", "B8 B10", BOARD_STATE_SQL + f"""
