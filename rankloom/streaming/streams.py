@@ -152,12 +152,32 @@ def digest_stream(spark: SparkSession, sf_dir: str, as_of: str, ledger_dir: str
 
 # --------------------------------------------------------------------------- K5
 
+def activity_window(kind: str = "tumbling", size: str = "1 day", slide: str | None = None,
+                    gap: str = "30 minutes"):
+    """K5 window column: tumbling, sliding (``size`` every ``slide``) or
+    session (closed after ``gap`` without events). Works in batch and stream."""
+    if kind == "tumbling":
+        return F.window("ts", size)
+    if kind == "sliding":
+        return F.window("ts", size, slide or size)
+    if kind == "session":
+        return F.session_window("ts", gap)
+    raise ValueError(kind)
+
+
+def activity_counts(events: DataFrame, keys: list[str], **window) -> DataFrame:
+    """Events per window and key; the window is flattened to start/end."""
+    w = activity_window(**window)
+    return (events.groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n"))
+            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "n"))
+
+
 def activity_stream(spark: SparkSession, sf_dir: str, window: str = "1 day", watermark: str = "2 days") -> DataFrame:
     """K5: tumbling activity windows per event type with a watermark for late
     rows (update mode; latest value per window wins on read)."""
     out = run_dir(spark, "activity")
     ev = file_stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    agg = (ev.withWatermark("ts", watermark).groupBy(F.window("ts", window), "event_type")
+    agg = (ev.withWatermark("ts", watermark).groupBy(activity_window("tumbling", window), "event_type")
            .agg(F.count("*").alias("n")))
     flat = lambda df, bid: df.select(F.col("window.start").alias("window_start"), "event_type", "n",
                                      F.lit(bid).alias("batch_id"))

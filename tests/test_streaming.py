@@ -19,3 +19,16 @@ def test_schema_parity_of_batch_and_stream_fold(spark):
     b = q["stream_feedback"](spark, SMALL)
     assert set(a.columns) == set(b.columns)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_activity_windows_batch(spark):
+    from datetime import datetime
+    ev = spark.createDataFrame([(1, datetime(2024, 1, 1, 10, 0)), (1, datetime(2024, 1, 1, 10, 20)),
+                                (1, datetime(2024, 1, 1, 12, 0)), (2, datetime(2024, 1, 1, 10, 5))],
+                               "user long, ts timestamp")
+    sessions = ST.activity_counts(ev, ["user"], kind="session", gap="30 minutes")
+    assert sorted((r.user, r.n) for r in sessions.collect()) == [(1, 1), (1, 2), (2, 1)]
+    days = ST.activity_counts(ev, ["user"], kind="tumbling", size="1 day")
+    assert sorted((r.user, r.n) for r in days.collect()) == [(1, 3), (2, 1)]
+    sliding = ST.activity_counts(ev, [], kind="sliding", size="2 hours", slide="1 hour")
+    assert sum(r.n for r in sliding.collect()) == 8  # every event falls in two windows
