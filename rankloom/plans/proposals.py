@@ -13,6 +13,7 @@ from rankloom.plans.registry import query
 from rankloom.session import materialize
 from rankloom.plans import feedback as FBQ
 from rankloom.sources import listings as L
+from rankloom.sources.inbox import proposals_from, replies_from
 from rankloom.sources.tables import read
 
 REVERTED_SEGMENT = "MACHINERY"
@@ -198,27 +199,16 @@ def proposal_revise(spark, sf_dir):
                       P.transcript("conversation").alias("transcript"))
 
 
-def message_id(conv) -> F.Column:
-    return F.concat(F.lit("<proposal-"), conv.cast("string"), F.lit("@rankloom.local>"))
-
-
 def landed_replies(spark, sf_dir):
-    """Inbox as landed: every user turn after the first is a reply mail."""
-    c = _conv(spark, sf_dir).filter((F.col("role") == "user") & (F.col("turn") > 0))
-    t = F.col("turn")
-    return c.select(
-        "conv_id", "turn", (F.col("conv_id") * 1000 + t).alias("uid"),
-        F.when(t % 4 == 1, message_id(F.col("conv_id"))).alias("in_reply_to"),
-        F.when(t % 4 == 3, F.array(message_id(F.col("conv_id") - 1), message_id(F.col("conv_id"))))
-         .otherwise(F.array(message_id(F.col("conv_id") + 1))).alias("references"),
-        (t % 5 == 4).alias("seen"), F.col("text").alias("body"))
+    """Inbox as landed (see ``sources.inbox``)."""
+    return replies_from(_conv(spark, sf_dir))
 
 
 _MID = "'<proposal-' || cast({x} as varchar) || '@rankloom.local>'"
 
 
-@query("reply_match", "C8 E8", f"""
-with r as (
+REPLY_MATCH_CTES = f"""
+r as (
   select conv_id * 1000 + turn as uid,
          case when turn % 4 = 1 then {_MID.format(x='conv_id')} end as in_reply_to,
          case when turn % 4 = 3 then [{_MID.format(x='conv_id - 1')}, {_MID.format(x='conv_id')}]
@@ -230,12 +220,15 @@ u as (select * from r where not seen),
 c as (select p.proposal_id, u.uid, 1 as prio from u join p on u.in_reply_to = p.message_id
       union all
       select p.proposal_id, u.uid, 2 from (select distinct uid, unnest(refs) as ref from u) u join p on u.ref = p.message_id),
-b as (select proposal_id, uid, prio, row_number() over (partition by proposal_id order by prio, uid desc) as rn from c)
-select proposal_id, uid, case when prio = 1 then 'in_reply_to' else 'references' end as matched_by from b where rn = 1""")
+b as (select proposal_id, uid, prio, row_number() over (partition by proposal_id order by prio, uid desc) as rn from c),
+m as (select proposal_id, uid, case when prio = 1 then 'in_reply_to' else 'references' end as matched_by
+      from b where rn = 1)"""
+
+
+@query("reply_match", "C8 E8", "with " + REPLY_MATCH_CTES + """
+select proposal_id, uid, matched_by from m""")
 def reply_match(spark, sf_dir):
-    props = _conv(spark, sf_dir).select(F.col("conv_id").alias("proposal_id")).distinct() \
-        .withColumn("message_id", message_id(F.col("proposal_id")))
-    return RP.match(landed_replies(spark, sf_dir), props)
+    return RP.match(landed_replies(spark, sf_dir), proposals_from(_conv(spark, sf_dir)))
 
 
 @query("reply_strip", "H12", """

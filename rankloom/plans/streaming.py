@@ -24,14 +24,17 @@ def stream_feedback(spark, sf_dir):
     return ST.feedback_stream(spark, sf_dir)
 
 
-@query("stream_replies", "K3", PQ._FW + f"""
-select conv_id, turn,
-  case when w in ({', '.join(repr(x) for x in PQ.RP.APPROVE_WORDS)}) then 'approve'
-       when w in ({', '.join(repr(x) for x in PQ.RP.REJECT_WORDS)}) then 'reject'
-       when {PQ._fuzzy_sql(PQ.RP.APPROVE_WORDS)} then 'approve'
-       when {PQ._fuzzy_sql(PQ.RP.REJECT_WORDS)} then 'reject'
-       else 'freeform' end as intent
-from w1""")
+@query("stream_replies", "K3 C8 H11", "with " + PQ.REPLY_MATCH_CTES + ",\n" + PQ._FW.strip()[len("with "):] + f""",
+x as (select m.*,
+        case when w in ({', '.join(repr(x) for x in PQ.RP.APPROVE_WORDS)}) then 'approve'
+             when w in ({', '.join(repr(x) for x in PQ.RP.REJECT_WORDS)}) then 'reject'
+             when {PQ._fuzzy_sql(PQ.RP.APPROVE_WORDS)} then 'approve'
+             when {PQ._fuzzy_sql(PQ.RP.REJECT_WORDS)} then 'reject'
+             else 'freeform' end as intent
+      from m join w1 on w1.conv_id = m.uid // 1000 and w1.turn = m.uid % 1000)
+select proposal_id, uid, matched_by, intent,
+       case intent when 'approve' then 'apply' when 'reject' then 'discard' else 'revise' end as action
+from x""")
 def stream_replies(spark, sf_dir):
     return ST.replies_stream(spark, sf_dir)
 

@@ -26,6 +26,7 @@ from rankloom.operators import feedback as FB
 from rankloom.operators import ingest as I
 from rankloom.operators import replies as RP
 from rankloom.session import table_dir
+from rankloom.sources.inbox import proposals_from, replies_from
 from rankloom.sources.listings import board_rows, feedback_log
 from rankloom.sources.tables import align_to, has_subdirs, read, read_or_empty
 
@@ -116,14 +117,28 @@ def feedback_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --------------------------------------------------------------------------- K3
 
+ACTIONS = {"approve": "apply", "reject": "discard", "freeform": "revise"}
+
+
+def reply_actions(replies: DataFrame, proposals: DataFrame) -> DataFrame:
+    """K3 step: match replies to proposals (C8), classify the matched reply
+    (H11), and decide: approve -> apply, reject -> discard, else revise."""
+    m = RP.match(replies, proposals)
+    body = replies.select("uid", RP.intent("body").alias("intent"))
+    act = F.element_at(F.create_map(*[x for k, v in ACTIONS.items() for x in (F.lit(k), F.lit(v))]), F.col("intent"))
+    return m.join(body, "uid").withColumn("action", act)
+
+
 def replies_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K3: incoming replies classified per micro-batch."""
+    """K3: each micro-batch of landed replies is matched, classified and
+    turned into one action per proposal; the latest batch wins per proposal."""
     out = run_dir(spark, "replies")
-    conv = file_stream(spark, sf_dir, "conversations").filter(F.col("role") == "user")
-    step = lambda df, bid: df.select("conv_id", "turn", RP.intent("text").alias("intent"))
-    _run(conv.writeStream.foreachBatch(_batch_writer(out, step))
+    proposals = proposals_from(read(spark, sf_dir, "conversations"))
+    inbox = replies_from(file_stream(spark, sf_dir, "conversations"))
+    step = lambda df, bid: reply_actions(df, proposals).withColumn("batch_id", F.lit(bid))
+    _run(inbox.writeStream.foreachBatch(_batch_writer(out, step))
          .option("checkpointLocation", os.path.join(out, "_checkpoint")))
-    return spark.read.parquet(out).select("conv_id", "turn", "intent")
+    return latest_per_key(spark, out, ["proposal_id"]).select("proposal_id", "uid", "matched_by", "intent", "action")
 
 
 # --------------------------------------------------------------------------- K4
