@@ -17,25 +17,29 @@ PASS_SHARE = 0.8  # 4 of 5 trials
 BAND = (-5, 3)
 
 
-def eval_set(scores: DataFrame, case: str, item: str) -> DataFrame:
+def _keys(case) -> list[str]:
+    return [case] if isinstance(case, str) else list(case)
+
+
+def eval_set(scores: DataFrame, case, item: str) -> DataFrame:
     """The four listings per case, by descending score: strong, mid, weak, extra weak."""
-    top = top_n_per_group(scores, [case], [F.col("score").desc(), F.col(item)], len(ROLES), rank_col="role_pos")
+    top = top_n_per_group(scores, _keys(case), [F.col("score").desc(), F.col(item)], len(ROLES), rank_col="role_pos")
     role = F.element_at(F.array(*[F.lit(r) for r in ROLES]), F.col("role_pos"))
     return top.withColumn("role", role)
 
 
-def score_quality(ev: DataFrame, case: str) -> DataFrame:
+def score_quality(ev: DataFrame, case) -> DataFrame:
     """Strong >= 60, weak <= 40, gap >= 20, strong > mid, span of the top
     three >= 30, share of scores that are not multiples of 5."""
     def at(role):
         return F.max(F.when(F.col("role") == role, F.col("score")))
-    g = ev.groupBy(case).agg(
+    g = ev.groupBy(*_keys(case)).agg(
         at("strong").alias("strong"), at("mid").alias("mid"), at("weak").alias("weak"),
         (F.max(F.when(F.col("role_pos") <= 3, F.col("score"))) - F.min(F.when(F.col("role_pos") <= 3, F.col("score"))))
         .alias("span"),
         F.round(F.avg(F.when(F.col("score") % 5 != 0, 1.0).otherwise(0.0)), 4).alias("non_round_share"))
     return g.select(
-        case, "strong", "mid", "weak", "span", "non_round_share",
+        *_keys(case), "strong", "mid", "weak", "span", "non_round_share",
         (F.col("strong") >= STRONG_MIN).alias("strong_ok"),
         F.coalesce(F.col("weak") <= WEAK_MAX, F.lit(False)).alias("weak_ok"),
         F.coalesce((F.col("strong") - F.col("weak")) >= GAP_MIN, F.lit(False)).alias("gap_ok"),
@@ -43,7 +47,7 @@ def score_quality(ev: DataFrame, case: str) -> DataFrame:
         F.coalesce(F.col("span") >= SPAN_MIN, F.lit(False)).alias("span_ok"))
 
 
-def rank_position(scores: DataFrame, case: str, item: str, gold) -> DataFrame:
+def rank_position(scores: DataFrame, case, item: str, gold) -> DataFrame:
     """Rank of the best gold listing in each case's ranking (score desc,
     then item); in the top 2?
 
@@ -52,13 +56,14 @@ def rank_position(scores: DataFrame, case: str, item: str, gold) -> DataFrame:
     case with millions of candidates never sorts in one task.
     """
     key = F.struct((-F.col("score")).alias("ns"), F.col(item).alias("it"))
-    best = scores.filter(gold).groupBy(case).agg(F.min(key).alias("_best"))
-    x = scores.join(best, case, "left").withColumn("_k", key)
-    g = x.groupBy(case).agg(F.count("*").alias("n_candidates"),
+    keys = _keys(case)
+    best = scores.filter(gold).groupBy(*keys).agg(F.min(key).alias("_best"))
+    x = scores.join(best, keys, "left").withColumn("_k", key)
+    g = x.groupBy(*keys).agg(F.count("*").alias("n_candidates"),
                             F.first("_best", ignorenulls=True).alias("_best"),
                             F.count_if(F.col("_k") < F.col("_best")).alias("_before"))
     rank = F.when(F.col("_best").isNotNull(), F.col("_before") + 1)
-    return g.select(case, "n_candidates", rank.alias("gold_rank"),
+    return g.select(*keys, "n_candidates", rank.alias("gold_rank"),
                     F.coalesce(rank <= 2, F.lit(False)).alias("gold_in_top2"))
 
 

@@ -75,6 +75,16 @@ def relevance(spark: SparkSession, queries: DataFrame, q_id: str, q_text: str,
     pairs come from an equi join on ``term`` (an inverted index), never from a
     cross product. Pairs not produced have score 0.
     """
+    variant = "evidence" if evidence else "plain"
+    x = relevance_variants(spark, queries, q_id, q_text, docs, d_id, d_text, (variant,))
+    return x.select(q_id, d_id, "n_terms", F.col(f"matched_{variant}").alias("matched"),
+                    F.col(f"total_{variant}").alias("total"), F.col(f"score_{variant}").alias("score"))
+
+
+def relevance_variants(spark: SparkSession, queries: DataFrame, q_id: str, q_text: str,
+                       docs: DataFrame, d_id: str, d_text: str, variants=("plain", "evidence")) -> DataFrame:
+    """J5 and J13 from one pass: one postings join, one sum per weighting
+    (``matched_<v>``, ``total_<v>``, ``score_<v>`` for each variant)."""
     qt = doc_terms(queries, q_id, q_text, with_count=True).withColumnRenamed("doc", "q")
     # only terms some query uses matter: semi join first, so document
     # frequencies and the pair join see a fraction of the corpus postings
@@ -85,14 +95,17 @@ def relevance(spark: SparkSession, queries: DataFrame, q_id: str, q_text: str,
            from (select term, count(*) as df from {dt} group by term)
            where df <= (select count(*) from {docs}) * {share}""",
         dt=dt, docs=docs.select(d_id), share=STOP_SHARE)
-    level = F.least(F.col("tf"), F.lit(3)) if evidence else F.lit(1)
-    qw = qt.join(stats, "term").select("q", "term", (F.col("weight") * level).alias("w"))
-    total = qw.groupBy("q").agg(F.sum("w").alias("total"))
-    matched = (qw.join(dt, "term")
-               .groupBy("q", "doc").agg(F.sum("w").alias("matched"), F.count("*").alias("n_terms")))
-    return (matched.join(total, "q")
-            .select(F.col("q").alias(q_id), F.col("doc").alias(d_id), "n_terms", "matched", "total",
-                    F.floor(F.lit(100) * F.col("matched") / F.col("total")).cast("int").alias("score")))
+    levels = {"plain": F.lit(1), "evidence": F.least(F.col("tf"), F.lit(3))}
+    qw = qt.join(stats, "term").select("q", "term", *[(F.col("weight") * levels[v]).alias(f"w_{v}") for v in variants])
+    total = qw.groupBy("q").agg(*[F.sum(f"w_{v}").alias(f"total_{v}") for v in variants])
+    matched = (qw.join(dt, "term").groupBy("q", "doc")
+               .agg(F.count("*").alias("n_terms"), *[F.sum(f"w_{v}").alias(f"matched_{v}") for v in variants]))
+    out = matched.join(total, "q").select(F.col("q").alias(q_id), F.col("doc").alias(d_id), "n_terms",
+                                          *[c for v in variants for c in (f"matched_{v}", f"total_{v}")])
+    for v in variants:
+        out = out.withColumn(f"score_{v}",
+                             F.floor(F.lit(100) * F.col(f"matched_{v}") / F.col(f"total_{v}")).cast("int"))
+    return out
 
 
 # --------------------------------------------------------------------------- requests / responses

@@ -62,17 +62,18 @@ from checks group by item_id, "check\""""
 
 @query("eval_pass_rate", "D11", _PASS_SQL)
 def eval_pass_rate(spark, sf_dir):
-    trials = None
-    for name, ev in (("plain", False), ("evidence", True)):
-        r = materialize(_rel(spark, sf_dir, ev))  # read by two checks
-        strong = EV.eval_set(r, "item_id", "doc_id").groupBy("item_id").agg(
-            (F.max(F.when(F.col("role_pos") == 1, F.col("score"))) >= EV.STRONG_MIN).alias("strong_ok"))
-        gold = EV.rank_position(r, "item_id", "doc_id", F.col("score") == 100).select(
-            "item_id", F.col("gold_in_top2").alias("gold_ok"))
-        t = strong.join(gold, "item_id").withColumn("trial", F.lit(name))
-        t = (t.select("item_id", F.lit("strong_ge_60").alias("check"), "trial", F.col("strong_ok").alias("passed"))
-             .unionByName(t.select("item_id", F.lit("gold_top2").alias("check"), "trial", F.col("gold_ok").alias("passed"))))
-        trials = t if trials is None else trials.unionByName(t)
+    # both trials (plain, evidence weighting) from one relevance pass, in long form
+    both = S.relevance_variants(spark, read(spark, sf_dir, "benchmark"), "item_id", "text",
+                                read(spark, sf_dir, "documents"), "doc_id", "text")
+    r = materialize(both.select("item_id", "doc_id", F.expr(
+        "stack(2, 'plain', score_plain, 'evidence', score_evidence) as (trial, score)")), "relevance-trials")
+    keys = ["item_id", "trial"]
+    strong = EV.eval_set(r, keys, "doc_id").groupBy(*keys).agg(
+        (F.max(F.when(F.col("role_pos") == 1, F.col("score"))) >= EV.STRONG_MIN).alias("strong_ok"))
+    gold = EV.rank_position(r, keys, "doc_id", F.col("score") == 100).select(*keys, F.col("gold_in_top2").alias("gold_ok"))
+    t = strong.join(gold, keys)
+    trials = (t.select("item_id", F.lit("strong_ge_60").alias("check"), "trial", F.col("strong_ok").alias("passed"))
+              .unionByName(t.select("item_id", F.lit("gold_top2").alias("check"), "trial", F.col("gold_ok").alias("passed"))))
     return EV.pass_rate(trials, ["item_id", "check"])
 
 
