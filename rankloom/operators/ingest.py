@@ -107,11 +107,11 @@ def quality_rules(text) -> list[Column]:
     """B17 rule columns over the whole text: words, lines, repeated-line share, letter share."""
     t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     lines = F.split(t, "\n")
-    n_lines = F.size(lines)
+    n_lines = F.size(lines).cast("bigint")
     dup_share = F.lit(1.0) - F.size(F.array_distinct(lines)) / n_lines
     letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
     letter_share = F.when(F.length(t) > 0, letters / F.length(t)).otherwise(F.lit(0.0))
-    n_words = F.size(tokens(t))
+    n_words = F.size(tokens(t)).cast("bigint")
     return [n_words.alias("n_words"), n_lines.alias("n_lines"),
             F.round(dup_share, 4).alias("dup_line_share"), F.round(letter_share, 4).alias("letter_share")]
 

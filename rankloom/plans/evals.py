@@ -37,14 +37,15 @@ def eval_score_quality(spark, sf_dir):
 
 _RANK_SQL = "with " + relevance_ctes(False).strip() + """,
 r as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from rel)
-select item_id, count(*) as n_candidates, min(case when score = 100 then rank end) as gold_rank,
+select item_id, count(*) as n_candidates, cast(min(case when score = 100 then rank end) as double) as gold_rank,
        coalesce(min(case when score = 100 then rank end) <= 2, false) as gold_in_top2
 from r group by item_id"""
 
 
 @query("eval_rank_position", "E7", _RANK_SQL)
 def eval_rank_position(spark, sf_dir):
-    return EV.rank_position(_rel(spark, sf_dir), "item_id", "doc_id", F.col("score") == 100)
+    x = EV.rank_position(_rel(spark, sf_dir), "item_id", "doc_id", F.col("score") == 100)
+    return x.withColumn("gold_rank", F.col("gold_rank").cast("double"))  # may be missing: numeric, not int
 
 
 _PASS_SQL = "with " + relevance_ctes(False, "a_").strip() + ",\n" + relevance_ctes(True, "b_").strip() + """,

@@ -23,6 +23,13 @@ def user_state(spark, sf_dir, before: str | None = None):
     return FB.fold(ev, ["profile_id", "listing_id"])
 
 
+def state_view(state):
+    """Result-set form of the folded state: the rating as a number that may be
+    missing, the hide flag as text (``true``/``false``/NULL = never set)."""
+    return state.select("profile_id", "listing_id", F.col("user_rating").cast("double").alias("user_rating"),
+                        "notes", "is_applied", F.col("hidden").cast("string").alias("hidden"))
+
+
 def state_rows(spark, sf_dir):
     """Folded per-user state with the listing's attributes (unknown listings drop)."""
     jobs = L.board_jobs(spark, sf_dir).select(
@@ -37,9 +44,10 @@ _ROWS = _FOLD + ",\n" + V.STATE_ROWS.strip()
 
 
 @query("feedback_state", "G4", _FOLD + """
-select profile_id, listing_id, user_rating, notes, is_applied, hidden from fold""")
+select profile_id, listing_id, cast(user_rating as double) as user_rating, notes, is_applied,
+       cast(hidden as varchar) as hidden from fold""")
 def feedback_state(spark, sf_dir):
-    return user_state(spark, sf_dir).select("profile_id", "listing_id", "user_rating", "notes", "is_applied", "hidden")
+    return state_view(user_state(spark, sf_dir))
 
 
 @query("feedback_invalid", "B15", V.with_(V.FEEDBACK_EVENTS) + """

@@ -88,7 +88,7 @@ def history_page(spark, sf_dir):
                        F.col("discovered_at").desc_nulls_last(), "job_url")
     return out.select((F.row_number().over(w) + F.lit(first)).cast("bigint").alias("pos"), "job_url", "date_posted",
                       F.lit(total).cast("bigint").alias("total"), F.lit(pages).cast("bigint").alias("pages"),
-                      F.lit(page_no).cast("int").alias("page"))
+                      F.lit(page_no).cast("bigint").alias("page"))
 
 
 @query("sent_days", "D3", V.with_(V.BOARD_JOBS, V.board_ledger(BOARD_AS_OF)) + """

@@ -176,7 +176,7 @@ def ingest_cube(spark, sf_dir):
 
 @query("ingest_quality_gate", "B17", f"""
 with q as (
-  select d.doc_id, l.quality,
+  select d.doc_id, cast(l.quality as double) as quality,
     len({V.tokens_sql('d.text')}) as n_words,
     len(string_split(d.text, chr(10))) as n_lines,
     round(1.0 - len(list_distinct(string_split(d.text, chr(10)))) / len(string_split(d.text, chr(10))), 4) as dup_line_share,
@@ -187,5 +187,6 @@ select *, (n_words >= {I.QUALITY_MIN_WORDS} and dup_line_share <= {I.QUALITY_MAX
 def ingest_quality_gate(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", "text")
     lab = read(spark, sf_dir, "labels").select("doc_id", "quality")
-    x = d.join(lab, "doc_id", "left").select("doc_id", "quality", *I.quality_rules("text"))
+    x = d.join(lab, "doc_id", "left").select("doc_id", F.col("quality").cast("double").alias("quality"),
+                                             *I.quality_rules("text"))
     return x.withColumn("passed", I.quality_pass())

@@ -30,4 +30,4 @@ def page_fields(pages: DataFrame) -> DataFrame:
     site = F.lower(F.regexp_extract(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)", 1))
     lang = F.lower(F.regexp_extract(html, r"<html[^>]*\slang=\"([^\"]*)\"", 1))
     return pages.select("page_id", "url", site.alias("site"), lang.alias("lang"), title.alias("title"),
-                        text.alias("text")).withColumn("n_words", F.size(tokens(F.col("text"))))
+                        text.alias("text")).withColumn("n_words", F.size(tokens(F.col("text"))).cast("bigint"))

@@ -112,7 +112,8 @@ def feedback_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
          .foreachBatch(_batch_writer(out, lambda df, bid: df.withColumn("batch_id", F.lit(bid))))
          .option("checkpointLocation", os.path.join(out, "_checkpoint")))
     x = latest_per_key(spark, out, ["profile_id", "listing_id"])
-    return x.select("profile_id", "listing_id", "user_rating", "notes", "is_applied", "hidden")
+    return x.select("profile_id", "listing_id", F.col("user_rating").cast("double").alias("user_rating"), "notes",
+                    "is_applied", F.col("hidden").cast("string").alias("hidden"))
 
 
 # --------------------------------------------------------------------------- K3
