@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from rankloom.functions.text import strip_quoted
 from rankloom.operators import proposals as P
 from rankloom.operators import replies as RP
-from rankloom.plans import oracle_views as V
 from rankloom.plans.feedback import state_rows
 from rankloom.plans.registry import query
 from rankloom.session import materialize

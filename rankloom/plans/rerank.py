@@ -9,7 +9,6 @@ from rankloom.operators import digest as D
 from rankloom.operators import rerank as RR
 from rankloom.operators import scoring as S
 from rankloom.operators.ranking import top_n_per_group
-from rankloom.plans import oracle_views as V
 from rankloom.plans.digest import BOARD_CAND_SQL, FLEET_CAND_SQL, board_candidates, fleet_candidates
 from rankloom.plans.registry import query
 from rankloom.session import materialize

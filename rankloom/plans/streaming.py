@@ -4,11 +4,9 @@ batch queries they must equal."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from rankloom.plans import digest as DG
-from rankloom.plans import feedback as FBQ
-from rankloom.plans import ingest as IQ
+from rankloom.plans import feedback as FBQ  # noqa: F401  registers the batch oracles used below
+from rankloom.plans import ingest as IQ  # noqa: F401
 from rankloom.plans import proposals as PQ
 from rankloom.plans.registry import REGISTRY, query, sql_ts_text, ts_text
 from rankloom.streaming import streams as ST

@@ -3,7 +3,6 @@
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from rankloom.operators import digest as D
 from rankloom.operators import filters as B
