@@ -65,7 +65,6 @@ def _lines(docs: DataFrame, min_points: int) -> DataFrame:
         exploded, f"doc_id {kind}, th bigint, pos int, key binary")
 
 
-@pandas_udf("n_lines bigint, n_dropped bigint, text string")
 def _without(texts: pd.Series, dropped: pd.Series) -> pd.DataFrame:
     out = []
     for text, gone in zip(texts, dropped):
@@ -102,7 +101,7 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = 10, min_points: int = 1)
     rows = docs.select(*rest)
     both = rows.join(gone, rows["doc_id"].eqNullSafe(gone["gone_id"])
                      & (F.xxhash64(rows["text"]) == gone["gone_th"]), "left")
-    done = _without(rows["text"], gone["gone"])
+    done = pandas_udf(_without, "n_lines bigint, n_dropped bigint, text string")(rows["text"], gone["gone"])
     return both.withColumns({"_line_dedup": done}).select(
         *(F.col("_line_dedup.text").alias(c) if c == "text" else
           F.length("_line_dedup.text").cast("bigint").alias(c) if c == "n_chars" else rows[c] for c in rest),
