@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import line_dedup, simhash
+from rankloom.llm import chat, containment, licenses, line_dedup, minhash, packing, secrets, simhash
 from rankloom.llm.common import table
 
 
@@ -19,6 +19,41 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.compare_edits(table(spark, sf_dir, "documents"), words=5)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), length=1024)
+    return pieces.drop("ids")
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
+                                 words=5, threshold=0.8)
+
+
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_digests(spark))
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)],
+                                  "conv_id bigint, turn bigint, role string, text string")
+    return chat.digests(chat.expand(turns.unionByName(extra)))
+
+
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    every = F.array_sort(F.concat("base", "extra"))
+    return found.select("doc_id", *(secrets.count_kind(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")),
+                        F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"),
+                        secrets.joined(every).alias("spans"))
+
+
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -33,11 +68,86 @@ select doc_id, count(*) as n_lines, count(*) filter (where s.key is not null) as
 from keyed left join shared s using (key)
 group by doc_id"""
 
+_WORDS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda x: x <> '')"
+
+OP7_SQL = f"""
+with item_words as (select item_id, {_WORDS} as w from benchmark where item_id is not null),
+item as (
+  select distinct item_id, least(len(w), 5) as k, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') as s
+  from (select *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from item_words where len(w) > 0)),
+sized as (select item_id, count(*) as n from item group by item_id),
+doc_words as (select doc_id, {_WORDS} as w from documents where doc_id is not null),
+doc as (
+  select distinct doc_id, k, array_to_string(w[i : i + k - 1], ' ') as s
+  from (select *, unnest(range(1, greatest(len(w) - k + 1, 0) + 1)) as i
+        from doc_words, (select distinct k from item))),
+pairs as (select doc_id, item_id, count(*) as n_shared from doc join item using (k, s) group by doc_id, item_id)
+select doc_id, item_id, n as n_shingles, n_shared, n_shared / n as containment
+from pairs join sized using (item_id) where n_shared / n >= 0.8 - 1e-9"""
+
+
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _canonical_sql(text: str) -> str:
+    c = f"translate(coalesce({text}, ''), {_sql_text(licenses.UPPER + licenses.QUOTES)}, " \
+        f"{_sql_text(licenses.LOWER + licenses.PLAIN_QUOTES)})"
+    for pattern, to in ((licenses.COPYRIGHT_LINE, ""), *licenses.SPELLINGS, (licenses.PUNCTUATION, " "),
+                        (r"[\x20\x09\x0b-\x0d]+", " "), (r"\x20?\n\x20?", "\n")):
+        to = to.replace("$", "\\")
+        c = f"regexp_replace({c}, {_sql_text(pattern)}, {_sql_text(to)}, 'g')"
+    return f"trim({c}, ' ')"
+
+
+OP8_SQL = f"""
+with pairs(license_id, body) as (values {", ".join(f"({_sql_text(k)}, {_sql_text(t)})" for k, t in licenses.KNOWN)}),
+known as (
+  select min(license_id) as license_id, sha256(trim(regexp_replace({_canonical_sql("body")}, '[\\x20\\n]+', ' ', 'g'), ' ')) as digest
+  from pairs group by 2),
+own as (select doc_id, {_canonical_sql("text")} as lines from documents),
+line as (select distinct doc_id, unnest(string_split(lines, chr(10))) as line from own),
+found as (
+  select doc_id, string_agg(distinct license_id, ',' order by license_id) as notices
+  from line join known on sha256(line) = digest where line <> '' group by doc_id),
+whole as (select doc_id, sha256(trim(regexp_replace(lines, '[\\x20\\n]+', ' ', 'g'), ' ')) as canonical_sha256 from own)
+select w.doc_id, canonical_sha256, license_id, coalesce(notices, '') as notices
+from whole w left join known on canonical_sha256 = digest left join found f on f.doc_id = w.doc_id"""
+
+OP9_SQL = r"""
+with said as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized as (
+  select *, length(role) + 4 + length(text) + 5
+            + len(regexp_extract_all(text, '[<\[]\\*(\||/?s>|/?INST\]|</?SYS>>)')) as n,
+         row_number() over (partition by conv_id order by turn, role, text) as pos
+  from said),
+placed as (
+  select *, sum(n) over (partition by conv_id order by pos) as upto,
+         row_number() over (partition by conv_id order by pos desc) as back
+  from sized)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by pos)) as turns_sha256,
+       cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by pos) filter (where role = 'assistant'), '')) as loss_sha256,
+       cast(coalesce(sum(upto) filter (where role = 'assistant' or back = 1), 0) as bigint) as formatted_chars
+from placed group by conv_id"""
+
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_line_dedup": op3_line_dedup,
+    "op4_document_fingerprints": op4_document_fingerprints,
+    "op5_packing": op5_packing,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_license_scans": op8_license_scans,
+    "op9_chat_formatting": op9_chat_formatting,
+    "op10_secret_scans": op10_secret_scans,
 }
 
 ORACLE_SQL = {
     "op3_line_dedup": OP3_SQL,
+    "op7_benchmark_decontamination": OP7_SQL,
+    "op8_license_scans": OP8_SQL,
+    "op9_chat_formatting": OP9_SQL,
 }
