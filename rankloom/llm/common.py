@@ -72,3 +72,19 @@ def slices(texts: pd.Series, max_chars: int = 1_000_000) -> Iterator[tuple[int,
 def worker_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker, across its tasks."""
     return sys.__dict__.setdefault("_rankloom_cache", {}).setdefault(name, {})
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_per_class: int) -> DataFrame:
+    """``text, label, place`` of at most ``max_per_class`` labelled rows of each of
+    the classes 0 and 1: those of the smallest hashes of doc_id. The ids are cut
+    before any text is read; a doc_id labelled both ways counts as 1, rows
+    without a label or id are left out."""
+    known = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
+             .groupBy("doc_id").agg(F.max(label).alias("label"))
+             .withColumn("place", F.xxhash64("doc_id", F.lit("sample"))))
+    picked = None
+    for value in (0, 1):
+        some = known.where(F.col("label") == value).orderBy("place", "doc_id").limit(max_per_class)
+        picked = some if picked is None else picked.unionByName(some)
+    texts = docs.where("doc_id is not null").select("doc_id", "text")
+    return texts.join(picked, "doc_id").select("text", F.col("label").cast("int").alias("label"), "place")

@@ -6,10 +6,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import chat, containment, licenses, line_dedup, minhash, packing, secrets, simhash
+from rankloom.llm import chat, containment, licenses, line_dedup, minhash, packing, quality, secrets, simhash, toxicity
 from rankloom.llm.common import table
 
 
+def _remainder(n: int):
+    """crc32 of doc_id as text, modulo n; 0 for a null id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % n, F.lit(0))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = _remainder(3) == 1
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), F.col("tox.score").alias("score"),
+                        (F.col("tox.score") >= 0.7).cast("int").alias("predicted"), F.col("tox.spans").alias("spans"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, distance=3)
 
@@ -29,6 +43,15 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.drop("ids")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = _remainder(5) == 0
+    model = quality.train(docs, table(spark, sf_dir, "labels").where(~held_out), level=0.3)
+    found = quality.score(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"),
+                        (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
                                  words=5, threshold=0.8)
@@ -135,10 +158,12 @@ select conv_id, count(*) as n_turns,
 from placed group by conv_id"""
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_document_fingerprints": op4_document_fingerprints,
     "op5_packing": op5_packing,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_license_scans": op8_license_scans,
     "op9_chat_formatting": op9_chat_formatting,
