@@ -66,11 +66,12 @@ def fingerprint(text: Column, words: int = 5) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard likeness of two fingerprints, 0 to 1."""
+    """Estimated Jaccard likeness of two fingerprints, 0 to 1; null if one is null."""
     equal = F.aggregate(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x == y).cast("int")),
                         F.lit(0), lambda n, x: n + x)
     chance = 2.0 ** -DIGIT_BITS
-    return F.greatest(F.lit(0.0), (equal / F.lit(float(BINS)) - chance) / (1 - chance))
+    estimate = (equal / F.lit(float(BINS)) - chance) / (1 - chance)
+    return F.when(equal.isNotNull(), F.greatest(F.lit(0.0), estimate))
 
 
 def _successors(docs: DataFrame, scratch: Scratch) -> DataFrame:
