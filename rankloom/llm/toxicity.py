@@ -6,7 +6,7 @@ documents of the sample. A two-label CRF (hashed word, prefix, suffix and shape
 features; transitions; sentences as chains) learns these labels; the marginals
 of the forward-backward recursions over the whole text give the offending
 offsets, and their sum, maximum and share give the document score by a logistic
-fit on the other half of the sample.
+fit on texts that the chain has not seen.
 
 The model is fitted in one task on a bounded sample of labelled rows
 (``max_per_class``); every row is scored by it, in any order.
@@ -29,7 +29,7 @@ from rankloom.llm.words import Words, scan
 
 BUCKETS = 1 << 18
 CACHE_FORMS = 400_000
-MAX_PER_CLASS = 1500
+MAX_PER_CLASS = 1000
 SPAN_LEVEL = 0.5
 
 
@@ -125,7 +125,7 @@ def document_features(words: Words, p: np.ndarray, rows: int) -> np.ndarray:
     return np.stack([np.ones(rows), most, np.log1p(total), np.sqrt(total / np.maximum(count, 1))], axis=1)
 
 
-def token_labels(words: Words, labels: np.ndarray, min_share: float = 0.025, min_docs: int = 4,
+def token_labels(words: Words, labels: np.ndarray, min_share: float = 0.025, min_docs: int = 3,
                  min_lift: float = 25.0) -> np.ndarray:
     """Labels of the tokens from labels of their texts. A form, or a beginning of
     4 to 6 letters, is toxic if it is in ``min_share`` of the toxic texts
@@ -206,8 +206,8 @@ def _unlike(texts: list[str], hashes: int = 3) -> list[int]:
 
 
 def fit(texts: list[str], labels: np.ndarray) -> Chain:
-    """The chain from even rows of the sample, the document weights from odd ones.
-    Rows come in hash order; of equal and near-equal texts the first counts."""
+    """The chain from all rows of the sample; the document weights from the odd rows
+    as a chain of the even ones tags them. Rows come in hash order; of equal and near-equal texts the first counts."""
     keep = _unlike(texts)
     texts, labels = [texts[i] for i in keep], labels[keep].astype(float)
     if labels.sum() == 0 or labels.sum() == len(labels):  # nothing to tell apart
@@ -221,10 +221,10 @@ def fit(texts: list[str], labels: np.ndarray) -> Chain:
         of = np.flatnonzero(labels == value)
         side[of] = np.arange(len(of)) % 2
     mine = side[words.row] == 0
-    part = Words(words.row[mine], words.start[mine], words.end[mine], words.opens[mine], words.code[mine], words.forms)
-    chain = fit_chain(part, token[mine])
-    x = document_features(words, chain.tag(words), len(texts))
+    half = Words(words.row[mine], words.start[mine], words.end[mine], words.opens[mine], words.code[mine], words.forms)
+    x = document_features(words, fit_chain(half, token[mine]).tag(words), len(texts))
     use = side == 1 if len(set(labels[side == 1])) == 2 else side >= 0
+    chain = fit_chain(words, token)
     chain.final = logistic(x[use], labels[use])
     return chain
 
