@@ -36,19 +36,28 @@ def truncate_int(text_or_num) -> Column:
     return F.when(d < 0, F.ceil(d)).otherwise(F.floor(d)).cast("bigint")
 
 
+# All white space of Unicode (no-break and wide spaces too), and all line ends.
+SPACE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+LINE_END = r"\r\n|[\x{a}-\x{d}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+
+
+def strip_space(text) -> Column:
+    return F.regexp_replace(_c(text), f"^{SPACE}+|{SPACE}+$", "")
+
+
 def first_word(text) -> Column:
     """H9: first whitespace-separated word, lower-case, punctuation ``.,!?;:'"`` stripped at both ends."""
-    t = F.trim(F.regexp_replace(_c(text), r"^\s+|\s+$", ""))
-    w = F.lower(F.element_at(F.split(t, r"\s+"), 1))
+    t = strip_space(text)
+    w = F.lower(F.element_at(F.split(t, f"{SPACE}+"), 1))
     w = F.regexp_replace(w, r"""^[.,!?;:'"]+|[.,!?;:'"]+$""", "")
     return F.when(t == "", F.lit("")).otherwise(F.coalesce(w, F.lit("")))
 
 
 def strip_quoted(text) -> Column:
     """Drop lines starting with ``>``, join with newline, trim whitespace."""
-    lines = F.split(_c(text), r"\r\n|\r|\n")
+    lines = F.split(_c(text), LINE_END)
     kept = F.filter(lines, lambda x: ~F.startswith(x, F.lit(">")))
-    return F.regexp_replace(F.array_join(kept, "\n"), r"^\s+|\s+$", "")
+    return strip_space(F.array_join(kept, "\n"))
 
 
 def list_text(arr, field: str | None = None) -> Column:

@@ -33,9 +33,9 @@ def with_settings(jobs: DataFrame, profiles: DataFrame | None = None, **override
 def candidates(jobs: DataFrame, ledger: DataFrame, as_of: str, parity: bool = True) -> DataFrame:
     """B4-B7 then C2. ``jobs`` carries its profile's settings as columns.
 
-    The ledger anti join is on ``(profile_id, job_url)``; it is shuffled on the
-    same key as the listings, and AQE turns it into a broadcast when the
-    ledger side turns out small at run time.
+    The row filters come first. "Not in the ledger" is a left join that keeps
+    the rows without a match, because an anti join would be moved below the
+    join that brings the settings, and so below the filters that use them.
     """
     cond = B.score_at_least("score", "score_threshold")
     if "user_rating" in jobs.columns:
@@ -43,7 +43,8 @@ def candidates(jobs: DataFrame, ledger: DataFrame, as_of: str, parity: bool = Tr
     if "hidden" in jobs.columns:
         cond = cond & B.visible("hidden")
     cond = cond & B.fresh("date_posted", "discovered_at", as_of, F.col("max_job_age_days"), parity=parity)
-    return jobs.filter(cond).join(ledger.select("profile_id", "job_url"), ["profile_id", "job_url"], "left_anti")
+    sent = ledger.select("profile_id", "job_url").distinct().withColumn("_sent", F.lit(True))
+    return jobs.filter(cond).join(sent, ["profile_id", "job_url"], "left").filter(F.col("_sent").isNull()).drop("_sent")
 
 
 def score_order():

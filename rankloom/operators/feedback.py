@@ -94,13 +94,18 @@ def feedback_line() -> Column:
         F.when(F.coalesce(F.col("notes"), F.lit("")) != "", F.concat(F.lit(". Note: "), F.col("notes"))).otherwise(F.lit("")))
 
 
+def newest_feedback(state_rows: DataFrame) -> DataFrame:
+    """F3 + B11 + B13: per profile the newest 200 rated-or-noted, strictly visible rows."""
+    rows = state_rows.filter(B.rated_or_noted() & B.strictly_visible("hidden"))
+    return top_n_per_group(rows, ["profile_id"], [F.col("discovered_at").desc(), F.col("job_url")],
+                           FEEDBACK_WINDOW, rank_col="_age")
+
+
 def sections(state_rows: DataFrame) -> DataFrame:
     """D9 + E5 + F3: per profile, the newest 200 rated-or-noted, strictly
     visible rows (B13), capped per class (liked 50, disliked 50, noted 30),
     rendered as text sections; empty sections are left out."""
-    rows = state_rows.filter(B.rated_or_noted() & B.strictly_visible("hidden"))
-    newest = top_n_per_group(rows, ["profile_id"], [F.col("discovered_at").desc(), F.col("job_url")],
-                             FEEDBACK_WINDOW, rank_col="_age")
+    newest = newest_feedback(state_rows)
     cls = rating_word("user_rating")
     cap = F.element_at(F.create_map(*[x for k, v in CLASS_CAPS.items() for x in (F.lit(k), F.lit(v))]), cls)
     classed = newest.withColumn("cls", cls).withColumn("cap", cap)
@@ -116,10 +121,10 @@ def sections(state_rows: DataFrame) -> DataFrame:
         .select("profile_id", "n_rows", F.array_join(F.transform("_s", lambda s: s["text"]), "\n\n").alias("sections")))
 
 
-def summary(state_rows: DataFrame, as_of: str, parity: bool = True) -> DataFrame:
+def summary(state_rows: DataFrame, as_of: str, parity: bool = True, n_employers: int = 3) -> DataFrame:
     """J10 + B12 + F4: per profile, over the newest 100 rated-or-noted rows of
-    the last 90 days: liked/disliked counts, remote share among liked, top
-    three liked employers, and a one-line text."""
+    the last 90 days: liked/disliked counts, remote share among liked, the
+    ``n_employers`` most liked employers, and a one-line text."""
     as_of_ts = F.lit(as_of).cast("timestamp")
     if parity:
         recent = F.to_date("discovered_at") >= F.date_sub(F.to_date(as_of_ts), SUMMARY_DAYS)
@@ -133,7 +138,7 @@ def summary(state_rows: DataFrame, as_of: str, parity: bool = True) -> DataFrame
         F.count_if(liked).alias("n_liked"), F.count_if(F.col("user_rating") == -1).alias("n_disliked"),
         F.count_if(liked & F.coalesce(F.col("is_remote"), F.lit(False))).alias("_liked_remote"))
     emp = (newest.filter(liked).groupBy("profile_id", "employer").agg(F.count("*").alias("c")))
-    top_emp = (top_n_per_group(emp, ["profile_id"], [F.col("c").desc(), F.col("employer")], 3, rank_col="r")
+    top_emp = (top_n_per_group(emp, ["profile_id"], [F.col("c").desc(), F.col("employer")], n_employers, rank_col="r")
                .groupBy("profile_id").agg(F.array_sort(F.collect_list(F.struct("r", "employer"))).alias("_e"))
                .select("profile_id", F.array_join(F.transform("_e", lambda s: s["employer"]), ", ").alias("top_employers")))
     x = counts.join(top_emp, "profile_id", "left")

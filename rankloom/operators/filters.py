@@ -66,7 +66,7 @@ def fresh(date_posted, discovered_at, as_of: str, max_job_age_days,
           stale_days: int = STALE_DATE_POSTED_DAYS, parity: bool = True) -> Column:
     """B7 freshness with two branches.
 
-    Known ``date_posted`` must be on or after ``as_of`` - ``stale_days`` (UTC
+    Known ``date_posted`` (a date, with or without a time) must be on or after ``as_of`` - ``stale_days`` (UTC
     day); an unparseable one drops. Unknown dates fall back to
     ``discovered_at >= as_of - max_job_age_days``. With ``parity`` the fallback
     compares whole days, as the reference's text comparison lets every row of
@@ -74,7 +74,7 @@ def fresh(date_posted, discovered_at, as_of: str, max_job_age_days,
     """
     dp, disc = _c(date_posted), _c(discovered_at)
     as_of_ts = F.lit(as_of).cast("timestamp")
-    known_ok = F.try_to_date(dp, "yyyy-MM-dd") >= F.date_sub(F.to_date(as_of_ts), stale_days)
+    known_ok = dp.try_cast("date") >= F.date_sub(F.to_date(as_of_ts), stale_days)
     age = _c(max_job_age_days) if not isinstance(max_job_age_days, int) else F.lit(max_job_age_days)
     if parity:
         fallback_ok = F.to_date(disc) >= F.date_sub(F.to_date(as_of_ts), age)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.operators import filters as B
@@ -27,18 +27,20 @@ def select_history(rows: DataFrame, q: str | None = None, filter_name: str | Non
     return x
 
 
-def page(rows: DataFrame, sort: str | None, page_no: int, page_size: int = PAGE_SIZE, parity: bool = False):
-    """D2 + E6 + F2 for one profile: returns ``(page_rows, total, pages, page)``.
+def page(rows: DataFrame, sort: str | None, page_no: int, page_size: int = PAGE_SIZE, parity: bool = False) -> DataFrame:
+    """D2 + E6 + F2 for one profile, in one plan: the rows of the page with
+    ``pos``, ``total``, ``pages`` and ``page`` (a page past the end is the last).
 
-    The total is one scalar count; the page itself is ``orderBy.offset.limit``,
-    which plans as a distributed top-(offset+limit) rather than a full sort.
+    The total is a scalar subquery; the first ``page_no`` pages are a
+    distributed top-N (each task sends at most that many rows), not a sort.
     """
-    total = rows.count()
-    pages = max(1, -(-total // page_size))
-    clamped = min(max(page_no, 1), pages)
-    order = sort_columns(sort, parity)
-    out = rows.orderBy(*order).offset((clamped - 1) * page_size).limit(page_size)
-    return out, total, pages, clamped
+    order, asked = sort_columns(sort, parity), max(page_no, 1)
+    total = rows.select(F.count("*")).scalar()
+    head = rows.orderBy(*order).limit(asked * page_size)
+    x = head.withColumn("pos", F.row_number().over(Window.orderBy(*order)).cast("bigint")).withColumn("total", total)
+    x = x.withColumn("pages", F.greatest(F.lit(1), F.ceil(F.col("total") / page_size)).cast("bigint"))
+    x = x.withColumn("page", F.least(F.lit(asked), F.col("pages")).cast("bigint"))
+    return x.filter((F.col("pos") > (F.col("page") - 1) * page_size) & (F.col("pos") <= F.col("page") * page_size))
 
 
 def sent_days(ledger: DataFrame) -> DataFrame:

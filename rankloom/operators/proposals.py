@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from rankloom.functions.text import list_text, tokens
 from rankloom.operators.ranking import top_n_per_group
 
-MIN_TERM_CHARS = 3
 MAX_SUGGESTIONS = 5
 BOOST_RANGE = (1, 20)
 PENALTY_RANGE = (-50, -10)
@@ -25,7 +24,7 @@ def suggest_keywords(rated: DataFrame, profiles: DataFrame) -> DataFrame:
     (smoothed log-odds), drop terms the profile already has (any case), keep
     the top 5 each way, scale to boost 1..20 / penalty -50..-10."""
     docs = (rated.select("profile_id", "job_url", "user_rating", F.explode(tokens("title")).alias("term"))
-            .filter(F.length("term") >= MIN_TERM_CHARS).distinct())
+            .distinct())
     n = rated.groupBy("profile_id").agg(
         F.countDistinct(F.when(F.col("user_rating") == 1, F.col("job_url"))).alias("nl"),
         F.countDistinct(F.when(F.col("user_rating") == -1, F.col("job_url"))).alias("nd"))
@@ -106,18 +105,22 @@ def revert(profiles: DataFrame, entries: DataFrame) -> DataFrame:
         F.when(valid, nt).otherwise(F.col("search.terms")).alias("terms"),
         F.when(valid, removed).otherwise(F.lit(0)).alias("removed"),
         F.when(valid, F.lit(None)).otherwise(F.lit("already reverted")).cast("string").alias("refused"),
-        valid.alias("reverted"))
+        F.lit(True).alias("reverted"))
 
 
 def proposal_text(summary, boost_add, penalize_add, terms_add) -> Column:
-    """H27 + H24: the proposal message body."""
+    """H27 + H24: the proposal message body; empty lists have no line."""
+    def line(label, items, field=None):
+        a = F.col(items) if isinstance(items, str) else items
+        return F.when(F.coalesce(F.size(a), F.lit(0)) > 0, F.concat(F.lit(label), list_text(a, field)))
+
+    changes = F.concat_ws("\n", line("Boost: ", boost_add, "keyword"), line("Penalize: ", penalize_add, "keyword"),
+                          line("New search terms: ", terms_add))
     return F.concat_ws(
         "\n",
         F.coalesce(F.col(summary) if isinstance(summary, str) else summary, F.lit("")),
         F.lit(""),
-        F.concat(F.lit("Boost: "), list_text(boost_add, "keyword")),
-        F.concat(F.lit("Penalize: "), list_text(penalize_add, "keyword")),
-        F.concat(F.lit("New search terms: "), list_text(terms_add)),
+        F.coalesce(F.nullif(changes, F.lit("")), F.lit("Nothing to change right now.")),
         F.lit(""),
         F.lit("Reply yes to apply, no to discard, or tell me what to change."))
 
@@ -135,9 +138,9 @@ def revise(proposals: DataFrame, replies: DataFrame, key: str = "profile_id") ->
     x = proposals.join(replies, key)
     lines = F.split(F.col("reply"), r"\r\n|\r|\n")
     adds = F.transform(F.filter(lines, lambda l: F.lower(F.trim(l)).startswith("add ")),
-                       lambda l: F.trim(F.substring(F.trim(l), 5, 1 << 20)))
+                       lambda l: F.trim(F.substr(F.trim(l), F.lit(5))))
     drops = F.transform(F.filter(lines, lambda l: F.lower(F.trim(l)).startswith("drop ")),
-                        lambda l: F.lower(F.trim(F.substring(F.trim(l), 6, 1 << 20))))
+                        lambda l: F.lower(F.trim(F.substr(F.trim(l), F.lit(6)))))
     kept = F.filter(F.coalesce("terms_add", F.array().cast("array<string>")),
                     lambda t: ~F.array_contains(drops, F.lower(t)))
     return x.select(

@@ -54,24 +54,11 @@ def top_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence, n, rank
             .filter(F.col(rank_col) <= limit).drop("_salt", "_rn1"))
 
 
-def global_top_n(df: DataFrame, order: Sequence, n: int) -> DataFrame:
-    """newest / best N overall: ``orderBy.limit`` plans as
-    ``TakeOrderedAndProject`` (per-partition top N, then a merge of N x partitions)."""
-    return df.orderBy(*_cols(order)).limit(n)
-
-
-def page_bounds(total: Column, page: int, page_size: int) -> tuple[Column, Column]:
-    """Page count ``max(1, ceil(total/size))`` and the page clamped to [1, pages]."""
-    pages = F.greatest(F.lit(1), F.ceil(total / F.lit(page_size))).cast("bigint")
-    clamped = F.least(F.greatest(F.lit(page), F.lit(1)), pages)
-    return pages, clamped
-
-
 SORTS = {
     # sort menu, each with a discovered_at tie; unknown key = discovered.
     "score": lambda parity: [F.col("score").desc_nulls_last(), F.col("discovered_at").desc_nulls_last()],
     "posted": lambda parity: [
-        (F.col("date_posted") if parity else F.try_to_date("date_posted", "yyyy-MM-dd")).desc_nulls_last(),
+        (F.col("date_posted") if parity else F.col("date_posted").try_cast("date")).desc_nulls_last(),
         F.col("discovered_at").desc_nulls_last()],
     "discovered": lambda parity: [F.col("discovered_at").desc_nulls_last()],
 }

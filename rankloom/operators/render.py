@@ -25,9 +25,11 @@ def score_colour(score) -> Column:
 
 
 def badge_text(job_type) -> Column:
-    """Underscores to spaces, words capitalised (``initcap``)."""
+    """Underscores to spaces; every letter after a non-letter is a capital, the rest are small."""
     j = F.col(job_type) if isinstance(job_type, str) else job_type
-    return F.initcap(F.replace(j, F.lit("_"), F.lit(" ")))
+    runs = F.split(F.lower(F.replace(j, F.lit("_"), F.lit(" "))), r"(?<=[^\p{L}])")
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substr(r, F.lit(1), F.lit(1))),
+                                                             F.substr(r, F.lit(2)))), "")
 
 
 def long_date(ts, tz) -> Column:

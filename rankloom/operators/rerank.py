@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MIN_SCORE = 0.3
 PRIORITY = {"A": 1, "B": 2, "score": 3}
 
 
@@ -36,46 +35,59 @@ def candidate_index(cands: DataFrame, pos_col: str = "pos") -> DataFrame:
     return cands.withColumn("idx", (F.col(pos_col) - 1).cast("int"))
 
 
-def positional_a(cands: DataFrame, answers: DataFrame, min_score=DEFAULT_MIN_SCORE) -> DataFrame:
+def positional_a(cands: DataFrame, answers: DataFrame, min_score=None) -> DataFrame:
     """C7 variant A: ``answers(profile_id, resp_pos, index, relevance_score)``.
 
     Output order = answer order; a missing relevance counts 0.0; rows below
-    ``min_score`` drop (B14); a negative index counts from the end; duplicates
-    stay; candidates the answer does not mention drop. An index beyond the list
-    fails the query, as it fails the whole stage in the reference.
+    ``min_score`` drop (B14; default: the profile's own ``rerank_min_score``);
+    a negative index counts from the end; duplicates stay; candidates the answer
+    does not mention drop. An index that is null or beyond the list fails the
+    whole answer of its profile, which then has no rows here; see ``usable_a``.
     """
-    n = cands.groupBy("profile_id").agg(F.count("*").alias("_n"))
-    a = answers.join(n, "profile_id")
-    a = a.withColumn("idx", F.when(F.col("index") < 0, F.col("index") + F.col("_n")).otherwise(F.col("index")))
-    a = a.withColumn("idx", F.when((F.col("idx") >= F.col("_n")) | (F.col("idx") < 0),
-                                   F.raise_error(F.lit("reranker index out of range")).cast("bigint"))
-                     .otherwise(F.col("idx")).cast("int"))
-    rel = F.coalesce(F.col("relevance_score"), F.lit(0.0))
+    a = _resolved(cands, answers).join(usable_a(cands, answers), "profile_id", "left_semi")
     return (a.join(cands, ["profile_id", "idx"])
-            .withColumn("relevance", rel).filter(F.col("relevance") >= min_score)
+            .withColumn("relevance", F.coalesce(F.col("relevance_score"), F.lit(0.0)))
+            .filter(F.col("relevance") >= _bar(min_score))
             .select("profile_id", F.col("resp_pos").alias("order_key"), "relevance",
                     *[c for c in cands.columns if c not in ("profile_id",)]))
 
 
-def positional_b(cands: DataFrame, answers: DataFrame, min_score=DEFAULT_MIN_SCORE) -> DataFrame:
+def _bar(min_score) -> Column:
+    return F.col("rerank_min_score") if min_score is None else F.lit(min_score)
+
+
+def _resolved(cands: DataFrame, answers: DataFrame) -> DataFrame:
+    """Answers with ``idx``: the 0-based list index, null if there is no such row."""
+    n = cands.groupBy("profile_id").agg(F.count("*").alias("_n"))
+    at = F.when(F.col("index") < 0, F.col("index") + F.col("_n")).otherwise(F.col("index"))
+    return answers.join(n, "profile_id").withColumn(
+        "idx", F.when((at >= 0) & (at < F.col("_n")), at).cast("int"))
+
+
+def usable_a(cands: DataFrame, answers: DataFrame) -> DataFrame:
+    """``profile_id`` of the profiles whose whole answer A points at candidates."""
+    return (_resolved(cands, answers).groupBy("profile_id")
+            .agg(F.bool_and(F.col("idx").isNotNull()).alias("ok")).filter("ok").select("profile_id"))
+
+
+def positional_b(cands: DataFrame, answers: DataFrame, min_score=None) -> DataFrame:
     """C7 variant B: ``answers(profile_id, ranked ARRAY<INT>, scores ARRAY<DOUBLE>)``.
 
     Entries that are not an in-range index are skipped; a missing score counts
-    1.0; rows below ``min_score`` drop; answer order is kept.
+    1.0; rows below ``min_score`` drop (default: the profile's own
+    ``rerank_min_score``); answer order is kept.
     """
-    n = cands.groupBy("profile_id").agg(F.count("*").alias("_n"))
     z = answers.select("profile_id", F.posexplode(F.arrays_zip("ranked", "scores")).alias("resp_pos", "e"))
     z = z.select("profile_id", "resp_pos", F.col("e.ranked").alias("idx"),
                  F.coalesce(F.col("e.scores"), F.lit(1.0)).alias("relevance"))
-    z = z.join(n, "profile_id").filter(F.col("idx").isNotNull() & (F.col("idx") >= 0) & (F.col("idx") < F.col("_n")))
-    return (z.filter(F.col("relevance") >= min_score).join(cands, ["profile_id", "idx"])
+    return (z.join(cands, ["profile_id", "idx"]).filter(F.col("relevance") >= _bar(min_score))
             .select("profile_id", F.col("resp_pos").alias("order_key"), "relevance",
                     *[c for c in cands.columns if c not in ("profile_id",)]))
 
 
 def fallback(score_rows: DataFrame, a_rows: DataFrame, a_answered: DataFrame, b_rows: DataFrame) -> DataFrame:
-    """A if reranker A answered (even with nothing kept), else B if it kept
-    anything, else score order. Chosen per profile by ``min(priority)`` over
+    """A if reranker A gave a usable answer (``a_answered``; even an empty one,
+    or one with nothing kept), else B if it kept anything, else score order. Chosen per profile by ``min(priority)`` over
     small per-profile markers, then joined back: no window over the rows."""
     cols = ["profile_id", "order_key", "job_url"]
     rows = (a_rows.select(*cols, F.lit(PRIORITY["A"]).alias("priority"))
@@ -90,17 +102,6 @@ def fallback(score_rows: DataFrame, a_rows: DataFrame, a_answered: DataFrame, b_
     return rows.join(chosen, ["profile_id", "priority"]).withColumn("source", src)
 
 
-def cosine(a, b) -> Column:
-    """Cosine similarity of two numeric arrays (``zip_with`` + ``aggregate``)."""
-    a = F.col(a) if isinstance(a, str) else a
-    b = F.col(b) if isinstance(b, str) else b
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0),
-                      lambda acc, x: acc + x)
-    na = F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    nb = F.sqrt(F.aggregate(b, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    return F.when((na > 0) & (nb > 0), dot / (na * nb))
-
-
 def cosine_to_centroid(cands: DataFrame, key: str, vec: str, liked: DataFrame, group: str = "profile_id") -> DataFrame:
     """Cosine of each candidate's vector to its group's mean liked vector.
 

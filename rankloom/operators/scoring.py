@@ -7,7 +7,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import clamp, strip_code_fence, tokens, truncate_int
@@ -15,7 +15,6 @@ from rankloom.functions.text import clamp, strip_code_fence, tokens, truncate_in
 ENTITY_BOOST_CAP = 20
 MAX_ATTEMPTS = 3
 BASE_RETRY_WAIT_S = 5
-RETRYABLE = ("429", "502", "503", "transport")
 UNAVAILABLE = "Scoring unavailable"
 
 
@@ -50,7 +49,7 @@ def boost_reason(reason, raw_score, adjusted) -> Column:
 
 # --------------------------------------------------------------------------- relevance
 
-STOP_SHARE = 0.2  # terms in more than this share of documents carry no weight
+MIN_SCORE = 20  # default bar of ``relevance``: pairs below it are not produced
 
 
 def doc_terms(docs: DataFrame, id_col: str, text_col: str, with_count: bool = False) -> DataFrame:
@@ -63,49 +62,71 @@ def doc_terms(docs: DataFrame, id_col: str, text_col: str, with_count: bool = Fa
 
 
 def relevance(spark: SparkSession, queries: DataFrame, q_id: str, q_text: str,
-              docs: DataFrame, d_id: str, d_text: str, evidence: bool = False) -> DataFrame:
+              docs: DataFrame, d_id: str, d_text: str, evidence: bool = False,
+              min_score: int = MIN_SCORE, only: DataFrame | None = None) -> DataFrame:
     """Weighted coverage of each query's terms by each document.
 
-    ``weight(t) = 1 + floor(N / df(t))`` over terms with ``df <= N * 0.2`` (the
-    rest are stop terms of weight 0); ``score = floor(100 * matched / total)``.
-    With ``evidence`` (J13) a query term's weight is multiplied by its
-    evidence level: how often the query repeats it, up to 3.
+    ``weight(t) = round(100 * ln(N / df(t)))``, which falls to 0 for a term that
+    all documents have; ``score = floor(100 * matched / total)``. With
+    ``evidence`` (J13) a query term's weight is multiplied by its evidence
+    level: how often the query repeats it.
 
-    Only (query, document) pairs that share a weighted term are produced: the
-    pairs come from an equi join on ``term`` (an inverted index), never from a
-    cross product. Pairs not produced have score 0.
+    Pairs of score ``min_score`` or more are produced, each of them: a pair
+    that shares only a query's lightest terms, whose weights together stay
+    under the bar, cannot reach it, so only the other terms are joined to find
+    candidates. ``only`` (a frame with ``d_id``) limits the pairs to some
+    documents; document frequencies still come from all.
     """
     variant = "evidence" if evidence else "plain"
-    x = relevance_variants(spark, queries, q_id, q_text, docs, d_id, d_text, (variant,))
+    x = relevance_variants(spark, queries, q_id, q_text, docs, d_id, d_text, (variant,), min_score, only)
     return x.select(q_id, d_id, "n_terms", F.col(f"matched_{variant}").alias("matched"),
                     F.col(f"total_{variant}").alias("total"), F.col(f"score_{variant}").alias("score"))
 
 
+TERM_SALTS = 16
+
+
 def relevance_variants(spark: SparkSession, queries: DataFrame, q_id: str, q_text: str,
-                       docs: DataFrame, d_id: str, d_text: str, variants=("plain", "evidence")) -> DataFrame:
-    """J5 and J13 from one pass: one postings join, one sum per weighting
-    (``matched_<v>``, ``total_<v>``, ``score_<v>`` for each variant)."""
+                       docs: DataFrame, d_id: str, d_text: str, variants=("plain", "evidence"),
+                       min_score: int = MIN_SCORE, only: DataFrame | None = None) -> DataFrame:
+    """J5 and J13 from one pass: one candidate join and one sum per weighting
+    (``matched_<v>``, ``total_<v>``, ``score_<v>``), for pairs that reach
+    ``min_score`` by one of the ``variants``."""
     qt = doc_terms(queries, q_id, q_text, with_count=True).withColumnRenamed("doc", "q")
     # only terms some query uses matter: semi join first, so document
-    # frequencies and the pair join see a fraction of the corpus postings
+    # frequencies and the pair joins see a fraction of the corpus postings
     dt = doc_terms(docs, d_id, d_text).join(qt.select("term").distinct(), "term", "left_semi")
     # N enters as an uncorrelated scalar subquery: computed once, no join
     stats = spark.sql(
-        """select term, df, cast(1 + floor((select count(*) from {docs}) / df) as bigint) as weight
-           from (select term, count(*) as df from {dt} group by term)
-           where df <= (select count(*) from {docs}) * {share}""",
-        dt=dt, docs=docs.select(d_id), share=STOP_SHARE)
-    levels = {"plain": F.lit(1), "evidence": F.least(F.col("tf"), F.lit(3))}
+        """select term, cast(round(100 * ln((select count(*) from {docs}) / count(*))) as bigint) as weight
+           from {dt} group by term""", dt=dt, docs=docs.select(d_id))
+    levels = {"plain": F.lit(1), "evidence": F.col("tf")}
     qw = qt.join(stats, "term").select("q", "term", *[(F.col("weight") * levels[v]).alias(f"w_{v}") for v in variants])
-    total = qw.groupBy("q").agg(*[F.sum(f"w_{v}").alias(f"total_{v}") for v in variants])
-    matched = (qw.join(dt, "term").groupBy("q", "doc")
-               .agg(F.count("*").alias("n_terms"), *[F.sum(f"w_{v}").alias(f"matched_{v}") for v in variants]))
-    out = matched.join(total, "q").select(F.col("q").alias(q_id), F.col("doc").alias(d_id), "n_terms",
-                                          *[c for v in variants for c in (f"matched_{v}", f"total_{v}")])
+    own = Window.partitionBy("q")  # the terms of one query
+    for v in variants:
+        qw = qw.withColumn(f"total_{v}", F.sum(f"w_{v}").over(own)).withColumn(
+            f"upto_{v}", F.sum(f"w_{v}").over(own.orderBy(f"w_{v}", "term").rowsBetween(Window.unboundedPreceding, 0)))
+    heavy = F.lit(False)
     for v in variants:
-        out = out.withColumn(f"score_{v}",
-                             F.floor(F.lit(100) * F.col(f"matched_{v}") / F.col(f"total_{v}")).cast("int"))
-    return out
+        heavy = heavy | ((F.col(f"w_{v}") > 0) & (100 * F.col(f"upto_{v}") >= min_score * F.col(f"total_{v}")))
+    if only is not None:
+        dt = dt.join(only.select(F.col(d_id).alias("doc")).distinct(), "doc", "left_semi")
+    # postings of a common term are dealt over several keys
+    salts = F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1))).alias("salt")
+    salted = dt.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(TERM_SALTS)).cast("int"))
+    pairs = (qw.filter(heavy).select("q", "term", salts).join(salted, ["term", "salt"])
+             .select("q", "doc").distinct())
+    weights = [c for v in variants for c in (f"w_{v}", f"total_{v}")]
+    hits = pairs.join(dt, "doc").join(qw.select("q", "term", *weights), ["q", "term"])
+    out = hits.groupBy("q", "doc").agg(
+        F.count("*").alias("n_terms"), *[F.sum(f"w_{v}").alias(f"matched_{v}") for v in variants],
+        *[F.first(f"total_{v}").alias(f"total_{v}") for v in variants])
+    for v in variants:
+        share = F.floor(F.lit(100) * F.col(f"matched_{v}") / F.col(f"total_{v}")).cast("int")
+        out = out.withColumn(f"score_{v}", F.when(F.col(f"total_{v}") > 0, share).otherwise(0))
+    out = out.filter(F.greatest(F.lit(-1), *[F.col(f"score_{v}") for v in variants]) >= min_score)
+    return out.select(F.col("q").alias(q_id), F.col("doc").alias(d_id), "n_terms",
+                      *[f"{c}_{v}" for v in variants for c in ("matched", "total", "score")])
 
 
 # --------------------------------------------------------------------------- requests / responses
@@ -140,6 +161,12 @@ def parse_score(raw) -> tuple[Column, Column]:
     return score, reason
 
 
+def retryable(status) -> Column:
+    """Every failed call is worth another try: transport errors and all HTTP errors."""
+    s = F.col(status) if isinstance(status, str) else status
+    return (s == "transport") | F.coalesce(s.try_cast("int") >= 400, F.lit(False))
+
+
 def retry_eligible(attempts: DataFrame, request_col: str = "request_id") -> DataFrame:
     """Latest attempt per request (``max_by``: partial aggregation, no window);
     eligible when its status is retryable and fewer than 3 attempts were made;
@@ -149,7 +176,7 @@ def retry_eligible(attempts: DataFrame, request_col: str = "request_id") -> Data
         F.count("*").alias("n_attempts"))
     x = last.select(request_col, "n_attempts", F.col("l.attempt").alias("attempt"),
                     F.col("l.status").alias("status"), F.col("l.at").alias("at"))
-    return (x.filter(F.col("status").isin(*RETRYABLE) & (F.col("attempt") < MAX_ATTEMPTS))
+    return (x.filter(retryable("status") & (F.col("attempt") < MAX_ATTEMPTS))
             .withColumn("next_at", F.timestamp_add(
                 "SECOND", (F.lit(BASE_RETRY_WAIT_S) * F.pow(F.lit(2), F.col("attempt") - 1)).cast("int"),
                 F.col("at"))))
@@ -157,24 +184,26 @@ def retry_eligible(attempts: DataFrame, request_col: str = "request_id") -> Data
 
 # --------------------------------------------------------------------------- batch scorer
 
-def overlap_scorer(batch: pd.DataFrame) -> pd.DataFrame:
-    """A deterministic stand-in scorer: share of the profile's words found in the listing."""
-    def one(prompt_words: str, listing: str) -> int:
-        want = set(str(prompt_words).lower().split())
-        have = set(str(listing).lower().split())
-        return int(100 * len(want & have) / len(want)) if want else 0
-    scores = [one(a, b) for a, b in zip(batch["resume"], batch["description"])]
-    return pd.DataFrame({"score": [float(s) for s in scores],
-                         "reason": [f"{s}% of profile words present" for s in scores]})
+def overlap_score(profile, listing) -> tuple[Column, Column]:
+    """The stand-in scorer as built-in columns: share of the profile's words found in the listing."""
+    def words(c):
+        return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), r"\s+"), lambda w: w != ""))
+    want = words(profile)
+    share = F.when(F.size(want) > 0, F.floor(F.lit(100) * F.size(F.array_intersect(want, words(listing))) / F.size(want)))
+    score = F.coalesce(share, F.lit(0)).cast("double")
+    return score, F.concat(score.cast("int").cast("string"), F.lit("% of profile words present"))
 
 
-def batch_score(requests: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame] = overlap_scorer,
+def batch_score(requests: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
                 key_cols=("profile_id", "job_url")) -> DataFrame:
-    """Run ``scorer`` over Arrow batches with ``mapInPandas``. The callable
+    """The built-in ``overlap_score``, or a user's ``scorer`` over Arrow batches with ``mapInPandas``. The callable
     is shipped once per task; it gets columns ``resume`` and ``description``
     and returns ``score`` and ``reason`` for the same rows. Repartition the
     input beforehand to bound how many scorers run at once."""
     keys = list(key_cols)
+    if scorer is None:
+        score, reason = overlap_score("resume", "description")
+        return requests.select(*keys, score.alias("score"), reason.alias("reason"))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:

@@ -14,6 +14,8 @@ from rankloom.sources import listings as L
 
 BOARD_AS_OF = "2024-01-30 18:00:00"
 FLEET_AS_OF = "1998-06-01 00:00:00"
+PREVIEW_ROWS = 10  # the caller's argument
+SOURCE_BUDGET = 2  # listings per source and digest
 
 
 def _day(as_of: str, minus_days: int) -> str:
@@ -33,7 +35,7 @@ board_cand as (
   where j.score >= 60 and (j.user_rating is null or j.user_rating != -1)
     and (j.hidden = false or j.hidden is null)
     and ((j.date_posted is not null and j.date_posted not in ('nan', '')
-          and try_cast(j.date_posted as date) >= date '{_day(BOARD_AS_OF, 14)}')
+          and try_cast(left(j.date_posted, 10) as date) >= date '{_day(BOARD_AS_OF, 14)}')
       or ((j.date_posted is null or j.date_posted in ('nan', ''))
           and cast(j.discovered_at as date) >= date '{_day(BOARD_AS_OF, 7)}'))
     and not exists (select 1 from board_ledger s where s.profile_id = j.profile_id and s.job_url = j.job_url))""")
@@ -44,17 +46,17 @@ select profile_id, pos, job_url, title, employer as company, location, score, da
 from (select *, row_number() over (partition by profile_id order by score desc, job_url) as pos from board_cand)
 where pos <= 5""")
 def digest_today(spark, sf_dir):
-    top = D.top_by_score(board_candidates(spark, sf_dir), 5)
+    top = D.top_by_score(board_candidates(spark, sf_dir), F.col("max_jobs_per_email"))
     return top.select("profile_id", "pos", "job_url", "title", F.col("employer").alias("company"),
                       "location", "score", "date_posted")
 
 
-@query("preview", "E4", BOARD_CAND_SQL + """
+@query("preview", "E4", BOARD_CAND_SQL + f"""
 select profile_id, pos, job_url, score
 from (select *, row_number() over (partition by profile_id order by score desc, job_url) as pos from board_cand)
-where pos <= 10""")
+where pos <= {PREVIEW_ROWS}""")
 def preview(spark, sf_dir):
-    return D.preview(board_candidates(spark, sf_dir), 10).select("profile_id", "pos", "job_url", "score")
+    return D.preview(board_candidates(spark, sf_dir), PREVIEW_ROWS).select("profile_id", "pos", "job_url", "score")
 
 
 @query("ledger_append", "A7 G1", BOARD_CAND_SQL + f""",
@@ -69,7 +71,7 @@ merged as (
 select profile_id, job_url, {sql_ts_text('sent_at', True)} as sent_at from merged""")
 def ledger_append(spark, sf_dir):
     ledger = L.board_sent_ledger(spark, sf_dir, BOARD_AS_OF)
-    today = D.top_by_score(board_candidates(spark, sf_dir), 5)
+    today = D.top_by_score(board_candidates(spark, sf_dir), F.col("max_jobs_per_email"))
     out = D.ledger_append(ledger, today, BOARD_AS_OF)
     return out.select("profile_id", "job_url", ts_text("sent_at", True).alias("sent_at"))
 
@@ -77,13 +79,14 @@ def ledger_append(spark, sf_dir):
 # --------------------------------------------------------------------------- fleet
 
 def fleet_candidates(spark, sf_dir, as_of=FLEET_AS_OF):
-    jobs = D.with_settings(L.fleet_jobs(spark, sf_dir), L.profiles(spark, sf_dir))
+    """Fit listings by their keys alone; ``L.fleet_details`` describes what a cut leaves."""
+    jobs = D.with_settings(L.fleet_rows(spark, sf_dir), L.profiles(spark, sf_dir))
     return D.candidates(jobs, L.fleet_sent_ledger(spark, sf_dir), as_of, parity=True)
 
 
 FLEET_CAND_SQL = V.with_(V.FLEET_JOBS, V.PROFILES_FLAT, V.FLEET_LEDGER, f"""
 fleet_cand as (
-  select j.*, p.score_threshold, p.max_job_age_days, p.max_jobs_per_email, p.rerank_candidates
+  select j.*, p.score_threshold, p.max_job_age_days, p.max_jobs_per_email, p.rerank_candidates, p.rerank_min_score
   from fleet_jobs j join profiles_flat p on p.profile_id = j.profile_id
   where j.score >= p.score_threshold
     and ((j.date_posted is not null and j.date_posted not in ('nan', '')
@@ -101,7 +104,8 @@ fleet_top as (
 
 def fleet_top(spark, sf_dir):
     c = fleet_candidates(spark, sf_dir)
-    return D.top_by_score(c, F.least(F.col("max_jobs_per_email"), F.col("rerank_candidates")))
+    top = D.top_by_score(c, F.least(F.col("max_jobs_per_email"), F.col("rerank_candidates")))
+    return L.fleet_details(spark, sf_dir, top)
 
 
 @query("digest_per_profile", "C5 B4 B7 C2 E2 E3 A8", FLEET_TOP_SQL + """
@@ -110,17 +114,18 @@ def digest_per_profile(spark, sf_dir):
     return fleet_top(spark, sf_dir).select("profile_id", "pos", "job_url", "score", "title", "location")
 
 
-@query("digest_source_budget", "E9", FLEET_CAND_SQL + """,
-capped as (select * from (select *, row_number() over (partition by profile_id, location
+@query("digest_source_budget", "E9", FLEET_CAND_SQL + f""",
+capped as (select * from (select *, row_number() over (partition by profile_id, employer
                                                        order by score desc, job_url) as src_rank from fleet_cand)
-           where src_rank <= 2)
-select profile_id, pos, job_url, location, score
+           where src_rank <= {SOURCE_BUDGET})
+select profile_id, pos, job_url, employer, score
 from (select *, row_number() over (partition by profile_id order by score desc, job_url) as pos from capped)
 where pos <= max_jobs_per_email""")
 def digest_source_budget(spark, sf_dir):
     c = fleet_candidates(spark, sf_dir)
-    return (D.per_source_budget(c, "location", 2, F.col("max_jobs_per_email"))
-            .select("profile_id", "pos", "job_url", "location", "score"))
+    top = D.per_source_budget(c, "l_suppkey", SOURCE_BUDGET, F.col("max_jobs_per_email"))
+    return (L.fleet_details(spark, sf_dir, top)
+            .select("profile_id", "pos", "job_url", "employer", "score"))
 
 
 @query("digest_header", "D7 H15", FLEET_TOP_SQL + """
@@ -141,8 +146,8 @@ def _sql_esc(x: str) -> str:
     return out
 
 
-_SQL_BADGE = ("array_to_string(list_transform(string_split(replace(job_type, '_', ' '), ' '), "
-              "lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ')")
+_SQL_BADGE = ("array_to_string(list_transform(regexp_extract_all(lower(replace(job_type, '_', ' ')), '[a-z]+|[^a-z]+'), "
+              "lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), '')")
 
 DIGEST_RENDER_SQL = FLEET_TOP_SQL + f""",
 cards as (

@@ -48,8 +48,11 @@ def eval_rank_position(spark, sf_dir):
     return x.withColumn("gold_rank", F.col("gold_rank").cast("double"))  # may be missing: numeric, not int
 
 
-_PASS_SQL = "with " + relevance_ctes(False, "a_").strip() + ",\n" + relevance_ctes(True, "b_").strip() + """,
-runs as (select 'plain' as trial, * from a_rel union all select 'evidence', * from b_rel),
+_PASS_SQL = "with " + relevance_ctes(False, "a_", "true").strip() + ",\n" + relevance_ctes(True, "b_", "true").strip() + f""",
+found as (select item_id, doc_id from a_rel where score >= {S.MIN_SCORE}
+          union select item_id, doc_id from b_rel where score >= {S.MIN_SCORE}),
+runs as (select 'plain' as trial, * from a_rel semi join found using (item_id, doc_id)
+         union all select 'evidence', * from b_rel semi join found using (item_id, doc_id)),
 r as (select *, row_number() over (partition by trial, item_id order by score desc, doc_id) as rank from runs),
 t as (select item_id, trial, max(case when rank = 1 then score end) >= 60 as strong_ok,
              coalesce(min(case when score = 100 then rank end) <= 2, false) as gold_ok

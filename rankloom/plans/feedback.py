@@ -117,10 +117,12 @@ def insights_counter(spark, sf_dir):
 
 
 KEYWORD_SUGGEST_SQL = (_ROWS + ",\n" + V.PROFILES_FLAT.strip() + ",\n" + V.SEGMENT_KEYWORDS_SQL.strip() + f""",
-rated as (select * from state_rows where user_rating in (1, -1)),
+newest as (select *, row_number() over (partition by profile_id order by discovered_at desc, job_url) as age
+           from state_rows where (user_rating is not null or coalesce(notes, '') <> '') and hidden = false),
+rated as (select * from newest where age <= {FB.FEEDBACK_WINDOW} and user_rating in (1, -1)),
 lt as (select distinct profile_id, job_url, user_rating, term from
         (select profile_id, job_url, user_rating, unnest({V.tokens_sql('title')}) as term from rated)
-       where length(term) >= {P.MIN_TERM_CHARS}),
+       where term <> ''),
 n as (select profile_id, count(distinct job_url) filter (where user_rating = 1) as nl,
              count(distinct job_url) filter (where user_rating = -1) as nd from rated group by profile_id),
 tf as (select profile_id, term, count(*) filter (where user_rating = 1) as l,
@@ -138,6 +140,6 @@ select * from b where rank <= 5 union all select * from p where rank <= 5""")
 
 @query("keyword_suggest", "J8 J11 C9", KEYWORD_SUGGEST_SQL)
 def keyword_suggest(spark, sf_dir):
-    rated = state_rows(spark, sf_dir).filter(F.col("user_rating").isin(1, -1))
+    rated = FB.newest_feedback(state_rows(spark, sf_dir)).filter(F.col("user_rating").isin(1, -1))
     cur = L.profiles(spark, sf_dir).select("profile_id", "scoring")
     return P.suggest_keywords(rated, cur)

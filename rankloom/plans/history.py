@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rankloom.operators import feedback as FB
@@ -47,10 +46,7 @@ def history_liked(spark, sf_dir):
     """First page of the liked filter in score order (the history view): a
     distributed top-25 (``orderBy.limit``), not a sort of the whole group."""
     rows = H.select_history(board_state(spark, sf_dir), filter_name="liked")
-    out, total, _, _ = H.page(rows, "score", 1)
-    w = Window.orderBy(F.col("score").desc(), F.col("discovered_at").desc(), "job_url")  # over <= 25 rows
-    return out.select("profile_id", F.row_number().over(w).cast("bigint").alias("pos"), "job_url", "score", "sent",
-                      F.lit(total).cast("bigint").alias("total"))
+    return H.page(rows, "score", 1).select("profile_id", "pos", "job_url", "score", "sent", "total")
 
 
 @query("history_sent_day", "B8 B10", BOARD_STATE_SQL + f"""
@@ -75,20 +71,14 @@ def history_search(spark, sf_dir):
 v as (select * from board_state where coalesce(not hidden, true)),
 t as (select count(*) as total from v),
 p as (select total, greatest(1, cast(ceil(total / 25) as bigint)) as pages from t),
-r as (select v.*, row_number() over (order by try_cast(date_posted as date) desc nulls last,
+r as (select v.*, row_number() over (order by try_cast(left(date_posted, 10) as date) desc nulls last,
                                        discovered_at desc nulls last, job_url) as rn from v)
 select r.rn as pos, r.job_url, r.date_posted, p.total, p.pages, least(greatest({PAGE_NO}, 1), p.pages) as page
 from r, p
 where r.rn > (least(greatest({PAGE_NO}, 1), p.pages) - 1) * 25 and r.rn <= least(greatest({PAGE_NO}, 1), p.pages) * 25""")
 def history_page(spark, sf_dir):
     rows = H.select_history(board_state(spark, sf_dir))
-    out, total, pages, page_no = H.page(rows, "posted", PAGE_NO)
-    first = (page_no - 1) * H.PAGE_SIZE
-    w = Window.orderBy(F.try_to_date("date_posted", "yyyy-MM-dd").desc_nulls_last(),
-                       F.col("discovered_at").desc_nulls_last(), "job_url")
-    return out.select((F.row_number().over(w) + F.lit(first)).cast("bigint").alias("pos"), "job_url", "date_posted",
-                      F.lit(total).cast("bigint").alias("total"), F.lit(pages).cast("bigint").alias("pages"),
-                      F.lit(page_no).cast("bigint").alias("page"))
+    return H.page(rows, "posted", PAGE_NO).select("pos", "job_url", "date_posted", "total", "pages", "page")
 
 
 @query("sent_days", "D3", V.with_(V.BOARD_JOBS, V.board_ledger(BOARD_AS_OF)) + """

@@ -7,13 +7,14 @@ LISTINGS_RAW = """
 listings_raw as (
   select d.doc_id as id,
          concat('https://l.example/', md5(d.text)) as job_url,
-         substr(split_part(d.text, '.', 1), 1, 80) as title,
+         split_part(d.text, '.', 1) as title,
          d.source as employer, n.n_name as location, d.text as description, d.lang as language,
          cast((d.doc_id * 37) % 101 as int) as score,
          (d.doc_id % 5 = 0) as is_remote,
          case d.doc_id % 4 when 0 then 'full_time' when 1 then 'part_time' when 2 then 'contract' else '' end as job_type,
          case when d.doc_id % 7 = 0 then 'nan' when d.doc_id % 11 = 0 then '' when d.doc_id % 13 = 0 then null
-              else cast(date '2024-01-01' + cast(d.doc_id % 60 as int) as varchar) end as date_posted,
+              else cast(date '2024-01-01' + cast(d.doc_id % 60 as int) as varchar)
+                   || case when d.doc_id % 6 = 5 then 'T10:00:00' else '' end end as date_posted,
          timestamp '2024-01-01 06:00:00' + cast(d.doc_id % 30 as int) * interval '1' day as discovered_at,
          case when d.doc_id % 17 = 0 then true when d.doc_id % 19 = 0 then null else false end as hidden,
          cast(case when l.toxic = 1 then -1 when l.quality = 1 then 1 end as int) as user_rating,
@@ -65,7 +66,7 @@ PROFILES_FLAT = """
 profiles_flat as (
   select c.c_custkey as profile_id, c.c_mktsegment as segment, n.n_name as nation_name, r.r_name as region_name,
          cast(floor(greatest(c.c_acctbal, 0.0) / 200) as int) as score_threshold,
-         5 as max_jobs_per_email, 7 as max_job_age_days, 30 as rerank_candidates
+         5 as max_jobs_per_email, 7 as max_job_age_days, 30 as rerank_candidates, case when c.c_custkey % 3 = 0 then 0.5 else 0.3 end as rerank_min_score
   from customer c join nation n on c.c_nationkey = n.n_nationkey join region r on n.n_regionkey = r.r_regionkey)"""
 
 FLEET_JOBS = """
@@ -76,7 +77,7 @@ fleet_jobs as (
          concat_ws(' ', p.p_type, p.p_name, p.p_brand) as description,
          cast((l.l_partkey * 7 + l.l_suppkey * 13 + l.l_linenumber) % 101 as int) as score,
          (l.l_linestatus = 'O') as is_remote,
-         replace(lower(substr(o.o_orderpriority, 3, 100)), ' ', '_') as job_type,
+         replace(lower(substr(o.o_orderpriority, 3)), ' ', '-') as job_type,
          case when l.l_returnflag = 'R' then 'nan' else cast(cast(l.l_shipdate as date) as varchar) end as date_posted,
          o.o_orderdate as discovered_at, l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey
   from lineitem l join orders o on l.l_orderkey = o.o_orderkey

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import strip_quoted
+from rankloom.operators import feedback as FB
 from rankloom.operators import proposals as P
 from rankloom.operators import replies as RP
 from rankloom.plans.feedback import state_rows
@@ -20,7 +21,7 @@ ACTED_SEGMENT = "BUILDING"
 
 
 def suggestions(spark, sf_dir):
-    rated = state_rows(spark, sf_dir).filter(F.col("user_rating").isin(1, -1))
+    rated = FB.newest_feedback(state_rows(spark, sf_dir)).filter(F.col("user_rating").isin(1, -1))
     # read three times below (boosts, penalties, profile ids): materialize once
     return materialize(P.suggest_keywords(rated, L.profiles(spark, sf_dir).select("profile_id", "scoring")))
 
@@ -127,7 +128,7 @@ def proposal_apply(spark, sf_dir):
 @query("proposal_revert", "C10 G6 B16 F5 A9", PROPOSAL_SQL + f"""
 select i.profile_id,
   case when s.segment = '{REVERTED_SEGMENT}' then 0 else nb.n + np.n + nt.n end as removed,
-  case when s.segment = '{REVERTED_SEGMENT}' then 'already reverted' end as refused,
+  case when s.segment = '{REVERTED_SEGMENT}' then 'already reverted' end as refused, true as reverted,
   case when s.segment = '{REVERTED_SEGMENT}' then ab.s
        else (select string_agg(keyword, ', ' order by ord) from ex_b e where e.profile_id = i.profile_id) end as boost_after,
   case when s.segment = '{REVERTED_SEGMENT}' then att.s else s2.t end as terms_after
@@ -141,7 +142,7 @@ def proposal_revert(spark, sf_dir):
     entries = x.select("profile_id", F.lit(1).alias("entry_id"), "boost_added", "penalize_added", "terms_added",
                        (F.col("segment") == REVERTED_SEGMENT).alias("reverted"))
     r = P.revert(x.select("profile_id", "scoring", "search"), entries)
-    return r.select("profile_id", F.col("removed").cast("bigint").alias("removed"), "refused",
+    return r.select("profile_id", F.col("removed").cast("bigint").alias("removed"), "refused", "reverted",
                     _names("boost").alias("boost_after"), F.array_join("terms", ", ").alias("terms_after"))
 
 
@@ -149,7 +150,7 @@ def proposal_revert(spark, sf_dir):
 select i.profile_id, concat_ws(chr(10),
   'Proposal for profile ' || cast(i.profile_id as varchar), '',
   'Boost: ' || coalesce(nullif((select string_agg(keyword, ', ' order by ord) from pb where pb.profile_id = i.profile_id), ''), 'none'),
-  'Penalize: ' || coalesce(nullif((select string_agg(keyword, ', ' order by ord) from pp where pp.profile_id = i.profile_id), ''), 'none'),
+  'Penalize: ' || nullif((select string_agg(keyword, ', ' order by ord) from pp where pp.profile_id = i.profile_id), ''),
   'New search terms: ' || coalesce(nullif((select string_agg(term, ', ' order by ord) from pt where pt.profile_id = i.profile_id), ''), 'none'),
   '', 'Reply yes to apply, no to discard, or tell me what to change.') as body
 from ids i""")

@@ -17,14 +17,19 @@ from rankloom.sources import listings as L
 from rankloom.sources.tables import read
 
 A_SEGMENTS = ("AUTOMOBILE", "BUILDING")
-B_SEGMENTS = ("FURNITURE", "HOUSEHOLD")
-# The board profile's own rerank_min_score setting (the digest default is 0.3).
-BOARD_RERANK_MIN = 0.1
+B_SEGMENTS = ("BUILDING", "FURNITURE", "HOUSEHOLD")
+BOARD_RERANK_MIN = 0.1  # the board profile's own rerank_min_score setting
 
 
 def board_cut(spark, sf_dir):
-    """The board's first 30 candidates in score order."""
-    return RR.candidate_index(D.top_by_score(board_candidates(spark, sf_dir), 30))
+    """The board's first candidates in score order."""
+    cands = board_candidates(spark, sf_dir).withColumn("rerank_min_score", F.lit(BOARD_RERANK_MIN))
+    return RR.candidate_index(D.top_by_score(cands, F.col("rerank_candidates")))
+
+
+def numbered(rows, keys, order):
+    """``pos`` by ``order``; a group is one profile's cut or one answer to it."""
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
 
 
 BOARD_CUT_SQL = BOARD_CAND_SQL + """,
@@ -52,36 +57,40 @@ def rerank_vectors(spark, sf_dir):
     vecs = cut.join(emb, F.col("id") == F.col("vec_id")).select("profile_id", "job_url", "embedding")
     cos = RR.cosine_to_centroid(vecs, "job_url", "embedding", liked)
     scored = cut.join(cos, ["profile_id", "job_url"], "left").select(
-        "profile_id", F.col("pos").alias("score_pos"), "job_url", F.coalesce("cosine", F.lit(0.0)).alias("relevance"))
-    kept = scored.filter(F.col("relevance") >= BOARD_RERANK_MIN)
-    out = top_n_per_group(kept, ["profile_id"], [F.col("relevance").desc(), F.col("score_pos")], 30, rank_col="pos")
-    return out.select("profile_id", F.col("pos").cast("bigint").alias("pos"), "job_url",
+        "profile_id", F.col("pos").alias("score_pos"), "job_url", "rerank_min_score",
+        F.coalesce("cosine", F.lit(0.0)).alias("relevance"))
+    kept = scored.filter(F.col("relevance") >= F.col("rerank_min_score"))
+    out = numbered(kept, ["profile_id"], [F.col("relevance").desc(), F.col("score_pos")])
+    return out.select("profile_id", "pos", "job_url",
                       F.round("relevance", 6).alias("relevance"))
 
 
-@query("rerank_terms", "J6 J5 B14", BOARD_CUT_SQL + ",\n" + relevance_ctes(False).strip() + """,
+@query("rerank_terms", "J6 J5 B14", BOARD_CUT_SQL + ",\n" + relevance_ctes(False, bar="score >= 10").strip() + """,
 scored as (select r.item_id, c.pos as score_pos, c.job_url, r.score / 100.0 as relevance
            from rel r join board_cut c on c.id = r.doc_id)
 select item_id, row_number() over (partition by item_id order by relevance desc, score_pos) as pos,
        job_url, relevance from scored where relevance >= 0.1""")
 def rerank_terms(spark, sf_dir):
-    rel = S.relevance(spark, read(spark, sf_dir, "benchmark"), "item_id", "text",
-                      read(spark, sf_dir, "documents"), "doc_id", "text")
     cut = board_cut(spark, sf_dir).select(F.col("id").alias("doc_id"), F.col("pos").alias("score_pos"), "job_url")
+    rel = S.relevance(spark, read(spark, sf_dir, "benchmark"), "item_id", "text",
+                      read(spark, sf_dir, "documents"), "doc_id", "text",
+                      min_score=round(100 * BOARD_RERANK_MIN), only=cut)
     scored = rel.join(cut, "doc_id").select("item_id", "score_pos", "job_url",
                                              (F.col("score") / 100.0).alias("relevance"))
-    kept = scored.filter(F.col("relevance") >= BOARD_RERANK_MIN)
-    out = top_n_per_group(kept, ["item_id"], [F.col("relevance").desc(), F.col("score_pos")], 30, rank_col="pos")
-    return out.select("item_id", F.col("pos").cast("bigint").alias("pos"), "job_url", "relevance")
+    out = numbered(scored, ["item_id"], [F.col("relevance").desc(), F.col("score_pos")])
+    return out.select("item_id", "pos", "job_url", "relevance")
 
 
 # --------------------------------------------------------------------------- fleet answers
 
 def fleet_cut(spark, sf_dir):
-    """E2 cut of every fleet profile, materialized: the answers, both positional
-    joins and the fallback all read it (at most 30 rows per profile)."""
-    c = fleet_candidates(spark, sf_dir)
-    return materialize(RR.candidate_index(D.top_by_score(c, F.col("rerank_candidates"))))
+    """E2 cut of every fleet profile (``rerank_candidates`` rows each)."""
+    return RR.candidate_index(D.top_by_score(fleet_candidates(spark, sf_dir), F.col("rerank_candidates")))
+
+
+def stored_cut(spark, sf_dir):
+    """The cut as a table: the answers, the positional joins and the fallback all read it."""
+    return materialize(fleet_cut(spark, sf_dir))
 
 
 def _segments(spark, sf_dir):
@@ -90,17 +99,32 @@ def _segments(spark, sf_dir):
 
 def answers_a(spark, sf_dir, cut):
     """Reranker A's answers as landed: (profile, answer position, index, relevance).
-    Relevance comes from the part; some are missing; some indexes are negative."""
+    Relevance comes from the part; some are missing; some indexes are negative.
+    Answers of some profiles are empty, and some hold an index that is null or
+    beyond the list."""
     x = cut.join(_segments(spark, sf_dir), "profile_id").filter(F.col("segment").isin(*A_SEGMENTS))
     rel = F.when(F.col("l_partkey") % 10 == 9, F.lit(None).cast("double")).otherwise((F.col("l_partkey") % 10) / 10)
     w = Window.partitionBy("profile_id")
     x = x.withColumn("rel", rel).withColumn("_n", F.count("*").over(w))
     x = x.withColumn("resp_pos", F.row_number().over(
         w.orderBy(F.coalesce(F.col("rel"), F.lit(0.0)).desc(), F.col("idx"))) - 1)
-    return x.select("profile_id", "resp_pos",
-                    F.when(F.col("l_suppkey") % 7 == 0, F.col("idx") - F.col("_n")).otherwise(F.col("idx"))
-                    .cast("bigint").alias("index"),
-                    F.col("rel").alias("relevance_score"))
+    first, who = F.col("resp_pos") == 0, F.col("profile_id") % 11
+    index = (F.when(first & (who == 5), F.col("_n")).when(first & (who == 7), F.lit(None))
+             .when(F.col("l_suppkey") % 7 == 0, F.col("idx") - F.col("_n")).otherwise(F.col("idx")))
+    return x.filter(who != 3).select("profile_id", "resp_pos", index.cast("bigint").alias("index"),
+                                     F.col("rel").alias("relevance_score"))
+
+
+def asked_a(spark, sf_dir, cut):
+    """Profiles that reranker A answered, with an empty list or not."""
+    asked = _segments(spark, sf_dir).filter(F.col("segment").isin(*A_SEGMENTS)).select("profile_id")
+    return asked.join(cut, "profile_id", "left_semi")
+
+
+def usable_a(spark, sf_dir, cut, answers):
+    """Profiles with an answer of A that holds; a bad index spoils its own profile's only."""
+    spoilt = answers.select("profile_id").distinct().join(RR.usable_a(cut, answers), "profile_id", "left_anti")
+    return asked_a(spark, sf_dir, cut).join(spoilt, "profile_id", "left_anti")
 
 
 def answers_b(spark, sf_dir, cut):
@@ -124,45 +148,46 @@ ans_a0 as (select c.*, case when c.l_partkey % 10 = 9 then null else (c.l_partke
                   count(*) over (partition by c.profile_id) as n
            from fleet_cut c join profiles_flat p on p.profile_id = c.profile_id
            where p.segment in ('AUTOMOBILE', 'BUILDING')),
+asked as (select distinct profile_id from ans_a0),
+spoilt as (select distinct profile_id from ans_a0 where profile_id % 11 in (5, 7)),
 ans_a as (select profile_id, idx, job_url, rel,
                  row_number() over (partition by profile_id order by coalesce(rel, 0.0) desc, idx) - 1 as resp_pos
-          from ans_a0),
+                 , rerank_min_score
+          from ans_a0 where profile_id % 11 <> 3),
 a_rows as (select profile_id, resp_pos as order_key, job_url, coalesce(rel, 0.0) as relevance from ans_a
-           where coalesce(rel, 0.0) >= 0.3),
+           where coalesce(rel, 0.0) >= rerank_min_score and profile_id not in (select profile_id from spoilt)),
 ans_b0 as (select c.*, (c.l_partkey % 10) / 10 as rel, count(*) over (partition by c.profile_id) as n,
                   row_number() over (partition by c.profile_id order by -((c.l_partkey % 10) / 10), c.idx) - 1 as resp_pos
            from fleet_cut c join profiles_flat p on p.profile_id = c.profile_id
-           where p.segment in ('FURNITURE', 'HOUSEHOLD')),
+           where p.segment in ('BUILDING', 'FURNITURE', 'HOUSEHOLD')),
 b_rows as (select profile_id, resp_pos as order_key, job_url,
                   case when resp_pos < ceil(n / 2) then rel else 1.0 end as relevance
-           from ans_b0 where (case when resp_pos < ceil(n / 2) then rel else 1.0 end) >= 0.3)"""
+           from ans_b0 where (case when resp_pos < ceil(n / 2) then rel else 1.0 end) >= rerank_min_score)"""
 
 
 @query("rerank_positional_a", "C7 B14", FLEET_CUT_SQL + """
 select profile_id, row_number() over (partition by profile_id order by order_key) as pos, job_url, relevance
 from a_rows""")
 def rerank_positional_a(spark, sf_dir):
-    cut = fleet_cut(spark, sf_dir)
-    out = RR.positional_a(cut, answers_a(spark, sf_dir, cut))
-    out = top_n_per_group(out, ["profile_id"], [F.col("order_key")], 30, rank_col="pos")
-    return out.select("profile_id", F.col("pos").cast("bigint").alias("pos"), "job_url", "relevance")
+    cut = stored_cut(spark, sf_dir)
+    out = numbered(RR.positional_a(cut, answers_a(spark, sf_dir, cut)), ["profile_id"], ["order_key"])
+    return out.select("profile_id", "pos", "job_url", "relevance")
 
 
 @query("rerank_positional_b", "C7 J7 B14", FLEET_CUT_SQL + """
 select profile_id, row_number() over (partition by profile_id order by order_key) as pos, job_url, relevance
 from b_rows""")
 def rerank_positional_b(spark, sf_dir):
-    cut = fleet_cut(spark, sf_dir)
-    out = RR.positional_b(cut, answers_b(spark, sf_dir, cut))
-    out = top_n_per_group(out, ["profile_id"], [F.col("order_key")], 31, rank_col="pos")
-    return out.select("profile_id", F.col("pos").cast("bigint").alias("pos"), "job_url", "relevance")
+    cut = stored_cut(spark, sf_dir)
+    out = numbered(RR.positional_b(cut, answers_b(spark, sf_dir, cut)), ["profile_id"], ["order_key"])
+    return out.select("profile_id", "pos", "job_url", "relevance")
 
 
 @query("rerank_fallback", "F6 E3", FLEET_CUT_SQL + """,
 rows_ as (select profile_id, order_key, job_url, 1 as priority from a_rows
           union all select profile_id, order_key, job_url, 2 from b_rows
           union all select profile_id, idx, job_url, 3 from fleet_cut),
-markers as (select distinct profile_id, 1 as priority from ans_a
+markers as (select profile_id, 1 as priority from asked where profile_id not in (select profile_id from spoilt)
             union all select distinct profile_id, 2 from b_rows
             union all select distinct profile_id, 3 from fleet_cut),
 chosen as (select profile_id, min(priority) as priority from markers group by profile_id),
@@ -172,13 +197,16 @@ select profile_id, pos, job_url, source from
   (select *, row_number() over (partition by profile_id order by order_key, job_url) as pos from picked)
 where pos <= 5""")
 def rerank_fallback(spark, sf_dir):
-    cut = fleet_cut(spark, sf_dir)
+    cut = stored_cut(spark, sf_dir)
     a_ans = answers_a(spark, sf_dir, cut)
     a_rows = RR.positional_a(cut, a_ans)
     b_rows = RR.positional_b(cut, answers_b(spark, sf_dir, cut))
     score_rows = cut.select("profile_id", F.col("idx").alias("order_key"), "job_url")
-    picked = RR.fallback(score_rows, a_rows, a_ans.select("profile_id").distinct(), b_rows)
-    top = top_n_per_group(picked, ["profile_id"], [F.col("order_key"), F.col("job_url")], 5, rank_col="pos")
+    picked = RR.fallback(score_rows, a_rows, usable_a(spark, sf_dir, cut, a_ans), b_rows)
+    limit = L.profiles(spark, sf_dir).select(
+        "profile_id", F.coalesce("notification.max_jobs_per_email", F.lit(D.DIGEST_DEFAULTS["max_jobs_per_email"])).alias("n"))
+    top = top_n_per_group(picked.join(limit, "profile_id"), ["profile_id"], [F.col("order_key"), F.col("job_url")],
+                          F.col("n"), rank_col="pos")
     return top.select("profile_id", F.col("pos").cast("bigint").alias("pos"), "job_url", "source")
 
 
@@ -192,5 +220,5 @@ from fleet_cut""")
 def rerank_requests(spark, sf_dir):
     """What a reranker is sent for each profile's cut: one document per
     candidate (A) and one numbered line per candidate (B)."""
-    cut = fleet_cut(spark, sf_dir).withColumn("reason", F.concat(F.lit("model score "), F.col("score").cast("string")))
+    cut = L.fleet_details(spark, sf_dir, fleet_cut(spark, sf_dir)).withColumn("reason", F.concat(F.lit("model score "), F.col("score").cast("string")))
     return cut.select("profile_id", "idx", RR.rerank_document().alias("document"), RR.rerank_line().alias("line"))

@@ -51,24 +51,25 @@ def keyword_reason(spark, sf_dir):
     return x.select("profile_id", "job_url", S.boost_reason("reason0", "score", "adjusted").alias("reason"))
 
 
-def relevance_ctes(evidence: bool, p: str = "") -> str:
+def relevance_ctes(evidence: bool, p: str = "", bar: str = f"score >= {S.MIN_SCORE}") -> str:
     """CTEs ending in ``{p}rel`` (columns item_id, doc_id, n_terms, matched, total, score)."""
-    lvl = "least(tf, 3)" if evidence else "1"
+    lvl = "tf" if evidence else "1"
     return f"""
 {p}dt as (select distinct doc, term from (select doc_id as doc, unnest({V.tokens_sql('text')}) as term from documents)),
 {p}n as (select count(*) as n from documents),
 {p}stats as (select term, count(*) as df from {p}dt group by term),
-{p}eligible as (select term, cast(1 + floor(x.n / df) as bigint) as weight from {p}stats, {p}n x
-                where df <= x.n * {S.STOP_SHARE}),
+{p}weight as (select term, cast(round(100 * ln(x.n / df)) as bigint) as weight from {p}stats, {p}n x),
 {p}qt as (select q, term, count(*) as tf from
         (select item_id as q, unnest({V.tokens_sql('text')}) as term from benchmark) group by q, term),
-{p}qw as (select q, term, weight * {lvl} as w from {p}qt join {p}eligible using (term)),
+{p}qw as (select q, term, weight * {lvl} as w from {p}qt join {p}weight using (term)),
 {p}total as (select q, sum(w) as total from {p}qw group by q),
 {p}matched as (select q, doc, sum(w) as matched, count(*) as n_terms from {p}qw join {p}dt using (term) group by q, doc),
 {p}rel as (
-  select m.q as item_id, m.doc as doc_id, m.n_terms, cast(m.matched as bigint) as matched,
-         cast(t.total as bigint) as total, cast(floor(100 * m.matched / t.total) as int) as score
-  from {p}matched m join {p}total t using (q))"""
+  select * from (
+    select m.q as item_id, m.doc as doc_id, m.n_terms, cast(m.matched as bigint) as matched,
+           cast(t.total as bigint) as total, cast(floor(100 * m.matched / t.total) as int) as score
+    from {p}matched m join {p}total t using (q))
+  where {bar})"""
 
 
 def _relevance_sql(evidence: bool) -> str:
@@ -153,7 +154,7 @@ def scoring_attempts(spark, sf_dir):
     """The scorer's work queue as landed: one row per call attempt."""
     e = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
     et = F.col("event_type")
-    status = (F.when(et == "error", "503").when(et == "view", "429").when(et == "signup", "transport")
+    status = (F.when(et == "error", "500").when(et == "view", "429").when(et == "signup", "transport")
               .when(et == "click", "200").otherwise("400"))
     return e.select(
         F.concat_ws(":", F.col("user_id").cast("string"), F.get_json_object("props", "$.k")).alias("request_id"),
@@ -165,21 +166,26 @@ def scoring_attempts(spark, sf_dir):
 with a as (
   select concat_ws(':', cast(user_id as varchar), json_extract_string(props, '$.k')) as request_id,
          cast(1 + (floor(value) % 4) as int) as attempt,
-         case event_type when 'error' then '503' when 'view' then '429' when 'signup' then 'transport'
+         case event_type when 'error' then '500' when 'view' then '429' when 'signup' then 'transport'
                          when 'click' then '200' else '400' end as status, ts as "at"
   from events),
 l as (select *, row_number() over (partition by request_id order by attempt desc, "at" desc) as rn,
              count(*) over (partition by request_id) as n_attempts from a)
 select request_id, n_attempts, attempt, status, {sql_ts_text('"at"', True)} as "at",
        {sql_ts_text('"at" + to_seconds(cast(5 * pow(2, attempt - 1) as bigint))', True)} as next_at
-from l where rn = 1 and status in ('429', '502', '503', 'transport') and attempt < 3""")
+from l where rn = 1 and status <> '200' and attempt < 3""")
 def retry_eligible(spark, sf_dir):
     x = S.retry_eligible(scoring_attempts(spark, sf_dir))
     return x.select("request_id", "n_attempts", "attempt", "status", ts_text("at", True).alias("at"),
                     ts_text("next_at", True).alias("next_at"))
 
 
-@query("scorer_batch", "J3")
+@query("scorer_batch", "J3", V.with_(V.FLEET_JOBS, V.PROFILES_FLAT, """
+w as (select j.profile_id, j.job_url, ['buyer', 'in', lower(p.segment)] as want,
+             string_split_regex(lower(j.description), '\\s+') as have
+      from fleet_jobs j join profiles_flat p on p.profile_id = j.profile_id),
+s as (select profile_id, job_url, cast(floor(100 * len(list_intersect(want, have)) / 3) as double) as score from w)""") + """
+select *, cast(cast(score as int) as varchar) || '% of profile words present' as reason from s""")
 def scorer_batch(spark, sf_dir):
     p = L.profiles(spark, sf_dir).select("profile_id", "resume")
     req = L.fleet_jobs(spark, sf_dir).join(p, "profile_id")

@@ -5,6 +5,7 @@ batch queries they must equal."""
 from __future__ import annotations
 
 from rankloom.plans import digest as DG
+from rankloom.plans import oracle_views as V
 from rankloom.plans import feedback as FBQ  # noqa: F401  registers the batch oracles used below
 from rankloom.plans import ingest as IQ  # noqa: F401
 from rankloom.plans import proposals as PQ
@@ -22,16 +23,26 @@ def stream_feedback(spark, sf_dir):
     return ST.feedback_stream(spark, sf_dir)
 
 
-@query("stream_replies", "K3 C8 H11", "with " + PQ.REPLY_MATCH_CTES + ",\n" + PQ._FW.strip()[len("with "):] + f""",
+_NEG = ", ".join(repr(w) if "'" not in w else "'" + w.replace("'", "''") + "'" for w in PQ.RP.NEGATIONS)
+
+
+@query("stream_replies", "K3 C8 H11 H12", "with " + PQ.REPLY_MATCH_CTES + f""",
+said as (
+  select conv_id, turn, case conv_id % 4 when 0 then 'Reject, thanks' when 1 then 'yes please' when 2 then 'no' else text end as t0
+  from conversations where role = 'user'),
+w0 as (select conv_id, turn, regexp_replace(lower((string_split_regex(regexp_replace(t0, '^\\s+', ''), '\\s+'))[1]),
+                                            '^[.,!?;:''"]+|[.,!?;:''"]+$', '', 'g') as w from said),
+w1 as (select *, regexp_replace(w, '[^\\x00-\\x7F]', '#', 'g') as wa from w0),
 x as (select m.*,
         case when w in ({', '.join(repr(x) for x in PQ.RP.APPROVE_WORDS)}) then 'approve'
              when w in ({', '.join(repr(x) for x in PQ.RP.REJECT_WORDS)}) then 'reject'
-             when {PQ._fuzzy_sql(PQ.RP.APPROVE_WORDS)} then 'approve'
-             when {PQ._fuzzy_sql(PQ.RP.REJECT_WORDS)} then 'reject'
+             when {PQ._fuzzy_sql(PQ.RP.APPROVE_WORDS)} and length(w) >= 4 and w not in ({_NEG}) then 'approve'
+             when {PQ._fuzzy_sql(PQ.RP.REJECT_WORDS)} and length(w) >= 4 then 'reject'
              else 'freeform' end as intent
       from m join w1 on w1.conv_id = m.uid // 1000 and w1.turn = m.uid % 1000)
 select proposal_id, uid, matched_by, intent,
-       case intent when 'approve' then 'apply' when 'reject' then 'discard' else 'revise' end as action
+       case intent when 'approve' then 'apply' when 'reject' then 'discard' else 'revise' end as action,
+       case intent when 'approve' then 'applied' when 'reject' then 'discarded' else 'revised' end as state
 from x""")
 def stream_replies(spark, sf_dir):
     return ST.replies_stream(spark, sf_dir)
@@ -54,8 +65,20 @@ def stream_activity(spark, sf_dir):
     return x.select(ts_text("window_start").alias("window_start"), "event_type", "n")
 
 
+@query("stream_sliding", "K5", f"""
+with h as (select event_type, date_trunc('hour', ts) as hour from events),
+s as (select event_type, hour - to_hours(k) as start from h, (select unnest(range(24)) as k))
+select {sql_ts_text("start")} as window_start, event_type, count(*) as n
+from s where epoch(start) % (6 * 3600) = 0 group by all""")
+def stream_sliding(spark, sf_dir):
+    """24-hour windows, every six hours."""
+    x = ST.activity_stream(spark, sf_dir, "sliding", "24 hours", "6 hours")
+    return x.select(ts_text("window_start").alias("window_start"), "event_type", "n")
+
+
 @query("stream_insights", "K6 D10", f"""
-select user_id as profile_id, count(*) // {ST.INSIGHTS_EVERY} as runs, count(*) % {ST.INSIGHTS_EVERY} as carried
-from events where event_type in ('purchase', 'error', 'view') group by user_id""")
+select profile_id, c // {ST.INSIGHTS_EVERY} as runs, c % {ST.INSIGHTS_EVERY} as carried from (
+  {V.with_(V.FEEDBACK_EVENTS, V.fold_sql("fold_now"))}
+  select profile_id, count_if(user_rating is not null or coalesce(notes, '') <> '') as c from fold_now group by 1)""")
 def stream_insights(spark, sf_dir):
     return ST.insights_stream(spark, sf_dir)

@@ -27,7 +27,16 @@ def replies_from(conversations: DataFrame) -> DataFrame:
         F.when(t % 4 == 1, message_id(F.col("conv_id"))).alias("in_reply_to"),
         F.when(t % 4 == 3, F.array(message_id(F.col("conv_id") - 1), message_id(F.col("conv_id"))))
          .otherwise(F.array(message_id(F.col("conv_id") + 1))).alias("references"),
-        (t % 5 == 4).alias("seen"), F.col("text").alias("body"))
+        (t % 5 == 4).alias("seen"), reply_body().alias("body"))
+
+
+def reply_body() -> Column:
+    """What the mail says: some clients quote the proposal above the answer,
+    and some users answer in one word."""
+    t, conv = F.col("turn"), F.col("conv_id")
+    said = F.when(conv % 4 == 0, F.lit("Reject, thanks")).when(conv % 4 == 1, F.lit("yes please")) \
+        .when(conv % 4 == 2, F.lit("no")).otherwise(F.col("text"))
+    return F.when(t % 2 == 0, F.concat(F.lit("> Proposal\n> reply yes to apply\n\n"), said)).otherwise(said)
 
 
 def proposals_from(conversations: DataFrame) -> DataFrame:

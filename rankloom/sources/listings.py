@@ -45,15 +45,16 @@ def board_rows(documents: DataFrame, labels: DataFrame, nation: DataFrame) -> Da
     doc = F.col("doc_id")
     x = (d.join(lab, "doc_id", "left")
          .join(nat, (doc % 25) == F.col("n_nationkey")))
+    posted_day = F.date_add(F.lit("2024-01-01").cast("date"), (doc % 60).cast("int")).cast("string")
     date_posted = (F.when(doc % 7 == 0, F.lit("nan"))
                    .when(doc % 11 == 0, F.lit(""))
                    .when(doc % 13 == 0, F.lit(None).cast("string"))
-                   .otherwise(F.date_add(F.lit("2024-01-01").cast("date"),
-                                         (doc % 60).cast("int")).cast("string")))
+                   .when(doc % 6 == 5, F.concat(posted_day, F.lit("T10:00:00")))  # some boards post a time
+                   .otherwise(posted_day))
     return x.select(
         doc.alias("id"),
         F.concat(F.lit("https://l.example/"), F.md5(F.col("text"))).alias("job_url"),
-        F.substring(F.split_part(F.col("text"), F.lit("."), F.lit(1)), 1, 80).alias("title"),
+        F.split_part(F.col("text"), F.lit("."), F.lit(1)).alias("title"),
         F.col("source").alias("employer"),
         F.col("n_name").alias("location"),
         F.col("text").alias("description"),
@@ -135,7 +136,7 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(5).alias("max_jobs_per_email"),
             F.lit(7).alias("max_job_age_days"),
             F.lit(30).alias("rerank_candidates"),
-            F.lit(0.3).alias("rerank_min_score"),
+            F.when(F.col("c_custkey") % 3 == 0, 0.5).when(F.col("c_custkey") % 3 == 1, 0.3).alias("rerank_min_score"),
             F.lit("UTC").alias("timezone"),
             F.lit("{count} new matches - top score {top_score}").alias("email_subject"),
             F.lit("{count} new jobs, best {top_score}").alias("telegram_message"),
@@ -151,37 +152,27 @@ def fleet_url() -> Column:
                        F.col("l_suppkey").cast("string"))
 
 
-def fleet_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listings fetched for every fleet profile: one per ``lineitem`` of its orders."""
+def fleet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings fetched for every fleet profile, one per ``lineitem`` of its
+    orders, with all that selection needs; ``fleet_details`` describes them."""
     li = read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate")
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-    p = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-    s = read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    n = F.broadcast(read(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
     # The jobs table is unique on URL, and the URL is the line item's key, so a
     # re-fetched line item keeps its first version. Dedupe right after the
     # orders join, partitioned by the key columns: a shuffle on l_orderkey (the
     # orders join) already satisfies that distribution, so no extra exchange.
     from rankloom.operators.ranking import first_per_key
-    keyed = first_per_key(li.join(o, li.l_orderkey == o.o_orderkey),
-                          ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
-                          [F.col("l_shipdate"), F.col("l_linestatus"), F.col("l_returnflag")])
-    x = (keyed
-         .join(p, F.col("l_partkey") == p.p_partkey)
-         .join(s, F.col("l_suppkey") == s.s_suppkey)
-         .join(n, F.col("s_nationkey") == F.col("n_nationkey")))
+    x = first_per_key(li.join(o, li.l_orderkey == o.o_orderkey),
+                      ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
+                      [F.col("l_shipdate"), F.col("l_linestatus"), F.col("l_returnflag")])
     return x.select(
         F.col("o_custkey").alias("profile_id"),
         fleet_url().alias("job_url"),
-        F.col("p_name").alias("title"),
-        F.col("s_name").alias("employer"),
-        F.col("n_name").alias("location"),
-        F.concat_ws(" ", "p_type", "p_name", "p_brand").alias("description"),
         ((F.col("l_partkey") * 7 + F.col("l_suppkey") * 13 + F.col("l_linenumber")) % 101)
         .cast("int").alias("score"),
         (F.col("l_linestatus") == "O").alias("is_remote"),
-        F.replace(F.lower(F.substring("o_orderpriority", 3, 100)), F.lit(" "), F.lit("_")).alias("job_type"),
+        F.replace(F.lower(F.expr("substring(o_orderpriority, 3)")), F.lit(" "), F.lit("-")).alias("job_type"),
         F.when(F.col("l_returnflag") == "R", F.lit("nan"))
          .otherwise(F.to_date("l_shipdate").cast("string")).alias("date_posted"),
         F.col("o_orderdate").cast("timestamp").alias("discovered_at"),
@@ -189,6 +180,25 @@ def fleet_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fleet_details(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """``rows`` plus title, employer, location and description, by its part and
+    supplier; selections come first, so that only the rows they leave are joined."""
+    p = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    n = F.broadcast(read(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    x = (rows.join(p, F.col("l_partkey") == p.p_partkey)
+         .join(s, F.col("l_suppkey") == s.s_suppkey)
+         .join(n, F.col("s_nationkey") == F.col("n_nationkey")))
+    return x.select(
+        *rows.columns, F.col("p_name").alias("title"), F.col("s_name").alias("employer"),
+        F.col("n_name").alias("location"), F.concat_ws(" ", "p_type", "p_name", "p_brand").alias("description"))
+
+
+def fleet_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fleet listing with its description."""
+    return fleet_details(spark, sf_dir, fleet_rows(spark, sf_dir))
+
+
 FEEDBACK_KIND = {"purchase": "rate", "error": "rate", "click": "applied", "view": "note", "signup": "hide"}
 
 

@@ -1,7 +1,7 @@
 """Structured Streaming forms of the batch jobs (K1-K6).
 
-Sources are file streams over the landed tables (one table per stream, picked
-with ``pathGlobFilter``); sinks are parquet folders under the shared
+Sources are file streams over the landed tables (one table per stream, a file
+or a folder of files); sinks are parquet folders under the shared
 checkpoint folder. Every sink write goes through ``foreachBatch`` keyed by the
 micro-batch id, so a replayed batch overwrites its own output instead of
 adding to it (exactly-once on top of the checkpointed offsets).
@@ -16,45 +16,43 @@ from __future__ import annotations
 import os
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import DateType, LongType, StringType, StructField, StructType, TimestampType
 
+from rankloom.functions.text import strip_quoted
 from rankloom.operators import feedback as FB
 from rankloom.operators import ingest as I
 from rankloom.operators import replies as RP
 from rankloom.session import table_dir
 from rankloom.sources.inbox import proposals_from, replies_from
 from rankloom.sources.listings import board_rows, feedback_log
-from rankloom.sources.tables import align_to, has_subdirs, read, read_or_empty
+from rankloom.sources.tables import align_to, has_subdirs, read
 
 
 INGEST_SINK = StructType([StructField("id", LongType()), StructField("job_url", StringType()),
                           StructField("arrival", LongType())])
 LEDGER = StructType([StructField("profile_id", LongType()), StructField("job_url", StringType()),
-                     StructField("sent_at", TimestampType()), StructField("batch_id", IntegerType())])
+                     StructField("sent_at", TimestampType()), StructField("sent_on", DateType())])
 
 
-def file_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int = 1) -> DataFrame:
-    schema = read(spark, sf_dir, table).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-            .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
+def file_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int | None = None) -> DataFrame:
+    """A landed table as a file stream, whether it is one file or a folder of
+    files. ``max_files`` bounds a micro-batch; by default one takes all that is there."""
+    path = os.path.join(sf_dir, f"{table}.parque[t]")  # as a pattern it may name a file or a folder
+    reader = spark.readStream.schema(read(spark, sf_dir, table).schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(path)
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
     return table_dir(spark, f"stream-{name}-{uuid.uuid4().hex[:12]}")
 
 
-def _run(query_writer, timeout_s: int = 600):
-    q = query_writer.trigger(availableNow=True).start()
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("stream did not drain in time")
-    if q.exception():
-        raise q.exception()
+def _run(query_writer):
+    """Drain what has landed; a failed batch raises here."""
+    query_writer.trigger(availableNow=True).start().awaitTermination()
 
 
 def _batch_writer(out: str, transform):
@@ -77,7 +75,7 @@ def latest_per_key(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
 
 # --------------------------------------------------------------------------- K1
 
-def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ingest_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
     """K1: landed documents -> board listing rows -> per batch: first arrival per
     URL, anti join against what earlier batches stored, append.
 
@@ -85,7 +83,7 @@ def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     table would be bucketed by ``job_url`` so the anti join does not shuffle it.
     """
     out = run_dir(spark, "ingest")
-    docs = file_stream(spark, sf_dir, "documents")
+    docs = file_stream(spark, sf_dir, "documents", max_files)
     rows = board_rows(docs, read(spark, sf_dir, "labels"), read(spark, sf_dir, "nation")).select("id", "arrival", "job_url")
 
     def step(batch: DataFrame, batch_id: int):
@@ -103,10 +101,10 @@ def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --------------------------------------------------------------------------- K2
 
-def feedback_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def feedback_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
     """K2: the feedback fold as a streaming aggregation in update mode."""
     out = run_dir(spark, "feedback")
-    log = feedback_log(file_stream(spark, sf_dir, "events"))
+    log = feedback_log(file_stream(spark, sf_dir, "events", max_files))
     state = FB.fold(log, ["profile_id", "listing_id"])
     _run(state.writeStream.outputMode("update")
          .foreachBatch(_batch_writer(out, lambda df, bid: df.withColumn("batch_id", F.lit(bid))))
@@ -122,48 +120,81 @@ ACTIONS = {"approve": "apply", "reject": "discard", "freeform": "revise"}
 
 
 def reply_actions(replies: DataFrame, proposals: DataFrame) -> DataFrame:
-    """K3 step: match replies to proposals (C8), classify the matched reply
-    (H11), and decide: approve -> apply, reject -> discard, else revise."""
+    """K3 step: match replies to proposals (C8), classify what the matched reply
+    itself says (H12 takes quoted lines out, H11 in its strict mode, because the
+    answer is acted on), and decide: approve -> apply, reject -> discard, else revise."""
     m = RP.match(replies, proposals)
-    body = replies.select("uid", RP.intent("body").alias("intent"))
+    body = replies.select("uid", RP.intent(strip_quoted("body"), parity=False).alias("intent"))
     act = F.element_at(F.create_map(*[x for k, v in ACTIONS.items() for x in (F.lit(k), F.lit(v))]), F.col("intent"))
     return m.join(body, "uid").withColumn("action", act)
 
 
-def replies_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K3: each micro-batch of landed replies is matched, classified and
-    turned into one action per proposal; the latest batch wins per proposal."""
+def replies_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+    """K3: each micro-batch of landed replies is matched, classified and turned
+    into one action per proposal, and the proposal's state follows: ``applied``
+    and ``discarded`` are final, ``revised`` waits for the next reply. A batch
+    sees the states that earlier batches left and touches open proposals only;
+    a References match never replaces an In-Reply-To match."""
     out = run_dir(spark, "replies")
     proposals = proposals_from(read(spark, sf_dir, "conversations"))
-    inbox = replies_from(file_stream(spark, sf_dir, "conversations"))
-    step = lambda df, bid: reply_actions(df, proposals).withColumn("batch_id", F.lit(bid))
+    inbox = replies_from(file_stream(spark, sf_dir, "conversations", max_files))
+
+    def step(batch: DataFrame, batch_id: int):
+        act = reply_actions(batch, proposals).withColumn("batch_id", F.lit(batch_id)).withColumn(
+            "state", F.element_at(F.create_map(*[x for k, v in STATES.items() for x in (F.lit(k), F.lit(v))]), F.col("action")))
+        if not has_subdirs(spark, out, "batch_id="):
+            return act
+        before = proposal_states(spark, out, batch_id)
+        closed = before.filter(F.col("state").isin("applied", "discarded"))
+        direct = before.filter(F.col("matched_by") == "in_reply_to").select("proposal_id", F.lit("references").alias("matched_by"))
+        return (act.join(closed, "proposal_id", "left_anti")
+                .join(direct, ["proposal_id", "matched_by"], "left_anti"))
+
     _run(inbox.writeStream.foreachBatch(_batch_writer(out, step))
          .option("checkpointLocation", os.path.join(out, "_checkpoint")))
-    return latest_per_key(spark, out, ["proposal_id"]).select("proposal_id", "uid", "matched_by", "intent", "action")
+    return proposal_states(spark, out).select("proposal_id", "uid", "matched_by", "intent", "action", "state")
+
+
+STATES = {"apply": "applied", "discard": "discarded", "revise": "revised"}
+
+
+def proposal_states(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:
+    """The state of each proposal after the batches below ``before`` (all by default)."""
+    x = spark.read.parquet(out)
+    x = x if before is None else x.filter(F.col("batch_id") < before)
+    cols = [c for c in x.columns if c not in ("proposal_id", "batch_id")]
+    last = x.groupBy("proposal_id").agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("r"))
+    return last.select("proposal_id", "r.*")
 
 
 # --------------------------------------------------------------------------- K4
 
 def digest_stream(spark: SparkSession, sf_dir: str, as_of: str, ledger_dir: str | None = None) -> DataFrame:
-    """K4: one digest per trigger; the ledger append is an anti join on
-    (profile, url), so re-running the same day adds nothing."""
+    """K4: one digest per (profile, day). What the ledger already holds is left
+    out before the cut to ``max_jobs_per_email``, so sent listings never hold a
+    place; the day's rows go to a folder of their own (``sent_on=<day>``). A
+    second run of a day, or a replayed batch, writes that day again from the
+    other days' rows: the same rows, and no other day is touched."""
     from rankloom.plans.digest import board_candidates
     from rankloom.operators import digest as D
     ledger_dir = ledger_dir or run_dir(spark, "ledger")
+    day = as_of[:10]
     trigger = file_stream(spark, sf_dir, "region")  # the daily tick: any landed file
 
     def step(_: DataFrame, batch_id: int):
-        top = D.top_by_score(board_candidates(spark, sf_dir, as_of), 5)
-        new = top.select("profile_id", "job_url").withColumn("sent_at", F.lit(as_of).cast("timestamp"))
         # a ledger that does not exist yet is an empty ledger (A5)
-        have = read_or_empty(spark, ledger_dir, LEDGER) if has_subdirs(spark, ledger_dir, "batch_id=") \
-            else spark.createDataFrame([], LEDGER)
-        have = have.filter(F.col("batch_id") != batch_id)
-        return new.join(have.select("profile_id", "job_url"), ["profile_id", "job_url"], "left_anti")
+        have = (spark.read.schema(LEDGER).parquet(ledger_dir) if has_subdirs(spark, ledger_dir, "sent_on=")
+                else spark.createDataFrame([], LEDGER))
+        other = have.filter(F.col("sent_on") != F.lit(day).cast("date")).select("profile_id", "job_url")
+        fresh = board_candidates(spark, sf_dir, as_of).join(other, ["profile_id", "job_url"], "left_anti")
+        top = D.top_by_score(fresh, F.col("max_jobs_per_email"))
+        rows = top.select("profile_id", "job_url", F.lit(as_of).cast("timestamp").alias("sent_at"))
+        rows.write.mode("overwrite").parquet(os.path.join(ledger_dir, f"sent_on={day}"))
 
-    _run(trigger.writeStream.foreachBatch(_batch_writer(ledger_dir, step))
-         .option("checkpointLocation", os.path.join(ledger_dir, f"_checkpoint_{uuid.uuid4().hex[:8]}")))
-    return spark.read.parquet(ledger_dir).select("profile_id", "job_url", "sent_at")
+    # each run is one tick of its own; the ledger's day folders make it idempotent
+    _run(trigger.writeStream.foreachBatch(step)
+         .option("checkpointLocation", os.path.join(run_dir(spark, "digest-tick"), "_checkpoint")))
+    return spark.read.schema(LEDGER).parquet(ledger_dir).select("profile_id", "job_url", "sent_at")
 
 
 # --------------------------------------------------------------------------- K5
@@ -188,18 +219,21 @@ def activity_counts(events: DataFrame, keys: list[str], **window) -> DataFrame:
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "n"))
 
 
-def activity_stream(spark: SparkSession, sf_dir: str, window: str = "1 day", watermark: str = "2 days") -> DataFrame:
-    """K5: tumbling activity windows per event type with a watermark for late
-    rows (update mode; latest value per window wins on read)."""
+def activity_stream(spark: SparkSession, sf_dir: str, kind: str = "tumbling", size: str = "1 day",
+                    slide: str | None = None, watermark: str | None = None, max_files: int | None = None) -> DataFrame:
+    """K5: activity windows per event type as a stream (update mode; the latest
+    value per window wins on read). Without a ``watermark`` no event is ever too
+    late and the state keeps every window; with one, state is bounded and events
+    later than it are left out, so the result may fall short of the batch query."""
     out = run_dir(spark, "activity")
-    ev = file_stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    agg = (ev.withWatermark("ts", watermark).groupBy(activity_window("tumbling", window), "event_type")
-           .agg(F.count("*").alias("n")))
-    flat = lambda df, bid: df.select(F.col("window.start").alias("window_start"), "event_type", "n",
-                                     F.lit(bid).alias("batch_id"))
+    ev = file_stream(spark, sf_dir, "events", max_files).select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    ev = ev.withWatermark("ts", watermark) if watermark else ev
+    agg = ev.groupBy(activity_window(kind, size, slide), "event_type").agg(F.count("*").alias("n"))
+    flat = lambda df, bid: df.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
+                                     "event_type", "n", F.lit(bid).alias("batch_id"))
     _run(agg.writeStream.outputMode("update").foreachBatch(_batch_writer(out, flat))
          .option("checkpointLocation", os.path.join(out, "_checkpoint")))
-    return latest_per_key(spark, out, ["window_start", "event_type"])
+    return latest_per_key(spark, out, ["window_start", "window_end", "event_type"])
 
 
 # --------------------------------------------------------------------------- K6
@@ -207,26 +241,12 @@ def activity_stream(spark: SparkSession, sf_dir: str, window: str = "1 day", wat
 INSIGHTS_EVERY = FB.INSIGHTS_THRESHOLD
 
 
-def _count_feedback(key, pdfs, state):
-    """Per profile: add this batch's feedback events to the carried count; every
-    full 10 fires one insights run; the remainder carries over."""
-    carried = state.get[0] if state.exists else 0
-    total = carried + sum(len(p) for p in pdfs)
-    runs, rest = divmod(total, INSIGHTS_EVERY)
-    prev_runs = state.get[1] if state.exists else 0
-    state.update((rest, prev_runs + runs))
-    yield pd.DataFrame({"profile_id": [key[0]], "runs": [prev_runs + runs], "carried": [rest]})
-
-
-def insights_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K6: stateful 'new feedback since last run' trigger with
-    ``applyInPandasWithState`` (state per profile: carried count, runs)."""
-    out = run_dir(spark, "insights")
-    ev = file_stream(spark, sf_dir, "events").filter(F.col("event_type").isin("purchase", "error", "view"))
-    x = ev.select(F.col("user_id").alias("profile_id"), "event_id").groupBy("profile_id").applyInPandasWithState(
-        _count_feedback, "profile_id long, runs long, carried long", "carried long, runs long",
-        "update", GroupStateTimeout.NoTimeout)
-    _run(x.writeStream.outputMode("update")
-         .foreachBatch(_batch_writer(out, lambda df, bid: df.withColumn("batch_id", F.lit(bid))))
-         .option("checkpointLocation", os.path.join(out, "_checkpoint")))
-    return latest_per_key(spark, out, ["profile_id"])
+def insights_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+    """K6: the trigger on K2's state. The fold is kept as a streaming aggregate;
+    from its latest rows the rated-or-noted listings of a profile are counted
+    (D10: cleared ratings and notes, invalid ratings and repeats do not count),
+    and every full 10 is one insights run."""
+    state = feedback_stream(spark, sf_dir, max_files)
+    n = state.groupBy("profile_id").agg(F.count_if(FB.B.rated_or_noted()).alias("n"))
+    return n.select("profile_id", F.expr(f"n div {INSIGHTS_EVERY}").alias("runs"),
+                    (F.col("n") % INSIGHTS_EVERY).alias("carried"))

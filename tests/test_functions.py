@@ -81,3 +81,49 @@ def test_apply_and_revert_are_case_insensitive(spark):
 def test_change_text_none(spark):
     df = spark.createDataFrame([([], [], [])], f"b {KW}, p {KW}, t array<string>")
     assert df.select(P.change_text("b", "p", "t").alias("x")).first().x == "no new items"
+
+
+def test_no_break_space_and_line_ends(spark):
+    from rankloom.functions.text import first_word, strip_quoted
+    df = spark.createDataFrame([("\u00a0yes\u00a0please",), ("> a\u2028no\x0b> b",), ("\u3000 ",)], "t string")
+    assert [r.w for r in df.select(first_word(strip_quoted("t")).alias("w")).collect()] == ["yes", "no", ""]
+
+
+def test_badges_capitalise_after_any_non_letter(spark):
+    from rankloom.operators.render import badge_text
+    df = spark.createDataFrame([("full-time/contract",), ("PART_time",), ("",)], "t string")
+    assert [r.b for r in df.select(badge_text("t").alias("b")).collect()] == ["Full-Time/Contract", "Part Time", ""]
+
+
+def test_every_failed_call_is_retried(spark):
+    from rankloom.operators.scoring import retryable
+    df = spark.createDataFrame([("200",), ("400",), ("500",), ("transport",), (None,)], "s string")
+    assert [r.r for r in df.select(retryable("s").alias("r")).collect()] == [False, True, True, True, None]
+
+
+def test_reverted_entries_stay_reverted_and_texts_leave_empty_lists_out(spark):
+    from rankloom.operators import proposals as P
+    kw = "array<struct<keyword:string,weight:double>>"
+    prof = spark.createDataFrame([(1, ([("a", 1.0)], []), (["t"],))],
+                                 f"profile_id long, scoring struct<boost:{kw},penalize:{kw}>, search struct<terms:array<string>>")
+    entry = spark.createDataFrame([(1, 1, [("A", 1.0)], [], [], True)],
+                                  f"profile_id long, entry_id int, boost_added {kw}, penalize_added {kw}, terms_added array<string>, reverted boolean")
+    r = P.revert(prof, entry).first()
+    assert (r.reverted, r.removed, r.refused) == (True, 0, "already reverted")
+    df = spark.createDataFrame([("s", [("k", 1.0)], [], None), ("s", [], None, [])], f"s string, b {kw}, p {kw}, t array<string>")
+    texts = [r.x for r in df.select(P.proposal_text("s", "b", "p", "t").alias("x")).collect()]
+    assert "Boost: k" in texts[0] and "Penalize" not in texts[0] and "Nothing to change" in texts[1]
+
+
+def test_relevance_on_a_tiny_corpus_and_lossless_bar(spark):
+    from rankloom.operators import scoring as S
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(
+        ["red fox runs", "red hen sits", "blue fox sits", "red red sea", "green"])], "d long, t string")
+    q = spark.createDataFrame([(1, "red fox sits"), (2, "green sea sea")], "q long, t string")
+    full = {(r.q, r.d): r.score for r in S.relevance(spark, q, "q", "t", docs, "d", "t", evidence=True, min_score=0).collect()}
+    assert full[(1, 0)] > 0 and full[(2, 4)] > 0
+    for bar in (1, 30, 60, 100):
+        got = {(r.q, r.d): r.score for r in S.relevance(spark, q, "q", "t", docs, "d", "t", evidence=True, min_score=bar).collect()}
+        assert got == {k: s for k, s in full.items() if s >= bar}
+    some = S.relevance(spark, q, "q", "t", docs, "d", "t", evidence=True, min_score=0, only=docs.filter("d < 2"))
+    assert {(r.q, r.d): r.score for r in some.collect()} == {k: s for k, s in full.items() if k[1] < 2}

@@ -4,10 +4,12 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import rerank as RR
 from rankloom.operators.ranking import top_n_per_group
+from rankloom.plans.rerank import numbered
 
 
 def _cands(spark):
-    return spark.createDataFrame([(1, i, f"u{i}") for i in range(3)], "profile_id long, idx int, job_url string")
+    return spark.createDataFrame([(1, i, f"u{i}", 0.3) for i in range(3)],
+                                 "profile_id long, idx int, job_url string, rerank_min_score double")
 
 
 def _order(df):
@@ -54,8 +56,21 @@ def test_salted_top_n_equals_plain_window(spark):
     assert sorted(a.select("g", "id", "rank").collect()) == sorted(b.select("g", "id", "rank").collect())
 
 
-def test_cosine(spark):
-    df = spark.createDataFrame([([1.0, 0.0], [1.0, 0.0]), ([1.0, 0.0], [0.0, 2.0]), ([0.0, 0.0], [1.0, 1.0])],
-                               "a array<double>, b array<double>")
-    got = [r.c for r in df.select(RR.cosine("a", "b").alias("c")).collect()]
-    assert got == [1.0, 0.0, None]
+ANSWER = "profile_id long, resp_pos int, index long, relevance_score double"
+
+
+def test_a_bad_index_fails_its_own_profile_only(spark):
+    cands = spark.createDataFrame([(p, i, f"u{p}{i}", 0.3) for p in range(1, 5) for i in range(3)],
+                                  "profile_id long, idx int, job_url string, rerank_min_score double")
+    ans = spark.createDataFrame([(1, 0, 2, 0.9), (2, 0, 3, 0.9), (2, 1, 0, 0.9), (3, 0, None, 0.9), (4, 0, -4, 0.9)], ANSWER)
+    assert [r.job_url for r in RR.positional_a(cands, ans).collect()] == ["u12"]
+    assert [r.profile_id for r in RR.usable_a(cands, ans).collect()] == [1]
+
+
+def test_long_lists_and_duplicate_answers_are_kept_whole(spark):
+    cands = spark.createDataFrame([(1, i, f"u{i}", 0.5) for i in range(45)],
+                                  "profile_id long, idx int, job_url string, rerank_min_score double")
+    ans = spark.createDataFrame([(1, k, k % 45, 0.6 if k % 2 else 0.4) for k in range(90)], ANSWER)
+    got = RR.positional_a(cands, ans)
+    assert got.count() == 45  # those at the profile's own minimum, repeats too
+    assert numbered(got, ["profile_id"], ["order_key"]).agg(F.max("pos")).first()[0] == 45

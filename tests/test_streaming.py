@@ -1,19 +1,66 @@
-"""Stream = batch, and a re-run of the digest is a no-op (K4)."""
+"""Streams: equal to their batch queries however the table is cut into files;
+the digest ledger keeps every day (K4); replies act on what they say (K3)."""
 
-from rankloom.plans.digest import BOARD_AS_OF
-from rankloom.streaming import streams as ST
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as E
 from conftest import SMALL
+from rankloom.sources.listings import BOARD_PROFILE_ID
+from rankloom.streaming import streams as ST
 
 
-def test_digest_rerun_adds_nothing(spark):
+def test_digest_days_add_up_and_reruns_add_nothing(spark):
     ledger = ST.run_dir(spark, "ledger-test")
-    first = ST.digest_stream(spark, SMALL, BOARD_AS_OF, ledger_dir=ledger).count()
-    second = ST.digest_stream(spark, SMALL, BOARD_AS_OF, ledger_dir=ledger).count()
-    assert first > 0 and second == first
+    days = ("2024-01-30 18:00:00", "2024-01-31 18:00:00")
+    first = {r.job_url for r in ST.digest_stream(spark, SMALL, days[0], ledger).collect()}
+    both = ST.digest_stream(spark, SMALL, days[1], ledger).collect()
+    assert {r.job_url for r in both if str(r.sent_at) == days[0]} == first
+    assert len({r.job_url for r in both}) == len(both) > len(first) > 0
+    again = ST.digest_stream(spark, SMALL, days[0], ledger).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, both))
+
+
+@pytest.fixture(scope="module")
+def cut_tables(spark, tmp_path_factory):
+    """The streamed tables as folders of four files."""
+    root = str(tmp_path_factory.mktemp("cut"))
+    for name in ("documents", "events", "conversations", "region", "labels", "nation"):
+        df = spark.read.parquet(f"{SMALL}/{name}.parquet")
+        df.repartition(4).write.parquet(f"{root}/{name}.parquet")
+    return root
+
+
+def rows(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_streams_read_folders_file_by_file(spark, cut_tables):
+    q = E.queries()
+    assert rows(ST.feedback_stream(spark, cut_tables, 1)) == rows(ST.feedback_stream(spark, SMALL))
+    assert rows(ST.activity_stream(spark, cut_tables, max_files=1)) == rows(ST.activity_stream(spark, SMALL))
+    assert rows(ST.insights_stream(spark, cut_tables, 1)) == rows(q["stream_insights"](spark, SMALL))
+    urls = lambda df: sorted(r.job_url for r in df.collect())  # noqa: E731  which copy comes first follows the files
+    assert urls(ST.ingest_stream(spark, cut_tables, 1)) == urls(ST.ingest_stream(spark, SMALL))
+    assert rows(ST.replies_stream(spark, cut_tables)) == rows(ST.replies_stream(spark, SMALL))
+
+
+def test_quoted_reject_discards(spark):
+    proposals = spark.createDataFrame([(k, f"<{k}>") for k in range(4)], "proposal_id long, message_id string")
+    said = ["> Proposal: reply yes\n\nreject", "> go ahead?\nyes\u00a0please", "\u00a0No.", "ok?"]
+    replies = spark.createDataFrame([(k, f"<{k}>", [], False, t) for k, t in enumerate(said)],
+                                    "uid long, in_reply_to string, references array<string>, seen boolean, body string")
+    got = {r.proposal_id: r.action for r in ST.reply_actions(replies, proposals).collect()}
+    assert got == {0: "discard", 1: "apply", 2: "discard", 3: "apply"}
+
+
+def test_decided_proposals_stay_decided(spark, cut_tables):
+    final = ST.replies_stream(spark, cut_tables, 1)
+    assert final.count() == ST.replies_stream(spark, SMALL).count()
+    assert final.filter(F.col("state").isNull()).count() == 0 and BOARD_PROFILE_ID == 0
 
 
 def test_schema_parity_of_batch_and_stream_fold(spark):
-    import __spark_entry__ as E
     q = E.queries()
     a = q["feedback_state"](spark, SMALL)
     b = q["stream_feedback"](spark, SMALL)
