@@ -127,10 +127,11 @@ def quality_pass() -> Column:
 
 
 def decide(batch: DataFrame, known: DataFrame, allowed_regions: list[str] | None,
-           require_language: str | None, id_col: str = "id") -> DataFrame:
+           require_language: str | None, id_col: str = "id", detect_all: bool = False) -> DataFrame:
     """Tag every landed row with its ingest decision (D5 input):
     ``no_url``, ``duplicate`` (later arrival in batch), ``known``, ``skipped_region``,
-    ``skipped_language`` or ``new``.
+    ``skipped_language`` or ``new``. The language is detected only for rows that
+    the cheaper rules keep, unless ``detect_all`` asks for it on every row.
 
     The first arrival per URL comes from a grouped ``min`` (partial aggregation
     before the shuffle), not a window, so a URL that lands millions of times
@@ -140,15 +141,21 @@ def decide(batch: DataFrame, known: DataFrame, allowed_regions: list[str] | None
               .join(known.select("job_url").distinct().withColumn("_known", F.lit(True)), "job_url", "left"))
     regions = F.array(*[F.lit(r) for r in allowed_regions]) if allowed_regions else \
         F.lit(None).cast("array<string>")
-    det = detect_language(batch, id_col, F.concat_ws(" ", "title", "description"))
-    x = batch.join(firsts, "job_url", "left").join(det, id_col, "left")
-    decision = (F.when(~B.has_url("job_url"), "no_url")
-                .when(F.col("arrival") > F.col("_first"), "duplicate")
-                .when(F.coalesce(F.col("_known"), F.lit(False)), "known")
-                .when(~B.region_ok("location", "is_remote", regions), "skipped_region")
+    cheap = (F.when(~B.has_url("job_url"), "no_url")
+             .when(F.col("arrival") > F.col("_first"), "duplicate")
+             .when(F.coalesce(F.col("_known"), F.lit(False)), "known")
+             .when(~B.region_ok("location", "is_remote", regions), "skipped_region"))
+    # rows without a URL find no first arrival; left out, they are no hot key of the join
+    urls = batch.filter(B.has_url("job_url")).join(firsts, "job_url", "left")
+    bare = batch.filter(~B.has_url("job_url")).withColumn("_first", F.lit(None)).withColumn("_known", F.lit(None))
+    x = urls.unionByName(bare).withColumn("_cheap", cheap)
+    det = detect_language(x if detect_all else x.filter(F.col("_cheap").isNull()), id_col,
+                          F.concat_ws(" ", "title", "description"))
+    x = x.join(det, id_col, "left")
+    decision = (F.when(F.col("_cheap").isNotNull(), F.col("_cheap"))
                 .when(~B.language_ok("detected_language", F.lit(require_language)), "skipped_language")
                 .otherwise("new"))
-    return x.withColumn("decision", decision).drop("_first", "_known")
+    return x.withColumn("decision", decision).drop("_first", "_known", "_cheap")
 
 
 def counters(decided: DataFrame, keys: list[str] | None = None) -> DataFrame:

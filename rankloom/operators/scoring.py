@@ -16,6 +16,8 @@ ENTITY_BOOST_CAP = 20
 MAX_ATTEMPTS = 3
 BASE_RETRY_WAIT_S = 5
 UNAVAILABLE = "Scoring unavailable"
+SCORE_GUIDE = ("Below 30 means unsuitable, 30 to 55 a partial fit, 56 to 75 a good fit, above 75 an excellent one. "
+               "Use the whole scale and prefer exact marks such as 63 to round ones.")
 
 
 # --------------------------------------------------------------------------- keyword delta
@@ -139,6 +141,7 @@ def scoring_request(profile_resume, profile_description, feedback, title, employ
                               F.nullif(F.col(feedback), F.lit("")).alias("feedback")))
     return F.concat_ws("\n",
                        F.lit("Rate the fit between this candidate and this listing from 0 to 100."),
+                       F.lit(SCORE_GUIDE),
                        F.concat(F.lit("CANDIDATE: "), cand),
                        F.concat(F.lit("TITLE: "), F.coalesce(F.col(title), F.lit(""))),
                        F.concat(F.lit("EMPLOYER: "), F.coalesce(F.col(employer), F.lit(""))),

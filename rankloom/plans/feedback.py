@@ -80,7 +80,7 @@ def feedback_sections(spark, sf_dir):
 _SUMMARY_CUT = (datetime.fromisoformat(BOARD_AS_OF) - timedelta(days=FB.SUMMARY_DAYS)).date().isoformat()
 
 
-@query("feedback_summary", "J10 B12 F4", _ROWS + f""",
+FEEDBACK_SUMMARY_SQL = _ROWS + f""",
 r0 as (select * from state_rows where (user_rating is not null or coalesce(notes, '') <> '')
                                   and cast(discovered_at as date) >= date '{_SUMMARY_CUT}'),
 newest as (select * from (select *, row_number() over (partition by profile_id order by discovered_at desc, job_url) as age
@@ -97,7 +97,10 @@ select c.profile_id, n_liked, n_disliked,
        coalesce(te, '') as top_employers,
        concat('Liked ', cast(n_liked as varchar), ', disliked ', cast(n_disliked as varchar),
               '; liked employers: ', coalesce(nullif(te, ''), 'none')) as summary
-from counts c left join top_emp t on t.profile_id = c.profile_id""")
+from counts c left join top_emp t on t.profile_id = c.profile_id"""
+
+
+@query("feedback_summary", "J10 B12 F4", FEEDBACK_SUMMARY_SQL)
 def feedback_summary(spark, sf_dir):
     return FB.summary(state_rows(spark, sf_dir), BOARD_AS_OF)
 

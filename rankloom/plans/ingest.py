@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankloom.operators import ingest as I
+from rankloom.operators import digest as D
 from rankloom.operators import filters as B
+from rankloom.operators import scoring as S
 from rankloom.plans import oracle_views as V
 from rankloom.plans.digest import BOARD_AS_OF
 from rankloom.plans.registry import query
+from rankloom.plans.scoring import relevance_ctes
 from rankloom.sources import listings as L
 from rankloom.sources.pages import page_fields
 from rankloom.sources.tables import read
@@ -20,6 +23,7 @@ BOARD_REGIONS = ["NATION_1", "nation_2"]
 BOARD_LANGUAGE = "en"
 SCAN_HOURS_OLD = 240
 SCAN_RESULTS = 25
+DIGEST_MIN_SCORE = 10  # term relevance runs lower than a model's marks
 
 
 def _batch(spark, sf_dir):
@@ -120,15 +124,14 @@ def ingest_region(spark, sf_dir):
 select id, detected, language as labelled,
        (detected is null or lower(detected) = 'en') as passed from d""")
 def ingest_language(spark, sf_dir):
-    x = I.normalize(L.raw_fetch(spark, sf_dir)).join(
-        L.listings_raw(spark, sf_dir).select("id", F.col("language").alias("labelled")), "id")
+    x = I.normalize(L.raw_fetch(spark, sf_dir)).withColumnRenamed("term", "labelled")  # the task asked by language
     det = I.detect_language(x, "id", F.concat_ws(" ", "title", "description"))
     x = x.join(det, "id", "left").withColumnRenamed("detected_language", "detected")
     return x.select("id", "detected", "labelled", B.language_ok("detected", F.lit(BOARD_LANGUAGE)).alias("passed"))
 
 
-def _decided(spark, sf_dir):
-    return I.decide(_batch(spark, sf_dir), _known(spark, sf_dir), BOARD_REGIONS, BOARD_LANGUAGE)
+def _decided(spark, sf_dir, detect_all=False):
+    return I.decide(_batch(spark, sf_dir), _known(spark, sf_dir), BOARD_REGIONS, BOARD_LANGUAGE, detect_all=detect_all)
 
 
 _DECIDED_SQL = _BATCH_KNOWN_SQL + f""",
@@ -169,11 +172,66 @@ select site, detected_language, cast(grouping(site, detected_language) as int) a
        count(*) as n_rows, cast(count_if(decision = 'new') as bigint) as n_new
 from decided group by cube (site, detected_language)""")
 def ingest_cube(spark, sf_dir):
-    return (_decided(spark, sf_dir).cube("site", "detected_language")
+    return (_decided(spark, sf_dir, detect_all=True).cube("site", "detected_language")
             .agg(F.grouping_id().cast("int").alias("gid"), F.count("*").alias("n_rows"),
                  F.count_if(F.col("decision") == "new").alias("n_new")))
 
 
+# The board profile of the scored ingest: the text of this benchmark item stands
+# for the resume, and these keywords for the user's weights.
+BOARD_RESUME_ITEM = 5
+BOARD_BOOST = [("thing", 6.0), ("ation", 4.0)]
+BOARD_PENALTY = [("!!", -20.0), ("***", -10.0)]
+
+INGEST_SCORED_SQL = _DECIDED_SQL + ",\n" + relevance_ctes(False, bar=f"item_id = {BOARD_RESUME_ITEM}").strip() + f""",
+scored as (
+  select d.id, d.arrival, d.job_url, d.title, d.company as employer, d.location, d.is_remote, d.job_type, d.date_posted,
+         d.discovered_at, coalesce(r.score, 0) as raw_score,
+         greatest(-20.0, least(20.0, cast({" + ".join(f"(case when contains(lower(d.description), '{k}') then {w} else 0 end)" for k, w in BOARD_BOOST + BOARD_PENALTY)} as double))) as delta
+  from decided d left join rel r on r.doc_id = d.id where d.decision = 'new'),
+jobs as (select *, greatest(0.0, least(100.0, raw_score + delta)) as score from scored)"""
+
+
+def scored_jobs(spark, sf_dir):
+    """A fetched batch all the way to ``jobs`` rows: normalised, first arrivals,
+    unknown, in region, in language; scored by term relevance to the profile
+    (J5) plus its keyword weights (D8). Only rows that passed are scored."""
+    new = _decided(spark, sf_dir).filter(F.col("decision") == "new")
+    resume = read(spark, sf_dir, "benchmark").filter(F.col("item_id") == BOARD_RESUME_ITEM)
+    rel = S.relevance(spark, resume, "item_id", "text", read(spark, sf_dir, "documents"), "doc_id", "text",
+                      min_score=0, only=new.select(F.col("id").alias("doc_id")))
+    x = new.join(rel.select(F.col("doc_id").alias("id"), F.col("score").alias("rel")), "id", "left")
+    x = x.withColumn("raw_score", F.coalesce("rel", F.lit(0)))
+
+    def kw(items):
+        return F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(w).alias("weight")) for k, w in items])
+
+    x = x.withColumn("delta", S.keyword_delta("description", kw(BOARD_BOOST), kw(BOARD_PENALTY)))
+    return x.withColumn("score", S.adjust("raw_score", F.col("delta")))
+
+
+@query("ingest_scored", "K1 A6 J5 D8", INGEST_SCORED_SQL + """
+select id, job_url, title, employer, raw_score, delta, score from jobs""")
+def ingest_scored(spark, sf_dir):
+    return scored_jobs(spark, sf_dir).select("id", "job_url", "title", "employer", "raw_score", "delta", "score")
+
+
+@query("digest_scored", "B4 B7 C2 E3 F1", INGEST_SCORED_SQL + V.board_ledger(BOARD_AS_OF) + f""",
+fresh as (
+  select *, row_number() over (order by score desc, job_url) as pos from jobs
+  where job_url not in (select job_url from board_ledger) and score >= {DIGEST_MIN_SCORE}
+    and case when coalesce(date_posted, '') not in ('nan', '')
+             then try_cast(left(date_posted, 10) as date) >= cast(timestamp '{BOARD_AS_OF}' as date) - 14
+             else cast(discovered_at as date) >= cast(timestamp '{BOARD_AS_OF}' as date) - 7 end)
+select 0 as profile_id, pos, job_url, score from fresh where pos <= 5""")
+def digest_scored(spark, sf_dir):
+    """Today's digest of the rows that the scored ingest has just stored."""
+    jobs = scored_jobs(spark, sf_dir).withColumn("profile_id", F.lit(L.BOARD_PROFILE_ID))
+    ledger = L.board_sent_ledger(spark, sf_dir, BOARD_AS_OF)
+    cands = D.candidates(D.with_settings(jobs, score_threshold=DIGEST_MIN_SCORE), ledger, BOARD_AS_OF)
+    return D.top_by_score(cands, F.col("max_jobs_per_email")).select("profile_id", "pos", "job_url", "score")
+
+
 @query("ingest_quality_gate", "B17", f"""
 with q as (
   select d.doc_id, cast(l.quality as double) as quality,

@@ -12,7 +12,7 @@ from rankloom.operators.ranking import top_n_per_group
 from rankloom.plans.digest import BOARD_CAND_SQL, FLEET_CAND_SQL, board_candidates, fleet_candidates
 from rankloom.plans.registry import query
 from rankloom.session import materialize
-from rankloom.plans.scoring import relevance_ctes
+from rankloom.plans.scoring import relevance_ctes, with_feedback
 from rankloom.sources import listings as L
 from rankloom.sources.tables import read
 
@@ -210,15 +210,26 @@ def rerank_fallback(spark, sf_dir):
     return top.select("profile_id", F.col("pos").cast("bigint").alias("pos"), "job_url", "source")
 
 
-@query("rerank_requests", "J6 J7 H20 H21", FLEET_CUT_SQL + """
-select profile_id, idx,
+def _requests_sql():
+    from rankloom.plans.feedback import FEEDBACK_SUMMARY_SQL
+    return FLEET_CUT_SQL + f""",
+fb as ({FEEDBACK_SUMMARY_SQL})"""
+
+
+@query("rerank_requests", "J6 J7 J10 H20 H21", _requests_sql() + """
+select f.profile_id, idx, concat_ws(chr(10), concat('Buyer in ', lower(p.segment)), c.c_name, fb.summary) as query,
   concat(coalesce(title, ''), ' at ', coalesce(employer, ''), ' (', coalesce(location, ''), ')', chr(10),
          coalesce(nullif(description, ''), 'model score ' || cast(score as varchar), '')) as document,
   concat(cast(idx as varchar), '. ', coalesce(title, ''), ' at ', coalesce(employer, ''), ' (',
          coalesce(location, ''), '): ', coalesce(nullif(description, ''), 'model score ' || cast(score as varchar), '')) as line
-from fleet_cut""")
+from fleet_cut f join profiles_flat p on p.profile_id = f.profile_id join customer c on c.c_custkey = f.profile_id
+left join fb on fb.profile_id = f.profile_id""")
 def rerank_requests(spark, sf_dir):
-    """What a reranker is sent for each profile's cut: one document per
-    candidate (A) and one numbered line per candidate (B)."""
+    """What a reranker is sent for each profile's cut: the profile with its
+    feedback summary as the query, one document per candidate (A) and one
+    numbered line per candidate (B)."""
     cut = L.fleet_details(spark, sf_dir, fleet_cut(spark, sf_dir)).withColumn("reason", F.concat(F.lit("model score "), F.col("score").cast("string")))
-    return cut.select("profile_id", "idx", RR.rerank_document().alias("document"), RR.rerank_line().alias("line"))
+    who = with_feedback(spark, sf_dir, L.profiles(spark, sf_dir)).select(
+        "profile_id", F.concat_ws("\n", "resume", F.col("description"), "feedback_summary").alias("query"))
+    cut = cut.join(who, "profile_id")
+    return cut.select("profile_id", "idx", "query", RR.rerank_document().alias("document"), RR.rerank_line().alias("line"))

@@ -88,19 +88,35 @@ def relevance_evidence(spark, sf_dir):
                        read(spark, sf_dir, "documents"), "doc_id", "text", evidence=True)
 
 
-@query("scoring_requests", "J1 H8", V.with_(V.FLEET_JOBS, V.PROFILES_FLAT) + """
+def with_feedback(spark, sf_dir, profiles):
+    """J10 in the loop: profiles carry the summary of their users' latest feedback."""
+    from rankloom.plans.feedback import feedback_summary
+    s = feedback_summary(spark, sf_dir).select("profile_id", "summary")
+    return (profiles.drop("feedback_summary").join(s, "profile_id", "left")
+            .withColumnRenamed("summary", "feedback_summary"))
+
+
+def _feedback_sql():
+    from rankloom.plans import feedback
+    return feedback.FEEDBACK_SUMMARY_SQL
+
+
+@query("scoring_requests", "J1 H8 J10", V.with_(V.FLEET_JOBS, V.PROFILES_FLAT) + f""",
+fb as ({_feedback_sql()})
 select j.profile_id, j.job_url, concat_ws(chr(10),
-  'Rate the fit between this candidate and this listing from 0 to 100.',
-  concat('CANDIDATE: ', to_json({'resume': concat('Buyer in ', lower(p.segment)),
-                                 'description': c.c_name})),
+  'Rate the fit between this candidate and this listing from 0 to 100.', '{S.SCORE_GUIDE}',
+  concat('CANDIDATE: ', case when fb.summary is null
+    then to_json({{'resume': concat('Buyer in ', lower(p.segment)), 'description': c.c_name}})
+    else to_json({{'resume': concat('Buyer in ', lower(p.segment)), 'description': c.c_name, 'feedback': fb.summary}}) end),
   concat('TITLE: ', coalesce(j.title, '')), concat('EMPLOYER: ', coalesce(j.employer, '')),
   concat('LOCATION: ', coalesce(j.location, '')), concat('DESCRIPTION: ', coalesce(j.description, '')),
-  'Answer as JSON: {"score": <0-100>, "reason": "<why>"}') as request
+  'Answer as JSON: {{"score": <0-100>, "reason": "<why>"}}') as request
 from fleet_jobs j join profiles_flat p on p.profile_id = j.profile_id
+left join fb on fb.profile_id = j.profile_id
 join customer c on c.c_custkey = j.profile_id""")
 def scoring_requests(spark, sf_dir):
-    p = L.profiles(spark, sf_dir).select("profile_id", "resume", F.col("description").alias("p_description"),
-                                          "feedback_summary")
+    p = with_feedback(spark, sf_dir, L.profiles(spark, sf_dir)).select(
+        "profile_id", "resume", F.col("description").alias("p_description"), "feedback_summary")
     x = L.fleet_jobs(spark, sf_dir).join(p, "profile_id")
     return x.select("profile_id", "job_url", S.scoring_request(
         "resume", "p_description", "feedback_summary", "title", "employer", "location", "description").alias("request"))

@@ -40,7 +40,7 @@ def listings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def board_rows(documents: DataFrame, labels: DataFrame, nation: DataFrame) -> DataFrame:
     """The board listing derivation; works on batch and streaming ``documents``."""
     d = documents.select("doc_id", "text", "lang", "source")
-    lab = labels.select("doc_id", "quality", "toxic")
+    lab = labels.select("doc_id", "quality", "toxic", F.lit(True).alias("labelled"))
     nat = F.broadcast(nation.select("n_nationkey", "n_name"))
     doc = F.col("doc_id")
     x = (d.join(lab, "doc_id", "left")
@@ -70,6 +70,7 @@ def board_rows(documents: DataFrame, labels: DataFrame, nation: DataFrame) -> Da
         F.when(F.col("toxic") == 1, -1).when(F.col("quality") == 1, 1)
          .cast("int").alias("user_rating"),
         doc.alias("arrival"),
+        F.coalesce("labelled", F.lit(False)).alias("labelled"),
     )
 
 
@@ -267,14 +268,11 @@ def raw_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     term, nation as search location). Missing values stay NULL: no remote flag
     for unlabelled documents, no job type for the empty one.
     """
-    raw = listings_raw(spark, sf_dir)
-    lab = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.lit(True).alias("_labelled"))
-    x = raw.join(lab, "id", "left")
-    return x.select(
+    return listings_raw(spark, sf_dir).select(
         "id", "arrival", F.col("employer").alias("site"), F.col("language").alias("term"),
         F.col("location").alias("search_location"),
         "title", F.col("employer").alias("company"), "location", "job_url", "date_posted",
-        F.when(F.col("_labelled"), F.col("is_remote")).alias("is_remote"),
+        F.when(F.col("labelled"), F.col("is_remote")).alias("is_remote"),
         F.nullif(F.col("job_type"), F.lit("")).alias("job_type"),
         "description", "discovered_at",
     )
