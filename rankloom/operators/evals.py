@@ -6,11 +6,9 @@ over any number of cases is one shuffle on the case key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.operators.ranking import top_n_per_group
-
 ROLES = ["strong", "mid", "weak", "extra_weak"]
 STRONG_MIN, WEAK_MAX, GAP_MIN, SPAN_MIN = 60, 40, 20, 30
 PASS_SHARE = 0.8  # 4 of 5 trials
@@ -21,32 +19,37 @@ def _keys(case) -> list[str]:
     return [case] if isinstance(case, str) else list(case)
 
 
-def eval_set(scores: DataFrame, case, item: str) -> DataFrame:
-    """The four listings per case, by descending score: strong, mid, weak, extra weak."""
-    top = top_n_per_group(scores, _keys(case), [F.col("score").desc(), F.col(item)], len(ROLES), rank_col="role_pos")
-    role = F.element_at(F.array(*[F.lit(r) for r in ROLES]), F.col("role_pos"))
-    return top.withColumn("role", role)
-
-
 def score_quality(ev: DataFrame, case) -> DataFrame:
-    """Strong >= 60, weak <= 40, gap >= 20, strong > mid, span of the top
-    three >= 30, share of scores that are not multiples of 5."""
+    """D12 over labelled listings (``role`` of ROLES, ``score``): strong >= 60,
+    weak <= 40, gap >= 20, strong > mid, span of strong, mid and weak >= 30,
+    share of scores that are not multiples of 5. The roles are the labels' own,
+    so every check can fail."""
     def at(role):
         return F.max(F.when(F.col("role") == role, F.col("score")))
+    main = F.when(F.col("role") != ROLES[-1], F.col("score"))
     g = ev.groupBy(*_keys(case)).agg(
-        at("strong").alias("strong"), at("mid").alias("mid"), at("weak").alias("weak"),
-        (F.max(F.when(F.col("role_pos") <= 3, F.col("score"))) - F.min(F.when(F.col("role_pos") <= 3, F.col("score"))))
-        .alias("span"),
+        *[at(r).alias(r) for r in ROLES], (F.max(main) - F.min(main)).alias("span"),
         F.round(F.avg(F.when(F.col("score") % 5 != 0, 1.0).otherwise(0.0)), 4).alias("non_round_share"))
     return g.select(
-        *_keys(case), "strong", "mid", "weak", "span", "non_round_share",
-        (F.col("strong") >= STRONG_MIN).alias("strong_ok"),
+        *_keys(case), *ROLES, "span", "non_round_share",
+        F.coalesce(F.col("strong") >= STRONG_MIN, F.lit(False)).alias("strong_ok"),
         F.coalesce(F.col("weak") <= WEAK_MAX, F.lit(False)).alias("weak_ok"),
         F.coalesce((F.col("strong") - F.col("weak")) >= GAP_MIN, F.lit(False)).alias("gap_ok"),
         F.coalesce(F.col("strong") > F.col("mid"), F.lit(False)).alias("order_ok"),
         F.coalesce(F.col("span") >= SPAN_MIN, F.lit(False)).alias("span_ok"))
 
 
+def labelled_ranks(ev: DataFrame, case, item: str) -> DataFrame:
+    """E7 over labelled listings: is strong in the top 2 and weak in the bottom 2
+    of its case? A group is one case's handful of labelled listings."""
+    w = Window.partitionBy(*_keys(case)).orderBy(F.col("score").desc(), F.col(item))
+    g = ev.withColumn("rank", F.row_number().over(w).cast("bigint")).groupBy(*_keys(case)).agg(
+        F.count("*").alias("n_candidates"), F.max(F.when(F.col("role") == "strong", F.col("rank"))).alias("strong_rank"),
+        F.max(F.when(F.col("role") == "weak", F.col("rank"))).alias("weak_rank"))
+    return g.select("*", F.coalesce(F.col("strong_rank") <= 2, F.lit(False)).alias("strong_in_top2"),
+                    F.coalesce(F.col("weak_rank") > F.col("n_candidates") - 2, F.lit(False)).alias("weak_in_bottom2"))
+
+
 def rank_position(scores: DataFrame, case, item: str, gold) -> DataFrame:
     """Rank of the best gold listing in each case's ranking (score desc,
     then item); in the top 2?
@@ -67,11 +70,12 @@ def rank_position(scores: DataFrame, case, item: str, gold) -> DataFrame:
                     F.coalesce(rank <= 2, F.lit(False)).alias("gold_in_top2"))
 
 
-def pass_rate(trials: DataFrame, keys: list[str]) -> DataFrame:
-    """Passes / trials per (case, check); pass when at least 80 % pass."""
+def pass_rate(trials: DataFrame, keys: list[str], share: float = PASS_SHARE) -> DataFrame:
+    """Passes / trials per (case, check); pass when at least ``share`` of
+    the trials do (0.6: 3 of 5; 0.8: 4 of 5; 1.0: all)."""
     g = trials.groupBy(*keys).agg(F.count("*").alias("n_trials"), F.count_if("passed").alias("passes"))
     return g.withColumn("rate", F.round(F.col("passes") / F.col("n_trials"), 4)) \
-        .withColumn("passed", F.col("passes") >= F.ceil(F.col("n_trials") * PASS_SHARE))
+        .withColumn("passed", F.col("passes") >= F.ceil(F.col("n_trials") * F.lit(share)))
 
 
 def feedback_effect(runs: DataFrame, key: str) -> DataFrame:

@@ -85,6 +85,24 @@ def relevance(spark: SparkSession, queries: DataFrame, q_id: str, q_text: str,
                     F.col(f"total_{variant}").alias("total"), F.col(f"score_{variant}").alias("score"))
 
 
+def pair_relevance(spark: SparkSession, pairs: DataFrame, keys: list[str], q_text: str, d_text: str,
+                   corpus: DataFrame, c_id: str, c_text: str) -> DataFrame:
+    """J5 for given pairs (a cut, a labelled set): ``keys`` and ``score``. Term
+    weights come from the whole ``corpus``; each pair stays one row until its
+    query terms are looked up, so the work grows with the pairs alone."""
+    has = F.array_distinct(tokens(d_text))
+    x = pairs.select(*keys, F.explode(F.transform(F.array_distinct(tokens(q_text)), lambda t: F.struct(
+        t.alias("term"), F.array_contains(has, t).alias("hit")))).alias("e")).select(*keys, "e.term", "e.hit")
+    dt = doc_terms(corpus, c_id, c_text).join(x.select("term").distinct(), "term", "left_semi")
+    stats = spark.sql(
+        """select term, cast(round(100 * ln((select count(*) from {docs}) / count(*))) as bigint) as weight
+           from {dt} group by term""", dt=dt, docs=corpus.select(c_id))
+    g = x.join(stats, "term").groupBy(*keys).agg(
+        F.sum(F.when(F.col("hit"), F.col("weight")).otherwise(0)).alias("m"), F.sum("weight").alias("t"))
+    return g.select(*keys, F.when(F.col("t") > 0, F.floor(F.lit(100) * F.col("m") / F.col("t"))).otherwise(0)
+                    .cast("int").alias("score"))
+
+
 TERM_SALTS = 16
 
 

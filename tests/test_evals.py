@@ -21,14 +21,25 @@ FILLER = [(100 + i, "filler", f"general office work number {i} with phone calls
 def test_scorer_orders_roles(spark):
     docs = spark.createDataFrame(LISTINGS + FILLER, "doc_id long, role string, text string")
     queries = spark.createDataFrame([(1, RESUME)], "item_id long, text string")
-    rel = S.relevance(spark, queries, "item_id", "text", docs, "doc_id", "text")
+    rel = S.relevance(spark, queries, "item_id", "text", docs, "doc_id", "text", min_score=0)
     scores = {r.doc_id: r.score for r in rel.collect()}
     assert scores[1] > scores.get(2, 0) > scores.get(3, 0) >= scores.get(4, 0)
-    ev = EV.eval_set(rel.filter(F.col("doc_id") < 100), "item_id", "doc_id")
+    pairs = docs.filter("doc_id < 100").select(F.lit(1).alias("item_id"), "doc_id", "role", F.lit(RESUME).alias("q"), "text")
+    same = S.pair_relevance(spark, pairs, ["item_id", "doc_id"], "q", "text", docs, "doc_id", "text")
+    assert {r.doc_id: r.score for r in same.collect()} == {k: scores.get(k, 0) for k in range(1, 5)}
+    ev = pairs.join(same, ["item_id", "doc_id"])
     q = EV.score_quality(ev, "item_id").first()
-    assert q.strong >= EV.STRONG_MIN and q.order_ok
-    rank = EV.rank_position(rel, "item_id", "doc_id", F.col("doc_id") == 1).first()
-    assert rank.gold_rank == 1 and rank.gold_in_top2
+    assert q.order_ok and q.weak_ok and q.gap_ok
+    rank = EV.labelled_ranks(ev, "item_id", "doc_id").first()
+    assert rank.strong_in_top2 and rank.weak_in_bottom2
+    assert EV.rank_position(rel, "item_id", "doc_id", F.col("doc_id") == 1).first().gold_rank == 1
+
+
+def test_wrong_order_fails_the_labelled_checks(spark):
+    ev = spark.createDataFrame([(1, 1, "strong", 10), (1, 2, "mid", 50), (1, 3, "weak", 90), (1, 4, "extra_weak", 60)],
+                               "c long, d long, role string, score int")
+    q, r = EV.score_quality(ev, "c").first(), EV.labelled_ranks(ev, "c", "d").first()
+    assert not (q.strong_ok or q.weak_ok or q.gap_ok or q.order_ok or r.strong_in_top2 or r.weak_in_bottom2)
 
 
 def test_pass_rate_threshold(spark):
@@ -37,3 +48,6 @@ def test_pass_rate_threshold(spark):
                                    "case string, check string, trial int, passed boolean")
     got = {r.check: (r.passes, r.passed) for r in EV.pass_rate(trials, ["case", "check"]).collect()}
     assert got == {"strong": (4, True), "gap": (3, False)}
+    easier = {r.check: r.passed for r in EV.pass_rate(trials, ["case", "check"], 0.6).collect()}
+    stricter = {r.check: r.passed for r in EV.pass_rate(trials, ["case", "check"], 1.0).collect()}
+    assert easier == {"strong": True, "gap": True} and stricter == {"strong": False, "gap": False}
