@@ -95,7 +95,8 @@ def edited(docs: DataFrame, scratch: Scratch) -> DataFrame:
     row; texts move once, keyed by doc_id. Null text is empty; of several rows
     of the next doc_id the smallest start is borrowed; rows without a doc_id
     have no next document and lose the quarter."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    every = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = every.where("doc_id is not null")  # for both joins alike, so that they share one exchange of the texts
     quarter = F.floor(F.length("text") / 4).cast("int")
     wants = scratch.save(rows.groupBy("doc_id").agg(F.max(quarter).alias("want"))
                          .join(_successors(docs, scratch), "doc_id"), "wants")
@@ -105,6 +106,9 @@ def edited(docs: DataFrame, scratch: Scratch) -> DataFrame:
             .groupBy("to_id").agg(F.min("lent").alias("lent")))
     own = wants.select(F.col("doc_id").alias("of_id"), F.col("next_id").alias("after_id"))
     both = rows.join(lent, rows["doc_id"] == lent["to_id"], "left").join(own, rows["doc_id"] == own["of_id"], "left")
+    alone = every.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("string").alias("lent"),
+                                                 F.col("doc_id").alias("after_id"))
+    both = both.select("doc_id", "text", "lent", "after_id").unionByName(alone)
     return both.select("doc_id", F.col("after_id").alias("next_id"), "text", F.concat(
         F.substring("text", F.lit(1), F.length("text") - quarter),
         F.substring(F.coalesce("lent", F.lit("")), F.lit(1), quarter)).alias("edited"))
