@@ -6,7 +6,7 @@ import importlib
 
 from rankloom.plans.registry import REGISTRY
 
-_MODULES = ("digest", "ingest", "scoring", "rerank", "feedback", "history", "proposals", "evals", "streaming")
+_MODULES = ("digest", "ingest", "scoring", "rerank", "mail", "feedback", "history", "proposals", "evals", "streaming")
 
 
 def load():

@@ -7,7 +7,6 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from rankloom.operators import digest as D
-from rankloom.operators import render as R
 from rankloom.plans import oracle_views as V
 from rankloom.plans.registry import query, sql_ts_text, ts_text
 from rankloom.sources import listings as L
@@ -126,52 +125,3 @@ def digest_source_budget(spark, sf_dir):
     top = D.per_source_budget(c, "l_suppkey", SOURCE_BUDGET, F.col("max_jobs_per_email"))
     return (L.fleet_details(spark, sf_dir, top)
             .select("profile_id", "pos", "job_url", "employer", "score"))
-
-
-@query("digest_header", "D7 H15", FLEET_TOP_SQL + """
-select profile_id, count(*) as job_count, arg_min(score, pos) as top_score,
-       replace(replace('{count} new matches - top score {top_score}', '{count}', cast(count(*) as varchar)),
-               '{top_score}', cast(arg_min(score, pos) as varchar)) as subject
-from fleet_top group by profile_id""")
-def digest_header(spark, sf_dir):
-    msgs = R.digest_messages(fleet_top(spark, sf_dir).withColumn("company", F.col("employer")),
-                             L.profiles(spark, sf_dir), FLEET_AS_OF)
-    return msgs.select("profile_id", "job_count", "top_score", "subject")
-
-
-def _sql_esc(x: str) -> str:
-    out = x
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-        out = f"replace({out}, '{a}', '{b}')"
-    return out
-
-
-_SQL_BADGE = ("array_to_string(list_transform(regexp_extract_all(lower(replace(job_type, '_', ' ')), '[a-z]+|[^a-z]+'), "
-              "lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), '')")
-
-DIGEST_RENDER_SQL = FLEET_TOP_SQL + f""",
-cards as (
-  select profile_id, pos, score,
-    concat('<li><span style=''background:', case when score >= 70 then '#22c55e' else '#eab308' end, '''>',
-           cast(score as varchar), '/100</span>',
-           case when coalesce(is_remote, false) then '<b class=''badge''>Remote</b>' else '' end,
-           case when coalesce(job_type, '') <> '' then concat('<b class=''badge''>', {_sql_esc(_SQL_BADGE)}, '</b>') else '' end,
-           '<h3>', {_sql_esc("coalesce(title, '')")}, '</h3><p>', {_sql_esc("coalesce(employer, '')")}, ' | ',
-           {_sql_esc("coalesce(location, '')")},
-           case when coalesce(date_posted, '') <> '' then concat(' | posted ', {_sql_esc('date_posted')}) else '' end,
-           '</p><a href=''', {_sql_esc('job_url')}, '''>View</a></li>') as card
-  from fleet_top)
-select profile_id, count(*) as job_count, arg_min(score, pos) as top_score,
-       replace(replace('{{count}} new jobs, best {{top_score}}', '{{count}}', cast(count(*) as varchar)),
-               '{{top_score}}', cast(arg_min(score, pos) as varchar)) as chat_text,
-       concat('<html><body><h1>', cast(count(*) as varchar), ' new jobs today</h1><p>Top match: ',
-              cast(arg_min(score, pos) as varchar), '/100 | ', strftime(timestamp '{FLEET_AS_OF}', '%B %d, %Y'),
-              '</p><ul>', string_agg(card, chr(10) order by pos), '</ul></body></html>') as html
-from cards group by profile_id"""
-
-
-@query("digest_render", "H14 H16 H17 H18 A13", DIGEST_RENDER_SQL)
-def digest_render(spark, sf_dir):
-    top = fleet_top(spark, sf_dir).withColumn("company", F.col("employer"))
-    msgs = R.digest_messages(top, L.profiles(spark, sf_dir), FLEET_AS_OF)
-    return msgs.select("profile_id", "job_count", "top_score", "chat_text", "html")

@@ -183,7 +183,7 @@ def rerank_positional_b(spark, sf_dir):
     return out.select("profile_id", "pos", "job_url", "relevance")
 
 
-@query("rerank_fallback", "F6 E3", FLEET_CUT_SQL + """,
+RERANKED_SQL = FLEET_CUT_SQL + """,
 rows_ as (select profile_id, order_key, job_url, 1 as priority from a_rows
           union all select profile_id, order_key, job_url, 2 from b_rows
           union all select profile_id, idx, job_url, 3 from fleet_cut),
@@ -192,11 +192,14 @@ markers as (select profile_id, 1 as priority from asked where profile_id not in
             union all select distinct profile_id, 3 from fleet_cut),
 chosen as (select profile_id, min(priority) as priority from markers group by profile_id),
 picked as (select r.*, case r.priority when 1 then 'A' when 2 then 'B' else 'score' end as source
-           from rows_ r join chosen c on c.profile_id = r.profile_id and c.priority = r.priority)
-select profile_id, pos, job_url, source from
+           from rows_ r join chosen c on c.profile_id = r.profile_id and c.priority = r.priority),
+reranked as (select profile_id, pos, job_url, source from
   (select *, row_number() over (partition by profile_id order by order_key, job_url) as pos from picked)
-where pos <= 5""")
-def rerank_fallback(spark, sf_dir):
+  where pos <= 5)"""
+
+
+def reranked(spark, sf_dir):
+    """``(rows to send, stored cut)``: the fallback chain over every profile's cut, then E3."""
     cut = stored_cut(spark, sf_dir)
     a_ans = answers_a(spark, sf_dir, cut)
     a_rows = RR.positional_a(cut, a_ans)
@@ -207,7 +210,13 @@ def rerank_fallback(spark, sf_dir):
         "profile_id", F.coalesce("notification.max_jobs_per_email", F.lit(D.DIGEST_DEFAULTS["max_jobs_per_email"])).alias("n"))
     top = top_n_per_group(picked.join(limit, "profile_id"), ["profile_id"], [F.col("order_key"), F.col("job_url")],
                           F.col("n"), rank_col="pos")
-    return top.select("profile_id", F.col("pos").cast("bigint").alias("pos"), "job_url", "source")
+    return top.select("profile_id", F.col("pos").cast("bigint").alias("pos"), "job_url", "source"), cut
+
+
+@query("rerank_fallback", "F6 E3", RERANKED_SQL + """
+select profile_id, pos, job_url, source from reranked""")
+def rerank_fallback(spark, sf_dir):
+    return reranked(spark, sf_dir)[0]
 
 
 def _requests_sql():
