@@ -134,7 +134,9 @@ def _decided(spark, sf_dir, detect_all=False):
     return I.decide(_batch(spark, sf_dir), _known(spark, sf_dir), BOARD_REGIONS, BOARD_LANGUAGE, detect_all=detect_all)
 
 
-_DECIDED_SQL = _BATCH_KNOWN_SQL + f""",
+def decided_ctes() -> str:
+    """CTEs from ``batch`` and ``known`` to ``decided``."""
+    return f""",
 firsts as (select job_url, min(arrival) as first_arrival from batch
            where job_url is not null and job_url <> '' group by job_url),
 dec0 as (
@@ -154,6 +156,9 @@ decided as (
   from dec0)"""
 
 
+_DECIDED_SQL = _BATCH_KNOWN_SQL + decided_ctes()
+
+
 @query("ingest_counters", "D5", _DECIDED_SQL + """
 select count(*) as n_rows,
   cast(count_if(decision = 'new') as bigint) as n_new,

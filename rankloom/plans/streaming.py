@@ -7,15 +7,20 @@ from __future__ import annotations
 from rankloom.plans import digest as DG
 from rankloom.plans import oracle_views as V
 from rankloom.plans import feedback as FBQ  # noqa: F401  registers the batch oracles used below
-from rankloom.plans import ingest as IQ  # noqa: F401
+from rankloom.plans import ingest as IQ
 from rankloom.plans import proposals as PQ
 from rankloom.plans.registry import REGISTRY, query, sql_ts_text, ts_text
 from rankloom.streaming import streams as ST
 
 
-@query("stream_ingest", "K1 A6 A12 G1", REGISTRY["ingest_first_arrival"].sql)
+@query("stream_ingest", "K1 A3 A6 A12 B1 B2 E1 G1", V.with_(V.RAW_FETCH, """
+batch as (select * from raw_fetch),
+known as (select job_url from batch where false)""") + IQ.decided_ctes() + """
+select id, job_url, coalesce(title, '') as title, coalesce(company, '') as employer, coalesce(location, '') as location
+from decided where decision = 'new'""")
 def stream_ingest(spark, sf_dir):
-    return ST.ingest_stream(spark, sf_dir)
+    x = ST.ingest_stream(spark, sf_dir, IQ.BOARD_REGIONS, IQ.BOARD_LANGUAGE)
+    return x.select("id", "job_url", "title", "employer", "location")
 
 
 @query("stream_feedback", "K2", REGISTRY["feedback_state"].sql)

@@ -268,7 +268,12 @@ def raw_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     term, nation as search location). Missing values stay NULL: no remote flag
     for unlabelled documents, no job type for the empty one.
     """
-    return listings_raw(spark, sf_dir).select(
+    return fetched(listings_raw(spark, sf_dir))
+
+
+def fetched(rows: DataFrame) -> DataFrame:
+    """``board_rows`` as the fetcher lands them; works on batch and stream."""
+    return rows.select(
         "id", "arrival", F.col("employer").alias("site"), F.col("language").alias("term"),
         F.col("location").alias("search_location"),
         "title", F.col("employer").alias("company"), "location", "job_url", "date_posted",

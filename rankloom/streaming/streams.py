@@ -18,7 +18,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import BooleanType, DateType, LongType, StringType, StructField, StructType, TimestampType
 
 from rankloom.functions.text import strip_quoted
 from rankloom.operators import feedback as FB
@@ -26,12 +26,14 @@ from rankloom.operators import ingest as I
 from rankloom.operators import replies as RP
 from rankloom.session import table_dir
 from rankloom.sources.inbox import proposals_from, replies_from
-from rankloom.sources.listings import board_rows, feedback_log
+from rankloom.sources.listings import board_rows, feedback_log, fetched
 from rankloom.sources.tables import align_to, has_subdirs, read
 
 
-INGEST_SINK = StructType([StructField("id", LongType()), StructField("job_url", StringType()),
-                          StructField("arrival", LongType())])
+INGEST_SINK = StructType(
+    [StructField("id", LongType()), StructField("arrival", LongType())]
+    + [StructField(c, StringType()) for c in ("job_url", "title", "employer", "location", "description", "date_posted", "job_type")]
+    + [StructField("is_remote", BooleanType()), StructField("discovered_at", TimestampType())])
 LEDGER = StructType([StructField("profile_id", LongType()), StructField("job_url", StringType()),
                      StructField("sent_at", TimestampType()), StructField("sent_on", DateType())])
 
@@ -75,28 +77,31 @@ def latest_per_key(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
 
 # --------------------------------------------------------------------------- K1
 
-def ingest_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
-    """K1: landed documents -> board listing rows -> per batch: first arrival per
-    URL, anti join against what earlier batches stored, append.
+def ingest_stream(spark: SparkSession, sf_dir: str, regions: list[str] | None = None, language: str | None = None,
+                  max_files: int | None = None) -> DataFrame:
+    """K1: landed documents -> fetch rows -> per batch: normalise (A3), first
+    arrival per URL (E1), unknown to what earlier batches stored (C1), region
+    (B1), language (B2) -> append the job rows (A6).
 
     The stored side is read per batch (URL column only). On a cluster that
-    table would be bucketed by ``job_url`` so the anti join does not shuffle it.
+    table would be bucketed by ``job_url`` so the join does not shuffle it.
     """
     out = run_dir(spark, "ingest")
     docs = file_stream(spark, sf_dir, "documents", max_files)
-    rows = board_rows(docs, read(spark, sf_dir, "labels"), read(spark, sf_dir, "nation")).select("id", "arrival", "job_url")
+    rows = fetched(board_rows(docs, read(spark, sf_dir, "labels"), read(spark, sf_dir, "nation")))
 
     def step(batch: DataFrame, batch_id: int):
-        new = I.first_arrival(batch)
         if has_subdirs(spark, out, "batch_id="):
             stored = spark.read.option("mergeSchema", "true").parquet(out).filter(F.col("batch_id") < batch_id)
-            new = new.join(stored.select("job_url"), "job_url", "left_anti")
+        else:
+            stored = spark.createDataFrame([], INGEST_SINK)
+        decided = I.decide(I.normalize(batch), stored.select("job_url"), regions, language)
         # every batch file carries the sink schema, whatever the source had
-        return align_to(new, INGEST_SINK)
+        return align_to(decided.filter(F.col("decision") == "new"), INGEST_SINK)
 
     _run(rows.writeStream.foreachBatch(_batch_writer(out, step))
          .option("checkpointLocation", os.path.join(out, "_checkpoint")))
-    return spark.read.parquet(out).select("id", "job_url")
+    return spark.read.schema(INGEST_SINK).parquet(out)
 
 
 # --------------------------------------------------------------------------- K2

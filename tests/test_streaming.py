@@ -40,8 +40,9 @@ def test_streams_read_folders_file_by_file(spark, cut_tables):
     assert rows(ST.feedback_stream(spark, cut_tables, 1)) == rows(ST.feedback_stream(spark, SMALL))
     assert rows(ST.activity_stream(spark, cut_tables, max_files=1)) == rows(ST.activity_stream(spark, SMALL))
     assert rows(ST.insights_stream(spark, cut_tables, 1)) == rows(q["stream_insights"](spark, SMALL))
+    assert rows(ST.ingest_stream(spark, cut_tables)) == rows(ST.ingest_stream(spark, SMALL))
     urls = lambda df: sorted(r.job_url for r in df.collect())  # noqa: E731  which copy comes first follows the files
-    assert urls(ST.ingest_stream(spark, cut_tables, 1)) == urls(ST.ingest_stream(spark, SMALL))
+    assert urls(ST.ingest_stream(spark, cut_tables, max_files=1)) == urls(ST.ingest_stream(spark, SMALL))
     assert rows(ST.replies_stream(spark, cut_tables)) == rows(ST.replies_stream(spark, SMALL))
 
 
