@@ -8,7 +8,7 @@ proposed against existing items happens inside the row, with no shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import list_text, tokens
@@ -108,6 +108,26 @@ def revert(profiles: DataFrame, entries: DataFrame) -> DataFrame:
         F.lit(True).alias("reverted"))
 
 
+def history(entries: DataFrame) -> DataFrame:
+    """applied proposals newest first; ``position`` counts from 0 per profile."""
+    w = Window.partitionBy("profile_id").orderBy(F.col("applied_at").desc(), F.col("entry_id").desc())
+    return entries.withColumn("position", (F.row_number().over(w) - 1).cast("bigint"))
+
+
+def revert_requests(entries: DataFrame, requests: DataFrame) -> DataFrame:
+    """B16 + G6: ``requests(request_id, profile_id, position)`` against the history.
+
+    ``outcome`` is ``reverted``, ``already reverted`` (before, or by an earlier
+    request of the same entry) or ``not found`` (no such position). An entry
+    that was reverted stays so."""
+    h = history(entries).select("profile_id", "position", "entry_id", "reverted")
+    x = requests.join(h, ["profile_id", "position"], "left")
+    first = F.min("request_id").over(Window.partitionBy("profile_id", "position"))
+    outcome = (F.when(F.col("entry_id").isNull(), "not found")
+               .when(F.col("reverted") | (F.col("request_id") > first), "already reverted").otherwise("reverted"))
+    return x.select("request_id", "profile_id", "position", "entry_id", outcome.alias("outcome"))
+
+
 def proposal_text(summary, boost_add, penalize_add, terms_add) -> Column:
     """H27 + H24: the proposal message body; empty lists have no line."""
     def line(label, items, field=None):

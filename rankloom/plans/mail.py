@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankloom.operators import render as R
-from rankloom.plans.digest import FLEET_AS_OF
+from rankloom.plans.digest import FLEET_AS_OF, FLEET_TOP_SQL, fleet_top
 from rankloom.plans.registry import query
 from rankloom.plans.rerank import RERANKED_SQL, reranked
 from rankloom.sources import listings as L
@@ -69,3 +69,16 @@ def digest_render(spark, sf_dir):
     top = reranked_top(spark, sf_dir).withColumn("company", F.col("employer"))
     msgs = R.digest_messages(top, L.profiles(spark, sf_dir), FLEET_AS_OF)
     return msgs.select("profile_id", "job_count", "top_score", "chat_text", "html")
+
+
+@query("digest_test", "D7 E4 H15", FLEET_TOP_SQL + """
+select profile_id, count(*) as job_count, arg_min(score, pos) as top_score,
+       '[TEST] ' || cast(count(*) as varchar) || ' new matches - top score ' || cast(arg_min(score, pos) as varchar) as subject,
+       '[TEST] ' || cast(count(*) as varchar) || ' new jobs, best ' || cast(arg_min(score, pos) as varchar) as chat_text
+from fleet_top group by profile_id""")
+def digest_test(spark, sf_dir):
+    """A trial digest: score order, no re-ranking, nothing marked as sent."""
+    top = fleet_top(spark, sf_dir).withColumn("company", F.col("employer"))
+    msgs = R.digest_messages(top, L.profiles(spark, sf_dir), FLEET_AS_OF)
+    mark = lambda c: F.concat(F.lit("[TEST] "), F.col(c)).alias(c)
+    return msgs.select("profile_id", "job_count", "top_score", mark("subject"), mark("chat_text"))

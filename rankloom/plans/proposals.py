@@ -146,6 +146,35 @@ def proposal_revert(spark, sf_dir):
                     _names("boost").alias("boost_after"), F.array_join("terms", ", ").alias("terms_after"))
 
 
+def insight_history(spark, sf_dir):
+    """Applied insights as landed, and the requests to take some back."""
+    e = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    entries = e.filter(F.col("event_type") == "signup").select(
+        F.col("user_id").alias("profile_id"), F.col("event_id").alias("entry_id"),
+        F.col("ts").cast("timestamp").alias("applied_at"), (F.col("value") >= 30).alias("reverted"))
+    requests = e.filter(F.col("event_type") == "error").select(
+        F.col("event_id").alias("request_id"), F.col("user_id").alias("profile_id"),
+        (F.floor("value") - 1).cast("bigint").alias("position"))
+    return entries, requests
+
+
+@query("history_revert", "F5 B16 G6", """
+with h as (select user_id as profile_id, event_id as entry_id, value >= 30 as reverted,
+                  row_number() over (partition by user_id order by ts desc, event_id desc) - 1 as position
+           from events where event_type = 'signup'),
+r as (select event_id as request_id, user_id as profile_id, cast(floor(value) as bigint) - 1 as position
+      from events where event_type = 'error'),
+f as (select profile_id, position, min(request_id) as first_request from r group by all)
+select request_id, r.profile_id, r.position, cast(entry_id as double) as entry_id,
+       case when entry_id is null then 'not found' when reverted or request_id > first_request then 'already reverted'
+            else 'reverted' end as outcome
+from r join f on f.profile_id = r.profile_id and f.position = r.position
+left join h on h.profile_id = r.profile_id and h.position = r.position""")
+def history_revert(spark, sf_dir):
+    x = P.revert_requests(*insight_history(spark, sf_dir))
+    return x.withColumn("entry_id", F.col("entry_id").cast("double"))  # may be missing
+
+
 @query("proposal_text", "H24 H27 A9", PROPOSAL_SQL + """
 select i.profile_id, concat_ws(chr(10),
   'Proposal for profile ' || cast(i.profile_id as varchar), '',

@@ -127,3 +127,21 @@ def test_relevance_on_a_tiny_corpus_and_lossless_bar(spark):
         assert got == {k: s for k, s in full.items() if s >= bar}
     some = S.relevance(spark, q, "q", "t", docs, "d", "t", evidence=True, min_score=0, only=docs.filter("d < 2"))
     assert {(r.q, r.d): r.score for r in some.collect()} == {k: s for k, s in full.items() if k[1] < 2}
+
+
+def test_profile_defaults_keep_null_and_empty_apart(spark, tmp_path):
+    from rankloom.operators import profiles as PR
+    ids = spark.createDataFrame([(1,), (2,)], "profile_id long")
+    new = PR.new_profiles(ids)
+    PR.write_profiles(new, f"{tmp_path}/p")
+    rows = PR.read_profiles(spark, f"{tmp_path}/p").collect()
+    assert {r.profile_id for r in rows} == {1, 2}
+    assert rows[0].search.allowed_regions is None and rows[0].search.require_language is None
+    assert rows[0].search.terms == [] and rows[0].search.locations == ["Toronto, ON"]
+    n = rows[0].notification
+    assert (n.max_jobs_per_email, n.max_job_age_days, n.rerank_candidates, n.rerank_min_score) == (10, 7, 30, 0.3)
+    part = spark.createDataFrame([{"profile_id": 3, "search": {"allowed_regions": [], "locations": []},
+                                   "notification": {"rerank_min_score": 0.35}}], PR.SCHEMA)
+    r = PR.with_defaults(part).first()
+    assert r.search.allowed_regions == [] and r.search.locations == [] and r.search.hours_old == 24
+    assert r.notification.rerank_min_score == 0.35 and r.notification.score_threshold == 60 and r.scoring.boost == []
