@@ -17,6 +17,7 @@ from __future__ import annotations
 import pickle
 import zlib
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,7 @@ BUCKETS = 1 << 18
 CACHE_FORMS = 400_000
 MAX_PER_CLASS = 1000
 SPAN_LEVEL = 0.5
+FIT_CHAIN = 128  # words; longer sentences of the sample are several chains in the fit
 
 
 def form_features(form: str) -> list[str]:
@@ -152,7 +154,10 @@ def token_labels(words: Words, labels: np.ndarray, min_share: float = 0.025, min
 
 
 def fit_chain(words: Words, y: np.ndarray, rounds: int = 40, rate: float = 0.5, decay: float = 1e-6) -> Chain:
-    """Maximum likelihood by Adam over all chains."""
+    """Maximum likelihood by Adam over all chains, of FIT_CHAIN words at most."""
+    begin, size = chains(words.opens)
+    place = np.arange(len(y)) - np.repeat(np.sort(begin), size[np.argsort(begin)])
+    words = replace(words, opens=place % FIT_CHAIN == 0)
     lists = [_buckets(f) for f in words.forms]
     per = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
     flat = np.fromiter((b for bs in lists for b in bs), dtype=np.int64, count=int(per.sum()))
@@ -221,7 +226,7 @@ def fit(texts: list[str], labels: np.ndarray) -> Chain:
         of = np.flatnonzero(labels == value)
         side[of] = np.arange(len(of)) % 2
     mine = side[words.row] == 0
-    half = Words(words.row[mine], words.start[mine], words.end[mine], words.opens[mine], words.code[mine], words.forms)
+    half = replace(words, **{k: getattr(words, k)[mine] for k in ("row", "start", "end", "opens", "code")})
     x = document_features(words, fit_chain(half, token[mine]).tag(words), len(texts))
     use = side == 1 if len(set(labels[side == 1])) == 2 else side >= 0
     chain = fit_chain(words, token)
