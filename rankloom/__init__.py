@@ -1,7 +1,8 @@
 """rankloom: score, rank and digest listings for many profiles at once, on Spark.
 
 Every public function takes DataFrames (plus plain parameters) and returns a
-lazy DataFrame; nothing is collected to the driver.
+DataFrame; rows stay on the executors. A few functions write a table that
+several branches read (``session.materialize``) before they return.
 """
 
 __all__ = ["session"]

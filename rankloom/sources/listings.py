@@ -10,8 +10,8 @@ with the data:
   fetched listings are the ``lineitem`` rows of its orders, described by
   ``part`` and located by ``supplier``'s nation.
 
-Small fixed dimensions (``nation`` = 25 rows, ``region`` = 5 rows, keyword
-lexicons) are broadcast; everything else is left to the optimizer and AQE.
+Joins are left to the optimizer and AQE, which broadcast a table by its size;
+only the keyword lexicon, a fixed table of this file, is broadcast by hint.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ def board_rows(documents: DataFrame, labels: DataFrame, nation: DataFrame) -> Da
     """The board listing derivation; works on batch and streaming ``documents``."""
     d = documents.select("doc_id", "text", "lang", "source")
     lab = labels.select("doc_id", "quality", "toxic", F.lit(True).alias("labelled"))
-    nat = F.broadcast(nation.select("n_nationkey", "n_name"))
+    nat = nation.select("n_nationkey", "n_name")
     doc = F.col("doc_id")
     x = (d.join(lab, "doc_id", "left")
          .join(nat, (doc % 25) == F.col("n_nationkey")))
@@ -105,8 +105,8 @@ def segment_keywords(spark: SparkSession) -> DataFrame:
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fleet profiles, one row per ``customer``, in the nested profile shape."""
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
-    n = F.broadcast(read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
-    r = F.broadcast(read(spark, sf_dir, "region").select("r_regionkey", "r_name"))
+    n = read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    r = read(spark, sf_dir, "region").select("r_regionkey", "r_name")
     kw = segment_keywords(spark)
     # keyword arrays per segment: a five-row fixed table, broadcast to the profiles
     def in_order(kind):
@@ -186,7 +186,7 @@ def fleet_details(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFram
     supplier; selections come first, so that only the rows they leave are joined."""
     p = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     s = read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    n = F.broadcast(read(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    n = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     x = (rows.join(p, F.col("l_partkey") == p.p_partkey)
          .join(s, F.col("l_suppkey") == s.s_suppkey)
          .join(n, F.col("s_nationkey") == F.col("n_nationkey")))
