@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.llm.common import Scratch, let
 from rankloom.llm.license_texts import KNOWN
 
 # Equivalent spellings as (pattern, replacement), on lower-case text, in this order.
@@ -68,15 +69,25 @@ def scan(docs: DataFrame, digests: DataFrame) -> DataFrame:
     joined, empty if none. Texts without a word have the digest of the empty
     form and match nothing. Repeated rows and rows without a doc_id stay; rows
     of one doc_id share their notices; other columns are left out.
+
+    Texts are brought to canonical form once; what the joins read is a table of
+    their digests, 32 bytes for each text and each distinct line.
     """
-    own = docs.select("doc_id", canonical_lines(F.col("text")).alias("lines"))
-    empty = F.sha2(F.lit(""), 256)
-    line = own.select("doc_id", F.explode(F.array_distinct(F.split("lines", "\n"))).alias("line")).where("line <> ''")
-    found = (line.select("doc_id", F.sha2("line", 256).alias("digest")).join(digests, "digest")
+    scratch = Scratch(docs.sparkSession, "licenses")
+
+    def digest(c: Column) -> Column:
+        return F.unhex(F.sha2(c, 256))
+
+    own = docs.select("doc_id", let(canonical_lines(F.col("text")), lambda c: F.struct(
+        digest(whole(c)).alias("text"),
+        F.transform(F.filter(F.array_distinct(F.split(c, "\n")), lambda x: x != ""), digest).alias("lines"))).alias("at"))
+    own = scratch.save(own.select("doc_id", "at.text", "at.lines"), "digests")
+    known = digests.select(F.unhex("digest").alias("known"), "license_id")
+    found = (own.select("doc_id", F.explode("lines").alias("line")).join(known, F.col("line") == F.col("known"))
              .groupBy(F.col("doc_id").alias("of_id"))
              .agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices")))
-    rows = own.select("doc_id", F.sha2(whole(F.col("lines")), 256).alias("canonical_sha256"))
-    texts = digests.select(F.col("digest").alias("text_digest"), "license_id")
-    named = rows.join(texts, (rows["canonical_sha256"] == texts["text_digest"]) & (texts["text_digest"] != empty), "left")
+    empty = F.unhex(F.sha2(F.lit(""), 256))
+    named = own.join(known, (own["text"] == known["known"]) & (known["known"] != empty), "left")
     return named.join(found, named["doc_id"].eqNullSafe(found["of_id"]), "left").select(
-        "doc_id", "canonical_sha256", "license_id", F.coalesce("notices", F.lit("")).alias("notices"))
+        "doc_id", F.lower(F.hex("text")).alias("canonical_sha256"), "license_id",
+        F.coalesce("notices", F.lit("")).alias("notices"))
