@@ -33,14 +33,37 @@ SPELLINGS = (
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 QUOTES, PLAIN_QUOTES = "‘’“”–— ", "''\"\"-- "
-COPYRIGHT_LINE = r"(?m)^[\x20\x09]*(copyright\b|\(c\)|©|all rights reserved).*$"
+COPYRIGHT_LINE = r"(?m)^[\x20\x09]*(copyright\b|\(c\)|©|all rights reserved).*$"  # of OP8_SQL only: its lines hold no other
+# Copyright statements, on lower-case text. Comment marks may stand before them, and a licence's title; they
+# end with the line, before the licence's first words, or else they are none (over 200 characters).
+_MARKS = r"[^\p{L}\p{N}\n(©]*+"
+_TITLE = r"(?:(?:the\x20)?(?:mit|isc|zlib|bsd[\x20a-z0-9-]{0,20})\x20licen[cs]e(?:\x20\((?:mit|isc)\))?[\x20\x09:.]*)?"
+_YEAR = r"(?:[<\[{]?(?:\d{4}|years?|yyyy)\b)"
+_BODY = (r"permission\x20is\x20hereby|permission\x20to\x20use|redistribution\x20and\x20use|this\x20software\x20is\x20provided|"
+         r"licen[cs]ed\x20under|released\x20under|everyone\x20is\x20permitted|this\x20(?:program|library|file)\x20is")
+STATEMENT = (rf"(?m)^({_MARKS}{_TITLE})(?:copyright\b[\x20\x09:,-]*(?:\(c\)|©|&copy;|{_YEAR})|"
+             rf"(?:\(c\)|©)[\x20\x09,]*(?:copyright[\x20\x09]*)?{_YEAR}).{{0,200}}?(?:$|(?={_BODY}))")
+RESERVED = rf"(?m)^{_MARKS}all\x20rights\x20reserved(?:\W*$|[\x20\x09.]*(?={_BODY}))"
+# a holder without a year: lines that are a paragraph of their own
+_HOLDER = (rf"{_MARKS}(?:(?:copyright|©)[\x20\x09:]+(?!(?:notice|holder|owner|licen[cs]e|laws?|statement|interest|and|or|on|the"
+           r"\x20(?:software|program|work|library))\b)[^\n]{2,100}|\(c\)[\x20\x09]+[^\n;:,]{2,60}(?<![;:,]))")
+HOLDERS = rf"(?<=\A|\n[^\p{{L}}\p{{N}}\n]{{0,8}}\n){_HOLDER}(?:\n{_HOLDER})*(?=\n[^\p{{L}}\p{{N}}\n]*(?:\n|\z)|\z)"
 PUNCTUATION = r"[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+"
 
 
+def without_statements(c: Column) -> Column:
+    """Lower-case text without copyright statements; their line ends stay."""
+    def dropped(c: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, STATEMENT, "$1"), RESERVED, ""), HOLDERS, "")
+
+    marked = (c.contains("copyright") | c.contains("(c)") | c.contains("©") | c.contains("all rights reserved"))
+    return F.when(marked, dropped(c)).otherwise(c)
+
+
 def canonical_lines(text: Column) -> Column:
     """The text in canonical form with its line ends; every line is stripped."""
     c = F.translate(F.coalesce(text, F.lit("")), UPPER + QUOTES, LOWER + PLAIN_QUOTES)
-    c = F.regexp_replace(c, COPYRIGHT_LINE, "")
+    c = let(c, without_statements)
     for pattern, to in SPELLINGS:
         c = F.regexp_replace(c, pattern, to)
     c = F.regexp_replace(c, PUNCTUATION, " ")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ import __spark_entry__ as E
 import corpus_pipeline
 from conftest import SMALL
 from rankloom.llm import chat, containment, licenses, quality, toxicity
+from rankloom.llm.license_texts import MIT
 from rankloom.llm.queries import ORACLE_SQL, QUERIES
 from rankloom.llm.words import scan
 from test_oracle import _digest
@@ -94,6 +96,40 @@ def test_license_forms(spark):
     assert licenses.scan(docs.limit(0), licenses.known_digests(spark)).count() == 0
 
 
+def wrapped(text, width=None, mark="", tail=""):
+    """Each paragraph in lines of at most ``width`` characters, or one line, behind a comment mark."""
+    parts = [" ".join(p.split()) for p in re.split(r"\n\s*\n", text)]
+    lines = [line for p in parts for line in [*(textwrap.wrap(p, width) if width else [p]), ""]]
+    return "\n".join(f"{mark}{line}{tail}" for line in lines)
+
+
+def test_license_forms_do_not_depend_on_lines(spark):
+    rows, want = [], {}
+
+    def add(text, license_id):
+        rows.append((len(rows), text))
+        if license_id:
+            want[len(rows) - 1] = license_id
+
+    heads = ["", "Copyright (c) 2020, Some One and others\n\n", "© 2019-2021 Someone. All rights reserved.\n\n",
+             "Copyright The Some Authors\nAll rights reserved.\n\n", "Copyright 2001 A\n(c) 2002 B\n\n"]
+    for license_id, text in licenses.KNOWN:
+        if len(text) > 200:
+            for width in (*range(58, 101), None):
+                add(heads[len(rows) % len(heads)] + wrapped(text, width), license_id)
+            for mark in ("# ", " * ", "// ", ";; ", "-- "):
+                for head in heads:
+                    add(wrapped(head + text, 70, mark), license_id)
+            add(" ".join((heads[1] + text).split()), license_id)  # all on one line
+    add("MIT License Copyright (c) 2020 Someone " + " ".join(MIT.split()), "MIT")
+    add("copyright notice and this permission notice", None)
+    add("Copyright (c) 2020 Someone " + "own words " * 30, None)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = licenses.scan(docs, licenses.known_digests(spark)).collect()
+    assert {r.doc_id: r.license_id for r in got if r.license_id} == want
+    assert hashlib.sha256(b"").hexdigest() not in {r.canonical_sha256 for r in got}
+
+
 def test_chat_escape_round_trip():
     rng = random.Random(4)
     bits = ["<", "[", "\\", "|", "/", "s>", "INST]", "/INST]", "<SYS>>", "</SYS>>", "a", "<|/|>", "<|user|>", "\n", "]", ">"]
