@@ -3,9 +3,9 @@ r"""Secret spans: fixed patterns plus windowed entropy, all in built-in function
 Match positions come from the pieces between matches: with the same pattern
 ``split`` gives the gaps and ``regexp_extract_all`` the matches, so the start of
 a match is the length of all gaps and matches before it. Runs of key-like
-characters are split into character classes and scored by the Shannon entropy
-of a sliding window, moved one character at a time by counts of the characters
-in it; runs that look like well-known placeholders are passed over.
+characters are scored by the Shannon entropy of a sliding window, moved one
+character at a time by counts of the characters in it; in runs that may reach
+a bar every window is held against the bar of its class; runs that look like well-known placeholders are passed over.
 """
 
 from __future__ import annotations
@@ -24,6 +24,15 @@ HEX = r"[0-9a-f]{16,}"  # likewise
 RUN = r"[A-Za-z0-9+/_-]{20,}"  # candidates of the entropy scan
 # Placeholders: documentation words, one repeated character, counting runs.
 ALLOWED = r"(?i)example|sample|placeholder|your[_-]?|changeme|redacted|dummy|x{6}|(.)\1{7}|0123456789|abcdefgh|12345678"
+UUID = r"(?i)([0-9a-f]{8})-([0-9a-f]{4})-([0-9a-f]{4})-([0-9a-f]{4})-([0-9a-f]{12})(?![0-9a-z])"
+# Classes of windows that keys come in, first match counts
+CLASSES = {
+    "hex": "^(?=.*[0-9])(?=.*[a-fA-F])(?:[0-9a-f]+|[0-9A-F]+)$",
+    "upper": "^(?=(?:.*[0-9]){2})(?=(?:.*[A-Z]){2})[A-Z0-9]+$",
+    "lower": "^(?=(?:.*[0-9]){2})(?=(?:.*[a-z]){2})[a-z0-9]+$",
+    "letter": "^(?=(?:.*[a-z]){4})(?=(?:.*[A-Z]){4})[A-Za-z]+$",
+    "mixed": "^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])",
+}
 ORDER = {"assign": 0, "access": 1, "hex": 2, "entropy": 3}
 LETTERS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_-"
 SPAN = "array<struct<s:int,k:int,e:int>>"
@@ -80,23 +89,42 @@ def window_entropy(run: Column, window: int) -> Column:
     return let(codes, scored)
 
 
-def _suspicious(run: Column, window: int, hex_bits: float, mixed_bits: float) -> Column:
-    """Whether a run is of a class that keys come in, is no placeholder and has a
-    window of that class's entropy. Words of letters alone are of no such class."""
+def _suspicious(run: Column, window: int, bits: dict) -> Column:
+    """Whether a run is no placeholder and has a window that reaches the bar of its
+    class. Windows are classified one by one, so that prefixes and separators do
+    not matter; ids of the form 8-4-4-4-12 count without their hyphens. Words
+    of letters of one case are of no class."""
     is_hex = run.rlike("^([0-9a-f]+|[0-9A-F]+)$") & run.rlike("[a-fA-F]") & run.rlike("[0-9]")
     mixed = run.rlike("[0-9]") & run.rlike("[a-z]") & run.rlike("[A-Z]")
-    bar = F.when(is_hex, F.lit(hex_bits)).when(mixed, F.lit(mixed_bits))
-    return F.when(~(is_hex | mixed) | run.rlike(ALLOWED), False).otherwise(window_entropy(run, window) >= bar)
 
+    def reaches(chars: Column) -> Column:
+        def judged(w: Column) -> Column:
+            bar = F.when(is_hex, F.lit(bits["hex"]))
+            for kind, pattern in CLASSES.items():
+                bar = bar.when(w.rlike(pattern), F.lit(bits[kind]))
+            return let(bar.when(mixed, F.lit(bits["mixed"])), lambda b: F.when(b.isNull(), False).otherwise(window_entropy(w, window) >= b))
 
-def scan(docs: DataFrame, window: int = 20, hex_bits: float = 3.0, mixed_bits: float = 3.8) -> DataFrame:
+        return F.exists(F.sequence(F.lit(1), F.size(chars) - window + 1),
+                        lambda i: let(F.array_join(F.slice(chars, i, window), ""), judged))
+
+    def scored(piece: Column) -> Column:
+        keyed = piece.rlike("[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|[a-z].*[A-Z]|[A-Z].*[a-z]") | is_hex | mixed
+        high = F.when((F.length(piece) >= window) & keyed, window_entropy(piece, window) >= min(bits.values())).otherwise(False)
+        return F.when(high, let(F.split(piece, ""), reaches)).otherwise(False)
+
+    return F.when(run.rlike(ALLOWED), False).otherwise(let(F.regexp_replace(run, UUID, "$1$2$3$4$5"), scored))
+
+
+def scan(docs: DataFrame, window: int = 20, hex_bits: float = 3.0, mixed_bits: float = 3.8,
+         upper_bits: float = 3.4, lower_bits: float = 3.5, letter_bits: float = 3.7) -> DataFrame:
     """``doc_id, base, extra`` for every row of ``docs`` (doc_id, text).
 
     ``base`` holds the spans (s, k, e) of assignments with a value of 12 or more
     characters, access keys of 18 or more and lower-case hex runs of 16 or more;
     k counts the kinds as in ORDER, s and e are code points, e is exclusive.
-    ``extra`` holds runs of 20 or more key-like characters whose best window has
-    ``hex_bits`` or ``mixed_bits`` of entropy, where no base span overlaps. Both
+    ``extra`` holds runs of 20 or more key-like characters with a window that has
+    the bits of entropy of its class (one-case hex, upper or lower case with
+    digits, letters of both cases, all three), where no base span overlaps. Both
     are sorted by start, then kind. Null and empty texts have none; long texts
     are scanned whole; repeated rows and rows without a doc_id stay; other
     columns are left out.
@@ -105,7 +133,8 @@ def scan(docs: DataFrame, window: int = 20, hex_bits: float = 3.0, mixed_bits: f
     base = docs.select("doc_id", text.alias("text")).withColumn("base", F.array_sort(F.concat(
         _spans(F.col("text"), ASSIGN, "assign", lambda m, i: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 12),
         _spans(F.col("text"), ACCESS, "access"), _spans(F.col("text"), HEX, "hex"))))
-    extra = _spans(F.col("text"), RUN, "entropy", lambda m, i: _suspicious(m, window, hex_bits, mixed_bits))
+    bits = {"hex": hex_bits, "upper": upper_bits, "lower": lower_bits, "letter": letter_bits, "mixed": mixed_bits}
+    extra = _spans(F.col("text"), RUN, "entropy", lambda m, i: _suspicious(m, window, bits))
     clear = F.filter(extra, lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     return base.select("doc_id", "base", clear.alias("extra"))
 

@@ -248,3 +248,19 @@ def test_window_entropy_and_added_spans(spark):
     assert added == {1: [(4, 27)], 2: [], 3: [], 4: [], 5: [(3, 27)]}
     every = secrets.scan(docs_of(spark, texts[:1])).select(secrets.joined(F.concat("base", "extra")).alias("s")).first().s
     assert every == "entropy:4:27"
+
+
+def added(spark, texts):
+    rows = secrets.scan(docs_of(spark, list(enumerate(texts)))).collect()
+    return {r.doc_id: [(x.s, x.e) for x in r.extra] for r in rows}
+
+
+def test_secrets_of_every_class(spark):
+    keys = ["k3j9x0q8w7z6v5u4t3s2p1", "JBSWY3DPEHPK3PXPJBSWY3DP", "QzRmTkWpLxHvBnGdYsJcFa", "3f9c17be-0d24-4865-93a9-c17be0d25a86",
+            "3F9C17BE-0D24-4865-93A9-C17BE0D25A86", "ID_F3A9C17BE0D24865F3A9C17B", "Id-F3A9C17BE0D24865F3A9C17B",
+            "IdF3A9C17BE0D24865F3A9C17B", "Zk3vT9qLm2/Xw8RbY5nHc7Jd+"]
+    assert added(spark, [f"see {k} here" for k in keys]) == {i: [(4, 4 + len(k))] for i, k in enumerate(keys)}
+    words = ["einungtzheitgeungverlich", "Einungtzheitgeungverlich", "EINUNGTZHEITGEUNGVERLICH", "some-words-in-a-slug-2024",
+             "getElementsByClassName", "aaaabbbb1111aaaabbbb1111aaaa", "----------------------", "path/to/some_file_name"]
+    assert added(spark, words) == {i: [] for i in range(len(words))}
+    assert added(spark, ["xz1" * 10_000 + "/k3j9x0q8w7z6v5u4t3s2p1"]) == {0: [(0, 30_023)]}
