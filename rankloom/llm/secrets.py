@@ -5,7 +5,8 @@ Match positions come from the pieces between matches: with the same pattern
 a match is the length of all gaps and matches before it. Runs of key-like
 characters are scored by the Shannon entropy of a sliding window, moved one
 character at a time by counts of the characters in it; in runs that may reach
-a bar every window is held against the bar of its class; runs that look like well-known placeholders are passed over.
+a bar every window is held against the bar of its class; what looks like a
+well-known placeholder is passed over.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # a run of 18 or more; shorter runs can hold no longer one
 HEX = r"[0-9a-f]{16,}"  # likewise
 RUN = r"[A-Za-z0-9+/_-]{20,}"  # candidates of the entropy scan
-# Placeholders: documentation words, one repeated character, counting runs.
-ALLOWED = r"(?i)example|sample|placeholder|your[_-]?|changeme|redacted|dummy|x{6}|(.)\1{7}|0123456789|abcdefgh|12345678"
+# Placeholders: documentation words with the key characters next to them, repeated characters, counting runs.
+# Only what stands there is passed over; the rest of the run is scanned.
+WORDS = "example|sample|placeholder|your|changeme|redacted|dummy"
+FILLER = r"x{6,}|(.)\1{7,}|0123456789|abcdefgh|12345678"
 UUID = r"(?i)([0-9a-f]{8})-([0-9a-f]{4})-([0-9a-f]{4})-([0-9a-f]{4})-([0-9a-f]{12})(?![0-9a-z])"
 # Classes of windows that keys come in, first match counts
 CLASSES = {
@@ -90,8 +93,8 @@ def window_entropy(run: Column, window: int) -> Column:
 
 
 def _suspicious(run: Column, window: int, bits: dict) -> Column:
-    """Whether a run is no placeholder and has a window that reaches the bar of its
-    class. Windows are classified one by one, so that prefixes and separators do
+    """Whether a run has a window that reaches the bar of its class and touches no
+    placeholder, nor the ``window`` characters next to a placeholder word. Windows are classified one by one, so that prefixes and separators do
     not matter; ids of the form 8-4-4-4-12 count without their hyphens. Words
     of letters of one case are of no class."""
     is_hex = run.rlike("^([0-9a-f]+|[0-9A-F]+)$") & run.rlike("[a-fA-F]") & run.rlike("[0-9]")
@@ -112,7 +115,8 @@ def _suspicious(run: Column, window: int, bits: dict) -> Column:
         high = F.when((F.length(piece) >= window) & keyed, window_entropy(piece, window) >= min(bits.values())).otherwise(False)
         return F.when(high, let(F.split(piece, ""), reaches)).otherwise(False)
 
-    return F.when(run.rlike(ALLOWED), False).otherwise(let(F.regexp_replace(run, UUID, "$1$2$3$4$5"), scored))
+    allowed = rf"(?i)[a-z0-9]{{0,{window}}}(?:{WORDS})[a-z0-9]{{0,{window}}}|{FILLER}"
+    return F.exists(F.split(F.regexp_replace(run, UUID, "$1$2$3$4$5"), allowed, -1), scored)
 
 
 def scan(docs: DataFrame, window: int = 20, hex_bits: float = 3.0, mixed_bits: float = 3.8,

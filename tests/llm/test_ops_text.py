@@ -264,3 +264,13 @@ def test_secrets_of_every_class(spark):
              "getElementsByClassName", "aaaabbbb1111aaaabbbb1111aaaa", "----------------------", "path/to/some_file_name"]
     assert added(spark, words) == {i: [] for i in range(len(words))}
     assert added(spark, ["xz1" * 10_000 + "/k3j9x0q8w7z6v5u4t3s2p1"]) == {0: [(0, 30_023)]}
+
+
+def test_placeholders_hide_only_themselves(spark):
+    key = "Zk3vT9qLm2Xw8RbY5nHc7Jd"
+    shown = [f"sample/{key}", f"{key}-example", f"xxxxxxxx{key}", f"{key}/12345678", f"your_{key}", f"aaaaaaaa+{key}",
+             "b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAAAMwAAAAtzc2gtZW", f"example{'q' * 20}{key}"]
+    assert added(spark, shown) == {i: [(0, len(t))] for i, t in enumerate(shown)}
+    hidden = [f"example{key[:20]}", f"{key[:20]}EXAMPLE", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaA1", "your_api_key_goes_here",
+              "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    assert added(spark, hidden) == {i: [] for i in range(len(hidden))}
