@@ -38,7 +38,8 @@ def leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 tokens, with their ids."""
     import public_tokenizers
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), length=1024)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), length=1024,
+                        encode_special_tokens=False)
 
 
 STAGES = [("toxicity", toxic), ("line dedup", shared_lines), ("SimHash near-dedup", near_copies),

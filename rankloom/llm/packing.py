@@ -53,18 +53,28 @@ class Tokenizer:
 
     Texts are cut into the pieces of the split pattern by array operations over
     code points, equal pieces of a batch are encoded once, and pieces stay in a
-    bounded cache. Ids equal those of ``tokenizers`` with add_special_tokens=False
-    and special strings taken as ordinary text.
+    bounded cache. Ids equal those of ``tokenizers`` with add_special_tokens=False:
+    the file's added tokens are single ids wherever they stand in a text. With
+    ``encode_special_tokens`` those marked special are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, encode_special_tokens: bool = False):
         import json
+        import re
 
         import tiktoken
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         shown = _byte_letters()
-        special = {t["content"] for t in spec.get("added_tokens", ())}
+        added = spec.get("added_tokens", ())
+        special = {t["content"] for t in added}
+        taken = [t for t in added if not (encode_special_tokens and t.get("special"))]
+        odd = [t["content"] for t in taken if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]
+        if odd:
+            raise ValueError(f"added tokens that depend on their surroundings: {odd}")
+        self.added = {t["content"]: t["id"] for t in taken}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if self.added else None
         ranks = {bytes(shown[ch] for ch in word): rank for word, rank in spec["model"]["vocab"].items()
                  if word not in special}
         # the split pattern of byte-level BPE files of this kind (fixed value)
@@ -77,6 +87,19 @@ class Tokenizer:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """uint32 ids of each text."""
+        held = {i: self.cut.split(t) for i, t in enumerate(texts) if self.cut.search(t)} if self.cut else {}
+        if not held:
+            return self._ordinary(texts)
+        rest = [p for parts in held.values() for p in parts[::2]]
+        coded = self._ordinary([*("" if i in held else t for i, t in enumerate(texts)), *rest])
+        out, between = coded[:len(texts)], iter(coded[len(texts):])
+        for i, parts in held.items():
+            out[i] = np.concatenate([np.array([self.added[p]], dtype=np.uint32) if k % 2 else next(between)
+                                     for k, p in enumerate(parts)])
+        return out
+
+    def _ordinary(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts without added tokens."""
         out = [np.zeros(0, dtype=np.uint32)] * len(texts)
         plain = []
         for i, t in enumerate(texts):
@@ -160,21 +183,21 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def tokenizer(path: str) -> Tokenizer:
-    """One per worker process and file."""
-    cache = worker_cache("tokenizer")
-    if path not in cache:
-        cache[path] = Tokenizer(path)
-    return cache[path]
+def tokenizer(path: str, encode_special_tokens: bool = False) -> Tokenizer:
+    """One per worker process, file and setting."""
+    cache, key = worker_cache("tokenizer"), (path, encode_special_tokens)
+    if key not in cache:
+        cache[key] = Tokenizer(path, encode_special_tokens)
+    return cache[key]
 
 
-def _tokens(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+def _tokens(docs: DataFrame, path: str, end_id: int, encode_special_tokens: bool) -> DataFrame:
     """``doc_id, ids, n, part, seen``: packed ids with the end id, their number,
     and the tokens before them in the partition ``part``."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tool, seen = tokenizer(path), 0
+        tool, seen = tokenizer(path, encode_special_tokens), 0
         for batch in batches:
             texts = batch["text"].fillna("")
             for a, b in slices(texts, 3_000_000):
@@ -190,11 +213,13 @@ def _tokens(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         encoded, f"doc_id {kind}, ids binary, n bigint, part int, seen bigint")
 
 
-def pack(docs: DataFrame, path: str, length: int = 1024, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, path: str, length: int = 1024, end_id: int = 0,
+         encode_special_tokens: bool = True) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text) in sequences of ``length`` tokens.
 
     ``path`` is a byte-level BPE file of ``tokenizers``, readable on the
-    executors. A document is its ids, then ``end_id``; null and empty texts are
+    executors. ``encode_special_tokens`` is the setting of that name there; its
+    default in ``tokenizers`` is False. A document is its ids, then ``end_id``; null and empty texts are
     the end id alone. Documents follow each other in the order they are read.
     Returns per piece ``doc_id, start, length, ids`` (little-endian uint32),
     ``ids_crc32, doc_tokens, sequence_id, offset``. All sequences are full but
@@ -202,7 +227,7 @@ def pack(docs: DataFrame, path: str, length: int = 1024, end_id: int = 0) -> Dat
     other columns are left out; an empty table gives no piece.
     """
     scratch = Scratch(docs.sparkSession, "packing")
-    tokens = scratch.save(_tokens(docs, path, end_id), "tokens")
+    tokens = scratch.save(_tokens(docs, path, end_id, encode_special_tokens), "tokens")
     totals = {r.part: r.n for r in tokens.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # one per task
     base, at = {}, 0
     for part in sorted(totals):

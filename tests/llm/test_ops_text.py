@@ -208,6 +208,23 @@ def test_packing_ids_and_windows(spark):
     assert packing.pack(docs_of(spark, [(None, None), (1, "a"), (1, "a")]), path).count() == 3
 
 
+def test_packing_added_tokens(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    from rankloom.llm.queries import op5_packing
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["a <|endoftext|> x", "<|endoftext|>", "<|endoftext|><|endoftext|>don't", " <|endoftext|>\n日本 <|endoftext", "plain", "", None,
+             "x" * 9 + " <|endoftext|>  y" * 2000, *ODD]
+    docs_of(spark, list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    tool = Tokenizer.from_file(path)
+    want = {i: [*tool.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    assert want[0] == [64, 220, 50256, 2124, 0]
+    for r in op5_packing(spark, str(tmp_path)).collect():
+        ids = want[r.doc_id]
+        assert r.doc_tokens == len(ids)
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start:r.start + r.length], dtype="<u4").tobytes())
+
+
 BASE = (("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A),
          lambda m: len(m[2]) >= 12),
         ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: m.end() - m.start() >= 18),
