@@ -1,5 +1,7 @@
 """Known licence texts and one-line notices, as (id, text)."""
 
+from pathlib import Path
+
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
 in the Software without restriction, including without limitation the rights
@@ -79,6 +81,33 @@ misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution.
 """
 
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+
+In jurisdictions that recognize copyright laws, the author or authors
+of this software dedicate any and all copyright interest in the
+software to the public domain. We make this dedication for the benefit
+of the public at large and to the detriment of our heirs and
+successors. We intend this dedication to be an overt act of
+relinquishment in perpetuity of all present and future rights to this
+software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR
+OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR
+OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org/>
+"""
+
+# The values of OP8_SQL; the query joins against all_known.
 KNOWN = (
     ("MIT", MIT),
     ("MIT", "MIT License\n\n" + MIT),
@@ -101,3 +130,36 @@ KNOWN = (
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
 )
+
+# Names that one-line notices have for each id.
+NAMES = {
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"),
+    "Artistic-1.0-Perl": ("Artistic License",),
+    "BSD-2-Clause": ("BSD 2-Clause License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "New BSD License", "Modified BSD License"),
+    "CC0-1.0": ("CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal"),
+    "GFDL-1.2": ("GNU Free Documentation License, version 1.2",),
+    "GFDL-1.3": ("GNU Free Documentation License, version 1.3",),
+    "ISC": ("ISC License",),
+    "MIT": ("MIT License",),
+    "MPL-1.1": ("Mozilla Public License, version 1.1", "Mozilla Public License 1.1", "MPL 1.1"),
+    "MPL-2.0": ("Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL 2.0"),
+    "Unlicense": ("Unlicense",),
+    "Zlib": ("zlib License",),
+    **{f"GPL-{v}.0": (f"GNU General Public License, version {v}", f"GNU General Public License v{v}.0", f"GPLv{v}") for v in "123"},
+    **{f"LGPL-{v}": (f"GNU Lesser General Public License, version {v}", f"LGPLv{v}") for v in ("2.1", "3.0")},
+    "LGPL-2.0": ("GNU Library General Public License, version 2",),
+    **{f"CC-BY-{k}4.0": (f"CC BY-{k}4.0".replace("BY-4", "BY 4").replace("-4", " 4"), f"CC-BY-{k}4.0") for k in ("", "SA-", "NC-", "ND-", "NC-SA-", "NC-ND-")},
+}
+NOTICES = ("Licensed under {}", "Licensed under the {}", "Released under the {}", "Distributed under the {}",
+           "This work is licensed under the {}", "This work is licensed under {}", "This project is licensed under the {}",
+           "This software is licensed under the {}")
+
+
+def all_known() -> list[tuple[str, str]]:
+    """KNOWN, the whole texts beside this module, and the notices and SPDX lines of every id."""
+    texts = [(f.stem, f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "license_files").glob("*.txt"))]
+    lines = [(i, notice.format(name)) for i, names in NAMES.items() for name in names for notice in NOTICES]
+    spdx = [(i, f"SPDX-License-Identifier: {i}{end}") for i in NAMES
+            for end in (("", "-only", "-or-later", "+") if i.startswith(("GPL", "LGPL", "GFDL")) else ("",))]
+    return [*KNOWN, ("Unlicense", UNLICENSE), *texts, *lines, *spdx]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import Scratch, let
-from rankloom.llm.license_texts import KNOWN
+from rankloom.llm.license_texts import KNOWN, all_known  # KNOWN: the values of OP8_SQL
 
 # Equivalent spellings as (pattern, replacement), on lower-case text, in this order.
 SPELLINGS = (
@@ -31,6 +31,8 @@ SPELLINGS = (
     (r"\bcopyright owner", "copyright holder"),
     (r"https://", "http://"),
 )
+# those of two words once more where a line ended between them
+OVER_LINES = ((r"\b(sub|non)\x20(licens|commerc)", "$1$2"), (r"\bper\x20cent\b", "percent"), (r"\bcopyright\x20owner", "copyright holder"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 QUOTES, PLAIN_QUOTES = "‘’“”–— ", "''\"\"-- "
 COPYRIGHT_LINE = r"(?m)^[\x20\x09]*(copyright\b|\(c\)|©|all rights reserved).*$"  # of OP8_SQL only: its lines hold no other
@@ -60,10 +62,12 @@ def without_statements(c: Column) -> Column:
     return F.when(marked, dropped(c)).otherwise(c)
 
 
-def canonical_lines(text: Column) -> Column:
-    """The text in canonical form with its line ends; every line is stripped."""
+def canonical_lines(text: Column, statements: bool = False) -> Column:
+    """The text in canonical form with its line ends; every line is stripped.
+    ``statements``: copyright statements stay."""
     c = F.translate(F.coalesce(text, F.lit("")), UPPER + QUOTES, LOWER + PLAIN_QUOTES)
-    c = let(c, without_statements)
+    if not statements:
+        c = let(c, without_statements)
     for pattern, to in SPELLINGS:
         c = F.regexp_replace(c, pattern, to)
     c = F.regexp_replace(c, PUNCTUATION, " ")
@@ -73,21 +77,27 @@ def canonical_lines(text: Column) -> Column:
 
 def whole(lines: Column) -> Column:
     """Canonical lines as one text without empty lines and line ends."""
-    return F.trim(F.regexp_replace(lines, r"[\x20\n]+", " "))
+    c = F.trim(F.regexp_replace(lines, r"[\x20\n]+", " "))
+    for pattern, to in OVER_LINES:
+        c = F.regexp_replace(c, pattern, to)
+    return c
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """``license_id, digest`` of (license_id, text) pairs; canonically equal texts
-    of two ids go by the smaller id."""
-    rows = spark.createDataFrame(list(known), "license_id string, text string")
-    return (rows.select("license_id", F.sha2(whole(canonical_lines(F.col("text"))), 256).alias("digest"))
+def known_digests(spark: SparkSession, known=None) -> DataFrame:
+    """``license_id, digest`` of (license_id, text) pairs, all known ones if none are
+    given, without and with copyright statements; canonically equal texts of two
+    ids go by the smaller id."""
+    rows = spark.createDataFrame(list(known or all_known()), "license_id string, text string")
+    forms = F.array(*[F.sha2(whole(canonical_lines(F.col("text"), kept)), 256) for kept in (False, True)])
+    return (rows.select("license_id", F.explode(forms).alias("digest"))
             .groupBy("digest").agg(F.min("license_id").alias("license_id")))
 
 
 def scan(docs: DataFrame, digests: DataFrame) -> DataFrame:
     """``doc_id, canonical_sha256, license_id, notices`` per row of ``docs`` (doc_id, text).
 
-    ``license_id`` is the known licence that the entire text is, null if none;
+    ``license_id`` is the known licence that the entire text is, null if none; texts
+    with statements in the middle (GPL) are also held against it as they are;
     ``notices`` the sorted distinct licences that single lines of it are, comma
     joined, empty if none. Texts without a word have the digest of the empty
     form and match nothing. Repeated rows and rows without a doc_id stay; rows
@@ -103,14 +113,17 @@ def scan(docs: DataFrame, digests: DataFrame) -> DataFrame:
 
     own = docs.select("doc_id", let(canonical_lines(F.col("text")), lambda c: F.struct(
         digest(whole(c)).alias("text"),
-        F.transform(F.filter(F.array_distinct(F.split(c, "\n")), lambda x: x != ""), digest).alias("lines"))).alias("at"))
-    own = scratch.save(own.select("doc_id", "at.text", "at.lines"), "digests")
+        F.transform(F.filter(F.array_distinct(F.split(c, "\n")), lambda x: x != ""), digest).alias("lines"))).alias("at"),
+        F.when(F.lower("text").rlike("copyright|\\(c\\)|©"), digest(whole(canonical_lines(F.col("text"), True)))).alias("uncut"))
+    own = scratch.save(own.select("doc_id", "at.text", "at.lines", "uncut"), "digests")
     known = digests.select(F.unhex("digest").alias("known"), "license_id")
     found = (own.select("doc_id", F.explode("lines").alias("line")).join(known, F.col("line") == F.col("known"))
              .groupBy(F.col("doc_id").alias("of_id"))
              .agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices")))
     empty = F.unhex(F.sha2(F.lit(""), 256))
     named = own.join(known, (own["text"] == known["known"]) & (known["known"] != empty), "left")
+    again = digests.select(F.unhex("digest").alias("known_uncut"), F.col("license_id").alias("uncut_id"))
+    named = named.join(again, named["uncut"] == again["known_uncut"], "left")
     return named.join(found, named["doc_id"].eqNullSafe(found["of_id"]), "left").select(
-        "doc_id", F.lower(F.hex("text")).alias("canonical_sha256"), "license_id",
+        "doc_id", F.lower(F.hex("text")).alias("canonical_sha256"), F.coalesce("license_id", "uncut_id").alias("license_id"),
         F.coalesce("notices", F.lit("")).alias("notices"))

@@ -99,7 +99,7 @@ def test_license_forms(spark):
 def wrapped(text, width=None, mark="", tail=""):
     """Each paragraph in lines of at most ``width`` characters, or one line, behind a comment mark."""
     parts = [" ".join(p.split()) for p in re.split(r"\n\s*\n", text)]
-    lines = [line for p in parts for line in [*(textwrap.wrap(p, width) if width else [p]), ""]]
+    lines = [line for p in parts for line in [*(textwrap.wrap(p, width, break_on_hyphens=False) if width else [p]), ""]]
     return "\n".join(f"{mark}{line}{tail}" for line in lines)
 
 
@@ -130,6 +130,20 @@ def test_license_forms_do_not_depend_on_lines(spark):
     assert hashlib.sha256(b"").hexdigest() not in {r.canonical_sha256 for r in got}
 
 
+def test_every_license_has_text_and_notices(spark):
+    from rankloom.llm.license_texts import NAMES, all_known
+    whole = [(i, t) for i, t in all_known() if len(t) > 200]
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense"} <= {i for i, _ in whole}
+    rows = [(i, f(t)) for i, t in whole for f in (str, str.upper, lambda t: wrapped(t, 66), lambda t: wrapped(t, 90, "# "), wrapped,
+                                                  lambda t: "Copyright (c) 2020 Someone\n\n" + t)]
+    notes = [(i, f"x\n# SPDX-License-Identifier: {i}\ny") for i in NAMES] + [(i, f"x\nLicensed under the {n}.") for i, ns in NAMES.items() for n in ns]
+    docs = spark.createDataFrame(list(enumerate(t for _, t in rows + notes)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in licenses.scan(docs, licenses.known_digests(spark)).collect()}
+    assert len(got) == len(rows + notes)
+    assert [got[k].license_id for k in range(len(rows))] == [i for i, _ in rows]
+    assert [got[len(rows) + k].notices for k in range(len(notes))] == [i for i, _ in notes]
+
+
 def test_chat_escape_round_trip():
     rng = random.Random(4)
     bits = ["<", "[", "\\", "|", "/", "s>", "INST]", "/INST]", "<SYS>>", "</SYS>>", "a", "<|/|>", "<|user|>", "\n", "]", ">"]
