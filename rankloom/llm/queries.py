@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import chat, containment, licenses, line_dedup, minhash, packing, quality, secrets, simhash, toxicity
+from rankloom.llm import (chat, containment, filter_audit, licenses, line_dedup, minhash, packing, periodic, quality,
+                          secrets, simhash, toxicity, vector_topk)
 from rankloom.llm.common import table
 
 
@@ -78,6 +79,19 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secrets.joined(every).alias("spans"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks = filter_audit.document_masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("lang"))
+    return filter_audit.audit(masks, "ABCDE")
+
+
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(table(spark, sf_dir, "documents"), min_length=24, min_periods=3, edit=periodic.planted)
+
+
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -158,6 +172,53 @@ select conv_id, count(*) as n_turns,
        cast(coalesce(sum(upto) filter (where role = 'assistant' or back = 1), 0) as bigint) as formatted_chars
 from placed group by conv_id"""
 
+_WORD_LIST = r"list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+OP11_SQL = f"""
+with doc as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text from documents),
+first as (select text, min(doc_id) as first_id from doc group by text),
+known as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+judged as (
+  select part, coalesce(good, 0) as good, coalesce(d.toxic, 0) as toxic,
+         [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w),
+          100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text),
+          regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > first_id, false)] as fails
+  from (select *, {_WORD_LIST} as w from doc left join first using (text) left join known using (doc_id)) d),
+summed as (select part, fails, count(*) as n, sum(good) as good, sum(toxic) as toxic from judged group by all),
+letter as (select unnest(['A', 'B', 'C', 'D', 'E']) as l, unnest([1, 2, 3, 4, 5]) as f),
+perm as (
+  select a.l || b.l || c.l || d.l || e.l as filter_order, [a.f, b.f, c.f, d.f, e.f] as fs
+  from letter a, letter b, letter c, letter d, letter e
+  where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+step as (select filter_order, fs, unnest([1, 2, 3, 4, 5]) as step from perm),
+here as (
+  select part, filter_order, step, fs[step] as f, n, good, toxic, fails[fs[step]] as failing,
+         len(list_filter(fs[:step - 1], lambda x: fails[x])) = 0 as reached,
+         len(list_filter(fails, lambda x: x)) = 1 as alone
+  from summed, step),
+counted as (
+  select part, filter_order, step, f,
+         cast(coalesce(sum(n) filter (where reached and not failing), 0) as bigint) as kept,
+         cast(coalesce(sum(n) filter (where reached and failing), 0) as bigint) as removed,
+         cast(coalesce(sum(n) filter (where not reached and failing), 0) as bigint) as redundant,
+         cast(coalesce(sum(n) filter (where failing and alone), 0) as bigint) as unique_fails,
+         cast(coalesce(sum(good) filter (where reached and failing), 0) as bigint) as good_lost,
+         cast(coalesce(sum(toxic) filter (where reached and failing), 0) as bigint) as toxic_lost
+  from here group by all)
+select part, filter_order, cast(step as int) as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       cast(sum(removed) over (partition by part, f) as bigint) as shapley
+from counted"""
+
+OP12_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
+  from v q join v c on c.vec_id <> q.vec_id and len(c.e) = len(q.e) where q.vec_id % 50 = 0)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
+from scored qualify rank <= 5"""
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -169,6 +230,9 @@ QUERIES = {
     "op8_license_scans": op8_license_scans,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_secret_scans": op10_secret_scans,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_exact_topk": op12_exact_topk,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL = {
@@ -176,4 +240,6 @@ ORACLE_SQL = {
     "op7_benchmark_decontamination": OP7_SQL,
     "op8_license_scans": OP8_SQL,
     "op9_chat_formatting": OP9_SQL,
+    "op11_filter_audit": OP11_SQL,
+    "op12_exact_topk": OP12_SQL,
 }
