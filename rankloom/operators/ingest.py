@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.text import tokens
 from rankloom.operators import filters as B
+from rankloom.operators.language import LanguageModel, detect
 from rankloom.operators.ranking import first_per_key, top_n_per_group
 
 DEFAULT_LOCATIONS = ["Toronto, ON"]
@@ -72,37 +73,6 @@ def new_only(batch: DataFrame, known: DataFrame) -> DataFrame:
     return first_arrival(batch).join(known.select("job_url").distinct(), "job_url", "left_anti")
 
 
-# Function words per language for the lexicon language detector.
-LANGUAGE_LEXICON = {
-    "en": ["the", "of", "and", "in", "to"],
-    "fr": ["le", "la", "et", "que", "un", "une", "les"],
-    "de": ["der", "die", "und", "ein", "in", "zu"],
-    "es": ["el", "los", "que", "y", "la", "en", "de"],
-}
-
-
-def detect_language(df: DataFrame, id_col: str, text_col) -> DataFrame:
-    """``(id, detected_language)`` from function-word hits over the whole
-    text: tokens are exploded, kept only if they are lexicon words, matched to
-    their languages by a broadcast join with the fixed lexicon (a few dozen
-    rows), counted per (row, language) with partial aggregation, and the
-    language with most hits wins (ties by name). Rows without any hit get no
-    result row; a left join back leaves them NULL (unknown, which passes B2).
-
-    Measured on sf0.1 this plan is ~5x faster than per-row regex counting and
-    ~8x faster than higher-order array functions over the token arrays.
-    """
-    spark = df.sparkSession
-    words = sorted({w for ws in LANGUAGE_LEXICON.values() for w in ws})
-    lex = spark.createDataFrame([(w, lang) for lang, ws in sorted(LANGUAGE_LEXICON.items()) for w in ws],
-                                "term string, lang string")
-    text = F.col(text_col) if isinstance(text_col, str) else text_col
-    toks = df.select(F.col(id_col).alias("_id"), F.explode(tokens(text)).alias("term")).filter(F.col("term").isin(*words))
-    hits = toks.join(F.broadcast(lex), "term").groupBy("_id", "lang").agg(F.count("*").alias("n"))
-    best = hits.groupBy("_id").agg(F.min(F.struct((-F.col("n")).alias("neg"), F.col("lang"))).alias("b"))
-    return best.select(F.col("_id").alias(id_col), F.col("b.lang").alias("detected_language"))
-
-
 def quality_rules(text) -> list[Column]:
     """B17 rule columns over the whole text: words, lines, repeated-line share, letter share."""
     t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
@@ -127,11 +97,12 @@ def quality_pass() -> Column:
 
 
 def decide(batch: DataFrame, known: DataFrame, allowed_regions: list[str] | None,
-           require_language: str | None, id_col: str = "id", detect_all: bool = False) -> DataFrame:
+           require_language: str | None, model: LanguageModel, id_col: str = "id",
+           detect_all: bool = False) -> DataFrame:
     """Tag every landed row with its ingest decision (D5 input):
     ``no_url``, ``duplicate`` (later arrival in batch), ``known``, ``skipped_region``,
-    ``skipped_language`` or ``new``. The language is detected only for rows that
-    the cheaper rules keep, unless ``detect_all`` asks for it on every row.
+    ``skipped_language`` or ``new``. The language is detected (by ``model``) only for
+    rows that the cheaper rules keep, unless ``detect_all`` asks for it on every row.
 
     The first arrival per URL comes from a grouped ``min`` (partial aggregation
     before the shuffle), not a window, so a URL that lands millions of times
@@ -149,8 +120,8 @@ def decide(batch: DataFrame, known: DataFrame, allowed_regions: list[str] | None
     urls = batch.filter(B.has_url("job_url")).join(firsts, "job_url", "left")
     bare = batch.filter(~B.has_url("job_url")).withColumn("_first", F.lit(None)).withColumn("_known", F.lit(None))
     x = urls.unionByName(bare).withColumn("_cheap", cheap)
-    det = detect_language(x if detect_all else x.filter(F.col("_cheap").isNull()), id_col,
-                          F.concat_ws(" ", "title", "description"))
+    det = detect(x if detect_all else x.filter(F.col("_cheap").isNull()), id_col,
+                 F.concat_ws(" ", "title", "description"), model)
     x = x.join(det, id_col, "left")
     decision = (F.when(F.col("_cheap").isNotNull(), F.col("_cheap"))
                 .when(~B.language_ok("detected_language", F.lit(require_language)), "skipped_language")

@@ -1,16 +1,16 @@
-"""Scoring: keyword deltas (C6, D8, H4), relevance scoring (J5, J13), the
-scoring request/response columns (J1, J2, H5-H7), retry schedule (J4) and the
-pluggable batch scorer (J3)."""
+"""Scoring: keyword deltas (C6, D8, H4), the scoring request/response columns
+(J1, J2, H5-H7), retry schedule (J4) and the pluggable batch scorer (J3).
+Term relevance (J5, J13) is in ``relevance``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.functions.text import clamp, strip_code_fence, tokens, truncate_int
+from rankloom.functions.text import clamp, strip_code_fence, truncate_int
 
 ENTITY_BOOST_CAP = 20
 MAX_ATTEMPTS = 3
@@ -49,106 +49,6 @@ def boost_reason(reason, raw_score, adjusted) -> Column:
         .otherwise(F.col(reason))
 
 
-# --------------------------------------------------------------------------- relevance
-
-MIN_SCORE = 20  # default bar of ``relevance``: pairs below it are not produced
-
-
-def doc_terms(docs: DataFrame, id_col: str, text_col: str, with_count: bool = False) -> DataFrame:
-    """Distinct terms per document (whole text), optionally with their in-document count."""
-    if with_count:
-        x = docs.select(F.col(id_col).alias("doc"), F.explode(tokens(text_col)).alias("term"))
-        return x.groupBy("doc", "term").agg(F.count("*").alias("tf"))
-    # de-duplicate inside the row: no shuffle needed for distinct (doc, term)
-    return docs.select(F.col(id_col).alias("doc"), F.explode(F.array_distinct(tokens(text_col))).alias("term"))
-
-
-def relevance(spark: SparkSession, queries: DataFrame, q_id: str, q_text: str,
-              docs: DataFrame, d_id: str, d_text: str, evidence: bool = False,
-              min_score: int = MIN_SCORE, only: DataFrame | None = None) -> DataFrame:
-    """Weighted coverage of each query's terms by each document.
-
-    ``weight(t) = round(100 * ln(N / df(t)))``, which falls to 0 for a term that
-    all documents have; ``score = floor(100 * matched / total)``. With
-    ``evidence`` (J13) a query term's weight is multiplied by its evidence
-    level: how often the query repeats it.
-
-    Pairs of score ``min_score`` or more are produced, each of them: a pair
-    that shares only a query's lightest terms, whose weights together stay
-    under the bar, cannot reach it, so only the other terms are joined to find
-    candidates. ``only`` (a frame with ``d_id``) limits the pairs to some
-    documents; document frequencies still come from all.
-    """
-    variant = "evidence" if evidence else "plain"
-    x = relevance_variants(spark, queries, q_id, q_text, docs, d_id, d_text, (variant,), min_score, only)
-    return x.select(q_id, d_id, "n_terms", F.col(f"matched_{variant}").alias("matched"),
-                    F.col(f"total_{variant}").alias("total"), F.col(f"score_{variant}").alias("score"))
-
-
-def pair_relevance(spark: SparkSession, pairs: DataFrame, keys: list[str], q_text: str, d_text: str,
-                   corpus: DataFrame, c_id: str, c_text: str) -> DataFrame:
-    """J5 for given pairs (a cut, a labelled set): ``keys`` and ``score``. Term
-    weights come from the whole ``corpus``; each pair stays one row until its
-    query terms are looked up, so the work grows with the pairs alone."""
-    has = F.array_distinct(tokens(d_text))
-    x = pairs.select(*keys, F.explode(F.transform(F.array_distinct(tokens(q_text)), lambda t: F.struct(
-        t.alias("term"), F.array_contains(has, t).alias("hit")))).alias("e")).select(*keys, "e.term", "e.hit")
-    dt = doc_terms(corpus, c_id, c_text).join(x.select("term").distinct(), "term", "left_semi")
-    stats = spark.sql(
-        """select term, cast(round(100 * ln((select count(*) from {docs}) / count(*))) as bigint) as weight
-           from {dt} group by term""", dt=dt, docs=corpus.select(c_id))
-    g = x.join(stats, "term").groupBy(*keys).agg(
-        F.sum(F.when(F.col("hit"), F.col("weight")).otherwise(0)).alias("m"), F.sum("weight").alias("t"))
-    return g.select(*keys, F.when(F.col("t") > 0, F.floor(F.lit(100) * F.col("m") / F.col("t"))).otherwise(0)
-                    .cast("int").alias("score"))
-
-
-TERM_SALTS = 16
-
-
-def relevance_variants(spark: SparkSession, queries: DataFrame, q_id: str, q_text: str,
-                       docs: DataFrame, d_id: str, d_text: str, variants=("plain", "evidence"),
-                       min_score: int = MIN_SCORE, only: DataFrame | None = None) -> DataFrame:
-    """J5 and J13 from one pass: one candidate join and one sum per weighting
-    (``matched_<v>``, ``total_<v>``, ``score_<v>``), for pairs that reach
-    ``min_score`` by one of the ``variants``."""
-    qt = doc_terms(queries, q_id, q_text, with_count=True).withColumnRenamed("doc", "q")
-    # only terms some query uses matter: semi join first, so document
-    # frequencies and the pair joins see a fraction of the corpus postings
-    dt = doc_terms(docs, d_id, d_text).join(qt.select("term").distinct(), "term", "left_semi")
-    # N enters as an uncorrelated scalar subquery: computed once, no join
-    stats = spark.sql(
-        """select term, cast(round(100 * ln((select count(*) from {docs}) / count(*))) as bigint) as weight
-           from {dt} group by term""", dt=dt, docs=docs.select(d_id))
-    levels = {"plain": F.lit(1), "evidence": F.col("tf")}
-    qw = qt.join(stats, "term").select("q", "term", *[(F.col("weight") * levels[v]).alias(f"w_{v}") for v in variants])
-    own = Window.partitionBy("q")  # the terms of one query
-    for v in variants:
-        qw = qw.withColumn(f"total_{v}", F.sum(f"w_{v}").over(own)).withColumn(
-            f"upto_{v}", F.sum(f"w_{v}").over(own.orderBy(f"w_{v}", "term").rowsBetween(Window.unboundedPreceding, 0)))
-    heavy = F.lit(False)
-    for v in variants:
-        heavy = heavy | ((F.col(f"w_{v}") > 0) & (100 * F.col(f"upto_{v}") >= min_score * F.col(f"total_{v}")))
-    if only is not None:
-        dt = dt.join(only.select(F.col(d_id).alias("doc")).distinct(), "doc", "left_semi")
-    # postings of a common term are dealt over several keys
-    salts = F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1))).alias("salt")
-    salted = dt.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(TERM_SALTS)).cast("int"))
-    pairs = (qw.filter(heavy).select("q", "term", salts).join(salted, ["term", "salt"])
-             .select("q", "doc").distinct())
-    weights = [c for v in variants for c in (f"w_{v}", f"total_{v}")]
-    hits = pairs.join(dt, "doc").join(qw.select("q", "term", *weights), ["q", "term"])
-    out = hits.groupBy("q", "doc").agg(
-        F.count("*").alias("n_terms"), *[F.sum(f"w_{v}").alias(f"matched_{v}") for v in variants],
-        *[F.first(f"total_{v}").alias(f"total_{v}") for v in variants])
-    for v in variants:
-        share = F.floor(F.lit(100) * F.col(f"matched_{v}") / F.col(f"total_{v}")).cast("int")
-        out = out.withColumn(f"score_{v}", F.when(F.col(f"total_{v}") > 0, share).otherwise(0))
-    out = out.filter(F.greatest(F.lit(-1), *[F.col(f"score_{v}") for v in variants]) >= min_score)
-    return out.select(F.col("q").alias(q_id), F.col("doc").alias(d_id), "n_terms",
-                      *[f"{c}_{v}" for v in variants for c in ("matched", "total", "score")])
-
-
 # --------------------------------------------------------------------------- requests / responses
 
 def scoring_request(profile_resume, profile_description, feedback, title, employer, location, description) -> Column:

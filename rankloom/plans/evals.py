@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankloom.operators import evals as EV
-from rankloom.operators import scoring as S
+from rankloom.operators import relevance as R
 from rankloom.plans import oracle_views as V
 from rankloom.plans.registry import query
 from rankloom.session import materialize
@@ -29,7 +29,7 @@ def labelled(spark, sf_dir):
     texts = F.array(F.col("text"), mid, F.col("t2"), F.col("t3"))
     x = x.select("item_id", "text", F.posexplode(texts).alias("no", "listing"))
     role = F.element_at(F.array(*[F.lit(r) for r in EV.ROLES]), F.col("no") + 1)
-    scored = S.pair_relevance(spark, x, ["item_id", "no"], "text", "listing", read(spark, sf_dir, "documents"), "doc_id", "text")
+    scored = R.pair_relevance(spark, x, ["item_id", "no"], "text", "listing", read(spark, sf_dir, "documents"), "doc_id", "text")
     return x.select("item_id", "no", role.alias("role")).join(scored, ["item_id", "no"])
 
 
@@ -77,8 +77,8 @@ def eval_rank_position(spark, sf_dir):
 
 
 _PASS_SQL = "with " + relevance_ctes(False, "a_", "true").strip() + ",\n" + relevance_ctes(True, "b_", "true").strip() + f""",
-found as (select item_id, doc_id from a_rel where score >= {S.MIN_SCORE}
-          union select item_id, doc_id from b_rel where score >= {S.MIN_SCORE}),
+found as (select item_id, doc_id from a_rel where score >= {R.MIN_SCORE}
+          union select item_id, doc_id from b_rel where score >= {R.MIN_SCORE}),
 runs as (select 'plain' as trial, * from a_rel semi join found using (item_id, doc_id)
          union all select 'evidence', * from b_rel semi join found using (item_id, doc_id)),
 r as (select *, row_number() over (partition by trial, item_id order by score desc, doc_id) as rank from runs),
@@ -96,7 +96,7 @@ from checks group by item_id, "check\""""
 @query("eval_pass_rate", "D11", _PASS_SQL)
 def eval_pass_rate(spark, sf_dir):
     # both trials (plain, evidence weighting) from one relevance pass, in long form
-    both = S.relevance_variants(spark, read(spark, sf_dir, "benchmark"), "item_id", "text",
+    both = R.relevance_variants(spark, read(spark, sf_dir, "benchmark"), "item_id", "text",
                                 read(spark, sf_dir, "documents"), "doc_id", "text")
     r = materialize(both.select("item_id", "doc_id", F.expr(
         "stack(2, 'plain', score_plain, 'evidence', score_evidence) as (trial, score)")), "relevance-trials")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from rankloom.operators import ingest as I
 from rankloom.operators import digest as D
 from rankloom.operators import filters as B
+from rankloom.operators import language as LG
+from rankloom.operators import relevance as R
 from rankloom.operators import scoring as S
 from rankloom.plans import oracle_views as V
 from rankloom.plans.digest import BOARD_AS_OF
@@ -118,20 +120,45 @@ def ingest_region(spark, sf_dir):
     return x.filter(B.region_ok("location", "is_remote", "allowed_regions")).select("profile_id", "job_url")
 
 
-@query("ingest_language", "B2 J9", V.with_(V.RAW_FETCH) + f"""
-, d as (select r.id, {V.detect_sql("concat_ws(' ', coalesce(r.title, ''), coalesce(r.description, ''))")} as detected,
-        l.language from raw_fetch r join listings_raw l on l.id = r.id)
+_FETCHED_TEXT = "(select id, concat_ws(' ', coalesce(title, ''), coalesce(description, '')) as text from {})"
+
+
+def language_model(spark, sf_dir):
+    """What the landed documents' own language labels teach (a bounded sample of them)."""
+    return LG.learn(read(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+
+
+@query("ingest_language", "B2 J9", V.with_(V.RAW_FETCH, V.language_ctes(_FETCHED_TEXT.format("raw_fetch"))) + """
+, d as (select l.id, x.detected_language as detected, l.language from listings_raw l left join detected x on x.id = l.id)
 select id, detected, language as labelled,
        (detected is null or lower(detected) = 'en') as passed from d""")
 def ingest_language(spark, sf_dir):
     x = I.normalize(L.raw_fetch(spark, sf_dir)).withColumnRenamed("term", "labelled")  # the task asked by language
-    det = I.detect_language(x, "id", F.concat_ws(" ", "title", "description"))
+    det = LG.detect(x, "id", F.concat_ws(" ", "title", "description"), language_model(spark, sf_dir))
     x = x.join(det, "id", "left").withColumnRenamed("detected_language", "detected")
     return x.select("id", "detected", "labelled", B.language_ok("detected", F.lit(BOARD_LANGUAGE)).alias("passed"))
 
 
+@query("eval_language", "J9", "with " + V.language_ctes("(select doc_id as id, text from documents)").strip() + """
+select d.lang, count(*) as n, cast(count_if(x.detected_language = d.lang) as bigint) as n_right,
+       cast(count_if(x.detected_language is null) as bigint) as n_unknown,
+       count_if(x.detected_language = d.lang) >= 0.98 * count(*) as passed
+from documents d left join detected x on x.id = d.doc_id
+where d.lang is not null and d.doc_id not in (select doc_id from lm_sample) group by d.lang""")
+def eval_language(spark, sf_dir):
+    """The language model against the labels of all rows that it has not learnt from."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    rest = docs.where("lang is not null").join(LG.learning_sample(docs, "doc_id", "lang"), "doc_id", "left_anti")
+    x = rest.select("doc_id", "lang").join(LG.detect(rest, "doc_id", "text", language_model(spark, sf_dir)), "doc_id", "left")
+    right = F.col("detected_language") == F.col("lang")
+    return x.groupBy("lang").agg(
+        F.count("*").alias("n"), F.count_if(right).alias("n_right"), F.count_if(F.col("detected_language").isNull()).alias("n_unknown"),
+        (F.count_if(right) >= 0.98 * F.count("*")).alias("passed"))
+
+
 def _decided(spark, sf_dir, detect_all=False):
-    return I.decide(_batch(spark, sf_dir), _known(spark, sf_dir), BOARD_REGIONS, BOARD_LANGUAGE, detect_all=detect_all)
+    return I.decide(_batch(spark, sf_dir), _known(spark, sf_dir), BOARD_REGIONS, BOARD_LANGUAGE,
+                    language_model(spark, sf_dir), detect_all=detect_all)
 
 
 def decided_ctes() -> str:
@@ -139,10 +166,10 @@ def decided_ctes() -> str:
     return f""",
 firsts as (select job_url, min(arrival) as first_arrival from batch
            where job_url is not null and job_url <> '' group by job_url),
+{V.language_ctes(_FETCHED_TEXT.format("batch")).strip()},
 dec0 as (
-  select b.*, f.first_arrival, (k.job_url is not null) as is_known,
-         {V.detect_sql("concat_ws(' ', coalesce(b.title, ''), coalesce(b.description, ''))")} as detected_language
-  from batch b left join firsts f on f.job_url = b.job_url
+  select b.*, f.first_arrival, (k.job_url is not null) as is_known, x.detected_language
+  from batch b left join firsts f on f.job_url = b.job_url left join detected x on x.id = b.id
   left join (select distinct job_url from known) k on k.job_url = b.job_url),
 decided as (
   select *, case
@@ -203,7 +230,7 @@ def scored_jobs(spark, sf_dir):
     (J5) plus its keyword weights (D8). Only rows that passed are scored."""
     new = _decided(spark, sf_dir).filter(F.col("decision") == "new")
     resume = read(spark, sf_dir, "benchmark").filter(F.col("item_id") == BOARD_RESUME_ITEM)
-    rel = S.relevance(spark, resume, "item_id", "text", read(spark, sf_dir, "documents"), "doc_id", "text",
+    rel = R.relevance(spark, resume, "item_id", "text", read(spark, sf_dir, "documents"), "doc_id", "text",
                       min_score=0, only=new.select(F.col("id").alias("doc_id")))
     x = new.join(rel.select(F.col("doc_id").alias("id"), F.col("score").alias("rel")), "id", "left")
     x = x.withColumn("raw_score", F.coalesce("rel", F.lit(0)))

@@ -3,6 +3,8 @@
 Used only to build oracle SQL; each is a CTE body over the landed tables.
 """
 
+from rankloom.operators import language as LG
+
 LISTINGS_RAW = """
 listings_raw as (
   select d.doc_id as id,
@@ -112,22 +114,30 @@ def tokens_sql(text: str) -> str:
     return f"(case when {cleaned} = '' then []::varchar[] else string_split({cleaned}, ' ') end)"
 
 
-LEXICON = {
-    "en": ["the", "of", "and", "in", "to"],
-    "fr": ["le", "la", "et", "que", "un", "une", "les"],
-    "de": ["der", "die", "und", "ein", "in", "zu"],
-    "es": ["el", "los", "que", "y", "la", "en", "de"],
-}
-
-
-def detect_sql(text: str) -> str:
-    toks = tokens_sql(text)
-    parts = []
-    for lang, ws in sorted(LEXICON.items()):
-        inlist = ", ".join(f"'{w}'" for w in ws)
-        parts.append(f"{{'neg': -len(list_filter({toks}, lambda t: t in ({inlist}))), 'lang': '{lang}'}}")
-    best = f"list_min([{', '.join(parts)}])"
-    return f"(case when ({best}).neg < 0 then ({best}).lang end)"
+def language_ctes(source: str) -> str:
+    """The n-gram language model of ``documents`` and ``detected(id, detected_language)``
+    for the CTE or table ``source(id, text)``."""
+    def grams(keys, rows):
+        return (f"select {keys}, substr(p, i, 3) as g from ("
+                f"select {keys}, ' ' || w || ' ' as p, unnest(range(1, length(w) + 1)) as i from ("
+                f"select {keys}, unnest(list_distinct({tokens_sql('text')})) as w from {rows}))")
+    return f"""
+lm_sample as (
+  select doc_id, lang from (select distinct doc_id, lang from documents where lang is not null and doc_id is not null)
+  qualify row_number() over (partition by lang order by md5(cast(doc_id as varchar)), doc_id) <= {LG.SAMPLE_PER_LANGUAGE}),
+lm_count as (
+  select lang, g, count(*) as n from (
+    {grams("lang", "(select s.lang, d.text from documents d join lm_sample s on s.doc_id = d.doc_id)")})
+  group by lang, g),
+lm_top as (select g from lm_count group by g order by sum(n) desc, g limit {LG.MAX_GRAMS}),
+lm_total as (select lang, sum(n) as total from lm_count semi join lm_top using (g) group by lang),
+lm as (
+  select t.g, l.lang, cast(round(1000 * ln((coalesce(c.n, 0) + 1) / (l.total + (select count(*) from lm_top)))) as bigint) as w
+  from lm_top t cross join lm_total l left join lm_count c on c.g = t.g and c.lang = l.lang),
+detected as (
+  select id, lang as detected_language from (
+    select id, lang, sum(w) as s from ({grams("id", source)}) join lm using (g) group by id, lang)
+  qualify row_number() over (partition by id order by s desc, lang) = 1)"""
 
 
 def fold_sql(name: str, where: str = "true", keys: str = "profile_id, listing_id") -> str:

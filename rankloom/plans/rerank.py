@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rankloom.operators import digest as D
+from rankloom.operators import relevance as R
 from rankloom.operators import rerank as RR
-from rankloom.operators import scoring as S
 from rankloom.operators.ranking import top_n_per_group
 from rankloom.plans.digest import BOARD_CAND_SQL, FLEET_CAND_SQL, board_candidates, fleet_candidates
 from rankloom.plans.registry import query
@@ -72,7 +72,7 @@ select item_id, row_number() over (partition by item_id order by relevance desc,
        job_url, relevance from scored where relevance >= 0.1""")
 def rerank_terms(spark, sf_dir):
     cut = board_cut(spark, sf_dir).select(F.col("id").alias("doc_id"), F.col("pos").alias("score_pos"), "job_url")
-    rel = S.relevance(spark, read(spark, sf_dir, "benchmark"), "item_id", "text",
+    rel = R.relevance(spark, read(spark, sf_dir, "benchmark"), "item_id", "text",
                       read(spark, sf_dir, "documents"), "doc_id", "text",
                       min_score=round(100 * BOARD_RERANK_MIN), only=cut)
     scored = rel.join(cut, "doc_id").select("item_id", "score_pos", "job_url",

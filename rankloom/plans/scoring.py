@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rankloom.operators import relevance as R
 from rankloom.operators import scoring as S
 from rankloom.plans import oracle_views as V
 from rankloom.plans.registry import query, sql_ts_text, ts_text
@@ -51,7 +52,7 @@ def keyword_reason(spark, sf_dir):
     return x.select("profile_id", "job_url", S.boost_reason("reason0", "score", "adjusted").alias("reason"))
 
 
-def relevance_ctes(evidence: bool, p: str = "", bar: str = f"score >= {S.MIN_SCORE}") -> str:
+def relevance_ctes(evidence: bool, p: str = "", bar: str = f"score >= {R.MIN_SCORE}") -> str:
     """CTEs ending in ``{p}rel`` (columns item_id, doc_id, n_terms, matched, total, score)."""
     lvl = "tf" if evidence else "1"
     return f"""
@@ -76,15 +77,27 @@ def _relevance_sql(evidence: bool) -> str:
     return "with " + relevance_ctes(evidence).strip() + "\nselect * from rel"
 
 
+TOP_LISTINGS = 5
+
+
 @query("relevance_score", "J5 C5", _relevance_sql(False))
 def relevance_score(spark, sf_dir):
-    return S.relevance(spark, read(spark, sf_dir, "benchmark"), "item_id", "text",
+    return R.relevance(spark, read(spark, sf_dir, "benchmark"), "item_id", "text",
                        read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+@query("relevance_top", "C5 J5 E3", "with " + relevance_ctes(False, bar="matched > 0").strip() + f"""
+select item_id, pos, doc_id, matched, total, score from (
+  select *, row_number() over (partition by item_id order by matched desc, doc_id) as pos from rel)
+where pos <= {TOP_LISTINGS}""")
+def relevance_top(spark, sf_dir):
+    return R.relevance_top(spark, read(spark, sf_dir, "benchmark"), "item_id", "text",
+                           read(spark, sf_dir, "documents"), "doc_id", "text", TOP_LISTINGS)
+
+
 @query("relevance_evidence", "J13", _relevance_sql(True))
 def relevance_evidence(spark, sf_dir):
-    return S.relevance(spark, read(spark, sf_dir, "benchmark"), "item_id", "text",
+    return R.relevance(spark, read(spark, sf_dir, "benchmark"), "item_id", "text",
                        read(spark, sf_dir, "documents"), "doc_id", "text", evidence=True)
 
 

@@ -23,6 +23,7 @@ from pyspark.sql.types import BooleanType, DateType, LongType, StringType, Struc
 from rankloom.functions.text import strip_quoted
 from rankloom.operators import feedback as FB
 from rankloom.operators import ingest as I
+from rankloom.operators import language as LG
 from rankloom.operators import replies as RP
 from rankloom.session import table_dir
 from rankloom.sources.inbox import proposals_from, replies_from
@@ -87,6 +88,8 @@ def ingest_stream(spark: SparkSession, sf_dir: str, regions: list[str] | None =
     table would be bucketed by ``job_url`` so the join does not shuffle it.
     """
     out = run_dir(spark, "ingest")
+    landed = read(spark, sf_dir, "documents")
+    model = LG.learn(landed, "doc_id", "text", "lang")
     docs = file_stream(spark, sf_dir, "documents", max_files)
     rows = fetched(board_rows(docs, read(spark, sf_dir, "labels"), read(spark, sf_dir, "nation")))
 
@@ -95,7 +98,7 @@ def ingest_stream(spark: SparkSession, sf_dir: str, regions: list[str] | None =
             stored = spark.read.option("mergeSchema", "true").parquet(out).filter(F.col("batch_id") < batch_id)
         else:
             stored = spark.createDataFrame([], INGEST_SINK)
-        decided = I.decide(I.normalize(batch), stored.select("job_url"), regions, language)
+        decided = I.decide(I.normalize(batch), stored.select("job_url"), regions, language, model)
         # every batch file carries the sink schema, whatever the source had
         return align_to(decided.filter(F.col("decision") == "new"), INGEST_SINK)
 

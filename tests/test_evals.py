@@ -4,7 +4,7 @@ scored with the same metrics as the eval queries (D12, E7)."""
 from pyspark.sql import functions as F
 
 from rankloom.operators import evals as EV
-from rankloom.operators import scoring as S
+from rankloom.operators import relevance as R
 
 RESUME = ("pipeline engineer building spark streaming jobs, parquet lakes, shuffle tuning, "
           "skew handling and window aggregations for billing analytics")
@@ -21,11 +21,11 @@ FILLER = [(100 + i, "filler", f"general office work number {i} with phone calls
 def test_scorer_orders_roles(spark):
     docs = spark.createDataFrame(LISTINGS + FILLER, "doc_id long, role string, text string")
     queries = spark.createDataFrame([(1, RESUME)], "item_id long, text string")
-    rel = S.relevance(spark, queries, "item_id", "text", docs, "doc_id", "text", min_score=0)
+    rel = R.relevance(spark, queries, "item_id", "text", docs, "doc_id", "text", min_score=0)
     scores = {r.doc_id: r.score for r in rel.collect()}
     assert scores[1] > scores.get(2, 0) > scores.get(3, 0) >= scores.get(4, 0)
     pairs = docs.filter("doc_id < 100").select(F.lit(1).alias("item_id"), "doc_id", "role", F.lit(RESUME).alias("q"), "text")
-    same = S.pair_relevance(spark, pairs, ["item_id", "doc_id"], "q", "text", docs, "doc_id", "text")
+    same = R.pair_relevance(spark, pairs, ["item_id", "doc_id"], "q", "text", docs, "doc_id", "text")
     assert {r.doc_id: r.score for r in same.collect()} == {k: scores.get(k, 0) for k in range(1, 5)}
     ev = pairs.join(same, ["item_id", "doc_id"])
     q = EV.score_quality(ev, "item_id").first()

@@ -116,16 +116,16 @@ def test_reverted_entries_stay_reverted_and_texts_leave_empty_lists_out(spark):
 
 
 def test_relevance_on_a_tiny_corpus_and_lossless_bar(spark):
-    from rankloom.operators import scoring as S
+    from rankloom.operators import relevance as R
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(
         ["red fox runs", "red hen sits", "blue fox sits", "red red sea", "green"])], "d long, t string")
     q = spark.createDataFrame([(1, "red fox sits"), (2, "green sea sea")], "q long, t string")
-    full = {(r.q, r.d): r.score for r in S.relevance(spark, q, "q", "t", docs, "d", "t", evidence=True, min_score=0).collect()}
+    full = {(r.q, r.d): r.score for r in R.relevance(spark, q, "q", "t", docs, "d", "t", evidence=True, min_score=0).collect()}
     assert full[(1, 0)] > 0 and full[(2, 4)] > 0
     for bar in (1, 30, 60, 100):
-        got = {(r.q, r.d): r.score for r in S.relevance(spark, q, "q", "t", docs, "d", "t", evidence=True, min_score=bar).collect()}
+        got = {(r.q, r.d): r.score for r in R.relevance(spark, q, "q", "t", docs, "d", "t", evidence=True, min_score=bar).collect()}
         assert got == {k: s for k, s in full.items() if s >= bar}
-    some = S.relevance(spark, q, "q", "t", docs, "d", "t", evidence=True, min_score=0, only=docs.filter("d < 2"))
+    some = R.relevance(spark, q, "q", "t", docs, "d", "t", evidence=True, min_score=0, only=docs.filter("d < 2"))
     assert {(r.q, r.d): r.score for r in some.collect()} == {k: s for k, s in full.items() if k[1] < 2}
 
 
