@@ -47,10 +47,8 @@ def strip_space(text) -> Column:
 
 def first_word(text) -> Column:
     """H9: first whitespace-separated word, lower-case, punctuation ``.,!?;:'"`` stripped at both ends."""
-    t = strip_space(text)
-    w = F.lower(F.element_at(F.split(t, f"{SPACE}+"), 1))
-    w = F.regexp_replace(w, r"""^[.,!?;:'"]+|[.,!?;:'"]+$""", "")
-    return F.when(t == "", F.lit("")).otherwise(F.coalesce(w, F.lit("")))
+    w = F.lower(F.regexp_extract(_c(text), f"^{SPACE}*([^{SPACE[1:]}+)", 1))  # looks no further than the word
+    return F.coalesce(F.regexp_replace(w, r"""^[.,!?;:'"]+|[.,!?;:'"]+$""", ""), F.lit(""))
 
 
 def strip_quoted(text) -> Column:
@@ -60,6 +58,12 @@ def strip_quoted(text) -> Column:
     return strip_space(F.array_join(kept, "\n"))
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row: a lambda variable is,
+    an expression inside a lambda is not."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def list_text(arr, field: str | None = None) -> Column:
     """Comma-joined items, ``none`` when empty."""
     a = _c(arr)

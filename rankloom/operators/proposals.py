@@ -22,21 +22,21 @@ PENALTY_RANGE = (-50, -10)
 def suggest_keywords(rated: DataFrame, profiles: DataFrame) -> DataFrame:
     """Contrast how many liked vs disliked listings' titles use a term
     (smoothed log-odds), drop terms the profile already has (any case), keep
-    the top 5 each way, scale to boost 1..20 / penalty -50..-10."""
-    docs = (rated.select("profile_id", "job_url", "user_rating", F.explode(tokens("title")).alias("term"))
-            .distinct())
-    n = rated.groupBy("profile_id").agg(
-        F.countDistinct(F.when(F.col("user_rating") == 1, F.col("job_url"))).alias("nl"),
-        F.countDistinct(F.when(F.col("user_rating") == -1, F.col("job_url"))).alias("nd"))
-    tf = docs.groupBy("profile_id", "term").agg(F.count_if(F.col("user_rating") == 1).alias("l"),
-                                                 F.count_if(F.col("user_rating") == -1).alias("d"))
+    the top 5 each way, scale to boost 1..20 / penalty -50..-10. ``rated`` holds a
+    listing once per profile, and a bounded window of them (F3), so its rows are
+    dealt by profile once and every step below stays in place."""
+    like, dislike = F.count_if(F.col("user_rating") == 1), F.count_if(F.col("user_rating") == -1)
+    rated = rated.select("profile_id", "user_rating", F.array_distinct(tokens("title")).alias("terms")).repartition("profile_id")
+    n = rated.groupBy("profile_id").agg(like.alias("nl"), dislike.alias("nd"))
+    tf = (rated.select("profile_id", "user_rating", F.explode("terms").alias("term"))
+          .groupBy("profile_id", "term").agg(like.alias("l"), dislike.alias("d")))
     # rounded so that equal odds tie exactly and the term breaks the tie
     s = F.round(F.ln((F.col("l") + 1) / (F.col("nl") + 2)) - F.ln((F.col("d") + 1) / (F.col("nd") + 2)), 9)
+    have = F.transform(F.concat(F.coalesce("scoring.boost", F.array()), F.coalesce("scoring.penalize", F.array())),
+                       lambda k: F.lower(k["keyword"]))
     sc = tf.join(n, "profile_id").select("profile_id", "term", s.alias("s"))
-    cur = profiles.select("profile_id", F.explode(F.concat(F.coalesce("scoring.boost", F.array()),
-                                                           F.coalesce("scoring.penalize", F.array()))).alias("k"))
-    cur = cur.select("profile_id", F.lower(F.col("k.keyword")).alias("_kw")).distinct()
-    fresh = sc.join(cur, (sc.profile_id == cur.profile_id) & (F.lower(sc.term) == cur._kw), "left_anti")
+    x = sc.join(profiles.select("profile_id", have.alias("_have")), "profile_id", "left")
+    fresh = x.filter(~F.coalesce(F.array_contains("_have", F.col("term")), F.lit(False))).drop("_have")
     w = F.round(F.col("s") * 10)
     boost = top_n_per_group(fresh.filter(F.col("s") > 0), ["profile_id"], [F.col("s").desc(), F.col("term")],
                             MAX_SUGGESTIONS, rank_col="rank").select(

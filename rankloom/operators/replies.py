@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.functions.text import first_word
+from rankloom.functions.text import bound, first_word
 
 # Intent word lists, as in the reference.
 APPROVE_WORDS = ["approve", "yes", "ok", "okay", "yep", "yup", "sure", "go", "apply", "accepted", "accept",
@@ -31,7 +31,11 @@ def intent(text, parity: bool = True) -> Column:
     within 2 edits of ``ok``). The default-safe mode needs a word of at least
     four letters for fuzzy matches and never approves a negation.
     """
-    w = first_word(text)
+    return bound(first_word(text), lambda w: word_intent(w, parity))
+
+
+def word_intent(w: Column, parity: bool = True) -> Column:
+    """H11 of a reply's first word."""
     exact_a, exact_r = w.isin(*APPROVE_WORDS), w.isin(*REJECT_WORDS)
     fuzzy_a, fuzzy_r = _fuzzy_hit(w, APPROVE_WORDS), _fuzzy_hit(w, REJECT_WORDS)
     if not parity:

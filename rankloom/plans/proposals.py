@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankloom.functions.text import strip_quoted
+from rankloom.functions.text import bound, first_word, strip_quoted
 from rankloom.operators import feedback as FB
 from rankloom.operators import proposals as P
 from rankloom.operators import replies as RP
@@ -306,6 +306,6 @@ select conv_id, turn, w as first_word,
        else 'freeform' end as intent
 from w1""")
 def reply_intent(spark, sf_dir):
-    from rankloom.functions.text import first_word
     c = _conv(spark, sf_dir).filter(F.col("role") == "user")
-    return c.select("conv_id", "turn", first_word("text").alias("first_word"), RP.intent("text").alias("intent"))
+    both = bound(first_word("text"), lambda w: F.struct(w.alias("first_word"), RP.word_intent(w).alias("intent")))
+    return c.select("conv_id", "turn", F.explode(F.array(both)).alias("r")).select("conv_id", "turn", "r.*")
