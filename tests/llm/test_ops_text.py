@@ -253,12 +253,57 @@ def entropy(window):
     return -sum(x * np.log2(x) for x in p)
 
 
-def test_window_entropy_and_added_spans(spark):
-    runs = ["Zk3vT9qLm2Xw8RbY5nHc7Jd", "aaaaaaaaaaaaaaaaaaaab", "f3a9c17be0d24865f3a9c17b", "Q1w2E3r4T5y6U7i8O9p0" * 3, "abcabcabcabcabcabcabcabcABC123"]
-    frame = spark.createDataFrame([(r,) for r in runs], "run string")
-    got = {r.run: r.h for r in frame.select("run", secrets.window_entropy(F.col("run"), 20).alias("h")).collect()}
-    for run in runs:
-        assert np.isclose(got[run], max(entropy(run[k:k + 20]) for k in range(len(run) - 19)), atol=1e-9)
+# the classes of windows that keys come in, first match counts, with their bars
+CLASSES = [("hex", 3.0, "(?=.*[0-9])(?=.*[a-fA-F])(?:[0-9a-f]+|[0-9A-F]+)$"), ("upper", 3.4, "(?=(?:.*[0-9]){2})(?=(?:.*[A-Z]){2})[A-Z0-9]+$"),
+           ("lower", 3.5, "(?=(?:.*[0-9]){2})(?=(?:.*[a-z]){2})[a-z0-9]+$"),
+           ("letter", 3.7, "(?=(?:.*[a-z]){4})(?=(?:.*[A-Z]){4})[A-Za-z]+$"), ("mixed", 3.8, "(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])")]
+
+
+def brute_suspicious(run, n=20):
+    has = lambda p: re.search(p, run)
+    one_case = re.fullmatch("[0-9a-f]+|[0-9A-F]+", run) and has("[a-fA-F]") and has("[0-9]")
+    mixed = has("[0-9]") and has("[a-z]") and has("[A-Z]")
+    plain = re.sub(secrets.UUID, r"\1\2\3\4\5", run)
+    allowed = rf"(?i)[a-z0-9]{{0,{n}}}(?:{secrets.WORDS})[a-z0-9]{{0,{n}}}|{secrets.FILLER}"
+    cuts = [0, *(x for m in re.finditer(allowed, plain) for x in m.span()), len(plain)]
+    for piece in (plain[i:j] for i, j in zip(cuts[::2], cuts[1::2])):
+        for k in range(len(piece) - n + 1):
+            w = piece[k:k + n]
+            bar = 3.0 if one_case else next((b for _, b, p in CLASSES if re.match(p, w)), 3.8 if mixed else None)
+            if bar is not None and entropy(w) >= bar - 1e-9:
+                return True
+    return False
+
+
+def test_added_spans_brute_force(spark):
+    rng = random.Random(12)
+    sets = ["0123456789abcdef", "0123456789ABCDEF", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdefghijklmnopqrstuvwxyz",
+            "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789",
+            secrets.LETTERS, "ab1", "aB", "/_-+"]
+    words = ["example", "YOUR", "xxxxxxx", "0123456789", "aaaaaaaaa", "3f9c17be-0d24-4865-93a9-c17be0d25a86", "12345678", "Dummy"]
+    runs = []
+    for _ in range(900):
+        parts = [rng.choice(words) if rng.random() < 0.15 else "".join(rng.choices(rng.choice(sets), k=rng.randint(1, 40)))
+                 for _ in range(rng.randint(1, 4))]
+        runs.append("".join(parts))
+    runs = [r for r in runs if len(r) >= 20 and not base_spans(r)]
+    got = added(spark, runs)
+    want = {i: [(0, len(r))] if brute_suspicious(r) else [] for i, r in enumerate(runs)}
+    assert got == want and 100 < sum(map(len, want.values())) < len(runs) - 100
+
+
+def test_a_long_run_takes_seconds(spark):
+    import time
+    rng = random.Random(1)
+    quiet = "".join(rng.choices("xyXY01", k=200_000))  # never near the bar of three kinds
+    loud = "".join(rng.choices("xyz01", k=1_000_000)) + "/Zk3vT9qLm2Xw8RbY5nHc7Jd"
+    begin = time.time()
+    assert added(spark, [quiet, loud, "x" * 1_000_000]) == {0: [], 1: [(0, len(loud))], 2: []}
+    assert time.time() - begin < 120
+
+
+def test_added_spans(spark):
+    runs = ["Zk3vT9qLm2Xw8RbY5nHc7Jd"]
     texts = [(1, f"see {runs[0]} here"), (2, "plain thheblehetioningreanderand words"), (3, "key EXAMPLE3vT9qLm2Xw8RbY5nHc7Jd end"),
              (4, f"token={runs[0]}"), (5, "id F3A9C17BE0D24865F3A9C17B")]
     added = {r.doc_id: [(x.s, x.e) for x in r.extra] for r in secrets.scan(docs_of(spark, texts)).collect()}
