@@ -156,10 +156,30 @@ NOTICES = ("Licensed under {}", "Licensed under the {}", "Released under the {}"
            "This software is licensed under the {}")
 
 
+# Whole texts without a title, and the names that may stand above them.
+UNTITLED = {
+    "MIT": (MIT, ("MIT License", "MIT Licence (MIT)", "MIT", "Expat License", "MIT/Expat License")),
+    "ISC": (ISC, ("ISC License", "ISC License (ISC)", "ISC")),
+    "BSD-2-Clause": (BSD_HEAD + BSD_TAIL, ("BSD 2-Clause License", "BSD-2-Clause License", "BSD 2-Clause \"Simplified\" License",
+                                           "Simplified BSD License", "BSD License", "FreeBSD License", "BSD-2-Clause")),
+    "BSD-3-Clause": (BSD_HEAD + BSD_THIRD + BSD_TAIL, ("BSD 3-Clause License", "BSD-3-Clause License", "New BSD License",
+                                                       "BSD 3-Clause \"New\" or \"Revised\" License", "Modified BSD License",
+                                                       "Revised BSD License", "BSD License", "BSD-3-Clause")),
+    "Zlib": (ZLIB, ("zlib License", "zlib/libpng License", "zlib")),
+    "Unlicense": (UNLICENSE, ("Unlicense", "Unlicense (Unlicense)")),
+}
+
+
+def titled() -> list[tuple[str, str]]:
+    """Each text without a title, below every name of its, with and without an article and "License text"."""
+    return [(i, f"{head}{name}{tail}\n\n{text}") for i, (text, names) in UNTITLED.items() for name in names
+            for head in ("", "The ") for tail in ("", " text", f" ({i})")] + [(i, text) for i, (text, _) in UNTITLED.items()]
+
+
 def all_known() -> list[tuple[str, str]]:
-    """KNOWN, the whole texts beside this module, and the notices and SPDX lines of every id."""
+    """KNOWN, titled texts, the whole texts beside this module, and the notices and SPDX lines of every id."""
     texts = [(f.stem, f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "license_files").glob("*.txt"))]
     lines = [(i, notice.format(name)) for i, names in NAMES.items() for name in names for notice in NOTICES]
     spdx = [(i, f"SPDX-License-Identifier: {i}{end}") for i in NAMES
             for end in (("", "-only", "-or-later", "+") if i.startswith(("GPL", "LGPL", "GFDL")) else ("",))]
-    return [*KNOWN, ("Unlicense", UNLICENSE), *texts, *lines, *spdx]
+    return [*KNOWN, *titled(), *texts, *lines, *spdx]

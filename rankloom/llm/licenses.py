@@ -37,37 +37,47 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 QUOTES, PLAIN_QUOTES = "‘’“”–— ", "''\"\"-- "
 COPYRIGHT_LINE = r"(?m)^[\x20\x09]*(copyright\b|\(c\)|©|all rights reserved).*$"  # of OP8_SQL only: its lines hold no other
 # Copyright statements, on lower-case text. Comment marks may stand before them, and a licence's title; they
-# end with the line, before the licence's first words, or else they are none (over 200 characters).
+# end with the line or before the licence's first words, however long they are.
 _MARKS = r"[^\p{L}\p{N}\n(©]*+"
 _TITLE = r"(?:(?:the\x20)?(?:mit|isc|zlib|bsd[\x20a-z0-9-]{0,20})\x20licen[cs]e(?:\x20\((?:mit|isc)\))?[\x20\x09:.]*)?"
+_PART = r"(?:(?:some\x20)?(?:portions|parts)(?:\x20of\x20this\x20(?:software|file|code|work)\x20(?:are|is))?\x20)?"
 _YEAR = r"(?:[<\[{]?(?:\d{4}|years?|yyyy)\b)"
 _BODY = (r"permission\x20is\x20hereby|permission\x20to\x20use|redistribution\x20and\x20use|this\x20software\x20is\x20provided|"
          r"licen[cs]ed\x20under|released\x20under|everyone\x20is\x20permitted|this\x20(?:program|library|file)\x20is")
-STATEMENT = (rf"(?m)^({_MARKS}{_TITLE})(?:copyright\b[\x20\x09:,-]*(?:\(c\)|©|&copy;|{_YEAR})|"
-             rf"(?:\(c\)|©)[\x20\x09,]*(?:copyright[\x20\x09]*)?{_YEAR}).{{0,200}}?(?:$|(?={_BODY}))")
+STATEMENT = (rf"(?m)^({_MARKS}{_TITLE}){_PART}(?:copyright\b[\x20\x09:,-]*(?:\(c\)|©|&copy;|{_YEAR})|"
+             rf"(?:\(c\)|©)[\x20\x09,]*(?:copyright[\x20\x09]*)?{_YEAR}).*?(?:$|(?={_BODY}))")
 RESERVED = rf"(?m)^{_MARKS}all\x20rights\x20reserved(?:\W*$|[\x20\x09.]*(?={_BODY}))"
 # a holder without a year: lines that are a paragraph of their own
-_HOLDER = (rf"{_MARKS}(?:(?:copyright|©)[\x20\x09:]+(?!(?:notice|holder|owner|licen[cs]e|laws?|statement|interest|and|or|on|the"
-           r"\x20(?:software|program|work|library))\b)[^\n]{2,100}|\(c\)[\x20\x09]+[^\n;:,]{2,60}(?<![;:,]))")
+_HOLDER = (rf"{_MARKS}{_PART}(?:(?:copyright|©)[\x20\x09:]+(?!(?:notice|holder|owner|licen[cs]e|laws?|statement|interest|and|or|on|the"
+           r"\x20(?:software|program|work|library))\b)[^\n]{2,}+|\(c\)[\x20\x09]+[^\n;:,]{2,}+(?=\n|\z))")
 HOLDERS = rf"(?<=\A|\n[^\p{{L}}\p{{N}}\n]{{0,8}}\n){_HOLDER}(?:\n{_HOLDER})*(?=\n[^\p{{L}}\p{{N}}\n]*(?:\n|\z)|\z)"
 PUNCTUATION = r"[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+"
 
 
 def without_statements(c: Column) -> Column:
-    """Lower-case text without copyright statements; their line ends stay."""
+    """Lower-case text without copyright statements; their line ends stay. Where no
+    other word would be left, no licence can be either: a text that is more than
+    a statement's line (200 characters) then stays as it is, as prose."""
     def dropped(c: Column) -> Column:
-        return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, STATEMENT, "$1"), RESERVED, ""), HOLDERS, "")
+        bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, STATEMENT, "$1"), RESERVED, ""), HOLDERS, "")
+        return let(bare, lambda b: F.when((F.length(c) > 200) & ~b.rlike(r"[\p{L}\p{N}]"), c).otherwise(b))
 
     marked = (c.contains("copyright") | c.contains("(c)") | c.contains("©") | c.contains("all rights reserved"))
     return F.when(marked, dropped(c)).otherwise(c)
 
 
+def lowered(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), UPPER + QUOTES, LOWER + PLAIN_QUOTES)
+
+
 def canonical_lines(text: Column, statements: bool = False) -> Column:
     """The text in canonical form with its line ends; every line is stripped.
     ``statements``: copyright statements stay."""
-    c = F.translate(F.coalesce(text, F.lit("")), UPPER + QUOTES, LOWER + PLAIN_QUOTES)
-    if not statements:
-        c = let(c, without_statements)
+    return canonical(lowered(text) if statements else let(lowered(text), without_statements))
+
+
+def canonical(c: Column) -> Column:
+    """The rest of the form, for lower-case text."""
     for pattern, to in SPELLINGS:
         c = F.regexp_replace(c, pattern, to)
     c = F.regexp_replace(c, PUNCTUATION, " ")
@@ -111,11 +121,15 @@ def scan(docs: DataFrame, digests: DataFrame) -> DataFrame:
     def digest(c: Column) -> Column:
         return F.unhex(F.sha2(c, 256))
 
-    own = docs.select("doc_id", let(canonical_lines(F.col("text")), lambda c: F.struct(
-        digest(whole(c)).alias("text"),
-        F.transform(F.filter(F.array_distinct(F.split(c, "\n")), lambda x: x != ""), digest).alias("lines"))).alias("at"),
-        F.when(F.lower("text").rlike("copyright|\\(c\\)|©"), digest(whole(canonical_lines(F.col("text"), True)))).alias("uncut"))
-    own = scratch.save(own.select("doc_id", "at.text", "at.lines", "uncut"), "digests")
+    def forms(full: Column, cut: Column) -> Column:
+        return let(canonical(cut), lambda c: F.struct(
+            digest(whole(c)).alias("text"),
+            F.transform(F.filter(F.array_distinct(F.split(c, "\n")), lambda x: x != ""), digest).alias("lines"),
+            F.when(full != cut, digest(whole(canonical(full)))).alias("uncut")))  # only where statements went
+
+    own = docs.select("doc_id", let(lowered(F.col("text")), lambda full: let(
+        without_statements(full), lambda cut: forms(full, cut))).alias("at"))
+    own = scratch.save(own.select("doc_id", "at.text", "at.lines", "at.uncut"), "digests")
     known = digests.select(F.unhex("digest").alias("known"), "license_id")
     found = (own.select("doc_id", F.explode("lines").alias("line")).join(known, F.col("line") == F.col("known"))
              .groupBy(F.col("doc_id").alias("of_id"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 import corpus_pipeline
 from conftest import SMALL
-from rankloom.llm import chat, containment, licenses, quality, toxicity
+from rankloom.llm import chat, containment, license_texts, licenses, quality, toxicity
 from rankloom.llm.license_texts import MIT
 from rankloom.llm.queries import ORACLE_SQL, QUERIES
 from rankloom.llm.words import scan
@@ -130,6 +130,22 @@ def test_license_forms_do_not_depend_on_lines(spark):
     assert hashlib.sha256(b"").hexdigest() not in {r.canonical_sha256 for r in got}
 
 
+def test_statements_of_any_length_and_titles(spark):
+    names = [" ".join(f"Holder{k}" for k in range(n)) for n in (1, 10, 40, 400)]
+    heads = [f"{part}Copyright (c) 2020 {n}\n\n" for n in names for part in ("", "Portions ", "Parts of this software are ")]
+    heads += [f"Copyright {n}\n\n" for n in names] + [f"(c) {n}\n\n" for n in names]
+    heads += [f"{title}\n\nCopyright (c) 2020 {names[2]}\n\n" for title in ("The MIT License", "MIT License", "MIT", "The MIT License (MIT)", "Expat License")]
+    rows = [(h + MIT, "MIT") for h in heads] + [(f"The MIT License Copyright (c) 2020 {names[2]} " + " ".join(MIT.split()), "MIT")]
+    for license_id, title in (("ISC", "The ISC License"), ("BSD-3-Clause", "The 3-Clause License"), ("BSD-3-Clause", "New BSD License"),
+                              ("BSD-2-Clause", "BSD 2-Clause License"), ("Zlib", "The zlib License"), ("Unlicense", "The Unlicense")):
+        text = license_texts.UNTITLED[license_id][0]
+        rows.append((f"{title}\n\nCopyright 2001-2020 {names[1]}\n\n{text}", None if "3-Clause License" == title[4:] else license_id))
+    rows += [("Portions of the work\n\n" + MIT, None), ("Copyright notice must stay\n\n" + MIT, None)]
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id bigint, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scan(docs, licenses.known_digests(spark)).collect()}
+    assert got == {k: i for k, (_, i) in enumerate(rows)}
+
+
 def test_every_license_has_text_and_notices(spark):
     from rankloom.llm.license_texts import NAMES, all_known
     whole = [(i, t) for i, t in all_known() if len(t) > 200]
