@@ -18,6 +18,7 @@ import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import replace
+from math import exp, log1p
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,8 @@ BUCKETS = 1 << 18
 CACHE_FORMS = 400_000
 MAX_PER_CLASS = 1000
 SPAN_LEVEL = 0.5
-FIT_CHAIN = 128  # words; longer sentences of the sample are several chains in the fit
+MIN_SHARE, MIN_LIFT = 0.025, 25.0  # of the token labels; rarer or less telling words of toxic texts are not learnt
+LONG_CHAIN = 256  # words; longer sentences pass one by one instead of in step with the others, with the same result
 
 
 def form_features(form: str) -> list[str]:
@@ -60,13 +62,20 @@ def chains(opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def forward_backward(e: np.ndarray, opens: np.ndarray, trans: np.ndarray, start: np.ndarray):
-    """Log potentials of both labels from either side: alpha and beta (n, 2). All
-    chains move together, one position at a time; ``e`` is the score of label 1."""
+    """Log potentials of both labels from either side: alpha and beta (n, 2). Chains
+    move together, one position at a time, but for the long ones, of which there
+    are too few for array operations; ``e`` is the score of label 1."""
     n = len(e)
     alpha, beta = np.zeros((n, 2)), np.zeros((n, 2))
     if not n:
         return alpha, beta
     begin, size = chains(opens)
+    long = int(np.searchsorted(-size, -LONG_CHAIN, side="left"))
+    for b, k in zip(begin[:long].tolist(), size[:long].tolist()):
+        alpha[b:b + k], beta[b:b + k] = _one_chain(e[b:b + k].tolist(), trans.tolist(), start.tolist())
+    begin, size = begin[long:], size[long:]
+    if not len(size):
+        return alpha, beta
     steps = np.searchsorted(-size, -np.arange(size[0]), side="left")  # chains longer than t
     alpha[begin] = start
     alpha[begin, 1] += e[begin]
@@ -84,6 +93,26 @@ def forward_backward(e: np.ndarray, opens: np.ndarray, trans: np.ndarray, start:
     return alpha, beta
 
 
+def _log_add(a: float, b: float) -> float:
+    return a + log1p(exp(b - a)) if a >= b else b + log1p(exp(a - b))
+
+
+def _one_chain(e: list[float], trans: list[list[float]], start: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    (t00, t01), (t10, t11) = trans
+    a0, a1 = start[0], start[1] + e[0]
+    alpha = [(a0, a1)]
+    for x in e[1:]:
+        a0, a1 = _log_add(a0 + t00, a1 + t10), _log_add(a0 + t01, a1 + t11) + x
+        alpha.append((a0, a1))
+    b0 = b1 = 0.0
+    beta = [(b0, b1)]
+    for x in e[:0:-1]:
+        y = b1 + x
+        b0, b1 = _log_add(b0 + t00, y + t01), _log_add(b0 + t10, y + t11)
+        beta.append((b0, b1))
+    return np.array(alpha), np.array(beta[::-1])
+
+
 def marginals(e, opens, trans, start) -> np.ndarray:
     """P(label 1) at each position."""
     alpha, beta = forward_backward(e, opens, trans, start)
@@ -127,8 +156,8 @@ def document_features(words: Words, p: np.ndarray, rows: int) -> np.ndarray:
     return np.stack([np.ones(rows), most, np.log1p(total), np.sqrt(total / np.maximum(count, 1))], axis=1)
 
 
-def token_labels(words: Words, labels: np.ndarray, min_share: float = 0.025, min_docs: int = 3,
-                 min_lift: float = 25.0) -> np.ndarray:
+def token_labels(words: Words, labels: np.ndarray, min_share: float = MIN_SHARE, min_docs: int = 3,
+                 min_lift: float = MIN_LIFT) -> np.ndarray:
     """Labels of the tokens from labels of their texts. A form, or a beginning of
     4 to 6 letters, is toxic if it is in ``min_share`` of the toxic texts
     (``min_docs`` at least) and ``min_lift`` times likelier there than elsewhere."""
@@ -154,10 +183,7 @@ def token_labels(words: Words, labels: np.ndarray, min_share: float = 0.025, min
 
 
 def fit_chain(words: Words, y: np.ndarray, rounds: int = 40, rate: float = 0.5, decay: float = 1e-6) -> Chain:
-    """Maximum likelihood by Adam over all chains, of FIT_CHAIN words at most."""
-    begin, size = chains(words.opens)
-    place = np.arange(len(y)) - np.repeat(np.sort(begin), size[np.argsort(begin)])
-    words = replace(words, opens=place % FIT_CHAIN == 0)
+    """Maximum likelihood by Adam over all chains, which are whole sentences."""
     lists = [_buckets(f) for f in words.forms]
     per = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
     flat = np.fromiter((b for bs in lists for b in bs), dtype=np.int64, count=int(per.sum()))
@@ -210,7 +236,7 @@ def _unlike(texts: list[str], hashes: int = 3) -> list[int]:
     return keep
 
 
-def fit(texts: list[str], labels: np.ndarray) -> Chain:
+def fit(texts: list[str], labels: np.ndarray, min_share: float = MIN_SHARE, min_lift: float = MIN_LIFT) -> Chain:
     """The chain from all rows of the sample; the document weights from the odd rows
     as a chain of the even ones tags them. Rows come in hash order; of equal and near-equal texts the first counts."""
     keep = _unlike(texts)
@@ -220,7 +246,7 @@ def fit(texts: list[str], labels: np.ndarray) -> Chain:
         return Chain(np.zeros(BUCKETS, np.float32), -30.0, np.zeros((2, 2)), np.zeros(2),
                      np.array([np.log(level / (1 - level)), 0, 0, 0]))
     words = scan(texts)
-    token = token_labels(words, labels)
+    token = token_labels(words, labels, min_share, min_lift=min_lift)
     side = np.zeros(len(labels), dtype=int)
     for value in (0, 1):  # alternate inside each class
         of = np.flatnonzero(labels == value)
@@ -246,13 +272,15 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int = 50
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_per_class: int = MAX_PER_CLASS) -> Chain:
-    """Fit on at most ``max_per_class`` labelled rows of each class, in one task."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_per_class: int = MAX_PER_CLASS,
+          min_share: float = MIN_SHARE, min_lift: float = MIN_LIFT) -> Chain:
+    """Fit on at most ``max_per_class`` labelled rows of each class, in one task.
+    ``min_share`` and ``min_lift`` bound which words of toxic texts are labelled (``token_labels``)."""
 
     def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = list(batches)
         rows = pd.concat(parts).sort_values("place") if parts else pd.DataFrame({"text": [], "label": []})
-        model = fit(rows["text"].fillna("").tolist(), rows["label"].to_numpy(dtype=float))
+        model = fit(rows["text"].fillna("").tolist(), rows["label"].to_numpy(dtype=float), min_share, min_lift)
         yield pd.DataFrame({"model": [pickle.dumps([model.weights, model.bias, model.trans, model.start, model.final])]})
 
     rows = labelled_sample(docs, labels, label, max_per_class).repartition(1).mapInPandas(fitted, "model binary").collect()

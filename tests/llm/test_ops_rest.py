@@ -211,6 +211,42 @@ def test_forward_backward_against_enumeration():
     assert np.allclose(toxicity.marginals(e, opens, trans, start), np.concatenate(want))
 
 
+def test_long_chains_are_whole():
+    rng = np.random.default_rng(2)
+    trans, start = rng.normal(size=(2, 2)), rng.normal(size=2)
+    sizes = [3, 700, 1, toxicity.LONG_CHAIN, toxicity.LONG_CHAIN - 1, 2000]
+    opens = np.concatenate([[True, *[False] * (n - 1)] for n in sizes])
+    e = rng.normal(size=len(opens)) * 3
+    got = toxicity.marginals(e, opens, trans, start)
+    want, at = [], 0
+    for n in sizes:  # scaled recursion of each chain, in probabilities
+        x = np.exp(np.stack([np.zeros(n), e[at:at + n]], axis=1))
+        fore, back = np.empty((n, 2)), np.ones((n, 2))
+        fore[0] = np.exp(start) * x[0]
+        for t in range(1, n):
+            fore[t] = fore[t - 1] / fore[t - 1].sum() @ np.exp(trans) * x[t]
+        for t in range(n - 2, -1, -1):
+            back[t] = np.exp(trans) @ (back[t + 1] * x[t + 1])
+            back[t] /= back[t].sum()
+        both = fore * back
+        want.append(both[:, 1] / both.sum(axis=1))
+        at += n
+    assert np.allclose(got, np.concatenate(want), atol=1e-9)
+
+
+def test_transitions_of_long_sentences_are_learnt():
+    rng = np.random.default_rng(3)
+    spell = lambda k: " ".join(["bad"] * k)  # noqa: E731  toxic words come in spells inside one endless sentence
+    texts = [" ".join(rng.choice(["the", "on", "of", spell(40)]) for _ in range(300)) for _ in range(4)]
+    words = scan(texts)
+    y = np.array([float(words.forms[c] == "bad") for c in words.code])
+    assert words.opens.sum() == 4
+    seen = np.array([[((y[:-1] == i) & (y[1:] == j) & ~words.opens[1:]).sum() for j in (0, 1)] for i in (0, 1)])
+    fitted = toxicity.fit_chain(words, y, rounds=60).trans
+    assert seen.sum() == len(y) - 4  # every neighbouring pair counts in the fit
+    assert fitted[1, 1] + fitted[0, 0] > fitted[0, 1] + fitted[1, 0]
+
+
 def test_word_scan():
     texts = ["Hello  wörld. foo", "", "a_b 12!x", "🙂 é", "  "]
     w = scan(texts)
