@@ -2,7 +2,7 @@
 
 Pass one tokenizes every text once and writes its ids with the running offset
 inside its partition; the partition totals (one row per partition) are summed
-to global offsets. Pass two reads the table back and cuts every document at the
+to global offsets and joined to the rows of their partition. Pass two reads the table back and cuts every document at the
 multiples of the sequence length: no shuffle, no ordering, every task knows
 where its tokens stand in the one long stream. A document that crosses a
 boundary gives one record per sequence it touches.
@@ -17,9 +17,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import Scratch, slices, worker_cache
@@ -196,20 +195,21 @@ def _tokens(docs: DataFrame, path: str, end_id: int, encode_special_tokens: bool
     and the tokens before them in the partition ``part``."""
     kind = dict(docs.dtypes)["doc_id"]
 
-    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, seen = tokenizer(path, encode_special_tokens), 0
         for batch in batches:
-            texts = batch["text"].fillna("")
+            texts = batch.column(1).to_pandas().fillna("")
             for a, b in slices(texts, 3_000_000):
                 ids = [np.append(x, np.uint32(end_id)) for x in tool.encode(texts.iloc[a:b].tolist())]
                 n = np.array([len(x) for x in ids], dtype=np.int64)
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[a:b].to_numpy(),
-                                    "ids": [x.astype("<u2" if x.max() < 65536 else "<u4").tobytes() for x in ids],
-                                    "n": n, "part": batch["part"].iloc[a:b].to_numpy(),
-                                    "seen": seen + np.cumsum(n) - n})
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a),
+                     pa.array((x.astype("<u2" if x.max() < 65536 else "<u4").tobytes() for x in ids), pa.binary()),
+                     pa.array(n), batch.column(2).slice(a, b - a), pa.array(seen + np.cumsum(n) - n)],
+                    ["doc_id", "ids", "n", "part", "seen"])
                 seen += int(n.sum())
 
-    return docs.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInPandas(
+    return docs.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(
         encoded, f"doc_id {kind}, ids binary, n bigint, part int, seen bigint")
 
 
@@ -228,34 +228,39 @@ def pack(docs: DataFrame, path: str, length: int = 1024, end_id: int = 0,
     """
     scratch = Scratch(docs.sparkSession, "packing")
     tokens = scratch.save(_tokens(docs, path, end_id, encode_special_tokens), "tokens")
-    totals = {r.part: r.n for r in tokens.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # one per task
-    base, at = {}, 0
-    for part in sorted(totals):
-        base[part], at = at, at + totals[part]
+    totals = tokens.groupBy("part").agg(F.sum("n").alias("total"))  # one row per task of the first pass
+    base = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
+    # as many rows as the first pass had tasks, 16 bytes each
+    tokens = tokens.join(F.broadcast(base), "part").select("doc_id", "ids", "n", (F.col("base") + F.col("seen")).alias("begin"))
     kind = dict(tokens.dtypes)["doc_id"]
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(batch, rows):
+            place, *rest = zip(*rows)
+            return pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(place, pa.int64())),
+                 *(pa.array(c, pa.binary() if k == "ids" else pa.int64()) for k, c in zip(names[1:], rest))], names)
+
         for batch in batches:
             rows = []
-            for doc_id, packed, n, part, seen in zip(batch["doc_id"], batch["ids"], batch["n"], batch["part"],
-                                                     batch["seen"]):
+            for place, (packed, n, begin) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]))):
                 ids = np.frombuffer(packed, dtype="<u2" if len(packed) == 2 * n else "<u4").astype("<u4").tobytes()
-                begin, done = base[part] + seen, 0
+                done = 0
                 while done < n:
                     here = (begin + done) % length
                     take = min(length - here, n - done)
                     piece = ids[4 * done:4 * (done + take)]
-                    rows.append((doc_id, done, take, piece, zlib.crc32(piece), n, (begin + done) // length, here))
+                    rows.append((place, done, take, piece, zlib.crc32(piece), n, (begin + done) // length, here))
                     done += take
                 if len(rows) >= 20_000:
-                    yield pd.DataFrame(rows, columns=names)
+                    yield flush(batch, rows)
                     rows = []
             if rows:
-                yield pd.DataFrame(rows, columns=names)
+                yield flush(batch, rows)
 
     names = ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    return tokens.mapInPandas(cut, f"doc_id {kind}, start bigint, length bigint, ids binary, ids_crc32 bigint, "
-                                   "doc_tokens bigint, sequence_id bigint, offset bigint")
+    return tokens.mapInArrow(cut, f"doc_id {kind}, start bigint, length bigint, ids binary, ids_crc32 bigint, "
+                                  "doc_tokens bigint, sequence_id bigint, offset bigint")
 
 
 def sequences(pieces: DataFrame, length: int = 1024, pad_id: int = 0) -> DataFrame:
