@@ -15,7 +15,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,10 +48,6 @@ def read_turns(text: str) -> list[tuple[str, str]]:
     return [(_unmark(m[1]), unescape(m[2])) for m in _TURN.finditer(text)]
 
 
-def _same(a, b) -> bool:
-    return a == b or (pd.isna(a) and pd.isna(b))
-
-
 def expand(turns: DataFrame) -> DataFrame:
     """Examples of ``turns`` (conv_id, turn, role, text) in order of conversation
     and position, which later per-partition steps may rely on.
@@ -60,25 +56,32 @@ def expand(turns: DataFrame) -> DataFrame:
     ``text``). Turns after the last assistant turn, and conversations without
     one, give an example without a trainable part, so that no turn is lost.
     Null role and text count as empty; ties in ``turn`` go by role, then text;
-    repeated rows are turns of their own; rows without a conv_id are one
-    conversation. Other columns are left out; an empty table gives no example.
+    repeated rows are turns of their own; a row without a conv_id is a
+    conversation of its own, with one turn. Other columns are left out; an empty
+    table gives no example.
     """
     kind = dict(turns.dtypes)["conv_id"]
+    names = ["conv_id", "example", "text", "loss_start", "loss_end"]
+
+    def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        id_type = None
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            types = [id_type, pa.int32(), pa.string(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    def examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["conv_id", "example", "text", "loss_start", "loss_end"]
         out, size, conv, number, parts, length, open_turns = [], 0, None, 0, [], 0, 0
 
         def close():
             return [(conv, number, "".join(parts), length, length)] if open_turns else []
 
         for batch in batches:
-            for new, role, text in zip(batch["conv_id"], batch["role"], batch["text"]):
-                if not parts or not _same(new, conv):
+            id_type = batch.schema.field(0).type
+            for new, role, text in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "role", "text"))):
+                if not parts or new is None or new != conv:
                     out += close()
                     conv, number, parts, length, open_turns = new, 0, [], 0, 0
-                role, text = ("" if pd.isna(x) else x for x in (role, text))
-                mark, said = _mark(role), escape(text)
+                mark, said = _mark(role or ""), escape(text or "")
                 parts.append(mark + said + END)
                 begin = length + len(mark)
                 length += len(parts[-1])
@@ -88,14 +91,16 @@ def expand(turns: DataFrame) -> DataFrame:
                     out.append((conv, number, parts[0], begin, begin + len(said)))
                     size, number, open_turns = size + length, number + 1, 0
                     if size >= FLUSH_CHARS:
-                        yield pd.DataFrame(out, columns=names)
+                        yield made(out)
                         out, size = [], 0
         out += close()
         if out:
-            yield pd.DataFrame(out, columns=names)
+            yield made(out)
 
-    rows = turns.select("conv_id", "turn", "role", "text").repartition("conv_id")
-    return rows.sortWithinPartitions("conv_id", "turn", "role", "text").mapInPandas(
+    # rows without a conv_id are dealt by what they say
+    alone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))
+    rows = turns.select("conv_id", "turn", "role", "text").repartition("conv_id", alone)
+    return rows.sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(
         examples, f"conv_id {kind}, example int, text string, loss_start bigint, loss_end bigint")
 
 
@@ -104,8 +109,15 @@ def digests(examples: DataFrame) -> DataFrame:
     ``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``."""
     kind = dict(examples.dtypes)["conv_id"]
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        id_type = None
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            types = [id_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
         out, conv, last, loss, chars, formatted = [], None, None, hashlib.sha256(), 0, 0
 
         def close():
@@ -117,19 +129,20 @@ def digests(examples: DataFrame) -> DataFrame:
             return [(conv, len(turns), spoken.hexdigest(), chars, loss.hexdigest(), formatted)]
 
         for batch in batches:
-            for new, text, a, b in zip(batch["conv_id"], batch["text"], batch["loss_start"], batch["loss_end"]):
-                if last is None or not _same(new, conv):
+            id_type = batch.schema.field(0).type
+            for new, text, a, b in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "text", "loss_start", "loss_end"))):
+                if last is None or new is None or new != conv:
                     out += close()
                     conv, loss, chars, formatted = new, hashlib.sha256(), 0, 0
                 reply = unescape(text[a:b])
                 loss.update(reply.encode("utf-8", "surrogatepass"))
                 chars, formatted, last = chars + len(reply), formatted + len(text), text
             if len(out) >= 5000:
-                yield pd.DataFrame(out, columns=names)
+                yield made(out)
                 out = []
         out += close()
         if out:
-            yield pd.DataFrame(out, columns=names)
+            yield made(out)
 
-    return examples.mapInPandas(read, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, "
-                                      "loss_sha256 string, formatted_chars bigint")
+    return examples.mapInArrow(read, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, "
+                                     "loss_sha256 string, formatted_chars bigint")
