@@ -5,9 +5,9 @@ item's signature is its smallest shingle hashes (bottom-k MinHash); for a class
 of up to u shingles and a threshold t, k = u - ceil(t * u) + 1 for the largest
 size: a document that contains a share t of the item holds at least one of
 them, so the search loses nothing, however long the document is. Documents meet
-the items through a bit table of fixed size (whatever the number of items): the
+the items through a bit table of about 16 bits per distinct shingle: the
 shingles that it lets through are all that leaves a text. Candidates share a
-signature hash; exact shingle containment decides.
+signature hash; exact containment of the shingles, as 64-bit hashes, decides.
 
 All steps are built-in functions; documents are read once and never shuffled.
 """
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import Scratch, let, literal_array
 
 GAP = r"[^\p{L}\p{N}]+"
-TABLE_BITS = 1 << 20  # 128 KB; two bits per shingle
+BITS_PER_SHINGLE = 16  # two of them set: one foreign shingle in 70 passes at most
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 24  # 2 MB: beyond a million shingles more foreign ones pass, none is lost
 SALTS = 16
 
 
@@ -35,25 +36,31 @@ def _rolled(h: Column, k: int) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
 
 
-def _places(h: Column) -> list[Column]:
+def table_bits(n_shingles: int) -> int:
+    """The size of the table: a power of two of at least BITS_PER_SHINGLE for each."""
+    return min(max(1 << (BITS_PER_SHINGLE * max(n_shingles, 1) - 1).bit_length(), LEAST_BITS), MOST_BITS)
+
+
+def _places(h: Column, bits: int) -> list[Column]:
     """Two bit positions of a hash."""
-    return [F.shiftright(h, 7).bitwiseAND(F.lit(TABLE_BITS - 1)), F.shiftright(h, 33).bitwiseAND(F.lit(TABLE_BITS - 1))]
+    return [F.shiftright(h, 7).bitwiseAND(F.lit(bits - 1)), F.shiftright(h, 33).bitwiseAND(F.lit(bits - 1))]
 
 
-def _bit_table(hashes: DataFrame) -> Column:
-    """A constant array of TABLE_BITS / 64 numbers with the bits of ``h`` set."""
-    rows = (hashes.select(F.explode(F.array(*_places(F.col("h")))).alias("bit"))
+def bit_table(hashes: DataFrame, bits: int) -> Column:
+    """A constant array of bits / 64 numbers with the bits of ``h`` set."""
+    rows = (hashes.select(F.explode(F.array(*_places(F.col("h"), bits))).alias("bit"))
             .groupBy(F.shiftright("bit", 6).alias("cell"))
-            .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).collect())  # 16,384 at most
-    cells = [0] * (TABLE_BITS // 64)
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).collect())  # bits / 64 at most
+    cells = [0] * (bits // 64)
     for r in rows:
         cells[r.cell] = r.bits
     return literal_array(cells)
 
 
-def _listed(cells: Column, h: Column) -> Column:
+def listed(cells: Column, h: Column, bits: int) -> Column:
+    """Whether the table has both bits of ``h``: always if ``h`` is in it."""
     hit = None
-    for bit in _places(h):
+    for bit in _places(h, bits):
         cell = F.get(cells, F.shiftright(bit, 6).cast("int"))
         one = F.expr("1L").bitwiseAND(_shift_down(cell, bit.bitwiseAND(F.lit(63)).cast("int"))) == 1
         hit = one if hit is None else hit & one
@@ -101,15 +108,16 @@ def contained(docs: DataFrame, items: DataFrame, words: int = 5, threshold: floa
     shingles = scratch.save(item_shingles(items, words), "items")
     signed = scratch.save(signatures(shingles, threshold), "signatures")
     lengths = sorted(r.k for r in shingles.select("k").distinct().collect())  # 1..words
-    cells = _bit_table(shingles)
+    bits = table_bits(shingles.select(F.count_distinct("h")).first()[0])
+    cells = bit_table(shingles, bits)
 
-    def listed(text: Column) -> Column:
+    def held_in(text: Column) -> Column:
         return let(F.transform(word_array(text), lambda w: F.xxhash64(w)), lambda h: F.array_distinct(
             F.concat(F.expr("cast(array() as array<bigint>)"),
-                     *[F.filter(_rolled(h, k), lambda x: _listed(cells, x)) for k in lengths])))
+                     *[F.filter(_rolled(h, k), lambda x: listed(cells, x, bits)) for k in lengths])))
 
     held = scratch.save(docs.where("doc_id is not null and text is not null")
-                        .select("doc_id", F.explode(listed(F.col("text"))).alias("h")), "held")
+                        .select("doc_id", F.explode(held_in(F.col("text"))).alias("h")), "held")
     # a shingle that a third of all documents hold is dealt over SALTS keys
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     held = held.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
