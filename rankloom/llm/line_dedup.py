@@ -98,11 +98,14 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = 10, min_points: int = 1)
             .agg(F.collect_set("pos").alias("gone"))
             .select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th"), "gone"))
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    out = "_line_dedup"
+    while out in rest:
+        out += "_"
     rows = docs.select(*rest)
     both = rows.join(gone, rows["doc_id"].eqNullSafe(gone["gone_id"])
                      & (F.xxhash64(rows["text"]) == gone["gone_th"]), "left")
     done = pandas_udf(_without, "n_lines bigint, n_dropped bigint, text string")(rows["text"], gone["gone"])
-    return both.withColumns({"_line_dedup": done}).select(
-        *(F.col("_line_dedup.text").alias(c) if c == "text" else
-          F.length("_line_dedup.text").cast("bigint").alias(c) if c == "n_chars" else rows[c] for c in rest),
-        F.col("_line_dedup.n_lines").alias("n_lines"), F.col("_line_dedup.n_dropped").alias("n_dropped"))
+    return both.withColumns({out: done}).select(
+        *(F.col(f"{out}.text").alias(c) if c == "text" else
+          F.length(f"{out}.text").cast("bigint").alias(c) if c == "n_chars" else rows[c] for c in rest),
+        F.col(f"{out}.n_lines").alias("n_lines"), F.col(f"{out}.n_dropped").alias("n_dropped"))

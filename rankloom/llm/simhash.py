@@ -247,12 +247,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, parts: i
 
 def keep_one(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, the one with the
-    smallest doc_id. Columns are unchanged. Of several rows with that doc_id the
-    smallest by text, then by the other columns, stays; rows without a doc_id stay."""
+    smallest doc_id. Columns are unchanged and may be of any type. Of several rows
+    with that doc_id the smallest by text, then by the other columns as JSON, stays;
+    rows without a doc_id stay."""
     lead = (near_duplicates(docs, words, distance).where("doc_id = component_id")
             .select(F.col("doc_id").alias("lead")).distinct())
     mine = docs.join(lead, docs["doc_id"] == lead["lead"], "left_semi")
-    order = ["text", *(c for c in docs.columns if c not in ("doc_id", "text"))]
-    one = mine.groupBy("doc_id").agg(F.min(F.struct(*order)).alias("row"))
-    one = one.select("doc_id", *(F.col("row").getField(c).alias(c) for c in order)).select(*docs.columns)
+    others = F.to_json(F.struct(F.lit(0).alias("_"), *(F.col(c) for c in docs.columns if c not in ("doc_id", "text"))))
+    one = mine.groupBy("doc_id").agg(F.min_by(F.struct(*(c for c in docs.columns if c != "doc_id")),
+                                              F.struct("text", others)).alias("row"))
+    one = one.select(*("doc_id" if c == "doc_id" else F.col("row").getField(c).alias(c) for c in docs.columns))
     return one.unionByName(docs.where("doc_id is null"))
