@@ -26,7 +26,7 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_all_are_registered():
     names = [q for q in E.queries() if re.match(r"op\d+_", q)]
-    assert sorted(int(re.match(r"op(\d+)", q)[1]) for q in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)", q)[1]) for q in names) == list(range(1, 14))
     assert "pipeline" in E.queries() and set(ORACLE_SQL) <= set(E.oracle_sql())
 
 
@@ -74,6 +74,16 @@ def test_containment_brute_force(spark):
     assert containment.contained(docs, table.limit(0)).count() == 0
 
 
+def test_filter_is_sized_by_its_items(spark):
+    assert [containment.table_bits(n) for n in (0, 1, 4096, 4097, 10**6)] == [1 << 16, 1 << 16, 1 << 16, 1 << 17, 1 << 24]
+    for n in (5_000, 1_000_000):
+        bits = containment.table_bits(n)
+        cells = containment.bit_table(spark.range(n).select(F.xxhash64("id").alias("h")), bits)
+        own, foreign = (spark.range(a, a + 5_000).select(F.avg(containment.listed(cells, F.xxhash64("id"), bits).cast("int")))
+                        .first()[0] for a in (0, 10**9))
+        assert own == 1 and foreign < 0.02
+
+
 def test_signature_never_misses():
     for n in range(1, 300):
         upper = 2 ** int(np.ceil(np.log2(n)))
@@ -189,6 +199,18 @@ def test_chat_examples(spark):
     assert chat.expand(turns.limit(0)).count() == 0
 
 
+def test_chat_ids_beside_nulls(spark):
+    big = 2**53
+    rows = [(big + k, t, r, f"{k} {t}") for k in range(4) for t, r in enumerate(("user", "assistant"))]
+    rows += [(None, 0, "user", "x"), (None, 1, "assistant", "y"), (None, 1, "assistant", "y"), (None, None, None, None)]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").coalesce(1)
+    got = chat.digests(chat.expand(turns)).collect()
+    assert sorted(r.conv_id for r in got if r.conv_id is not None) == [big + k for k in range(4)]
+    assert {r.n_turns for r in got if r.conv_id is not None} == {2}
+    alone = [r for r in got if r.conv_id is None]
+    assert [r.n_turns for r in alone] == [1] * 4 and sum(r.loss_chars for r in alone) == 2
+
+
 def brute_marginals(e, trans, start):
     import itertools
     n, total, one = len(e), 0.0, np.zeros(len(e))

@@ -208,6 +208,26 @@ def test_packing_ids_and_windows(spark):
     assert packing.pack(docs_of(spark, [(None, None), (1, "a"), (1, "a")]), path).count() == 3
 
 
+def test_packing_keeps_large_ids_beside_nulls(spark):
+    import public_tokenizers
+    rows = [(2**53 + k if k % 3 else None, "a b c " * k) for k in range(1, 40)]
+    for parts in (1, 4):
+        pieces = packing.pack(docs_of(spark, rows).coalesce(1).repartition(parts), public_tokenizers.path("byte_bpe_50k.json"), length=64)
+        assert sorted({r.doc_id for r in pieces.collect() if r.doc_id is not None}) == sorted(i for i, _ in rows if i)
+        at = sorted((r.sequence_id * 64 + r.offset, r.length) for r in pieces.collect())
+        assert [a for a, _ in at] == [0, *itertools.accumulate(n for _, n in at)][:-1]
+
+
+def test_columns_of_any_name_and_type(spark):
+    rows = [(1, "one two three four", {"a": 1}), (1, "one two three four", {"b": 2}), (2, "one two three four", None), (None, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, more map<string,int>")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.more) for r in kept.collect())[1:] == [(1, {"a": 1})]
+    clash = docs.withColumn("_line_dedup", F.lit(5)).withColumn("_line_dedup_", F.lit(6))
+    out = line_dedup.drop_shared_lines(clash, min_docs=2)
+    assert {(r["_line_dedup"], r["_line_dedup_"], r.text) for r in out.collect()} == {(5, 6, ""), (5, 6, "x")}
+
+
 def test_packing_added_tokens(spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
