@@ -13,7 +13,7 @@ from rankloom.operators import scoring as S
 from rankloom.plans import oracle_views as V
 from rankloom.plans.digest import BOARD_AS_OF
 from rankloom.plans.registry import query
-from rankloom.plans.scoring import relevance_ctes
+from rankloom.plans.scoring import BOARD_BOOST, BOARD_PENALTY, relevance_ctes
 from rankloom.sources import listings as L
 from rankloom.sources.pages import page_fields
 from rankloom.sources.tables import read
@@ -212,8 +212,6 @@ def ingest_cube(spark, sf_dir):
 # The board profile of the scored ingest: the text of this benchmark item stands
 # for the resume, and these keywords for the user's weights.
 BOARD_RESUME_ITEM = 5
-BOARD_BOOST = [("thing", 6.0), ("ation", 4.0)]
-BOARD_PENALTY = [("!!", -20.0), ("***", -10.0)]
 
 INGEST_SCORED_SQL = _DECIDED_SQL + ",\n" + relevance_ctes(False, bar=f"item_id = {BOARD_RESUME_ITEM}").strip() + f""",
 scored as (

@@ -8,6 +8,9 @@ from rankloom.functions.text import bound, first_word, strip_quoted
 from rankloom.operators import feedback as FB
 from rankloom.operators import proposals as P
 from rankloom.operators import replies as RP
+from rankloom.operators import resume as RS
+from rankloom.plans import oracle_views as V
+from rankloom.plans.scoring import relevance_ctes
 from rankloom.plans.feedback import state_rows
 from rankloom.plans.registry import query
 from rankloom.session import materialize
@@ -16,6 +19,45 @@ from rankloom.sources import listings as L
 from rankloom.sources.inbox import proposals_from, replies_from
 from rankloom.sources.tables import read
 
+_LONG_WORDS = f"list_filter({V.tokens_sql('text')}, lambda w: length(w) >= {RS.MIN_LETTERS})"
+_PHRASES = f"""list_transform(
+  list_filter(range(1, len({V.tokens_sql('text')})), lambda i: length({V.tokens_sql('text')}[i]) >= 3 and length({V.tokens_sql('text')}[i + 1]) >= 3),
+  lambda i: {V.tokens_sql('text')}[i] || ' ' || {V.tokens_sql('text')}[i + 1])"""
+
+RESUME_SUGGEST_SQL = "with " + relevance_ctes(False, bar="matched > 0").strip() + f""",
+best as (select item_id, doc_id from rel qualify row_number() over (partition by item_id order by matched desc, doc_id) <= {RS.BEST_LISTINGS}),
+dw as (select distinct doc_id, word from (select doc_id, unnest({_LONG_WORDS}) as word from documents)),
+n_docs as (select count(*) as docs from documents),
+dfs as (select word, count(*) as df from dw group by word),
+own as (select item_id, word, count(*) as tf from (select item_id, unnest({_LONG_WORDS}) as word from benchmark) group by all),
+bs as (select item_id, word, tf * cast(round(1000 * ln((docs + 1) / (coalesce(df, 0) + 1))) as bigint) as s
+       from n_docs, own left join dfs using (word)),
+boosts as (select item_id, 'boost' as kind, row_number() over (partition by item_id order by s desc, word) as rank, word as keyword from bs),
+said as (select item_id, phrase, count(*) as tf from (select item_id, unnest({_PHRASES}) as phrase from benchmark) group by all),
+held as (select phrase, count(*) as n_both from (select distinct doc_id, unnest({_PHRASES}) as phrase from documents) group by phrase),
+ps as (select item_id, phrase, tf, cast(round(1000 * ln((coalesce(n_both, 0) + 1) * cast(docs as double) /
+              ((coalesce(x.df, 0) + 1) * (coalesce(y.df, 0) + 1)))) as bigint) as s
+       from n_docs, said left join held using (phrase) left join dfs x on x.word = split_part(phrase, ' ', 1)
+       left join dfs y on y.word = split_part(phrase, ' ', 2)),
+titles as (select item_id, 'title' as kind, row_number() over (partition by item_id order by s desc, tf desc, phrase) as rank,
+                  replace(upper(phrase[1]), 'ẞ', 'Ss') || split_part(phrase, ' ', 1)[2:] || ' ' || replace(upper(split_part(phrase, ' ', 2)[1]), 'ẞ', 'Ss') || split_part(phrase, ' ', 2)[2:] as keyword from ps),
+spared as (select item_id, word from own union select item_id, word from best join dw using (doc_id)),
+free as (select i.item_id, d.word, d.df from (select distinct item_id from benchmark) i cross join
+              (select * from dfs order by df desc, word limit (select max(n) + {RS.PENALTIES} from (select count(*) as n from spared group by item_id))) d
+         where not exists (select 1 from spared s where s.item_id = i.item_id and s.word = d.word)),
+penalties as (select item_id, 'penalize' as kind, row_number() over (partition by item_id order by df desc, word) as rank, word as keyword from free)
+select item_id, kind, rank, keyword, cast({RS.BOOSTS + 1} - rank as int) as weight from boosts where rank <= {RS.BOOSTS}
+union all select item_id, kind, rank, keyword, 0 from titles where rank <= {RS.TITLES}
+union all select item_id, kind, rank, keyword, cast(-54 + 4 * rank as int) from penalties where rank <= {RS.PENALTIES}"""
+
+
+@query("resume_suggest", "J8", RESUME_SUGGEST_SQL)
+def resume_suggest(spark, sf_dir):
+    """First set-up of every benchmark text as a resume."""
+    return RS.suggest_from_resumes(spark, read(spark, sf_dir, "benchmark"), "item_id", "text",
+                                   read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 REVERTED_SEGMENT = "MACHINERY"
 ACTED_SEGMENT = "BUILDING"
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rankloom.operators import keywords as KW
 from rankloom.operators import relevance as R
 from rankloom.operators import scoring as S
 from rankloom.plans import oracle_views as V
@@ -52,6 +53,45 @@ def keyword_reason(spark, sf_dir):
     return x.select("profile_id", "job_url", S.boost_reason("reason0", "score", "adjusted").alias("reason"))
 
 
+# The board profile's own keywords.
+BOARD_BOOST = [("thing", 6.0), ("ation", 4.0)]
+BOARD_PENALTY = [("!!", -20.0), ("***", -10.0)]
+
+_SHARED_SQL = V.with_(V.PROFILES_FLAT, V.SEGMENT_KEYWORDS_SQL, f"""
+who as (select profile_id, segment from profiles_flat union all select -1, 'BOARD'),
+word as (select segment, lower(keyword) as keyword, weight from segment_keywords
+         union all select 'BOARD', unnest({[k for k, _ in BOARD_BOOST + BOARD_PENALTY]}), unnest({[w for _, w in BOARD_BOOST + BOARD_PENALTY]})),
+lead as (select segment, min(profile_id) as class_id from who group by segment),
+hit as (select w.segment, d.doc_id, count(*) as n_hits, greatest(-20.0, least(20.0, sum(weight))) as delta
+        from word w join documents d on contains(lower(d.text), w.keyword) group by all),
+per as (select segment, count(*) as n_listings, cast(sum(n_hits) as bigint) as n_hits, cast(count_if(delta > 0) as bigint) as n_up,
+               cast(count_if(delta < 0) as bigint) as n_down, arg_max(doc_id, (delta, -doc_id)) as best_id, max(delta) as best_delta
+        from hit group by segment)""")
+
+
+@query("keyword_shared", "C6 D8", _SHARED_SQL + """
+select profile_id, class_id, n_listings, n_hits, n_up, n_down, best_id, best_delta
+from who join lead using (segment) join per using (segment)""")
+def keyword_shared(spark, sf_dir):
+    """Every profile's keywords, the board's among them, against every landed
+    listing: per profile the listings they move up and down and the best one.
+    Deltas are made once per class of equal keyword lists."""
+    def kw(items):
+        return F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(w).alias("weight")) for k, w in items])
+
+    fleet = L.profiles(spark, sf_dir).select("profile_id", F.col("scoring.boost").alias("boost"), F.col("scoring.penalize").alias("penalize"))
+    board = spark.range(1).select(F.lit(-1).cast("bigint").alias("profile_id"),  # beside the fleet's ids
+                                  kw(BOARD_BOOST).alias("boost"), kw(BOARD_PENALTY).alias("penalize"))
+    who = fleet.unionByName(board)
+    x = KW.shared_deltas(read(spark, sf_dir, "documents"), "doc_id", "text", who)
+    per = x.groupBy("class_id").agg(
+        F.count("*").alias("n_listings"), F.sum("n_hits").alias("n_hits"), F.count_if(F.col("delta") > 0).alias("n_up"),
+        F.count_if(F.col("delta") < 0).alias("n_down"),
+        F.max_by("doc_id", F.struct("delta", -F.col("doc_id"))).alias("best_id"), F.max("delta").alias("best_delta"))
+    return KW.keyword_classes(who).join(per, "class_id").select(
+        "profile_id", "class_id", "n_listings", "n_hits", "n_up", "n_down", "best_id", "best_delta")
+
+
 def relevance_ctes(evidence: bool, p: str = "", bar: str = f"score >= {R.MIN_SCORE}") -> str:
     """CTEs ending in ``{p}rel`` (columns item_id, doc_id, n_terms, matched, total, score)."""
     lvl = "tf" if evidence else "1"
