@@ -55,6 +55,32 @@ def fold(events: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def latest_events(events: DataFrame, keys: list[str]) -> DataFrame:
+    """The fold in a form that later events can be added to: per key and kind the
+    latest valid value with its ``(ts, seq)``; ``state_of`` reads it."""
+    rating_ok = B.valid_rating(F.col("value").try_cast("int"))
+
+    def latest(kind: str) -> Column:
+        mine = (F.col("kind") == kind) & (rating_ok if kind == "rate" else F.lit(True))
+        return F.max(F.when(mine, F.struct(F.struct("ts", "seq").alias("at"), "value"))).alias(kind)
+
+    return events.groupBy(*keys).agg(*[latest(k) for k in KINDS])
+
+
+def newer_of(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Two folds of ``latest_events`` as one: per kind the later event."""
+    return old.unionByName(new).groupBy(*keys).agg(*[F.max(k).alias(k) for k in KINDS])
+
+
+def state_of(latest: DataFrame) -> DataFrame:
+    """The columns of ``fold`` that follow from ``latest_events``."""
+    keys = [c for c in latest.columns if c not in KINDS]
+    return latest.select(*keys, F.nullif(F.col("rate.value").cast("int"), F.lit(0)).alias("user_rating"),
+                         F.nullif(F.col("note.value"), F.lit("")).alias("notes"),
+                         F.coalesce(F.col("applied.value") == "1", F.lit(False)).alias("is_applied"),
+                         (F.col("hide.value") == "1").alias("hidden"))
+
+
 def invalid(events: DataFrame) -> DataFrame:
     """Rating events outside {-1, 0, 1}, set aside with a reason."""
     bad = (F.col("kind") == "rate") & ~B.valid_rating(F.col("value").try_cast("int"))

@@ -13,6 +13,9 @@ from rankloom.plans.registry import REGISTRY, query, sql_ts_text, ts_text
 from rankloom.streaming import streams as ST
 
 
+SESSION_GAP = "30 minutes"
+
+
 @query("stream_ingest", "K1 A3 A6 A12 B1 B2 E1 G1", V.with_(V.RAW_FETCH, """
 batch as (select * from raw_fetch),
 known as (select job_url from batch where false)""") + IQ.decided_ctes() + """
@@ -81,6 +84,27 @@ def stream_sliding(spark, sf_dir):
     return x.select(ts_text("window_start").alias("window_start"), "event_type", "n")
 
 
+@query("stream_sessions", "K5", f"""
+with e as (select event_type, ts, lag(ts) over (partition by event_type order by ts) as before from events),
+s as (select event_type, ts, sum(case when before >= ts - interval {SESSION_GAP} then 0 else 1 end)
+             over (partition by event_type order by ts rows unbounded preceding) as session from e)
+select event_type, {sql_ts_text("min(ts)", True)} as window_start, {sql_ts_text(f"max(ts) + interval {SESSION_GAP}", True)} as window_end,
+       count(*) as n
+from s group by event_type, session""")
+def stream_sessions(spark, sf_dir):
+    x = ST.session_stream(spark, sf_dir, SESSION_GAP)
+    return x.select("event_type", ts_text("window_start", True).alias("window_start"), ts_text("window_end", True).alias("window_end"), "n")
+
+
+@query("stream_insight_runs", "K6 A10 D10", f"""
+select profile_id, (c // {ST.INSIGHTS_EVERY}) * {ST.INSIGHTS_EVERY} as processed, c // {ST.INSIGHTS_EVERY} as runs from (
+  {V.with_(V.FEEDBACK_EVENTS, V.fold_sql("fold_now"))}
+  select profile_id, count_if(user_rating is not null or coalesce(notes, '') <> '') as c from fold_now group by 1)
+where c >= {ST.INSIGHTS_EVERY}""")
+def stream_insight_runs(spark, sf_dir):
+    return ST.insight_runs_stream(spark, sf_dir)
+
+
 @query("stream_insights", "K6 D10", f"""
 select profile_id, c // {ST.INSIGHTS_EVERY} as runs, c % {ST.INSIGHTS_EVERY} as carried from (
   {V.with_(V.FEEDBACK_EVENTS, V.fold_sql("fold_now"))}

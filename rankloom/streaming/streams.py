@@ -16,7 +16,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, LongType, StringType, StructField, StructType, TimestampType
 
@@ -25,9 +25,10 @@ from rankloom.operators import feedback as FB
 from rankloom.operators import ingest as I
 from rankloom.operators import language as LG
 from rankloom.operators import replies as RP
-from rankloom.session import table_dir
+from rankloom.session import materialize, table_dir
 from rankloom.sources.inbox import proposals_from, replies_from
 from rankloom.sources.listings import board_rows, feedback_log, fetched
+from rankloom.sources.state import StateTable
 from rankloom.sources.tables import align_to, has_subdirs, read
 
 
@@ -220,6 +221,52 @@ def activity_window(kind: str = "tumbling", size: str = "1 day", slide: str | No
     raise ValueError(kind)
 
 
+SESSIONS = "event_type string, window_start timestamp, window_end timestamp, n bigint"
+
+
+def merged_sessions(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Sessions of ``old`` and ``new`` (``keys, window_start, window_end, n``; an end is
+    the last event plus the gap) put together where they overlap, and rows with a
+    true ``_deleted`` for starts of ``old`` that a longer session has taken in.
+
+    Neighbours are found by the furthest end so far in order of the start; a
+    window is one key's sessions around the new ones, not its events."""
+    rows = old.withColumn("old", F.lit(True)).unionByName(new.withColumn("old", F.lit(False)))
+    order = Window.partitionBy(*keys).orderBy("window_start", "window_end")
+    before = F.max("window_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(F.col("window_start") <= before, 0).otherwise(1)  # starting on the other's end is one session
+    rows = rows.withColumn("opens", opens).withColumn("session", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = rows.groupBy(*keys, "session").agg(F.min("window_start").alias("first"), F.max("window_end").alias("window_end"),
+                                               F.sum("n").alias("n"), F.collect_set(F.when(F.col("old"), F.col("window_start"))).alias("had"))
+    gone = whole.select(*keys, F.explode(F.array_except("had", F.array("first"))).alias("window_start"),
+                        F.lit(None).cast("timestamp").alias("window_end"), F.lit(None).cast("bigint").alias("n"), F.lit(True).alias("_deleted"))
+    kept = whole.select(*keys, F.col("first").alias("window_start"), "window_end", "n", F.lit(False).alias("_deleted"))
+    return kept.unionByName(gone)
+
+
+def session_stream(spark: SparkSession, sf_dir: str, gap: str = "30 minutes", max_files: int | None = None,
+                   compact_every: int = 10) -> DataFrame:
+    """K5: session windows per event type as a stream, without a watermark: an event
+    may come in any batch, lengthen a session or join two. A batch turns its own
+    events into sessions, reads the stored sessions of its keys that touch the
+    span of its events, merges both and stores what changed."""
+    out = run_dir(spark, "sessions")
+    state = StateTable(spark, os.path.join(out, "state"), ["event_type", "window_start"], SESSIONS, compact_every)
+    ev = file_stream(spark, sf_dir, "events", max_files).select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+
+    def step(batch: DataFrame, batch_id: int):
+        new = materialize(activity_counts(batch, ["event_type"], kind="session", gap=gap), "batch-sessions")
+        span = new.groupBy("event_type").agg(F.min("window_start").alias("_from"), F.max("window_end").alias("_to"))
+        # a span that a stored session reaches into grows by it once; stored sessions do not touch each other
+        near = state.read(batch_id).join(span, "event_type").where(
+            (F.col("window_end") >= F.col("_from")) & (F.col("window_start") <= F.col("_to"))).drop("_from", "_to")
+        cols = ["event_type", "window_start", "window_end", "n"]
+        state.put(merged_sessions(near.select(*cols), new.select(*cols), ["event_type"]), batch_id)
+
+    _run(ev.writeStream.foreachBatch(step).option("checkpointLocation", os.path.join(out, "_checkpoint")))
+    return state.read()
+
+
 def activity_counts(events: DataFrame, keys: list[str], **window) -> DataFrame:
     """Events per window and key; the window is flattened to start/end."""
     w = activity_window(**window)
@@ -249,6 +296,47 @@ def activity_stream(spark: SparkSession, sf_dir: str, kind: str = "tumbling", si
 INSIGHTS_EVERY = FB.INSIGHTS_THRESHOLD
 
 
+INSIGHT_RUNS = "profile_id bigint, processed bigint, runs bigint"
+
+
+def insight_runs_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None, compact_every: int = 10,
+                        on_run=None) -> DataFrame:
+    """K6 with the trigger's state (A10): ``profile_id, processed, runs``, where
+    ``processed`` is the count of rated-or-noted listings that earlier runs have
+    taken in. A batch folds its events into the stored feedback (K2), counts the
+    profiles that it touched, and every full 10 beyond ``processed`` is one run.
+    ``on_run(rows, batch_id)`` gets ``profile_id, new_runs`` of the batch. Clearing
+    feedback never takes a run back, and a replayed batch finds the state it had."""
+    out = run_dir(spark, "insight-runs")
+    keys = ["profile_id", "listing_id"]
+    fold = StateTable(spark, os.path.join(out, "feedback"), keys, FEEDBACK_LATEST, compact_every)
+    meta = StateTable(spark, os.path.join(out, "meta"), ["profile_id"], INSIGHT_RUNS, compact_every)
+    log = feedback_log(file_stream(spark, sf_dir, "events", max_files))
+
+    def step(batch: DataFrame, batch_id: int):
+        new = FB.latest_events(batch, keys)
+        old = fold.read(batch_id).join(new.select(*keys), keys, "left_semi")
+        fold.put(FB.newer_of(old, new, keys), batch_id)
+        touched = new.select("profile_id").distinct()
+        now = FB.state_of(fold.read().join(touched, "profile_id", "left_semi")).groupBy("profile_id").agg(
+            F.count_if(FB.B.rated_or_noted()).alias("n"))
+        x = now.join(meta.read(batch_id), "profile_id", "left").na.fill(0, ["processed", "runs"])
+        x = x.withColumn("new_runs", F.greatest(F.lit(0), F.expr(f"(n - processed) div {INSIGHTS_EVERY}")))
+        changed = materialize(x.where("new_runs > 0").select(
+            "profile_id", (F.col("processed") + INSIGHTS_EVERY * F.col("new_runs")).alias("processed"),
+            (F.col("runs") + F.col("new_runs")).alias("runs"), "new_runs"), "insight-runs")
+        if on_run is not None:
+            on_run(changed.select("profile_id", "new_runs"), batch_id)
+        meta.put(changed, batch_id)
+
+    _run(log.writeStream.foreachBatch(step).option("checkpointLocation", os.path.join(out, "_checkpoint")))
+    return meta.read()
+
+
+FEEDBACK_LATEST = ", ".join(["profile_id bigint, listing_id bigint"] + [
+    f"{k} struct<at:struct<ts:timestamp,seq:bigint>,value:string>" for k in FB.KINDS])
+
+
 def insights_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
     """K6: the trigger on K2's state. The fold is kept as a streaming aggregate;
     from its latest rows the rated-or-noted listings of a profile are counted
