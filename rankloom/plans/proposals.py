@@ -20,9 +20,8 @@ from rankloom.sources.inbox import proposals_from, replies_from
 from rankloom.sources.tables import read
 
 _LONG_WORDS = f"list_filter({V.tokens_sql('text')}, lambda w: length(w) >= {RS.MIN_LETTERS})"
-_PHRASES = f"""list_transform(
-  list_filter(range(1, len({V.tokens_sql('text')})), lambda i: length({V.tokens_sql('text')}[i]) >= 3 and length({V.tokens_sql('text')}[i + 1]) >= 3),
-  lambda i: {V.tokens_sql('text')}[i] || ' ' || {V.tokens_sql('text')}[i + 1])"""
+_PHRASES = """select {0}, a || ' ' || b as phrase from (
+  select {0}, unnest(t) as a, unnest(list_append(t[2:], null)) as b from ({1})) where length(a) >= 3 and length(b) >= 3"""
 
 RESUME_SUGGEST_SQL = "with " + relevance_ctes(False, bar="matched > 0").strip() + f""",
 best as (select item_id, doc_id from rel qualify row_number() over (partition by item_id order by matched desc, doc_id) <= {RS.BEST_LISTINGS}),
@@ -33,8 +32,9 @@ own as (select item_id, word, count(*) as tf from (select item_id, unnest({_LONG
 bs as (select item_id, word, tf * cast(round(1000 * ln((docs + 1) / (coalesce(df, 0) + 1))) as bigint) as s
        from n_docs, own left join dfs using (word)),
 boosts as (select item_id, 'boost' as kind, row_number() over (partition by item_id order by s desc, word) as rank, word as keyword from bs),
-said as (select item_id, phrase, count(*) as tf from (select item_id, unnest({_PHRASES}) as phrase from benchmark) group by all),
-held as (select phrase, count(*) as n_both from (select distinct doc_id, unnest({_PHRASES}) as phrase from documents) group by phrase),
+said as (select item_id, phrase, count(*) as tf from ({_PHRASES.format("item_id", f"select item_id, {V.tokens_sql('text')} as t from benchmark")}) group by all),
+held as (select phrase, count(*) as n_both from (
+  select distinct * from ({_PHRASES.format("doc_id", f"select doc_id, {V.tokens_sql('text')} as t from documents")})) group by phrase),
 ps as (select item_id, phrase, tf, cast(round(1000 * ln((coalesce(n_both, 0) + 1) * cast(docs as double) /
               ((coalesce(x.df, 0) + 1) * (coalesce(y.df, 0) + 1)))) as bigint) as s
        from n_docs, said left join held using (phrase) left join dfs x on x.word = split_part(phrase, ' ', 1)
