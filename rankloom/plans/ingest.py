@@ -14,6 +14,7 @@ from rankloom.plans import oracle_views as V
 from rankloom.plans.digest import BOARD_AS_OF
 from rankloom.plans.registry import query
 from rankloom.plans.scoring import BOARD_BOOST, BOARD_PENALTY, relevance_ctes
+from rankloom.session import materialize
 from rankloom.sources import listings as L
 from rankloom.sources.pages import page_fields
 from rankloom.sources.tables import read
@@ -209,29 +210,27 @@ def ingest_cube(spark, sf_dir):
                  F.count_if(F.col("decision") == "new").alias("n_new")))
 
 
-# The board profile of the scored ingest: the text of this benchmark item stands
-# for the resume, and these keywords for the user's weights.
-BOARD_RESUME_ITEM = 5
-
-INGEST_SCORED_SQL = _DECIDED_SQL + ",\n" + relevance_ctes(False, bar=f"item_id = {BOARD_RESUME_ITEM}").strip() + f""",
+# Every benchmark text is the resume of a profile of the scored ingest, whose users
+# share the board's keywords.
+INGEST_SCORED_SQL = _DECIDED_SQL + ",\n" + relevance_ctes(False).strip() + f""",
 scored as (
-  select d.id, d.arrival, d.job_url, d.title, d.company as employer, d.location, d.is_remote, d.job_type, d.date_posted,
-         d.discovered_at, coalesce(r.score, 0) as raw_score,
+  select r.item_id as profile_id, d.id, d.arrival, d.job_url, d.title, d.company as employer, d.location, d.is_remote, d.job_type, d.date_posted,
+         d.discovered_at, r.score as raw_score,
          greatest(-20.0, least(20.0, cast({" + ".join(f"(case when contains(lower(d.description), '{k}') then {w} else 0 end)" for k, w in BOARD_BOOST + BOARD_PENALTY)} as double))) as delta
-  from decided d left join rel r on r.doc_id = d.id where d.decision = 'new'),
+  from decided d join rel r on r.doc_id = d.id where d.decision = 'new'),
 jobs as (select *, greatest(0.0, least(100.0, raw_score + delta)) as score from scored)"""
 
 
 def scored_jobs(spark, sf_dir):
-    """A fetched batch all the way to ``jobs`` rows: normalised, first arrivals,
-    unknown, in region, in language; scored by term relevance to the profile
-    (J5) plus its keyword weights (D8). Only rows that passed are scored."""
-    new = _decided(spark, sf_dir).filter(F.col("decision") == "new")
-    resume = read(spark, sf_dir, "benchmark").filter(F.col("item_id") == BOARD_RESUME_ITEM)
-    rel = R.relevance(spark, resume, "item_id", "text", read(spark, sf_dir, "documents"), "doc_id", "text",
-                      min_score=0, only=new.select(F.col("id").alias("doc_id")))
-    x = new.join(rel.select(F.col("doc_id").alias("id"), F.col("score").alias("rel")), "id", "left")
-    x = x.withColumn("raw_score", F.coalesce("rel", F.lit(0)))
+    """A fetched batch all the way to the ``jobs`` rows of every profile: normalised,
+    first arrivals, unknown, in region, in language; scored by term relevance to
+    each profile's resume (J5) plus the keyword weights (D8). Only rows that
+    passed are scored, and a profile's jobs are those of a relevance of
+    ``MIN_SCORE`` or more: all profiles with all rows would be a cross join."""
+    new = materialize(_decided(spark, sf_dir).filter(F.col("decision") == "new"), "ingest-new")
+    rel = R.relevance(spark, read(spark, sf_dir, "benchmark"), "item_id", "text", read(spark, sf_dir, "documents"),
+                      "doc_id", "text", only=new.select(F.col("id").alias("doc_id")))
+    x = new.join(rel.select(F.col("item_id").alias("profile_id"), F.col("doc_id").alias("id"), F.col("score").alias("raw_score")), "id")
 
     def kw(items):
         return F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(w).alias("weight")) for k, w in items])
@@ -241,22 +240,22 @@ def scored_jobs(spark, sf_dir):
 
 
 @query("ingest_scored", "K1 A6 J5 D8", INGEST_SCORED_SQL + """
-select id, job_url, title, employer, raw_score, delta, score from jobs""")
+select profile_id, id, job_url, title, employer, raw_score, delta, score from jobs""")
 def ingest_scored(spark, sf_dir):
-    return scored_jobs(spark, sf_dir).select("id", "job_url", "title", "employer", "raw_score", "delta", "score")
+    return scored_jobs(spark, sf_dir).select("profile_id", "id", "job_url", "title", "employer", "raw_score", "delta", "score")
 
 
 @query("digest_scored", "B4 B7 C2 E3 F1", INGEST_SCORED_SQL + V.board_ledger(BOARD_AS_OF) + f""",
 fresh as (
-  select *, row_number() over (order by score desc, job_url) as pos from jobs
-  where job_url not in (select job_url from board_ledger) and score >= {DIGEST_MIN_SCORE}
+  select *, row_number() over (partition by profile_id order by score desc, job_url) as pos from jobs j
+  where not exists (select 1 from board_ledger l where l.profile_id = j.profile_id and l.job_url = j.job_url) and score >= {DIGEST_MIN_SCORE}
     and case when coalesce(date_posted, '') not in ('nan', '')
              then try_cast(left(date_posted, 10) as date) >= cast(timestamp '{BOARD_AS_OF}' as date) - 14
              else cast(discovered_at as date) >= cast(timestamp '{BOARD_AS_OF}' as date) - 7 end)
-select 0 as profile_id, pos, job_url, score from fresh where pos <= 5""")
+select profile_id, pos, job_url, score from fresh where pos <= 5""")
 def digest_scored(spark, sf_dir):
-    """Today's digest of the rows that the scored ingest has just stored."""
-    jobs = scored_jobs(spark, sf_dir).withColumn("profile_id", F.lit(L.BOARD_PROFILE_ID))
+    """Today's digest, for every profile, of the rows that the scored ingest has just stored."""
+    jobs = scored_jobs(spark, sf_dir)
     ledger = L.board_sent_ledger(spark, sf_dir, BOARD_AS_OF)
     cands = D.candidates(D.with_settings(jobs, score_threshold=DIGEST_MIN_SCORE), ledger, BOARD_AS_OF)
     return D.top_by_score(cands, F.col("max_jobs_per_email")).select("profile_id", "pos", "job_url", "score")
