@@ -168,3 +168,37 @@ def revise(proposals: DataFrame, replies: DataFrame, key: str = "profile_id") ->
         F.concat(F.coalesce("conversation", F.array()),
                  F.array(F.struct(F.lit("user").alias("role"), F.col("reply").alias("content")))).alias("conversation"),
         F.concat(kept, adds).alias("terms_add"))
+
+
+COMMAND = r"(?i)^\s*(add|drop|boost|penalize)\s+(.*?)(?:\s+(-?\d+))?\s*$"
+DEFAULT_WEIGHT = {"boost": 10, "penalize": -20}
+
+
+def revise_lists(x: DataFrame, reply: str) -> DataFrame:
+    """J12 on all lists: the reply joins ``conversation``; its lines ``add X`` (a
+    search term), ``boost X [n]``, ``penalize X [n]`` and ``drop X`` (from every
+    list, any case) edit ``terms_add``, ``boost_add`` and ``penalize_add``. Weights
+    are clamped to their range, a penalty's sign does not matter; other lines
+    change nothing."""
+    part = lambda line, k: F.regexp_extract(line, COMMAND, k)
+    said = F.transform(F.split(F.coalesce(F.col(reply), F.lit("")), r"\r\n|\r|\n"), lambda line: F.struct(
+        F.lower(part(line, 1)).alias("verb"), part(line, 2).alias("what"), part(line, 3).try_cast("int").alias("n")))
+    x = x.withColumn("_said", F.filter(said, lambda c: (c["verb"] != "") & (c["what"] != "")))
+
+    def items(verb, low, high):
+        asked = F.filter("_said", lambda c: c["verb"] == verb)
+        sign = -1 if high < 0 else 1
+        return F.transform(asked, lambda c: F.struct(c["what"].alias("keyword"), F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(
+            sign * F.abs(c["n"]), F.lit(DEFAULT_WEIGHT[verb])))).cast("double").alias("weight")))
+
+    dropped = F.transform(F.filter("_said", lambda c: c["verb"] == "drop"), lambda c: F.lower(c["what"]))
+    x = x.withColumn("_dropped", dropped)
+    stays = lambda k: ~F.array_contains("_dropped", F.lower(k))
+    keywords = lambda c: F.coalesce(c, F.array().cast("array<struct<keyword:string,weight:double>>"))
+    terms = F.transform(F.filter("_said", lambda c: c["verb"] == "add"), lambda c: F.concat_ws(" ", c["what"], c["n"].cast("string")))
+    return (x.withColumn("boost_add", F.concat(F.filter(keywords("boost_add"), lambda e: stays(e["keyword"])), items("boost", *BOOST_RANGE)))
+            .withColumn("penalize_add", F.concat(F.filter(keywords("penalize_add"), lambda e: stays(e["keyword"])), items("penalize", *PENALTY_RANGE)))
+            .withColumn("terms_add", F.concat(F.filter(F.coalesce("terms_add", F.array().cast("array<string>")), stays), terms))
+            .withColumn("conversation", F.concat(F.coalesce("conversation", F.array()), F.array(F.struct(
+                F.lit("user").alias("role"), F.col(reply).alias("content")))))
+            .drop("_said", "_dropped"))

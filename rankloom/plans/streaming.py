@@ -4,12 +4,17 @@ batch queries they must equal."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from rankloom.plans import digest as DG
 from rankloom.plans import oracle_views as V
 from rankloom.plans import feedback as FBQ  # noqa: F401  registers the batch oracles used below
 from rankloom.plans import ingest as IQ
 from rankloom.plans import proposals as PQ
 from rankloom.plans.registry import REGISTRY, query, sql_ts_text, ts_text
+from rankloom.sources.inbox import proposals_from
+from rankloom.sources.tables import read
+from rankloom.streaming import acting as ACT
 from rankloom.streaming import streams as ST
 
 
@@ -56,6 +61,46 @@ def stream_replies(spark, sf_dir):
     return ST.replies_stream(spark, sf_dir)
 
 
+ACTED_AT = "2024-01-31 18:00:00"
+
+
+def desk_tables(spark, sf_dir):
+    """Per conversation a profile and the proposal that its replies answer."""
+    conv = read(spark, sf_dir, "conversations").select("conv_id").distinct()
+    word = F.concat(F.lit("topic"), (F.col("conv_id") % 7).cast("string"))
+    people = conv.select(
+        F.col("conv_id").alias("profile_id"), F.concat(F.lit("user"), F.col("conv_id").cast("string"), F.lit("@example.org")).alias("recipient"),
+        F.struct(F.array(F.struct(F.lit("TOPIC0").alias("keyword"), F.lit(3.0).alias("weight"))).alias("boost"),
+                 F.array().cast(ACT.KEYWORDS).alias("penalize")).alias("scoring"),
+        F.struct(F.array(F.lit("reader")).alias("terms")).alias("search"))
+    new = proposals_from(conv).select(
+        "proposal_id", F.col("proposal_id").alias("profile_id"), "message_id", F.lit("pending").alias("status"), F.lit("Because").alias("summary"),
+        F.array(F.struct(F.concat(F.lit("topic"), (F.col("proposal_id") % 7).cast("string")).alias("keyword"), F.lit(8.0).alias("weight"))).alias("boost_add"),
+        F.array(F.struct(F.lit("spam").alias("keyword"), F.lit(-20.0).alias("weight"))).alias("penalize_add"),
+        F.array(F.lit("writer")).alias("terms_add"), F.array().cast("array<struct<role:string,content:string>>").alias("conversation"))
+    return people, new
+
+
+@query("stream_acting", "K3 J12 C9 A9 A13", REGISTRY["stream_replies"].sql.rsplit("select proposal_id, uid, matched_by, intent,", 1)[0] + """,
+every as (select distinct conv_id as profile_id from conversations)
+select e.profile_id,
+       case intent when 'approve' then 'applied' when 'reject' then 'discarded' else 'pending' end as status,
+       case when intent = 'approve' and e.profile_id % 7 <> 0 then 'TOPIC0,topic' || (e.profile_id % 7) else 'TOPIC0' end as boost,
+       case when intent = 'approve' then 'spam' else '' end as penalize,
+       case when intent = 'approve' then 'reader,writer' else 'reader' end as terms,
+       case when intent is null then 'proposal' else 'proposal,' || case intent when 'approve' then 'applied' when 'reject' then 'discarded' else 'revised' end end as mails
+from every e left join x on x.proposal_id = e.profile_id""")
+def stream_acting(spark, sf_dir):
+    """What the landed replies have made of every conversation's profile and proposal, and what was mailed."""
+    desk = ST.acting_stream(spark, sf_dir, *desk_tables(spark, sf_dir), ACTED_AT)
+    names = lambda c: F.array_join(F.transform(c, lambda k: k["keyword"]), ",")
+    mails = desk.outbox.read().groupBy("profile_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("batch", "kind"))), lambda m: m["kind"]), ",").alias("mails"))
+    return (desk.profiles.read().select("profile_id", names("scoring.boost").alias("boost"), names("scoring.penalize").alias("penalize"),
+                                        F.array_join("search.terms", ",").alias("terms"))
+            .join(desk.proposals.read().select("profile_id", "status"), "profile_id").join(mails, "profile_id"))
+
+
 @query("stream_digest", "K4 A5 A7", DG.BOARD_CAND_SQL + f"""
 select profile_id, job_url, {sql_ts_text(f"timestamp '{DG.BOARD_AS_OF}'")} as sent_at
 from (select *, row_number() over (partition by profile_id order by score desc, job_url) as pos from board_cand)

@@ -3,7 +3,7 @@
 Each batch writes the rows that it changed into a folder of its own
 (``delta/version=N``), so a replayed batch overwrites its own change and nothing
 else. Every ``compact_every`` batches the state below the current one is written
-out whole (``snapshot/version=N``) and what it covers is removed, so reading
+out whole (``snapshot/version=N``) and what the snapshot before covers is removed, so reading
 takes one snapshot and a bounded number of deltas however many batches there
 were. A batch never compacts itself: a replay of it finds the state it had.
 """
@@ -82,13 +82,16 @@ class StateTable:
             self.compact(version)
 
     def compact(self, before: int) -> None:
-        """One snapshot of the state below ``before`` in place of what makes it up."""
+        """One snapshot of the state below ``before``. What made it up stays until the
+        next compaction, for frames that were read before this one."""
         snapshot, deltas = self.parts(before)
         if not deltas:
             return
         self.read(before).withColumn(DELETED, F.lit(False)).write.mode("overwrite").parquet(self._folder("snapshot", deltas[-1]))
-        for version in deltas:
-            self._remove("delta", version)
-        for version in snapshot:
-            if version != deltas[-1]:
-                self._remove("snapshot", version)
+        for last in snapshot:
+            for version in self._versions("delta"):
+                if version <= last:
+                    self._remove("delta", version)
+            for version in self._versions("snapshot"):
+                if version < last:
+                    self._remove("snapshot", version)

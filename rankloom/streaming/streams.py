@@ -30,6 +30,7 @@ from rankloom.sources.inbox import proposals_from, replies_from
 from rankloom.sources.listings import board_rows, feedback_log, fetched
 from rankloom.sources.state import StateTable
 from rankloom.sources.tables import align_to, has_subdirs, read
+from rankloom.streaming import acting as ACT
 
 
 INGEST_SINK = StructType(
@@ -164,6 +165,25 @@ def replies_stream(spark: SparkSession, sf_dir: str, max_files: int | None = Non
     return proposal_states(spark, out).select("proposal_id", "uid", "matched_by", "intent", "action", "state")
 
 
+def acting_stream(spark: SparkSession, sf_dir: str, profiles: DataFrame, proposals: DataFrame, at: str,
+                  max_files: int | None = None, compact_every: int = 10) -> ACT.Desk:
+    """K3 with its effects: proposals are saved and mailed in batch 0, then every
+    micro-batch of landed replies acts on the proposals still pending."""
+    out = run_dir(spark, "acting")
+    desk = ACT.open_desk(spark, os.path.join(out, "desk"), compact_every)
+    desk.profiles.put(profiles, 0)
+    ACT.propose(desk, proposals, 0)
+    inbox = replies_from(file_stream(spark, sf_dir, "conversations", max_files))
+
+    def step(batch: DataFrame, batch_id: int):
+        act = reply_actions(batch, desk.active(batch_id + 1)).select("proposal_id", "uid", "action")
+        said = batch.select("uid", strip_quoted("body").alias("reply"), F.concat(F.lit("<reply-"), F.col("uid").cast("string"), F.lit(">")).alias("reply_id"))
+        ACT.act(desk, act.join(said, "uid").drop("uid"), batch_id + 1, at)
+
+    _run(inbox.writeStream.foreachBatch(step).option("checkpointLocation", os.path.join(out, "_checkpoint")))
+    return desk
+
+
 STATES = {"apply": "applied", "discard": "discarded", "revise": "revised"}
 
 
