@@ -83,3 +83,26 @@ CHARSETS = {
     "UTF-16BE": ["UTF-16BE"],
     "UTF-16LE": ["UTF-16LE"],
 }
+
+
+ENCODED = r"=\?([^?\s]+)\?([bBqQ])\?([^?\s]*)\?="
+
+
+def decode_header(raw) -> Column:
+    """A mail header with encoded words (base64 or quoted, each with a charset
+    of its own) as text. White space between two encoded words goes, other text
+    stays as it is; what claims to be base64 and is not stays undecoded."""
+    r = F.coalesce(F.col(raw) if isinstance(raw, str) else raw, F.lit(""))
+    joined = F.regexp_replace(r, rf"({ENCODED})\s+(?=={chr(92)}?[^?\s]+\?[bBqQ]\?[^?\s]*\?=)", "$1")
+    # words and the text between them, in turns
+    return bound(joined, lambda h: F.when(h.rlike(ENCODED), bound(F.split(h, ENCODED, -1), lambda gaps: F.array_join(F.transform(
+        gaps, lambda gap, i: F.concat(gap, F.coalesce(_decoded(F.get(F.regexp_extract_all(h, F.lit(ENCODED), F.lit(0)), i)), F.lit("")))), "")))
+        .otherwise(h))
+
+
+def _decoded(word: Column) -> Column:
+    charset, kind, text = (F.regexp_extract(word, ENCODED, k) for k in (1, 2, 3))
+    signs = F.regexp_extract_all(F.replace(text, F.lit("_"), F.lit(" ")), F.lit("=[0-9A-Fa-f]{2}|(?s)."), F.lit(0))
+    quoted = F.unhex(F.array_join(F.transform(signs, lambda c: F.when(F.length(c) == 3, F.substring(c, 2, 2)).otherwise(F.hex(c))), ""))
+    data = F.when(F.lower(kind) == "b", F.call_function("try_to_binary", text, F.lit("base64"))).otherwise(quoted)
+    return F.when(word.isNotNull(), F.coalesce(decode_text(data, F.regexp_replace(charset, r"\*.*", "")), word))

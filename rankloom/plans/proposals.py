@@ -296,6 +296,19 @@ m as (select proposal_id, uid, case when prio = 1 then 'in_reply_to' else 'refer
       from b where rn = 1)"""
 
 
+@query("header_decode", "H26", """
+select conv_id, turn, concat('Re: ', text, case when turn % 3 = 2 then text else '' end, ' [', role, ']') as subject from conversations""")
+def header_decode(spark, sf_dir):
+    """Subjects as mail clients encode them, one to two words in base64 or quoted form, read back."""
+    x = _conv(spark, sf_dir)
+    data = F.encode("text", "UTF-8")
+    b = F.concat(F.lit("=?UTF-8?B?"), F.replace(F.base64(data), F.lit("\r\n"), F.lit("")), F.lit("?="))
+    q = F.concat(F.lit("=?utf-8?q?"), F.regexp_replace(F.hex(data), "(..)", "=$1"), F.lit("?="))
+    word = F.when(F.col("turn") % 3 == 0, b).when(F.col("turn") % 3 == 1, q).otherwise(F.concat(b, F.lit("\r\n "), q))
+    raw = F.concat(F.lit("Re: "), word, F.lit(" ["), F.col("role"), F.lit("]"))
+    return x.select("conv_id", "turn", RP.decode_header(raw).alias("subject"))
+
+
 @query("reply_match", "C8 E8", "with " + REPLY_MATCH_CTES + """
 select proposal_id, uid, matched_by from m""")
 def reply_match(spark, sf_dir):

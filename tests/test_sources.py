@@ -49,3 +49,15 @@ def test_decode_charsets(spark):
     df = spark.createDataFrame([(bytearray("héllo".encode("utf-8")), None),
                                 (bytearray("héllo".encode("latin-1")), "iso-8859-1")], "b binary, cs string")
     assert [r.t for r in df.select(decode_text("b", "cs").alias("t")).collect()] == ["héllo", "héllo"]
+
+
+def test_encoded_headers_read_like_pythons(spark):
+    from email.header import decode_header
+    from rankloom.operators.replies import decode_header as decode
+    raw = ["plain", "=?utf-8?B?R3LDvMOfZQ==?=", "=?iso-8859-1?Q?Caf=E9_au_lait?= now", "Re: =?UTF-8?q?=E2=82=AC_5?= =?latin1?B?6Q==?= end",
+           "=?utf-8?b?w6k=?=\r\n =?utf-8?Q?=C3=A8?=", "a =?us-ascii?Q?b?= c =?us-ascii?Q?d?= e", "=?utf-8?Q??=", "", "2 =? 3 ?= 4"]
+    rows = spark.createDataFrame([(k, r) for k, r in enumerate(raw)], "k long, r string").select("k", decode("r").alias("t")).collect()
+    read = lambda h: "".join(p if isinstance(p, str) else p.decode(c or "ascii") for p, c in decode_header(h))
+    assert {r.k: r.t for r in rows} == {k: read(r) for k, r in enumerate(raw)}
+    odd = spark.createDataFrame([("=?utf-8?B?***?= x",), (None,)], "r string").select(decode("r").alias("t")).collect()
+    assert [r.t for r in odd] == ["=?utf-8?B?***?= x", ""]
