@@ -242,3 +242,29 @@ def rerank_requests(spark, sf_dir):
         "profile_id", F.concat_ws("\n", "resume", F.col("description"), "feedback_summary").alias("query"))
     cut = cut.join(who, "profile_id")
     return cut.select("profile_id", "idx", "query", RR.rerank_document().alias("document"), RR.rerank_line().alias("line"))
+
+
+LIST_TASK = "Rank these listings for the candidate, best first. Leave out what does not fit."
+LIST_ANSWER = 'Answer as JSON: {"ranked": [<numbers>], "scores": [<0 to 1>]}'
+
+_LIST_SQL = "with " + _requests_sql().strip().removeprefix("with ") + f""",
+line as (
+  select f.profile_id, idx, concat_ws(chr(10), concat('Buyer in ', lower(p.segment)), c.c_name, fb.summary) as query,
+    concat(cast(idx as varchar), '. ', coalesce(title, ''), ' at ', coalesce(employer, ''), ' (', coalesce(location, ''), '): ',
+           coalesce(nullif(description, ''), 'model score ' || cast(score as varchar), '')) as line
+  from fleet_cut f join profiles_flat p on p.profile_id = f.profile_id join customer c on c.c_custkey = f.profile_id
+  left join fb on fb.profile_id = f.profile_id)
+select profile_id, count(*) as n_listings,
+       concat_ws(chr(10), '{LIST_TASK}', 'CANDIDATE: ' || any_value(query), string_agg(line, chr(10) order by idx), '{LIST_ANSWER}') as request
+from line group by profile_id"""
+
+
+@query("rerank_list_requests", "J7 H21", _LIST_SQL)
+def rerank_list_requests(spark, sf_dir):
+    """Reranker B's request: one list per profile, its cut (at most ``rerank_candidates`` lines) in order."""
+    x = rerank_requests(spark, sf_dir)
+    g = x.groupBy("profile_id").agg(F.array_sort(F.collect_list(F.struct("idx", "line"))).alias("lines"), F.first("query").alias("query"),
+                                    F.count("*").alias("n_listings"))
+    return g.select("profile_id", "n_listings", F.concat_ws(
+        "\n", F.lit(LIST_TASK), F.concat(F.lit("CANDIDATE: "), F.col("query")),
+        F.array_join(F.transform("lines", lambda e: e["line"]), "\n"), F.lit(LIST_ANSWER)).alias("request"))
