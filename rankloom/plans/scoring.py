@@ -9,6 +9,7 @@ from rankloom.operators import relevance as R
 from rankloom.operators import scoring as S
 from rankloom.plans import oracle_views as V
 from rankloom.plans.registry import query, sql_ts_text, ts_text
+from rankloom.session import materialize
 from rankloom.sources import listings as L
 from rankloom.sources.tables import read
 
@@ -82,7 +83,7 @@ def keyword_shared(spark, sf_dir):
     fleet = L.profiles(spark, sf_dir).select("profile_id", F.col("scoring.boost").alias("boost"), F.col("scoring.penalize").alias("penalize"))
     board = spark.range(1).select(F.lit(-1).cast("bigint").alias("profile_id"),  # beside the fleet's ids
                                   kw(BOARD_BOOST).alias("boost"), kw(BOARD_PENALTY).alias("penalize"))
-    who = fleet.unionByName(board)
+    who = materialize(fleet.unionByName(board), "keyword-profiles")
     x = KW.shared_deltas(read(spark, sf_dir, "documents"), "doc_id", "text", who)
     per = x.groupBy("class_id").agg(
         F.count("*").alias("n_listings"), F.sum("n_hits").alias("n_hits"), F.count_if(F.col("delta") > 0).alias("n_up"),
