@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from rankloom.operators import filters as B
 from rankloom.operators.ranking import sort_columns
+from rankloom.session import materialize, table_dir
 
 PAGE_SIZE = 25
 
@@ -27,20 +31,59 @@ def select_history(rows: DataFrame, q: str | None = None, filter_name: str | Non
     return x
 
 
-def page(rows: DataFrame, sort: str | None, page_no: int, page_size: int = PAGE_SIZE, parity: bool = False) -> DataFrame:
-    """D2 + E6 + F2 for one profile, in one plan: the rows of the page with
-    ``pos``, ``total``, ``pages`` and ``page`` (a page past the end is the last).
-
-    The total is a scalar subquery; the first ``page_no`` pages are a
-    distributed top-N (each task sends at most that many rows), not a sort.
-    """
-    order, asked = sort_columns(sort, parity), max(page_no, 1)
+def first_page(rows: DataFrame, sort: str | None, page_size: int = PAGE_SIZE, parity: bool = False) -> DataFrame:
+    """D2 + E6 + F2: the first page with ``pos``, ``total`` and ``pages``, in one plan:
+    the total is a scalar subquery, the page a distributed top-N (each task sends
+    ``page_size`` rows at most)."""
+    order = sort_columns(sort, parity)
     total = rows.select(F.count("*")).scalar()
-    head = rows.orderBy(*order).limit(asked * page_size)
+    head = rows.orderBy(*order).limit(page_size)
     x = head.withColumn("pos", F.row_number().over(Window.orderBy(*order)).cast("bigint")).withColumn("total", total)
-    x = x.withColumn("pages", F.greatest(F.lit(1), F.ceil(F.col("total") / page_size)).cast("bigint"))
-    x = x.withColumn("page", F.least(F.lit(asked), F.col("pages")).cast("bigint"))
-    return x.filter((F.col("pos") > (F.col("page") - 1) * page_size) & (F.col("pos") <= F.col("page") * page_size))
+    return x.withColumn("pages", F.greatest(F.lit(1), F.ceil(F.col("total") / page_size)).cast("bigint"))
+
+
+class Pages:
+    """D2 + E6 + F2: all rows of one view in order, cut into ranges of the order.
+
+    The rows are dealt by ranges of the sort columns, numbered inside their range
+    and written once, a folder per range; prefix sums of the ranges' counts (one
+    row per range) say which positions a range holds. Any page then reads the
+    ranges that it overlaps and nothing else, however deep it lies. The sort
+    columns end with the URL, so a common score or day does not make a range
+    long; a URL repeated under one key stays in one range.
+    """
+
+    def __init__(self, rows: DataFrame, sort: str | None, page_size: int = PAGE_SIZE, parity: bool = False):
+        self.page_size = page_size
+        order = sort_columns(sort, parity)
+        dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+        # the id's low 33 bits count the rows of a partition in the order just made
+        numbered = dealt.withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+        path = table_dir(rows.sparkSession, f"pages-{uuid.uuid4().hex[:12]}")
+        numbered.withColumn("_range", F.spark_partition_id()).write.partitionBy("_range").parquet(path)
+        schema = StructType([*numbered.schema.fields, StructField("_range", IntegerType())])
+        self.rows = rows.sparkSession.read.schema(schema).parquet(path)
+        counts = self.rows.groupBy("_range").agg(F.count("*").alias("n"))
+        before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        self.ranges = materialize(counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))), "page-ranges")
+        self.total = self.ranges.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        self.pages = max(1, -(-self.total // page_size))
+
+    def page(self, number: int) -> DataFrame:
+        """The rows of a page with ``pos``, ``total``, ``pages`` and ``page``; a page
+        before the first is the first, one past the end the last."""
+        number = min(max(number, 1), self.pages)
+        low, high = (number - 1) * self.page_size, number * self.page_size
+        # no more ranges than the page has rows: ranges without rows are not written
+        wanted = self.ranges.where((F.col("start") < high) & (F.col("start") + F.col("n") > low)).collect()
+        if not wanted:
+            cut = self.rows.withColumn("pos", F.lit(None).cast("bigint")).limit(0)
+        else:
+            start = F.create_map(*[F.lit(v) for r in wanted for v in (r["_range"], r.start)])
+            cut = self.rows.where(F.col("_range").isin([r["_range"] for r in wanted])).withColumn("pos", start[F.col("_range")] + F.col("_place") + 1)
+            cut = cut.where((F.col("pos") > low) & (F.col("pos") <= high))
+        return cut.drop("_range", "_place").withColumns({
+            "total": F.lit(self.total).cast("bigint"), "pages": F.lit(self.pages).cast("bigint"), "page": F.lit(number).cast("bigint")})
 
 
 def sent_days(ledger: DataFrame) -> DataFrame:

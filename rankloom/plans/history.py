@@ -14,6 +14,7 @@ from rankloom.sources import listings as L
 SEARCH_Q = "ou"
 SENT_DAY = "2024-01-03"
 PAGE_NO = 3
+PAST_THE_END = 1_000_000
 
 
 def board_state(spark, sf_dir):
@@ -46,7 +47,7 @@ def history_liked(spark, sf_dir):
     """First page of the liked filter in score order (the history view): a
     distributed top-25 (``orderBy.limit``), not a sort of the whole group."""
     rows = H.select_history(board_state(spark, sf_dir), filter_name="liked")
-    return H.page(rows, "score", 1).select("profile_id", "pos", "job_url", "score", "sent", "total")
+    return H.first_page(rows, "score").select("profile_id", "pos", "job_url", "score", "sent", "total")
 
 
 @query("history_sent_day", "B8 B10", BOARD_STATE_SQL + f"""
@@ -67,18 +68,32 @@ def history_search(spark, sf_dir):
     return x.select("profile_id", "job_url", "title", "employer")
 
 
-@query("history_page", "D2 E6 F2", BOARD_STATE_SQL + f""",
+def _page_sql(number: int) -> str:
+    return BOARD_STATE_SQL + f""",
 v as (select * from board_state where coalesce(not hidden, true)),
 t as (select count(*) as total from v),
 p as (select total, greatest(1, cast(ceil(total / 25) as bigint)) as pages from t),
 r as (select v.*, row_number() over (order by try_cast(left(date_posted, 10) as date) desc nulls last,
                                        discovered_at desc nulls last, job_url) as rn from v)
-select r.rn as pos, r.job_url, r.date_posted, p.total, p.pages, least(greatest({PAGE_NO}, 1), p.pages) as page
+select r.rn as pos, r.job_url, r.date_posted, p.total, p.pages, least(greatest({number}, 1), p.pages) as page
 from r, p
-where r.rn > (least(greatest({PAGE_NO}, 1), p.pages) - 1) * 25 and r.rn <= least(greatest({PAGE_NO}, 1), p.pages) * 25""")
-def history_page(spark, sf_dir):
+where r.rn > (least(greatest({number}, 1), p.pages) - 1) * 25 and r.rn <= least(greatest({number}, 1), p.pages) * 25"""
+
+
+def _page(spark, sf_dir, number):
     rows = H.select_history(board_state(spark, sf_dir))
-    return H.page(rows, "posted", PAGE_NO).select("pos", "job_url", "date_posted", "total", "pages", "page")
+    return H.Pages(rows, "posted").page(number).select("pos", "job_url", "date_posted", "total", "pages", "page")
+
+
+@query("history_page", "D2 E6 F2", _page_sql(PAGE_NO))
+def history_page(spark, sf_dir):
+    return _page(spark, sf_dir, PAGE_NO)
+
+
+@query("history_last_page", "D2 E6 F2", _page_sql(PAST_THE_END))
+def history_last_page(spark, sf_dir):
+    """A page past the end is the last one; it reads the last ranges only."""
+    return _page(spark, sf_dir, PAST_THE_END)
 
 
 @query("sent_days", "D3", V.with_(V.BOARD_JOBS, V.board_ledger(BOARD_AS_OF)) + """

@@ -212,13 +212,14 @@ def ingest_cube(spark, sf_dir):
 
 # Every benchmark text is the resume of a profile of the scored ingest, whose users
 # share the board's keywords.
-INGEST_SCORED_SQL = _DECIDED_SQL + ",\n" + relevance_ctes(False).strip() + f""",
+SCORED_CTES = ",\n" + relevance_ctes(False).strip() + f""",
 scored as (
   select r.item_id as profile_id, d.id, d.arrival, d.job_url, d.title, d.company as employer, d.location, d.is_remote, d.job_type, d.date_posted,
          d.discovered_at, r.score as raw_score,
          greatest(-20.0, least(20.0, cast({" + ".join(f"(case when contains(lower(d.description), '{k}') then {w} else 0 end)" for k, w in BOARD_BOOST + BOARD_PENALTY)} as double))) as delta
   from decided d join rel r on r.doc_id = d.id where d.decision = 'new'),
 jobs as (select *, greatest(0.0, least(100.0, raw_score + delta)) as score from scored)"""
+INGEST_SCORED_SQL = _DECIDED_SQL + SCORED_CTES
 
 
 def scored_jobs(spark, sf_dir):
@@ -227,7 +228,11 @@ def scored_jobs(spark, sf_dir):
     each profile's resume (J5) plus the keyword weights (D8). Only rows that
     passed are scored, and a profile's jobs are those of a relevance of
     ``MIN_SCORE`` or more: all profiles with all rows would be a cross join."""
-    new = materialize(_decided(spark, sf_dir).filter(F.col("decision") == "new"), "ingest-new")
+    return score_new(spark, sf_dir, materialize(_decided(spark, sf_dir).filter(F.col("decision") == "new"), "ingest-new"))
+
+
+def score_new(spark, sf_dir, new):
+    """The ``jobs`` rows that new listings give: every profile whose resume they are relevant to."""
     rel = R.relevance(spark, read(spark, sf_dir, "benchmark"), "item_id", "text", read(spark, sf_dir, "documents"),
                       "doc_id", "text", only=new.select(F.col("id").alias("doc_id")))
     x = new.join(rel.select(F.col("item_id").alias("profile_id"), F.col("doc_id").alias("id"), F.col("score").alias("raw_score")), "id")

@@ -21,9 +21,12 @@ from rankloom.streaming import streams as ST
 SESSION_GAP = "30 minutes"
 
 
-@query("stream_ingest", "K1 A3 A6 A12 B1 B2 E1 G1", V.with_(V.RAW_FETCH, """
+_STREAMED_SQL = V.with_(V.RAW_FETCH, """
 batch as (select * from raw_fetch),
-known as (select job_url from batch where false)""") + IQ.decided_ctes() + """
+known as (select job_url from batch where false)""") + IQ.decided_ctes()
+
+
+@query("stream_ingest", "K1 A3 A6 A12 B1 B2 C1 E1 G1", _STREAMED_SQL + """
 select id, job_url, coalesce(title, '') as title, coalesce(company, '') as employer, coalesce(location, '') as location
 from decided where decision = 'new'""")
 def stream_ingest(spark, sf_dir):
@@ -31,6 +34,14 @@ def stream_ingest(spark, sf_dir):
     return x.select("id", "job_url", "title", "employer", "location")
 
 
+@query("stream_ingest_scored", "K1 A6 J5 D8", _STREAMED_SQL + IQ.SCORED_CTES + """
+select profile_id, id, job_url, title, employer, raw_score, delta, score from jobs""")
+def stream_ingest_scored(spark, sf_dir):
+    """The scored ingest as a stream: each batch's new listings for every profile."""
+    x = ST.ingest_stream(spark, sf_dir, IQ.BOARD_REGIONS, IQ.BOARD_LANGUAGE, score=lambda new: IQ.score_new(spark, sf_dir, new))
+    return x.select("profile_id", "id", "job_url", "title", "employer", "raw_score", "delta", "score")
+
+
 @query("stream_feedback", "K2", REGISTRY["feedback_state"].sql)
 def stream_feedback(spark, sf_dir):
     return ST.feedback_stream(spark, sf_dir)

@@ -30,6 +30,7 @@ from rankloom.sources.inbox import proposals_from, replies_from
 from rankloom.sources.listings import board_rows, feedback_log, fetched
 from rankloom.sources.state import StateTable
 from rankloom.sources.tables import align_to, has_subdirs, read
+from rankloom.sources.url_index import UrlIndex
 from rankloom.streaming import acting as ACT
 
 
@@ -81,32 +82,42 @@ def latest_per_key(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
 # --------------------------------------------------------------------------- K1
 
 def ingest_stream(spark: SparkSession, sf_dir: str, regions: list[str] | None = None, language: str | None = None,
-                  max_files: int | None = None) -> DataFrame:
+                  max_files: int | None = None, score=None, index: UrlIndex | None = None) -> DataFrame:
     """K1: landed documents -> fetch rows -> per batch: normalise (A3), first
     arrival per URL (E1), unknown to what earlier batches stored (C1), region
     (B1), language (B2) -> append the job rows (A6).
 
-    The stored side is read per batch (URL column only). On a cluster that
-    table would be bucketed by ``job_url`` so the join does not shuffle it.
+    A batch asks the URL index, not the sink, what is stored, and reads only the
+    index folders that its own URLs fall into. The job rows are written before
+    their URLs, and the index is read as it stood before the batch, so a batch
+    that breaks off between the two and is replayed writes both again.
+
+    ``score(rows)`` turns a batch's new rows into the rows that are stored and
+    returned instead (``ingest_scored`` as a stream); their URLs count as stored
+    whether or not a profile wants them.
     """
     out = run_dir(spark, "ingest")
+    index = index or UrlIndex(spark, run_dir(spark, "ingest-urls"))
     landed = read(spark, sf_dir, "documents")
     model = LG.learn(landed, "doc_id", "text", "lang")
     docs = file_stream(spark, sf_dir, "documents", max_files)
     rows = fetched(board_rows(docs, read(spark, sf_dir, "labels"), read(spark, sf_dir, "nation")))
 
     def step(batch: DataFrame, batch_id: int):
-        if has_subdirs(spark, out, "batch_id="):
-            stored = spark.read.option("mergeSchema", "true").parquet(out).filter(F.col("batch_id") < batch_id)
-        else:
-            stored = spark.createDataFrame([], INGEST_SINK)
-        decided = I.decide(I.normalize(batch), stored.select("job_url"), regions, language, model)
+        batch = materialize(I.normalize(batch), "ingest-batch")
+        decided = I.decide(batch, index.known(batch.where(F.col("job_url").isNotNull()), batch_id), regions, language, model)
+        at = os.path.join(out, "jobs", f"batch_id={batch_id}")
         # every batch file carries the sink schema, whatever the source had
-        return align_to(decided.filter(F.col("decision") == "new"), INGEST_SINK)
-
-    _run(rows.writeStream.foreachBatch(_batch_writer(out, step))
-         .option("checkpointLocation", os.path.join(out, "_checkpoint")))
-    return spark.read.schema(INGEST_SINK).parquet(out)
+        align_to(decided.filter(F.col("decision") == "new"), INGEST_SINK).write.mode("overwrite").parquet(at)
+        new = spark.read.schema(INGEST_SINK).parquet(at)
+        if score is not None:
+            score(new).write.mode("overwrite").parquet(os.path.join(out, "scored", f"batch_id={batch_id}"))
+        index.add(new, batch_id)
+
+    _run(rows.writeStream.foreachBatch(step).option("checkpointLocation", os.path.join(out, "_checkpoint")))
+    if score is not None:
+        return spark.read.parquet(os.path.join(out, "scored")).drop("batch_id")
+    return spark.read.schema(INGEST_SINK).parquet(os.path.join(out, "jobs"))
 
 
 # --------------------------------------------------------------------------- K2
