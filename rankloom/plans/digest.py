@@ -83,16 +83,20 @@ def fleet_candidates(spark, sf_dir, as_of=FLEET_AS_OF):
     return D.candidates(jobs, L.fleet_sent_ledger(spark, sf_dir), as_of, parity=True)
 
 
-FLEET_CAND_SQL = V.with_(V.FLEET_JOBS, V.PROFILES_FLAT, V.FLEET_LEDGER, f"""
-fleet_cand as (
+def fleet_cand_cte(name: str, as_of: str) -> str:
+    return f"""
+{name} as (
   select j.*, p.score_threshold, p.max_job_age_days, p.max_jobs_per_email, p.rerank_candidates, p.rerank_min_score
   from fleet_jobs j join profiles_flat p on p.profile_id = j.profile_id
   where j.score >= p.score_threshold
     and ((j.date_posted is not null and j.date_posted not in ('nan', '')
-          and try_cast(j.date_posted as date) >= date '{_day(FLEET_AS_OF, 14)}')
+          and try_cast(j.date_posted as date) >= date '{_day(as_of, 14)}')
       or ((j.date_posted is null or j.date_posted in ('nan', ''))
-          and cast(j.discovered_at as date) >= cast(timestamp '{FLEET_AS_OF}' as date) - p.max_job_age_days))
-    and not exists (select 1 from fleet_ledger s where s.profile_id = j.profile_id and s.job_url = j.job_url))""")
+          and cast(j.discovered_at as date) >= cast(timestamp '{as_of}' as date) - p.max_job_age_days))
+    and not exists (select 1 from fleet_ledger s where s.profile_id = j.profile_id and s.job_url = j.job_url))"""
+
+
+FLEET_CAND_SQL = V.with_(V.FLEET_JOBS, V.PROFILES_FLAT, V.FLEET_LEDGER, fleet_cand_cte("fleet_cand", FLEET_AS_OF))
 
 FLEET_TOP_SQL = FLEET_CAND_SQL + """,
 fleet_top as (

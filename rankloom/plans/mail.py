@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankloom.operators import render as R
-from rankloom.plans.digest import FLEET_AS_OF, FLEET_TOP_SQL, fleet_top
+from rankloom.operators import digest as D
+from rankloom.plans.digest import FLEET_AS_OF, FLEET_CAND_SQL, FLEET_TOP_SQL, fleet_cand_cte, fleet_candidates, fleet_top
 from rankloom.plans.registry import query
 from rankloom.plans.rerank import RERANKED_SQL, reranked
 from rankloom.sources import listings as L
+from rankloom.sources.tables import read
+from rankloom.streaming import dispatch as DP
+from rankloom.streaming.streams import run_dir
 
 RERANKED_TOP_SQL = RERANKED_SQL + """,
 fleet_top as (select f.* exclude (pos), t.pos from reranked t
@@ -82,3 +86,39 @@ def digest_test(spark, sf_dir):
     msgs = R.digest_messages(top, L.profiles(spark, sf_dir), FLEET_AS_OF)
     mark = lambda c: F.concat(F.lit("[TEST] "), F.col(c)).alias(c)
     return msgs.select("profile_id", "job_count", "top_score", mark("subject"), mark("chat_text"))
+
+
+NEXT_DAY = "1998-06-02 00:00:00"
+
+
+def _sent_sql(name: str, cand: str, day: str, batch: int, without: str = "true") -> str:
+    return f""",
+{name} as (
+  select *, '{day}' as day, {batch} as batch from (
+    select *, row_number() over (partition by profile_id order by score desc, job_url) as pos from {cand} c where {without})
+  where pos <= max_jobs_per_email)"""
+
+
+@query("digest_outbox", "A13 A7 C2 K4 D7", FLEET_CAND_SQL + _sent_sql("first_day", "fleet_cand", FLEET_AS_OF[:10], 0) + ","
+       + fleet_cand_cte("next_cand", NEXT_DAY) + _sent_sql("next_day", "next_cand", NEXT_DAY[:10], 1,
+       "not exists (select 1 from first_day f where f.profile_id = c.profile_id and f.job_url = c.job_url)") + """
+select concat_ws('/', profile_id, day, batch) as message_key, profile_id, lower(c.c_name) || '@example.org' as recipient,
+       count(*) || ' new matches - top score ' || arg_min(score, pos) as subject,
+       string_agg(pos || '. ' || title || ' at ' || employer || ' (' || location || '), ' || score || '/100, ' || job_url, chr(10) order by pos) as text
+from (select * from first_day union all select * from next_day) x join customer c on c.c_custkey = x.profile_id
+where c.c_custkey % 10 <> 0 group by profile_id, day, batch, c.c_name""")
+def digest_outbox(spark, sf_dir):
+    """The mails of two days for every profile with an address: the second day's
+    digests leave out what the first has put into the ledger."""
+    names = read(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("profile_id"), F.when(F.col("c_custkey") % 10 != 0, F.concat(F.lower("c_name"), F.lit("@example.org"))).alias("recipient"))
+    people = L.profiles(spark, sf_dir).join(names, "profile_id")
+    box = DP.open_mailer(spark, run_dir(spark, "mailer"))
+
+    for batch, as_of in enumerate((FLEET_AS_OF, NEXT_DAY)):
+        def choose(sent, as_of=as_of):
+            fresh = fleet_candidates(spark, sf_dir, as_of).join(sent.select("profile_id", "job_url"), ["profile_id", "job_url"], "left_anti")
+            top = D.top_by_score(fresh, F.col("max_jobs_per_email"))
+            return L.fleet_details(spark, sf_dir, top).withColumn("company", F.col("employer"))
+        DP.send_digest(box, batch, as_of, choose, people)
+    return box.outbox.read().select("message_key", "profile_id", "recipient", "subject", "text")

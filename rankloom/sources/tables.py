@@ -54,3 +54,9 @@ def align_to(df: DataFrame, schema) -> DataFrame:
 def same_columns(a: DataFrame, b: DataFrame) -> bool:
     """Two tables expose the same set of column names."""
     return set(a.columns) == set(b.columns)
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end: a write that broke off has no _SUCCESS."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(path, "_SUCCESS"))
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)

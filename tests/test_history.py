@@ -1,5 +1,6 @@
 """Pages of a history: every page of small views against a plain sort."""
 
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -43,7 +44,7 @@ def test_a_deep_page_reads_its_ranges_only(spark):
     read = view.page(39).select(F.input_file_name().alias("f")).distinct().count()
     assert 1 <= read <= 2
     plan = view.page(39)._jdf.queryExecution().executedPlan().toString()
-    assert "_range" in plan and "PartitionFilters: [_range" in plan.replace("isnotnull(_range", "[_range")
+    assert re.search(r"PartitionFilters: \[[^\]]*_range", plan)
 
 
 def test_empty_view_and_repeated_rows(spark):

@@ -31,6 +31,26 @@ def test_xml_feed(spark):
     assert sorted((r.title, r.company) for r in good.collect()) == [("T1", None), ("T2", "c")]
 
 
+def test_csv_with_quotes_line_ends_and_bad_rows(spark):
+    d = tempfile.mkdtemp(prefix="landed-")
+    with open(os.path.join(d, "a.csv"), "w") as f:
+        f.write('title,job_url,company\n"Two\nlines, ""quoted""",u1,x\nshort,u2\n"",u3,\nA,u4,y,extra\n')
+    good, bad = good_and_bad(read_landed(spark, d, "csv", FETCH, site="board").cache())
+    assert {r.job_url: (r.title, r.company) for r in good.collect()} == {
+        "u1": ('Two\nlines, "quoted"', "x"), "u3": (None, None)}
+    assert len(bad.collect()) == 2  # too few and too many fields
+    assert set(good.columns) == {"title", "job_url", "company", "site"}
+
+
+def test_parquet_and_an_empty_folder(spark):
+    d = tempfile.mkdtemp(prefix="landed-")
+    spark.createDataFrame([("T", "u1", None)], FETCH).write.mode("overwrite").parquet(d)
+    good, bad = good_and_bad(read_landed(spark, d, "parquet", FETCH, site="board"))
+    assert [tuple(r) for r in good.collect()] == [("T", "u1", None, "board")] and bad.count() == 0
+    empty = tempfile.mkdtemp(prefix="landed-")
+    assert read_landed(spark, empty, "csv", FETCH).count() == 0
+
+
 def test_align_and_parity(spark):
     df = spark.createDataFrame([("t", "u")], "title string, job_url string")
     target = StructType([StructField("id", LongType()), StructField("job_url", StringType())])
