@@ -87,3 +87,24 @@ def feedback_effect(runs: DataFrame, key: str) -> DataFrame:
         F.count_if(d != 0).alias("n_changed"),
         F.round(F.avg(F.when((d >= BAND[0]) & (d <= BAND[1]), 1.0).otherwise(0.0)), 4).alias("in_band_share"))
     return g
+
+
+def feedback_gap(runs: DataFrame, key: str) -> DataFrame:
+    """What feedback does to liked and to disliked listings that it was not
+    learnt from (``user_rating`` 1 or -1, ``without_feedback``, ``with_feedback``).
+    Liked ones may lose 5 points on average at most, disliked ones gain 3, and the
+    gap between the two may narrow by 5. Without one of the classes its change is
+    null and passes; without either the gap is null and passes."""
+    def mean(rating, column):
+        return F.avg(F.when(F.col("user_rating") == rating, F.col(column)))
+    g = runs.groupBy(key).agg(
+        F.count_if(F.col("user_rating") == 1).alias("n_liked"), F.count_if(F.col("user_rating") == -1).alias("n_disliked"),
+        *[mean(r, f"{w}_feedback").alias(f"_{name}_{w}") for r, name in ((1, "liked"), (-1, "disliked")) for w in ("with", "without")])
+    liked, disliked = F.col("_liked_with") - F.col("_liked_without"), F.col("_disliked_with") - F.col("_disliked_without")
+    before, after = F.col("_liked_without") - F.col("_disliked_without"), F.col("_liked_with") - F.col("_disliked_with")
+    passes = lambda c: F.coalesce(c, F.lit(True))
+    return g.select(
+        key, "n_liked", "n_disliked", F.round(liked, 4).alias("liked_change"), F.round(disliked, 4).alias("disliked_change"),
+        F.round(before, 4).alias("gap_without"), F.round(after, 4).alias("gap_with"), F.round(after - before, 4).alias("gap_change"),
+        passes(liked >= BAND[0]).alias("liked_ok"), passes(disliked <= BAND[1]).alias("disliked_ok"),
+        passes(after - before >= BAND[0]).alias("gap_ok"))

@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankloom.operators import evals as EV
+from rankloom.operators import feedback as FB
+from rankloom.operators import proposals as P
 from rankloom.operators import relevance as R
+from rankloom.operators import scoring as S
+from rankloom.plans import feedback as FBQ
 from rankloom.plans import oracle_views as V
 from rankloom.plans.registry import query
 from rankloom.session import materialize
 from rankloom.plans.scoring import _KD_SQL, _fleet_scored, relevance_ctes
+from rankloom.sources import listings as L
 from rankloom.sources.tables import read
 
 
@@ -119,3 +124,37 @@ def eval_feedback_effect(spark, sf_dir):
     x = _fleet_scored(spark, sf_dir).select("profile_id", F.col("adjusted").alias("with_feedback"),
                                             F.col("score").cast("double").alias("without_feedback"))
     return EV.feedback_effect(x, "profile_id")
+
+
+_FEEDBACK_GAP_SQL = FBQ.KEYWORD_SUGGEST_SQL.replace("user_rating in (1, -1)),\nlt", "user_rating in (1, -1) and age % 2 = 1),\nlt").replace(
+    "\nselect * from b where rank <= 5", ",\nsugg as (select * from b where rank <= 5") + f"""),
+held as (select * from newest where age <= {FB.FEEDBACK_WINDOW} and user_rating in (1, -1) and age % 2 = 0),
+moved as (
+  select h.profile_id, h.job_url, h.user_rating, cast(h.score as double) as without_feedback,
+         greatest(0.0, least(100.0, h.score + greatest(-20.0, least(20.0, coalesce(sum(s.weight), 0)))))::double as with_feedback
+  from held h left join sugg s on s.profile_id = h.profile_id and contains(lower(h.title), lower(s.keyword))
+  group by h.profile_id, h.job_url, h.user_rating, h.score),
+g as (
+  select profile_id, cast(count_if(user_rating = 1) as bigint) as n_liked, cast(count_if(user_rating = -1) as bigint) as n_disliked,
+         avg(with_feedback) filter (where user_rating = 1) as l_w, avg(without_feedback) filter (where user_rating = 1) as l_o,
+         avg(with_feedback) filter (where user_rating = -1) as d_w, avg(without_feedback) filter (where user_rating = -1) as d_o
+  from moved group by profile_id)
+select profile_id, n_liked, n_disliked, round(l_w - l_o, 4) as liked_change, round(d_w - d_o, 4) as disliked_change,
+       round(l_o - d_o, 4) as gap_without, round(l_w - d_w, 4) as gap_with, round((l_w - d_w) - (l_o - d_o), 4) as gap_change,
+       coalesce(l_w - l_o >= -5, true) as liked_ok, coalesce(d_w - d_o <= 3, true) as disliked_ok,
+       coalesce((l_w - d_w) - (l_o - d_o) >= -5, true) as gap_ok
+from g"""
+
+
+@query("eval_feedback_gap", "D14 J8 D8", _FEEDBACK_GAP_SQL)
+def eval_feedback_gap(spark, sf_dir):
+    """Keywords learnt from every second rated listing of a profile (by age), and
+    what they do to the scores of the others."""
+    rated = materialize(FB.newest_feedback(FBQ.state_rows(spark, sf_dir)).where(F.col("user_rating").isin(1, -1)), "rated")
+    sugg = P.suggest_keywords(rated.where("_age % 2 = 1"), L.profiles(spark, sf_dir).select("profile_id", "scoring"))
+    lists = sugg.groupBy("profile_id").agg(F.collect_list(F.struct("keyword", F.col("weight").cast("double").alias("weight"))).alias("learnt"))
+    none = F.array().cast("array<struct<keyword:string,weight:double>>")
+    x = rated.where("_age % 2 = 0").join(lists, "profile_id", "left").withColumn("raw", F.col("score").cast("double"))
+    x = x.select("profile_id", "user_rating", F.col("raw").alias("without_feedback"),
+                 S.adjust("raw", S.keyword_delta("title", F.coalesce("learnt", none), none)).alias("with_feedback"))
+    return EV.feedback_gap(x, "profile_id")

@@ -51,3 +51,16 @@ def test_pass_rate_threshold(spark):
     easier = {r.check: r.passed for r in EV.pass_rate(trials, ["case", "check"], 0.6).collect()}
     stricter = {r.check: r.passed for r in EV.pass_rate(trials, ["case", "check"], 1.0).collect()}
     assert easier == {"strong": True, "gap": True} and stricter == {"strong": False, "gap": False}
+
+
+def test_feedback_gap_by_hand(spark):
+    from rankloom.operators import evals as EV
+    rows = [(1, 1, 50.0, 60.0), (1, 1, 40.0, 40.0), (1, -1, 30.0, 20.0),  # gap 15 -> 30
+            (2, 1, 50.0, 40.0), (2, -1, 30.0, 40.0),  # gap 20 -> 0
+            (3, 1, 10.0, 5.0), (4, -1, 10.0, 13.0)]  # on the bands; one class only
+    x = spark.createDataFrame(rows, "profile_id long, user_rating int, without_feedback double, with_feedback double")
+    got = {r.profile_id: tuple(r)[1:] for r in EV.feedback_gap(x, "profile_id").collect()}
+    assert got == {1: (2, 1, 5.0, -10.0, 15.0, 30.0, 15.0, True, True, True),
+                   2: (1, 1, -10.0, 10.0, 20.0, 0.0, -20.0, False, False, False),
+                   3: (1, 0, -5.0, None, None, None, None, True, True, True),
+                   4: (0, 1, None, 3.0, None, None, None, True, True, True)}
