@@ -233,15 +233,15 @@ def scored_jobs(spark, sf_dir):
 
 def score_new(spark, sf_dir, new):
     """The ``jobs`` rows that new listings give: every profile whose resume they are relevant to."""
-    rel = R.relevance(spark, read(spark, sf_dir, "benchmark"), "item_id", "text", read(spark, sf_dir, "documents"),
-                      "doc_id", "text", only=new.select(F.col("id").alias("doc_id")))
-    x = new.join(rel.select(F.col("item_id").alias("profile_id"), F.col("doc_id").alias("id"), F.col("score").alias("raw_score")), "id")
-
     def kw(items):
         return F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(w).alias("weight")) for k, w in items])
 
-    x = x.withColumn("delta", S.keyword_delta("description", kw(BOARD_BOOST), kw(BOARD_PENALTY)))
-    return x.withColumn("score", S.adjust("raw_score", F.col("delta")))
+    # the keywords are the board's, so a listing has one delta and its text does not travel once per profile
+    rows = new.withColumn("delta", S.keyword_delta("description", kw(BOARD_BOOST), kw(BOARD_PENALTY))).drop("description")
+    rel = R.relevance(spark, read(spark, sf_dir, "benchmark"), "item_id", "text", read(spark, sf_dir, "documents"),
+                      "doc_id", "text", only=new.select(F.col("id").alias("doc_id")))
+    rel = rel.select(F.col("item_id").alias("profile_id"), F.col("doc_id").alias("id"), F.col("score").alias("raw_score"))
+    return rows.join(rel, "id").withColumn("score", S.adjust("raw_score", F.col("delta")))
 
 
 @query("ingest_scored", "K1 A6 J5 D8", INGEST_SCORED_SQL + """
