@@ -90,11 +90,15 @@ def pairs_over(qw: DataFrame, arrays: DataFrame, variants) -> DataFrame:
     lists = qw.filter(light).groupBy("q").agg(
         F.collect_list("term").alias("light"),
         *[F.map_from_entries(F.collect_list(F.struct("term", f"w_{v}"))).alias(f"of_{v}") for v in variants])
+    # A table of one row per query: its size is known when the joins are planned, so a small one is
+    # broadcast. Left to the run, the pairs with their arrays would be dealt by query before that shows.
+    own = materialize(sums.join(lists, "q", "left"), "query-lists")
     within = _any([F.col(f"m_{v}") + F.col(f"rest_{v}") >= F.col(f"bar_{v}") for v in variants])
     # dealt by document once: summing per (query, document) and looking the array up stay in place;
     # pairs move as numbers, the lists of terms come to those that are left
     by_doc = arrays.repartition("doc")
-    x = candidates(qw, by_doc, variants).join(sums, "q").filter(within).join(by_doc, "doc").join(lists, "q", "left")
+    x = candidates(qw, by_doc, variants).join(own.select(*sums.columns), "q").filter(within).join(by_doc, "doc").join(
+        own.select(*lists.columns), "q")
     hit = F.coalesce(F.array_intersect("terms", "light"), F.array().cast("array<string>"))
     # a generator, so that the filter and the sums below share one intersection
     x = x.select("*", F.explode(F.array(hit)).alias("hit")).select(
@@ -118,6 +122,7 @@ def relevance_variants(spark: SparkSession, queries: DataFrame, q_id: str, q_tex
     pairs that reach ``min_score`` by one of the ``variants``. ``only`` (a frame
     with ``d_id``) limits the pairs to some documents; frequencies come from all."""
     qw, arrays = _weighted(spark, queries, q_id, q_text, docs, d_id, d_text, variants)
+    qw = materialize(qw, "query-weights")
     # floor(100 m / t) >= bar is m >= ceil(bar t / 100) for whole numbers
     for v in variants:
         qw = qw.withColumn(f"bar_{v}", F.expr(f"({min_score} * total_{v} + 99) div 100"))
