@@ -2,10 +2,11 @@
 
 Top-N per group is the hot path of every digest. With a literal N Spark adds
 a partial ``WindowGroupLimit`` before the exchange, so at most N rows per group
-and map partition cross the network. With a per-group N (a column) we rank in
-two phases: first inside ``(group, salt)`` buckets, then inside the group on
-the survivors. That is exact (a row outside its bucket's top N cannot be in the
-group's top N) and keeps one hot group from landing whole in one task.
+and map partition cross the network. With a per-group N (a column) whose largest
+value is known, that value is such a literal. Without it we rank in two phases:
+first inside ``(group, salt)`` buckets, then inside the group on the survivors.
+That is exact (a row outside its bucket's top N cannot be in the group's top N)
+and keeps one hot group from landing whole in one task.
 """
 
 from __future__ import annotations
@@ -30,17 +31,22 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFr
 
 def top_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence, n, rank_col: str = "rank",
                     salt_on: Sequence[str] | None = None,
-                    salt_buckets: int = DEFAULT_SALT_BUCKETS) -> DataFrame:
+                    salt_buckets: int = DEFAULT_SALT_BUCKETS, most: int | None = None) -> DataFrame:
     """Rows ranked 1..n per group (``row_number``), ``rank_col`` = position.
 
     ``order`` must be total (end it in a unique column) so results are stable.
-    ``n`` is an int or a Column evaluated per row (e.g. a profile setting).
+    ``n`` is an int or a Column evaluated per row (e.g. a profile setting);
+    ``most`` is a value that such a column never exceeds.
     """
     order_cols = _cols(order)
     if isinstance(n, int):
         w = Window.partitionBy(*keys).orderBy(*order_cols)
         return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= n)
     limit = n
+    if most is not None:  # one exchange, of at most ``most`` rows per group and map partition
+        w = Window.partitionBy(*keys).orderBy(*order_cols)
+        return (df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= most)
+                .filter(F.col(rank_col) <= limit))
     if salt_on:
         salt_src = _cols(salt_on)
     else:  # any deterministic spread of the group's rows works; hash the atomic columns

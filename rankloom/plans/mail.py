@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import render as R
 from rankloom.operators import digest as D
-from rankloom.plans.digest import FLEET_AS_OF, FLEET_CAND_SQL, FLEET_TOP_SQL, fleet_cand_cte, fleet_candidates, fleet_top
+from rankloom.plans.digest import FLEET_AS_OF, FLEET_CAND_SQL, FLEET_TOP_SQL, fleet_cand_cte, fleet_candidates, fleet_top, fleet_unsent, most_of
 from rankloom.plans.registry import query
 from rankloom.plans.rerank import RERANKED_SQL, reranked
+from rankloom.session import materialize
 from rankloom.sources import listings as L
 from rankloom.sources.tables import read
 from rankloom.streaming import dispatch as DP
@@ -114,11 +115,13 @@ def digest_outbox(spark, sf_dir):
         F.col("c_custkey").alias("profile_id"), F.when(F.col("c_custkey") % 10 != 0, F.concat(F.lower("c_name"), F.lit("@example.org"))).alias("recipient"))
     people = L.profiles(spark, sf_dir).join(names, "profile_id")
     box = DP.open_mailer(spark, run_dir(spark, "mailer"))
+    most = most_of(spark, sf_dir, "max_jobs_per_email")
+    listings = materialize(fleet_unsent(spark, sf_dir), "unsent-listings")  # both days choose from them
 
     for batch, as_of in enumerate((FLEET_AS_OF, NEXT_DAY)):
         def choose(sent, as_of=as_of):
-            fresh = fleet_candidates(spark, sf_dir, as_of).join(sent.select("profile_id", "job_url"), ["profile_id", "job_url"], "left_anti")
-            top = D.top_by_score(fresh, F.col("max_jobs_per_email"))
+            fresh = fleet_candidates(spark, sf_dir, as_of, listings).join(sent.select("profile_id", "job_url"), ["profile_id", "job_url"], "left_anti")
+            top = D.top_by_score(fresh, F.col("max_jobs_per_email"), most=most)
             return L.fleet_details(spark, sf_dir, top).withColumn("company", F.col("employer"))
         DP.send_digest(box, batch, as_of, choose, people)
     return box.outbox.read().select("message_key", "profile_id", "recipient", "subject", "text")

@@ -9,7 +9,7 @@ from rankloom.operators import digest as D
 from rankloom.operators import relevance as R
 from rankloom.operators import rerank as RR
 from rankloom.operators.ranking import top_n_per_group
-from rankloom.plans.digest import BOARD_CAND_SQL, FLEET_CAND_SQL, board_candidates, fleet_candidates
+from rankloom.plans.digest import BOARD_CAND_SQL, FLEET_CAND_SQL, board_candidates, fleet_candidates, most_of
 from rankloom.plans.registry import query
 from rankloom.session import materialize
 from rankloom.plans.scoring import relevance_ctes, with_feedback
@@ -85,7 +85,8 @@ def rerank_terms(spark, sf_dir):
 
 def fleet_cut(spark, sf_dir):
     """E2 cut of every fleet profile (``rerank_candidates`` rows each)."""
-    return RR.candidate_index(D.top_by_score(fleet_candidates(spark, sf_dir), F.col("rerank_candidates")))
+    return RR.candidate_index(D.top_by_score(fleet_candidates(spark, sf_dir), F.col("rerank_candidates"),
+                                             most=most_of(spark, sf_dir, "rerank_candidates")))
 
 
 def stored_cut(spark, sf_dir):
@@ -209,7 +210,7 @@ def reranked(spark, sf_dir):
     limit = L.profiles(spark, sf_dir).select(
         "profile_id", F.coalesce("notification.max_jobs_per_email", F.lit(D.DIGEST_DEFAULTS["max_jobs_per_email"])).alias("n"))
     top = top_n_per_group(picked.join(limit, "profile_id"), ["profile_id"], [F.col("order_key"), F.col("job_url")],
-                          F.col("n"), rank_col="pos")
+                          F.col("n"), rank_col="pos", most=most_of(spark, sf_dir, "max_jobs_per_email"))
     return top.select("profile_id", F.col("pos").cast("bigint").alias("pos"), "job_url", "source"), cut
 
 

@@ -157,12 +157,12 @@ def fleet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings fetched for every fleet profile, one per ``lineitem`` of its
     orders, with all that selection needs; ``fleet_details`` describes them."""
     li = read(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate")
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate").repartition("l_orderkey")
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     # The jobs table is unique on URL, and the URL is the line item's key, so a
-    # re-fetched line item keeps its first version. Dedupe right after the
-    # orders join, partitioned by the key columns: a shuffle on l_orderkey (the
-    # orders join) already satisfies that distribution, so no extra exchange.
+    # re-fetched line item keeps its first version. Line items are dealt by order
+    # once: the orders join, this dedupe by the key columns and the look-up in the
+    # ledger (dealt alike) all stay in place.
     from rankloom.operators.ranking import first_per_key
     x = first_per_key(li.join(o, li.l_orderkey == o.o_orderkey),
                       ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
@@ -250,15 +250,16 @@ def board_sent_ledger(spark: SparkSession, sf_dir: str, as_of: str, days_before:
 
 
 def fleet_sent_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fleet ledger: returned ('A') line items count as already mailed at their order date."""
+    """Fleet ledger: returned ('A') line items count as already mailed at their order date.
+    Dealt by ``l_orderkey``, like ``fleet_rows``, which equal URLs share."""
     li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                                                 "l_returnflag")
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    return (li.filter(F.col("l_returnflag") == "A")
+    return (li.filter(F.col("l_returnflag") == "A").repartition("l_orderkey")
             .join(o, li.l_orderkey == o.o_orderkey)
             .select(F.col("o_custkey").alias("profile_id"),
                     fleet_url().alias("job_url"),
-                    F.col("o_orderdate").cast("timestamp").alias("sent_at")))
+                    F.col("o_orderdate").cast("timestamp").alias("sent_at"), "l_orderkey"))
 
 
 def raw_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
