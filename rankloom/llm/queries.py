@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rankloom.llm import (chat, containment, filter_audit, licenses, line_dedup, minhash, packing, periodic, quality,
                           secrets, simhash, toxicity, vector_topk)
-from rankloom.llm.common import table
+from rankloom.llm.common import Scratch, table
 
 
 def _remainder(n: int):
@@ -46,7 +46,9 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # the features of every whole text once: learning and scoring read them
+    docs = Scratch(spark, "op6").save(
+        quality.describe(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "features")
     held_out = _remainder(5) == 0
     model = quality.train(docs, table(spark, sf_dir, "labels").where(~held_out), level=0.3)
     found = quality.score(docs, model)
