@@ -27,6 +27,7 @@ from rankloom.session import materialize
 
 MIN_SCORE = 20  # default bar of ``relevance``: pairs below it are not produced
 SEED_SHARE = 50  # per cent of a query's weight whose heavier half finds the first candidates of ``relevance_top``
+SEED_DOCS = 40  # so many times k documents are matched exactly for the bar
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -148,22 +149,24 @@ def relevance(spark: SparkSession, queries: DataFrame, q_id: str, q_text: str,
 
 def with_top_bars(qw: DataFrame, arrays: DataFrame, k: int) -> DataFrame:
     """``qw`` with ``bar_plain``: the k-th best match among the documents that hold
-    one of the query's heaviest terms (at least a bound for the k-th best of all);
-    1, that is any weight, where there are fewer than k."""
+    most weight of the query's heaviest terms (at least a bound for the k-th best of
+    all); 1, that is any weight, where there are fewer than k. The heavy weights
+    alone choose ``SEED_DOCS`` times k documents, so only their arrays are looked up."""
     seeds = qw.withColumn("bar_plain", F.expr(f"({SEED_SHARE} * total_plain + 99) div 100"))
-    found = _exact(seeds, arrays)
+    heaviest = Window.partitionBy("q").orderBy(F.desc("m_plain"), "doc")
+    chosen = candidates(seeds, arrays, ("plain",)).withColumn("r", F.row_number().over(heaviest)).filter(F.col("r") <= SEED_DOCS * k)
+    found = _exact(materialize(chosen.select("q", "doc"), "seed-pairs"), qw, arrays)
     best = Window.partitionBy("q").orderBy(F.desc("matched_plain"))
     bars = (found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).groupBy("q")
             .agg(F.when(F.count("*") == k, F.min("matched_plain")).alias("bar_plain")))
     return qw.join(bars, "q", "left").withColumn("bar_plain", F.greatest(F.coalesce("bar_plain", F.lit(1)), F.lit(1)))
 
 
-def _exact(qw: DataFrame, arrays: DataFrame) -> DataFrame:
-    """``q, doc, matched_plain`` of all pairs that share a heavy term."""
-    sums = candidates(qw, arrays, ("plain",)).select("q", "doc")
+def _exact(pairs: DataFrame, qw: DataFrame, arrays: DataFrame) -> DataFrame:
+    """``q, doc, matched_plain`` of given pairs."""
     weights = qw.groupBy("q").agg(F.collect_list("term").alias("own"),
                                   F.map_from_entries(F.collect_list(F.struct("term", "w_plain"))).alias("of"))
-    return sums.join(weights, "q").join(arrays, "doc").select(
+    return pairs.join(weights, "q").join(arrays, "doc").select(
         "q", "doc", _sum_of(F.array_intersect("terms", "own"), F.col("of")).alias("matched_plain"))
 
 

@@ -37,6 +37,18 @@ def phrases(text) -> Column:
     return bound(tokens(text), pairs)
 
 
+def _holders(docs: DataFrame, d_text: str, sought: DataFrame) -> DataFrame:
+    """``phrase, both``: how many rows of ``docs`` hold each phrase of ``sought``. Neighbours
+    become rows as they are; only the phrases sought are then counted once per row."""
+    ahead = F.greatest(F.size("w") - 1, F.lit(0))
+    near = docs.select(F.monotonically_increasing_id().alias("row"), tokens(d_text).alias("w")).select(
+        "row", F.explode(F.arrays_zip(F.slice("w", F.lit(1), ahead).alias("a"), F.slice("w", F.lit(2), ahead).alias("b"))).alias("n"))
+    both = near.where((F.length("n.a") >= MIN_LETTERS) & (F.length("n.b") >= MIN_LETTERS)).select(
+        "row", F.concat("n.a", F.lit(" "), "n.b").alias("phrase"))
+    return (both.join(sought, "phrase", "left_semi").groupBy("row", "phrase").agg(F.lit(1))
+            .groupBy("phrase").agg(F.count("*").alias("both")))
+
+
 def _ranked(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
     """The first ``n`` of each ``q`` with their rank; a window is one resume's words."""
     w = Window.partitionBy("q").orderBy(*order)
@@ -51,17 +63,21 @@ def suggest_from_resumes(spark: SparkSession, resumes: DataFrame, r_id: str, r_t
     words = materialize(docs.select(F.explode(F.array_distinct(_long(tokens(d_text)))).alias("word"))
                         .groupBy("word").agg(F.count("*").alias("df")), "corpus-words")
     n = docs.count()
-    own = (resumes.select(F.col(r_id).alias("q"), F.explode(_long(tokens(r_text))).alias("word"))
-           .groupBy("q", "word").agg(F.count("*").alias("tf")).join(words, "word", "left").na.fill(0, ["df"]))
+    # What the resumes say is written, so that its size is known when the joins are planned: the
+    # corpus' words, and below its phrases and texts, are then cut down to it where they are.
+    used = materialize(resumes.select(F.col(r_id).alias("q"), F.explode(_long(tokens(r_text))).alias("word"))
+                       .groupBy("q", "word").agg(F.count("*").alias("tf")), "resume-words")
+    found = words.join(used.select("word").distinct(), "word", "left_semi")
+    own = materialize(used.join(found, "word", "left").na.fill(0, ["df"]), "resume-words-df")
     contrast = F.col("tf") * F.round(1000 * F.ln(F.lit(n + 1) / (F.col("df") + 1))).cast("bigint")
     boosts = _ranked(own.withColumn("s", contrast), [F.desc("s"), F.col("word")], BOOSTS).select(
         "q", F.lit("boost").alias("kind"), "rank", F.col("word").alias("keyword"), (F.lit(BOOSTS + 1) - F.col("rank")).alias("weight"))
 
-    said = resumes.select(F.col(r_id).alias("q"), F.explode(phrases(F.col(r_text))).alias("phrase")).groupBy("q", "phrase").agg(
-        F.count("*").alias("tf"))
-    held = (docs.select(F.explode(F.array_distinct(phrases(F.col(d_text)))).alias("phrase"))
-            .join(said.select("phrase").distinct(), "phrase", "left_semi").groupBy("phrase").agg(F.count("*").alias("both")))
-    first, second = words.toDF("a", "df_a"), words.toDF("b", "df_b")
+    said = materialize(resumes.select(F.col(r_id).alias("q"), F.explode(phrases(F.col(r_text))).alias("phrase"))
+                       .groupBy("q", "phrase").agg(F.count("*").alias("tf")), "resume-phrases")
+    held = _holders(docs, d_text, said.select("phrase").distinct())
+    dfs = own.select("word", "df").distinct()  # a phrase's words are words of its resume
+    first, second = dfs.toDF("a", "df_a"), dfs.toDF("b", "df_b")
     rated = (said.withColumn("a", F.split_part("phrase", F.lit(" "), F.lit(1))).withColumn("b", F.split_part("phrase", F.lit(" "), F.lit(2)))
              .join(held, "phrase", "left").join(first, "a", "left").join(second, "b", "left").na.fill(0, ["both", "df_a", "df_b"]))
     pmi = F.round(1000 * F.ln((F.col("both") + 1) * F.lit(float(n)) / ((F.col("df_a") + 1) * (F.col("df_b") + 1)))).cast("bigint")
@@ -72,15 +88,16 @@ def suggest_from_resumes(spark: SparkSession, resumes: DataFrame, r_id: str, r_t
 
 
 def _penalties(spark, resumes, r_id, r_text, docs, d_id, d_text, words, own) -> DataFrame:
-    best = R.relevance_top(spark, resumes, r_id, r_text, docs, d_id, d_text, BEST_LISTINGS).select(
-        F.col(r_id).alias("q"), F.col(d_id).alias("doc"))
-    theirs = (docs.select(F.col(d_id).alias("doc"), F.array_distinct(_long(tokens(d_text))).alias("w")).join(best, "doc")
-              .select("q", F.explode("w").alias("word")))
+    best = materialize(R.relevance_top(spark, resumes, r_id, r_text, docs, d_id, d_text, BEST_LISTINGS).select(
+        F.col(r_id).alias("q"), F.col(d_id).alias("doc")), "best-listings")
+    # only the best listings are split into words
+    theirs = (docs.select(F.col(d_id).alias("doc"), F.col(d_text).alias("text")).join(best, "doc")
+              .select("q", F.explode(F.array_distinct(_long(tokens("text")))).alias("word")))
     spared = materialize(own.select("q", "word").unionByName(theirs).distinct(), "spared-words")
     # as many common words as the largest set of spared ones could take away
     most = spared.groupBy("q").count().agg(F.max("count")).first()[0] or 0
-    common = (words.orderBy(F.desc("df"), "word").limit(most + PENALTIES)
-              .withColumn("place", F.row_number().over(Window.orderBy(F.desc("df"), "word"))))
+    common = materialize(words.orderBy(F.desc("df"), "word").limit(most + PENALTIES)
+                         .withColumn("place", F.row_number().over(Window.orderBy(F.desc("df"), "word"))), "common-words")
     taken = spared.join(common, "word").groupBy("q").agg(F.collect_list("place").alias("taken"))
     none = F.array().cast("array<int>")
     every = resumes.select(F.col(r_id).alias("q")).distinct().join(taken, "q", "left").select(

@@ -53,3 +53,22 @@ def test_resume_suggestions_keep_their_bounds(spark):
 def test_phrases(spark):
     row = spark.sql("select 'A big, red fox of  old big red' as t").select(RS.phrases(F.col("t")).alias("p")).first()
     assert row.p == ["big red", "red fox", "old big", "big red"]
+
+
+def test_phrase_holders_are_counted_once_per_row(spark):
+    texts = ["red fox red fox red", "Red, fox", None, "", "red", "big red of fox", "red fox", "fox\nred"]
+    docs = spark.createDataFrame([(k % 3, t) for k, t in enumerate(texts)], "id long, text string")
+    sought = spark.createDataFrame([("red fox",), ("fox red",), ("not there",), ("of fox",)], "phrase string")
+    got = {r.phrase: r.both for r in RS._holders(docs, "text", sought).collect()}
+    held = docs.select(F.explode(F.array_distinct(RS.phrases(F.col("text")))).alias("phrase")).join(sought, "phrase", "left_semi")
+    assert got == {r.phrase: r["count"] for r in held.groupBy("phrase").count().collect()} == {"red fox": 3, "fox red": 2}
+
+
+def test_resume_set_up_splits_only_the_best_listings(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"word{chr(97 + k % 26)} common thing") for k in range(60)], "doc_id long, text string")
+    resumes = spark.createDataFrame([(1, "wordx common"), (2, "wordy thing")], "item_id long, text string")
+    frames, real = {}, RS.materialize
+    monkeypatch.setattr(RS, "materialize", lambda df, name: frames.setdefault(name, real(df, name)))
+    RS.suggest_from_resumes(spark, resumes, "item_id", "text", docs, "doc_id", "text").collect()
+    assert 2 <= frames["best-listings"].count() <= 2 * RS.BEST_LISTINGS
+    assert frames["common-words"].count() <= frames["corpus-words"].count()

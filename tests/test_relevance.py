@@ -73,6 +73,15 @@ def test_top_forms_few_pairs(spark):
     assert 0 < made + seeds < 0.06 * every and made < 0.05 * every
 
 
+def test_bar_matches_few_pairs_exactly(spark, monkeypatch):
+    docs, queries = corpus(5)
+    qs, ds = frames(spark, docs, queries)
+    made, real = [], R._exact
+    monkeypatch.setattr(R, "_exact", lambda *a: made.append(real(*a)) or made[-1])
+    R.relevance_top(spark, qs, "q", "t", ds, "d", "t", 2)
+    assert 2 <= made[0].groupBy("q").count().agg(F.max("count")).first()[0] <= 2 * R.SEED_DOCS
+
+
 def test_language_model(spark):
     base = {"xx": "kala mika tuno rela", "yy": "strub grolf drent klopf"}
     rng = random.Random(1)
