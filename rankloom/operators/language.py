@@ -57,7 +57,8 @@ def learn(rows: DataFrame, id_col: str, text_col: str, lang_col: str,
     ``weight = round(1000 * ln((n + 1) / (n of the language + grams)))`` over the
     ``max_grams`` most frequent grams of the sample (ties by gram). Without
     labelled rows the model knows no language."""
-    sample = learning_sample(rows, id_col, lang_col, per_language)
+    # written, so that its size is known when the join is planned: the texts of other rows are not dealt
+    sample = materialize(learning_sample(rows, id_col, lang_col, per_language), "language-sample")
     texts = rows.select(id_col, F.col(text_col).alias("text")).join(sample, id_col)
     counts = materialize(_grams(texts, ["lang"], F.col("text")).groupBy("lang", "gram").agg(F.count("*").alias("n")),
                          "language-grams")
@@ -83,9 +84,13 @@ def detect(rows: DataFrame, id_col: str, text, model: LanguageModel) -> DataFram
     if not model.languages:
         return rows.select(id_col, F.lit(None).cast("string").alias("detected_language")).limit(0)
     at = range(len(model.languages))
+    # A number is looked up faster than a text, and this is done once per gram of every word; a
+    # hit counts only where the texts are the same, so two grams of one hash are not mixed up.
+    weights = model.weights.select(F.xxhash64("gram").alias("h"), F.col("gram").alias("known"), *[f"w{i}" for i in at])
     hits = _grams(rows.select(F.col(id_col).alias("_id"), text.alias("_text")), ["_id"], F.col("_text")) \
-        .join(F.broadcast(model.weights), "gram")  # at most max_grams rows
-    sums = hits.groupBy("_id").agg(*[F.sum(f"w{i}").alias(f"s{i}") for i in at])
+        .withColumn("h", F.xxhash64("gram")).join(F.broadcast(weights), "h")  # at most max_grams rows
+    sums = hits.groupBy("_id").agg(*[F.sum(F.when(F.col("gram") == F.col("known"), F.col(f"w{i}"))).alias(f"s{i}") for i in at]) \
+        .where(F.col("s0").isNotNull())
     best = F.array_max(F.array(*[F.struct(F.col(f"s{i}").alias("s"), F.lit(-i).alias("at")) for i in at]))
     names = F.array(*[F.lit(x) for x in model.languages])
     return sums.select(F.col("_id").alias(id_col), F.element_at(names, 1 - best["at"]).alias("detected_language"))

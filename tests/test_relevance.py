@@ -82,6 +82,24 @@ def test_bar_matches_few_pairs_exactly(spark, monkeypatch):
     assert 2 <= made[0].groupBy("q").count().agg(F.max("count")).first()[0] <= 2 * R.SEED_DOCS
 
 
+def test_language_look_up_is_by_number_and_exact(spark, monkeypatch):
+    base = {"xx": "kala mika tuno rela", "yy": "strub grolf drent klopf"}
+    rng = random.Random(2)
+    rows = [(k, " ".join(rng.choices(base[lang].split(), k=6)), lang) for k in range(30) for lang in [("xx", "yy")[k % 2]]]
+    docs = spark.createDataFrame(rows + [(100, "zzzz qqqq", None), (101, "kala", None), (101, "strub grolf", None)], "id long, text string, lang string")
+    written, real = [], LG.materialize
+    monkeypatch.setattr(LG, "materialize", lambda df, name: written.append(name) or real(df, name))
+    model = LG.learn(docs, "id", "text", "lang", per_language=10)
+    assert "language-sample" in written
+    found = LG.detect(docs, "id", "text", model)
+    assert "xxhash64(gram" in found._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted(map(tuple, found.collect()))
+    assert 100 not in dict(want) and len(want) == 31
+    # every gram gets the same number: all hits but the right ones are then of other grams
+    monkeypatch.setattr(LG.F, "xxhash64", lambda c: F.length(c).cast("bigint") * 0)
+    assert sorted(map(tuple, LG.detect(docs, "id", "text", model).collect())) == want
+
+
 def test_language_model(spark):
     base = {"xx": "kala mika tuno rela", "yy": "strub grolf drent klopf"}
     rng = random.Random(1)
